@@ -16,6 +16,7 @@ NOT_AFTER_WORD = rf"(?<![{WORD}])"
 NOT_BEFORE_WORD = rf"(?![{WORD}])"
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+RARE_LINE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 FENCE = r"(?s)```(?:[a-zA-Z0-9_+-]+)?\n(.*?)```"
 
 
@@ -42,8 +43,14 @@ def universal_newlines(text: Column) -> Column:
 
 
 def raw_lines(text: Column) -> Column:
-    """Lines as an array. A final line break leaves an empty last element."""
-    return F.split(text, LINE_BREAK, -1)
+    """Lines as an array. A final line break leaves an empty last element.
+
+    Most texts know only ``\\n``, for which splitting needs no pattern.
+    """
+    rare = F.lit(False)
+    for line_break in RARE_LINE_BREAKS:
+        rare = rare | F.contains(text, F.lit(line_break))
+    return F.when(rare, F.split(text, LINE_BREAK, -1)).otherwise(F.split(text, "\n", -1))
 
 
 def lines_of(text: Column) -> Column:

@@ -18,7 +18,7 @@ from scanloom.functions.text import lines_of, raw_lines, snippet, strip_right, u
 FINDING = "struct<rule_id:string,line:int,col:int,snippet:string,pass:int>"
 FINDINGS = f"array<{FINDING}>"
 ISSUES = "array<struct<message:string,line:int,col:int>>"
-LINE_PASS, SYNTAX_PASS = 1, 2
+LINE_PASS, SYNTAX_PASS, CUSTOM_PASS = 1, 2, 3
 _MARK = "\ue000"
 
 
@@ -110,7 +110,24 @@ def empty_catch_findings(text: Column) -> Column:
     return F.when(has_catch, _with(raw_lines(plain), per_line)).otherwise(_nothing())
 
 
-def scan_files(source_files: DataFrame) -> DataFrame:
+def custom_findings(text: Column, language: Column, custom_rules) -> Column:
+    """Findings of user rules, given as (rule_id, language, regex).
+
+    Patterns are literals of the plan, so each is compiled once a task.
+    """
+
+    def per_line(line, line_no):
+        return _compact(
+            *(
+                F.when((language == wanted) & line.rlike(regex), _finding(rule, line_no, strip_right(line), CUSTOM_PASS))
+                for rule, wanted, regex, *_ in custom_rules
+            )
+        )
+
+    return _over_lines(raw_lines(text), per_line)
+
+
+def scan_files(source_files: DataFrame, custom_rules=()) -> DataFrame:
     """Source files with two more columns, ``findings`` and ``syntax_issues``.
 
     Both arrays are computed behind one ``inline``, so that filters on them
@@ -129,6 +146,9 @@ def scan_files(source_files: DataFrame) -> DataFrame:
         )
         .otherwise(_nothing())
     )
+    if custom_rules:
+        own = F.when(text.isNull(), _nothing()).otherwise(custom_findings(text, language, custom_rules))
+        findings = F.concat(findings.cast(FINDINGS), own.cast(FINDINGS))
     problems = F.transform(
         F.filter(facts, lambda f: f["kind"] == "syntax_error"),
         lambda f: F.struct(f["message"].alias("message"), f["lineno"].alias("line"), f["col"].alias("col")),
@@ -156,15 +176,10 @@ def syntax_issues(scanned: DataFrame) -> DataFrame:
     return scanned.select("repo", "path", F.inline("syntax_issues"))
 
 
-def scan(source_files: DataFrame, custom_rules=None) -> tuple[DataFrame, DataFrame]:
+def scan(source_files: DataFrame, custom_rules=()) -> tuple[DataFrame, DataFrame]:
     """Findings and syntax issues of a corpus, with custom rules if given."""
-    scanned = scan_files(source_files)
-    found = findings(scanned)
-    if custom_rules:
-        from scanloom.operators.custom import custom_findings
-
-        found = found.unionByName(custom_findings(source_files, custom_rules))
-    return found, syntax_issues(scanned)
+    scanned = scan_files(source_files, custom_rules)
+    return findings(scanned), syntax_issues(scanned)
 
 
 def in_scan_order(found: DataFrame) -> DataFrame:

@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions.text import detect_language
 
 N_TEMPLATES = 36
+SCORE_COLUMNS = {
+    "rule_id": pa.string(), "importance": pa.float64(), "freq_estimate": pa.float64(), "excluded": pa.string()
+}
 
 
 @dataclass(frozen=True)
@@ -28,6 +33,7 @@ class Template:
     syntax_line: int
 
 
+@cache
 def templates() -> list[Template]:
     rows = Path(__file__).with_name("templates.jsonl").read_text(encoding="utf-8").splitlines()
     loaded = (json.loads(row) for row in rows if row)
@@ -37,18 +43,18 @@ def templates() -> list[Template]:
     ]
 
 
-def _by_template(template: Column, value) -> Column:
+def by_template(template: Column, value) -> Column:
     return F.get(F.array(*(F.lit(value(t)) for t in templates())), template.cast("int"))
 
 
 def template_text(key: Column, template: Column) -> Column:
-    return F.replace(_by_template(template, lambda t: t.text), F.lit("<k>"), key.cast("string"))
+    return F.replace(by_template(template, lambda t: t.text), F.lit("<k>"), key.cast("string"))
 
 
 def corpus(table: DataFrame, key: str, repo: Column, mtime: Column | None = None) -> DataFrame:
     """``source_files`` made from the rows of a table, one file a row."""
     template = F.col(key) % N_TEMPLATES
-    ending = _by_template(template, lambda t: t.ending)
+    ending = by_template(template, lambda t: t.ending)
     path = F.concat(F.lit("src/t"), template.cast("string"), F.lit("/f"), F.col(key).cast("string"), ending)
     named = table.select(
         repo.alias("repo"),
