@@ -8,6 +8,8 @@ finding, patch request) stays a narrow operation. ``findings`` and
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,17 +129,13 @@ def custom_findings(text: Column, language: Column, custom_rules) -> Column:
     return _over_lines(raw_lines(text), per_line)
 
 
-def scan_files(source_files: DataFrame, custom_rules=()) -> DataFrame:
-    """Source files with two more columns, ``findings`` and ``syntax_issues``.
-
-    Both arrays are computed behind one ``inline``, so that filters on them
-    are not pushed below and the rules never run twice for a row; filters on
-    other columns still reach the source.
-    """
+@cache
+def _scan_column(application: str, custom_rules: tuple) -> Column:
+    """Findings and syntax issues of a row. Building it takes long, so each application keeps it."""
     text, language = F.col("text"), F.col("language")
     is_python = language == "python"
     facts = syntax.facts_column(F.when(is_python, text))
-    findings = (
+    found = (
         F.when(text.isNull(), _nothing())
         .when(is_python, F.concat(python_line_findings(text), python_syntax_findings(facts)))
         .when(
@@ -148,7 +146,7 @@ def scan_files(source_files: DataFrame, custom_rules=()) -> DataFrame:
     )
     if custom_rules:
         own = F.when(text.isNull(), _nothing()).otherwise(custom_findings(text, language, custom_rules))
-        findings = F.concat(findings.cast(FINDINGS), own.cast(FINDINGS))
+        found = F.concat(found.cast(FINDINGS), own.cast(FINDINGS))
     problems = F.transform(
         F.filter(facts, lambda f: f["kind"] == "syntax_error"),
         lambda f: F.struct(f["message"].alias("message"), f["lineno"].alias("line"), f["col"].alias("col")),
@@ -161,9 +159,20 @@ def scan_files(source_files: DataFrame, custom_rules=()) -> DataFrame:
         .when(is_python & text.isNotNull(), problems)
         .otherwise(F.array().cast(ISSUES))
     )
-    numbered = F.transform(findings.cast(FINDINGS), lambda f, i: f.withField("seq", i))
-    both = F.struct(numbered.alias("findings"), issues.cast(ISSUES).alias("syntax_issues"))
-    return source_files.select("*", F.inline(F.array(both)))
+    numbered = F.transform(found.cast(FINDINGS), lambda f, i: f.withField("seq", i))
+    return F.inline(F.array(F.struct(numbered.alias("findings"), issues.cast(ISSUES).alias("syntax_issues"))))
+
+
+def scan_files(source_files: DataFrame, custom_rules=()) -> DataFrame:
+    """Source files with two more columns, ``findings`` and ``syntax_issues``.
+
+    Both arrays are computed behind one ``inline``, so that filters on them
+    are not pushed below and the rules never run twice for a row; filters on
+    other columns still reach the source.
+    """
+    application = source_files.sparkSession.conf.get("spark.app.id")
+    rules = tuple(tuple(rule) for rule in custom_rules)
+    return source_files.select("*", _scan_column(application, rules))
 
 
 def findings(scanned: DataFrame) -> DataFrame:

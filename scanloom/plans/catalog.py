@@ -33,8 +33,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Spread a table with fewer input splits than cores; leave any other as it is.
+
+    A small file is one split, and scanning texts is work for the processor.
+    Large tables have splits enough and are not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def part_files(spark: SparkSession, folder: str) -> DataFrame:
-    return made.corpus(table(spark, folder, "part"), "p_partkey", F.col("p_brand"))
+    return made.corpus(spread(table(spark, folder, "part")), "p_partkey", F.col("p_brand"))
 
 
 def scanned_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +57,7 @@ def part_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents read as Python text: only whole lines that assign a secret count."""
-    return from_table(table(spark, folder, "documents"), "doc_id", "text", language="python", repo="lang")
+    return from_table(spread(table(spark, folder, "documents")), "doc_id", "text", language="python", repo="lang")
 
 
 # Texts
@@ -266,7 +276,7 @@ def scan_counts(spark, folder):
 @query
 def orders_gate_by_repo(spark, folder):
     """A larger corpus, with one file an order."""
-    files = made.corpus(table(spark, folder, "orders"), "o_orderkey", F.col("o_orderpriority"))
+    files = made.corpus(spread(table(spark, folder, "orders")), "o_orderkey", F.col("o_orderpriority"))
     return gate.gate(scan.scan_files(files), "repo")
 
 
