@@ -13,6 +13,7 @@ import re
 import sys
 import warnings
 from collections import deque
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -167,28 +168,25 @@ def _target_names(node: ast.AST) -> tuple[str, ...]:
     return ()
 
 
-def parse_problem(text: str, tree: list | None = None) -> dict | None:
-    """A ``syntax_error`` fact if the text is not valid Python, else nothing."""
+def _parse(text: str) -> tuple[ast.AST | None, dict | None]:
+    """Syntax tree of a text, or a ``syntax_error`` fact if it is not valid Python."""
     try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            parsed = ast.parse(text)
+        return ast.parse(text), None
     except SyntaxError as problem:
         message, line, col = problem.msg, problem.lineno or 0, problem.offset or 0
     except (ValueError, RecursionError, MemoryError) as problem:
         message, line, col = str(problem) or type(problem).__name__, 0, 0
-    else:
-        if tree is not None:
-            tree.append(parsed)
-        return None
-    return {"kind": "syntax_error", "lineno": line, "message": message, "col": col, "seq": 0}
+    return None, {"kind": "syntax_error", "lineno": line, "message": message, "col": col, "seq": 0}
+
+
+# Nodes below which there is nothing to report.
+_LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop, ast.alias)
 
 
 def extract_facts(text: str, focus: bool = False) -> list[dict]:
     """Facts of one file in breadth-first order of its syntax tree."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    tree: list[ast.AST] = []
-    problem = parse_problem(text, tree)
+    tree, problem = _parse(text)
     if problem:
         return [problem]
     if focus and text.isascii() and not _TRIGGER.search(text):
@@ -197,7 +195,7 @@ def extract_facts(text: str, focus: bool = False) -> list[dict]:
     lines = text.splitlines()
     facts = []
     # What surrounds a node travels down with it: function name, target names.
-    todo = deque([(tree[0], "", ())])
+    todo = deque([(tree, "", ())])
     seq = 0
     while todo:
         node, function, targets = todo.popleft()
@@ -216,19 +214,31 @@ def extract_facts(text: str, focus: bool = False) -> list[dict]:
         seq += 1
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             function = node.name.lower()
-        targets += _target_names(node)
-        todo.extend((child, function, targets) for child in ast.iter_child_nodes(node))
+        elif isinstance(node, (ast.Assign, ast.AnnAssign)):
+            targets += _target_names(node)
+        for child in ast.iter_child_nodes(node):
+            if not isinstance(child, _LEAVES):
+                todo.append((child, function, targets))
     return facts
 
 
+@contextmanager
+def _quiet():
+    """Parsing warns of odd literals in the scanned code; workers keep silent."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        yield
+
+
 def _facts_udf(focus: bool):
     @F.arrow_udf(FACTS)
     def py_facts(texts: pa.Array) -> pa.Array:
         offsets, facts = [0], []
-        for text in texts:
-            if text.is_valid:
-                facts.extend(extract_facts(text.as_py(), focus))
-            offsets.append(len(facts))
+        with _quiet():
+            for text in texts.to_pylist():
+                if text is not None:
+                    facts.extend(extract_facts(text, focus))
+                offsets.append(len(facts))
         columns = [
             pa.array([f.get(name) for f in facts], type=_ARROW_FACT.field(name).type) for name in _NAMES
         ]
@@ -254,7 +264,8 @@ PROBLEM = T.StructType(
 
 @F.arrow_udf(PROBLEM)
 def _problem_udf(texts: pa.Array) -> pa.Array:
-    found = [parse_problem(t.as_py()) if t.is_valid else None for t in texts]
+    with _quiet():
+        found = [None if t is None else _parse(t)[1] for t in texts.to_pylist()]
     return pa.array(
         [f and {"message": f["message"], "line": f["lineno"], "col": f["col"]} for f in found],
         type=pa.struct([("message", pa.string()), ("line", pa.int32()), ("col", pa.int32())]),
@@ -270,10 +281,10 @@ class PyFacts:
     """Table function for SQL: ``SELECT * FROM files, LATERAL py_facts(files.text)``."""
 
     def eval(self, text: str):
-        for fact in extract_facts(text) if text is not None else ():
-            yield tuple(
-                list(v) if isinstance(v := fact.get(name), tuple) else v for name in _NAMES
-            )
+        with _quiet():
+            facts = extract_facts(text) if text is not None else []
+        for fact in facts:
+            yield tuple(list(v) if isinstance(v := fact.get(name), tuple) else v for name in _NAMES)
 
 
 def register_py_facts(spark) -> None:
