@@ -44,7 +44,8 @@ PY_SQL_WORD = rf"(?iu){NOT_AFTER_WORD}(?:{'|'.join(fixed.PY_SQL_WORDS)}){NOT_BEF
 
 def _assigned(line: Column, pattern: str) -> Column:
     value = F.regexp_extract(line, pattern, 2)
-    return F.contains(line, F.lit("=")) & (value != "") & ~is_placeholder(value)
+    quoted = F.contains(line, F.lit('"')) | F.contains(line, F.lit("'"))
+    return F.contains(line, F.lit("=")) & quoted & (value != "") & ~is_placeholder(value)
 
 
 def _provider(line: Column, shapes: dict[str, str]) -> Column:

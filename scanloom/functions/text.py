@@ -100,6 +100,7 @@ _REDACT_ASSIGN = (
     rf"(?iu)({NOT_AFTER_WORD}(?:{fixed.PY_SECRET_NAMES}){NOT_BEFORE_WORD}{BLANK}*={BLANK}*[\"'])"
     r"([^\"']{4,})([\"'])"
 )
+_QUOTED_VALUE = rf"={BLANK}*+[\"'][^\"']{{4,}}+[\"']"
 _REDACT_TOKEN = (
     r"(sk-[A-Za-z0-9])[A-Za-z0-9]{15,}([A-Za-z0-9]{4})"
     r"|(ghp_)[A-Za-z0-9]{32}([A-Za-z0-9]{4})"
@@ -126,8 +127,14 @@ def redact(text: Column) -> Column:
     joined = F.array_join(
         F.zip_with(between, found, lambda b, m: F.concat(b, F.when(m.isNull(), "").otherwise(masked(m)))), ""
     )
-    assigned = F.when(text.rlike(_REDACT_ASSIGN), joined).otherwise(text)
-    return F.regexp_replace(assigned, _REDACT_TOKEN, "$1$3$5...$2$4$6")
+    # Cheap necessary conditions keep the patterns away from most texts.
+    may_assign = F.contains(text, F.lit("=")) & text.rlike(_QUOTED_VALUE)
+    may_hold_token = F.contains(text, F.lit("sk-")) | F.contains(text, F.lit("ghp_")) | F.contains(text, F.lit("AKIA"))
+
+    def tokens_masked(s: Column) -> Column:
+        return F.when(may_hold_token, F.regexp_replace(s, _REDACT_TOKEN, "$1$3$5...$2$4$6")).otherwise(s)
+
+    return F.when(may_assign, tokens_masked(joined)).otherwise(tokens_masked(text))
 
 
 def extract_code(text: Column) -> Column:

@@ -36,17 +36,14 @@ def expected_hits(expected: DataFrame) -> DataFrame:
     )
 
 
-def match_lines(findings: DataFrame, expected: DataFrame) -> DataFrame:
-    """Expected and found lines side by side: ``hit``, ``missed`` or ``unexpected``.
+def found_lines(findings: DataFrame, expected: DataFrame) -> DataFrame:
+    """Findings in files named in the manifest, counted by line: repeats on a line stay one row."""
+    named = expected.select(F.col("file").alias("path")).distinct()
+    return findings.join(named, "path", "left_semi").groupBy("path", "rule_id", "line").agg(F.count("*").alias("n_found"))
 
-    Findings are counted by (path, rule, line) first, so repeats on a line
-    stay one row. Only files named in the manifest take part.
-    """
+
+def _match(found: DataFrame, expected: DataFrame) -> DataFrame:
     hits = expected_hits(expected).where(F.col("line").isNotNull()).withColumnRenamed("rule", "rule_id")
-    named = expected.select(F.col("file").alias("path")).distinct()
-    found = (
-        findings.groupBy("path", "rule_id", "line").agg(F.count("*").alias("n_found")).join(named, "path", "left_semi")
-    )
     return hits.join(found, ["path", "rule_id", "line"], "full_outer").select(
         "case_id",
         "category",
@@ -61,13 +58,33 @@ def match_lines(findings: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
+def match_lines(findings: DataFrame, expected: DataFrame) -> DataFrame:
+    """Expected and found lines side by side: ``hit``, ``missed`` or ``unexpected``.
+
+    Only files named in the manifest take part.
+    """
+    return _match(found_lines(findings, expected), expected)
+
+
 def evaluate_cases(findings: DataFrame, expected: DataFrame) -> DataFrame:
-    """Per case: lines hit and missed, and whether the number of findings is the expected one."""
-    counts = findings.groupBy("path", "rule_id").agg(F.count("*").alias("n_found"))
-    hits = match_lines(findings, expected).where(F.col("case_id").isNotNull())
-    per_case = hits.groupBy("case_id").agg(
-        F.count_if(F.col("outcome") == "hit").alias("n_hit"), F.count_if(F.col("outcome") == "missed").alias("n_missed")
+    """Per case: lines hit and missed, and whether the number of findings is the expected one.
+
+    Cases bring their number of findings in the file, and their lines, in two
+    joins that share one counted layout of the findings.
+    """
+    found = found_lines(findings, expected)
+    lines = expected_hits(expected).select("case_id", F.col("rule").alias("rule_id"), "path", "line").where(
+        F.col("line").isNotNull()
+    )
+    per_case = (
+        lines.join(found, ["path", "rule_id", "line"], "left")
+        .groupBy("case_id")
+        .agg(
+            F.count("n_found").alias("n_hit"),
+            F.count_if(F.col("n_found").isNull()).alias("n_missed"),
+        )
     )
+    counts = found.groupBy("path", "rule_id").agg(F.sum("n_found").alias("n_found"))
     cases = expected.select(
         "case_id", "category", "language", F.col("rule").alias("rule_id"), F.col("file").alias("path"), "expected_count"
     )

@@ -26,20 +26,24 @@ def gate(scanned: DataFrame, grain: str = "corpus") -> DataFrame:
     ``grain`` is ``file``, ``repo`` or ``corpus``. Files without findings count
     too; an empty corpus is deployable.
     """
-    n_findings = F.size("findings").cast("long")
-    n_syntax = F.size("syntax_issues").cast("long")
-    if grain == "file":
-        counted = scanned.select(
-            "repo", "path", n_findings.alias("n_findings"), n_syntax.alias("n_syntax")
-        )
-    elif grain in ("repo", "corpus"):
-        sums = [
+    counted = scanned.select(
+        "repo",
+        "path",
+        F.size("findings").cast("long").alias("n_findings"),
+        F.size("syntax_issues").cast("long").alias("n_syntax"),
+    )
+    return verdicts(counted, grain)
+
+
+def verdicts(counted: DataFrame, grain: str) -> DataFrame:
+    """Verdicts from one row a file with ``n_findings`` and ``n_syntax``."""
+    if grain in ("repo", "corpus"):
+        counted = counted.groupBy(*(["repo"] if grain == "repo" else [])).agg(
             F.count("*").alias("n_files"),
-            F.coalesce(F.sum(n_findings), F.lit(0)).alias("n_findings"),
-            F.coalesce(F.sum(n_syntax), F.lit(0)).alias("n_syntax"),
-        ]
-        counted = scanned.groupBy(*(["repo"] if grain == "repo" else [])).agg(*sums)
-    else:
+            F.coalesce(F.sum("n_findings"), F.lit(0)).alias("n_findings"),
+            F.coalesce(F.sum("n_syntax"), F.lit(0)).alias("n_syntax"),
+        )
+    elif grain != "file":
         raise ValueError(f"unknown grain: {grain}")
     return counted.select("*", *_verdict(F.col("n_findings"), F.col("n_syntax")))
 

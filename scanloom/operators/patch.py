@@ -20,7 +20,7 @@ from pyspark.sql import Window
 from scanloom.functions import fixed, fixed_rules
 from scanloom.functions.syntax import problem_column
 from scanloom.functions.text import canonical_rule_id, detect_language, extract_code, lines_of, redact, universal_newlines
-from scanloom.operators.gate import gate
+from scanloom.operators.gate import verdicts
 from scanloom.operators.rules import default_rules
 from scanloom.operators.scan import findings as findings_of
 from scanloom.operators.scan import scan_files
@@ -194,6 +194,14 @@ def _before_and_after(source_files: DataFrame, validated: DataFrame) -> DataFram
     )
 
 
+def text_pairs(source_files: DataFrame, validated: DataFrame) -> DataFrame:
+    """Old and new text of files that a candidate changes, from one join."""
+    pairs = _before_and_after(source_files, validated).where(F.col("status") == "patched")
+    return pairs.select(
+        *FILE, universal_newlines(F.col("text")).alias("old_text"), universal_newlines(F.col("new_text")).alias("new_text")
+    )
+
+
 def rescan(source_files: DataFrame, validated: DataFrame) -> DataFrame:
     """Scan the new texts. Only files with a candidate are scanned."""
     pairs = _before_and_after(source_files, validated)
@@ -265,8 +273,9 @@ def verify_patches(source_files: DataFrame, validated: DataFrame) -> DataFrame:
         F.inline_outer(F.concat(signed("old_findings", 1), signed("findings", 0))),
     )
     facts = ["status", "reason", "n_before", "n_after", "n_syntax", "deployable"]
-    # Equal (rule, snippet) pairs are counted on both sides, then summed a file.
-    counts = rows.groupBy(*candidate, *facts, "rule", "snippet").agg(
+    # Equal (rule, snippet) pairs are counted on both sides, then summed a file:
+    # laid out by file, both steps need one shuffle.
+    counts = rows.repartition(*FILE).groupBy(*candidate, *facts, "rule", "snippet").agg(
         F.coalesce(F.sum("old"), F.lit(0)).alias("old"), F.coalesce(F.sum("new"), F.lit(0)).alias("new")
     )
     return counts.groupBy(*candidate, *facts).agg(
@@ -294,24 +303,32 @@ def apply_patches(source_files: DataFrame, validated: DataFrame) -> DataFrame:
     return kept.select(*source_files.columns).unionByName(changed.select(*source_files.columns))
 
 
-def final_gate(scanned: DataFrame, rescanned: DataFrame, grain: str = "corpus") -> DataFrame:
-    """The gate after patching: untouched files as scanned before, others as scanned again.
+def final_gate(file_gate: DataFrame, verified: DataFrame, grain: str = "corpus") -> DataFrame:
+    """The gate after patching: untouched files as scanned before, others as verified.
 
-    ``patch_exit_code`` is 1 only if findings remain; syntax issues alone block
-    deployment but leave it 0.
+    ``file_gate`` is the gate at file grain before patching. Counts of both are
+    put together by file, so no file is scanned again and texts stay where
+    they are. ``patch_exit_code`` is 1 only if findings remain; syntax issues
+    alone block deployment but leave it 0.
     """
-    cols = [*FILE, "findings", "syntax_issues"]
-    untouched = scanned.join(rescanned.select(*FILE).distinct(), FILE, "left_anti").select(*cols)
-    verdict = gate(untouched.unionByName(rescanned.select(*cols)), grain)
-    return verdict.withColumn("patch_exit_code", F.when(F.col("n_findings") > 0, 1).otherwise(0))
+    counts = ["n_findings", "n_syntax"]
+    old = file_gate.select(*FILE, F.struct(F.lit(0).alias("round"), *counts).alias("state"))
+    new = verified.select(
+        *FILE,
+        F.struct(
+            F.lit(1).alias("round"), F.col("n_after").cast("long").alias("n_findings"), F.col("n_syntax").cast("long").alias("n_syntax")
+        ).alias("state"),
+    )
+    latest = old.unionByName(new).groupBy(*FILE).agg(F.max("state").alias("state")).select(*FILE, "state.*")
+    return verdicts(latest, grain).withColumn("patch_exit_code", F.when(F.col("n_findings") > 0, 1).otherwise(0))
 
 
-def patch_result(scanned: DataFrame, verified: DataFrame, rescanned: DataFrame) -> DataFrame:
+def patch_result(file_gate: DataFrame, verified: DataFrame) -> DataFrame:
     """One row on the whole round. With no candidate at all the tool is ``none``."""
     done = verified.agg(
         F.count_if(F.col("status") == "patched").alias("n_patched"), F.coalesce(F.min("tool"), F.lit("none")).alias("ai_used")
     )
-    parts = done.unionByName(final_gate(scanned, rescanned), allowMissingColumns=True)
+    parts = done.unionByName(final_gate(file_gate, verified), allowMissingColumns=True)
     return parts.agg(*(F.max(c).alias(c) for c in parts.columns))
 
 
@@ -325,9 +342,11 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return old.join(new, FILE).where(~F.col("old_text").eqNullSafe(F.col("new_text")))
 
 
-def line_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+def line_delta(changed: DataFrame) -> DataFrame:
     """Removed and added lines of changed files, with multiplicity and line number.
 
+    ``changed`` comes from ``changed_files`` or ``text_pairs``.
+
     Equal lines are paired by occurrence within their file; what has no
     partner was removed or added. Lines of a file are grouped by (path, line),
     which is within one file.
@@ -339,7 +358,7 @@ def line_delta(before: DataFrame, after: DataFrame) -> DataFrame:
             lambda line, i: F.struct(F.lit(side).alias("side"), (i + 1).alias("line_no"), line.alias("line")),
         )
 
-    both = changed_files(before, after).select(
+    both = changed.select(
         *FILE, F.inline(F.concat(lines("old_text", "-"), lines("new_text", "+")))
     )
     cols = [*FILE, "line"]
@@ -371,10 +390,10 @@ def _unified(names: pa.Array, old: pa.Array, new: pa.Array) -> pa.Array:
     return pa.array([diff(*r) for r in rows], pa.string())
 
 
-def unified_diffs(before: DataFrame, after: DataFrame) -> DataFrame:
+def unified_diffs(changed: DataFrame) -> DataFrame:
     """Unified diff of each changed file."""
     text = [F.coalesce(c, F.lit("")) for c in ("old_text", "new_text")]
-    return changed_files(before, after).select(*FILE, _unified(F.col("path"), *text).alias("diff"))
+    return changed.select(*FILE, _unified(F.col("path"), *text).alias("diff"))
 
 
 # Suppression

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import line_rules, syntax
+from scanloom.functions.fixed_rules import RULE_IDS
 from scanloom.functions.syntax_rules import PY_SYNTAX_RULES
 from scanloom.functions.text import lines_of, raw_lines, snippet, strip_right, universal_newlines
 
@@ -61,20 +62,26 @@ def python_line_findings(text: Column) -> Column:
     return _over_lines(raw_lines(text), per_line)
 
 
-def python_syntax_findings(facts: Column) -> Column:
+def python_syntax_findings(facts: Column, rule_ids=RULE_IDS) -> Column:
+    """Findings from the syntax facts of a Python text, in the order of facts and rules."""
+
     def per_fact(fact):
         return _compact(
             *(
                 F.when(test(fact), _finding(rule, fact["lineno"], fact["line"], SYNTAX_PASS))
                 for rule, test in PY_SYNTAX_RULES
+                if rule in rule_ids
             )
         )
 
     return F.flatten(F.transform(facts, per_fact))
 
 
-def script_line_findings(text: Column) -> Column:
+def script_line_findings(text: Column, rule_ids=RULE_IDS) -> Column:
     """Line rules of JavaScript and TypeScript, in the order of lines and rules."""
+    tests = [(rule, test) for rule, test in line_rules.JS_LINE_RULES if rule in rule_ids]
+    if not tests:
+        return _nothing()
 
     def per_line(line, line_no):
         shown = strip_right(line)
@@ -82,10 +89,12 @@ def script_line_findings(text: Column) -> Column:
         others = _compact(
             *(
                 F.when(test(line), _finding(rule, line_no, shown, LINE_PASS))
-                for rule, test in line_rules.JS_LINE_RULES
+                for rule, test in tests
             )
         )
-        return F.when(line_rules.js_secret_assigned(line), F.array(secret)).otherwise(others)
+        # A secret assignment ends the work on its line whether or not it is asked for.
+        first = F.array(secret) if "NO_HARDCODED_SECRETS" in rule_ids else _nothing()
+        return F.when(line_rules.js_secret_assigned(line), first).otherwise(others)
 
     return _over_lines(raw_lines(text), per_line)
 
@@ -129,50 +138,72 @@ def custom_findings(text: Column, language: Column, custom_rules) -> Column:
     return _over_lines(raw_lines(text), per_line)
 
 
+ALL_LANGUAGES = ("python", "javascript", "typescript")
+
+
+def _python_findings(text: Column, facts: Column, rule_ids) -> Column:
+    parts = [python_line_findings(text)] if "NO_HARDCODED_SECRETS" in rule_ids else []
+    if any(rule in rule_ids for rule, _ in PY_SYNTAX_RULES):
+        parts.append(python_syntax_findings(facts, rule_ids))
+    return F.concat(*parts) if parts else _nothing()
+
+
+def _script_findings(text: Column, rule_ids) -> Column:
+    lines = script_line_findings(text, rule_ids)
+    return F.concat(lines, empty_catch_findings(text)) if "NO_BARE_EXCEPT" in rule_ids else lines
+
+
 @cache
-def _scan_column(application: str, custom_rules: tuple) -> Column:
+def _scan_column(application: str, custom_rules: tuple, languages: tuple, rule_ids: tuple) -> Column:
     """Findings and syntax issues of a row. Building it takes long, so each application keeps it."""
     text, language = F.col("text"), F.col("language")
     is_python = language == "python"
-    facts = syntax.facts_column(F.when(is_python, text))
-    found = (
-        F.when(text.isNull(), _nothing())
-        .when(is_python, F.concat(python_line_findings(text), python_syntax_findings(facts)))
-        .when(
-            language.isin("javascript", "typescript"),
-            F.concat(script_line_findings(text), empty_catch_findings(text)),
-        )
-        .otherwise(_nothing())
+    scripts = [name for name in languages if name != "python"]
+    found = F.when(text.isNull(), _nothing())
+    issues = F.when(
+        F.col("error").isNotNull(),
+        F.array(F.struct(F.col("error").alias("message"), F.lit(0).alias("line"), F.lit(0).alias("col"))),
     )
+    if "python" in languages:
+        facts = syntax.facts_column(F.when(is_python, text))
+        found = found.when(is_python, _python_findings(text, facts, rule_ids).cast(FINDINGS))
+        problems = F.transform(
+            F.filter(facts, lambda f: f["kind"] == "syntax_error"),
+            lambda f: F.struct(f["message"].alias("message"), f["lineno"].alias("line"), f["col"].alias("col")),
+        )
+        issues = issues.when(is_python & text.isNotNull(), problems)
+    if scripts:
+        found = found.when(language.isin(*scripts), _script_findings(text, rule_ids).cast(FINDINGS))
+    found = found.otherwise(_nothing())
     if custom_rules:
         own = F.when(text.isNull(), _nothing()).otherwise(custom_findings(text, language, custom_rules))
         found = F.concat(found.cast(FINDINGS), own.cast(FINDINGS))
-    problems = F.transform(
-        F.filter(facts, lambda f: f["kind"] == "syntax_error"),
-        lambda f: F.struct(f["message"].alias("message"), f["lineno"].alias("line"), f["col"].alias("col")),
-    )
-    unreadable = F.array(
-        F.struct(F.col("error").alias("message"), F.lit(0).alias("line"), F.lit(0).alias("col"))
-    )
-    issues = (
-        F.when(F.col("error").isNotNull(), unreadable)
-        .when(is_python & text.isNotNull(), problems)
-        .otherwise(F.array().cast(ISSUES))
-    )
     numbered = F.transform(found.cast(FINDINGS), lambda f, i: f.withField("seq", i))
-    return F.inline(F.array(F.struct(numbered.alias("findings"), issues.cast(ISSUES).alias("syntax_issues"))))
+    both = F.struct(
+        numbered.alias("findings"), issues.otherwise(F.array().cast(ISSUES)).cast(ISSUES).alias("syntax_issues")
+    )
+    return F.inline(F.array(both))
 
 
-def scan_files(source_files: DataFrame, custom_rules=()) -> DataFrame:
+def scan_files(source_files: DataFrame, custom_rules=(), languages=ALL_LANGUAGES, rule_ids=RULE_IDS) -> DataFrame:
     """Source files with two more columns, ``findings`` and ``syntax_issues``.
 
     Both arrays are computed behind one ``inline``, so that filters on them
     are not pushed below and the rules never run twice for a row; filters on
-    other columns still reach the source.
+    other columns still reach the source. Where ``languages`` leaves out
+    Python, no Python worker is started. ``rule_ids`` other than all seven
+    means that only those rules are computed.
     """
     application = source_files.sparkSession.conf.get("spark.app.id")
     rules = tuple(tuple(rule) for rule in custom_rules)
-    return source_files.select("*", _scan_column(application, rules))
+    return source_files.select("*", _scan_column(application, rules, tuple(languages), tuple(rule_ids)))
+
+
+def rule_findings(source_files: DataFrame, rule_id: str, *languages: str) -> DataFrame:
+    """Findings of one rule in some languages; nothing else is computed."""
+    languages = languages or ALL_LANGUAGES
+    chosen = source_files.where(F.col("language").isin(*languages))
+    return findings(scan_files(chosen, (), languages, (rule_id,)))
 
 
 def findings(scanned: DataFrame) -> DataFrame:

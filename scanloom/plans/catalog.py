@@ -16,7 +16,7 @@ from scanloom.functions.syntax import register_py_facts
 from scanloom.functions.text import extract_code, redact
 from scanloom.operators import evaluate, gate, patch, ranking, report, rules, scan
 from scanloom.plans import corpus as made
-from scanloom.plans.labels import manifest, safe_candidates
+from scanloom.plans.labels import attempts, manifest, safe_candidates
 from scanloom.sources.tables import from_table
 from scanloom.streaming import stream
 
@@ -84,12 +84,12 @@ def documents_secret_lines(spark, folder):
 
 @query
 def documents_redacted(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", redact(F.col("text")).alias("redacted"))
+    return spread(table(spark, folder, "documents")).select("doc_id", redact(F.col("text")).alias("redacted"))
 
 
 @query
 def pages_script_lines(spark, folder):
-    scripts = table(spark, folder, "pages").select(
+    scripts = spread(table(spark, folder, "pages")).select(
         "page_id",
         F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), F.lit(1))).alias("at", "code"),
     )
@@ -99,14 +99,14 @@ def pages_script_lines(spark, folder):
 
 @query
 def pages_secret_lines(spark, folder):
-    pages = table(spark, folder, "pages").withColumn("text", F.replace("html", F.lit("&quot;"), F.lit('"')))
+    pages = spread(table(spark, folder, "pages")).withColumn("text", F.replace("html", F.lit("&quot;"), F.lit('"')))
     found = scan.findings(scan.scan_files(from_table(pages, "page_id", "text", language="python", repo="url")))
     return found.groupBy(F.col("path").cast("long").alias("page_id")).agg(F.count("*").alias("n_secrets"))
 
 
 @query
 def conversations_code(spark, folder):
-    return table(spark, folder, "conversations").select("conv_id", "turn", extract_code(F.col("text")).alias("code"))
+    return spread(table(spark, folder, "conversations")).select("conv_id", "turn", extract_code(F.col("text")).alias("code"))
 
 
 @query
@@ -138,9 +138,8 @@ def corpus_language_counts(spark, folder):
 
 def _rule_query(name: str, rule_id: str, languages: tuple[str, ...]) -> None:
     def run(spark, folder):
-        files = part_files(spark, folder).where(F.col("language").isin(*languages))
-        found = scan.findings(scan.scan_files(files))
-        return found.where(F.col("rule_id") == rule_id).select("path", "line", "snippet")
+        found = scan.rule_findings(part_files(spark, folder), rule_id, *languages)
+        return found.select("path", "line", "snippet")
 
     run.__name__ = name
     query(run)
@@ -435,27 +434,14 @@ def rule_priority(spark, folder):
 # Patching
 
 
-def _attempts(spark: SparkSession, folder: str) -> DataFrame:
-    """First findings of even keys were attempted; every 30th file has spent its attempts."""
-    first = patch.first_pending(scanned_parts(spark, folder)).withColumn(
-        "key", F.regexp_extract("path", r"/f(\d+)\.", 1).cast("long")
-    )
-    columns = ["repo", "path", "rule_id", "line", "snippet"]
-    once = first.where(F.col("key") % 2 == 0).select(*columns)
-    often = first.where(F.col("key") % 30 == 1).select(
-        "repo", "path", F.lit("OTHER").alias("rule_id"), F.explode(F.sequence(F.lit(1), F.lit(20))).alias("line"), "snippet"
-    )
-    return once.unionByName(often)
-
-
 @query
 def first_pending(spark, folder):
     return patch.first_pending(scanned_parts(spark, folder)).select("path", "rule_id", "line", "snippet")
 
 
 @query
-def pending_after_attempts(spark, folder):
-    rest = patch.next_pending(part_findings(spark, folder), _attempts(spark, folder))
+def pending_afterattempts(spark, folder):
+    rest = patch.next_pending(part_findings(spark, folder), attempts(spark, folder))
     return rest.select("path", "rule_id", "line", "snippet")
 
 
@@ -477,7 +463,7 @@ def patch_requests(spark, folder):
 
 @query
 def patch_requests_next_round(spark, folder):
-    again = patch.patch_requests(scanned_parts(spark, folder), _attempts(spark, folder))
+    again = patch.patch_requests(scanned_parts(spark, folder), attempts(spark, folder))
     return again.select("path", "rule_id", "line", F.length("prompt").alias("n_chars"))
 
 
@@ -532,34 +518,40 @@ def applied_files(spark, folder):
 @query
 def final_gate(spark, folder):
     files = part_files(spark, folder)
-    return patch.final_gate(scan.scan_files(files), patch.rescan(files, _validated(spark, folder)))
+    verified = patch.verify_patches(files, _validated(spark, folder))
+    return patch.final_gate(gate.gate(scan.scan_files(files), "file"), verified)
 
 
 @query
 def patch_result(spark, folder):
-    files, checked = part_files(spark, folder), _validated(spark, folder)
-    return patch.patch_result(scan.scan_files(files), patch.verify_patches(files, checked), patch.rescan(files, checked))
+    files = part_files(spark, folder)
+    verified = patch.verify_patches(files, _validated(spark, folder))
+    return patch.patch_result(gate.gate(scan.scan_files(files), "file"), verified)
 
 
 @query
 def line_delta(spark, folder):
+    pairs = patch.text_pairs(part_files(spark, folder), _validated(spark, folder))
+    return patch.line_delta(pairs).select("path", "side", "line_no", "line")
+
+
+@query
+def line_delta_of_versions(spark, folder):
+    """The same from two whole versions of the corpus."""
     files = part_files(spark, folder)
-    return patch.line_delta(files, patch.apply_patches(files, _validated(spark, folder))).select(
-        "path", "side", "line_no", "line"
-    )
+    pairs = patch.changed_files(files, patch.apply_patches(files, _validated(spark, folder)))
+    return patch.line_delta(pairs).select("path", "side", "line_no", "line")
 
 
 @query
 def delta_text(spark, folder):
-    files = part_files(spark, folder)
-    delta = patch.line_delta(files, patch.apply_patches(files, _validated(spark, folder)))
-    return patch.delta_text(delta).select("path", "diff")
+    pairs = patch.text_pairs(part_files(spark, folder), _validated(spark, folder))
+    return patch.delta_text(patch.line_delta(pairs)).select("path", "diff")
 
 
 @query
 def unified_diffs(spark, folder):
-    files = part_files(spark, folder)
-    diffs = patch.unified_diffs(files, patch.apply_patches(files, _validated(spark, folder)))
+    diffs = patch.unified_diffs(patch.text_pairs(part_files(spark, folder), _validated(spark, folder)))
     return report.patch_lines(diffs).where(~F.col("text").startswith("@@")).select("path", "text")
 
 
@@ -597,6 +589,8 @@ def _order_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "orders").schema
     orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(folder)
     # Order dates carry no time zone: they are taken as UTC.
+    # One small file is one task; the keys are spread before texts are made.
+    orders = orders.repartition(spark.sparkContext.defaultParallelism)
     arrived = F.concat(F.col("o_orderdate").cast("string"), F.lit("Z")).cast("timestamp")
     return made.corpus(orders, "o_orderkey", F.col("o_orderpriority"), arrived)
 

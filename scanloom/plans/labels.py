@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanloom.functions.text import lines_of, snippet
 from scanloom.plans.corpus import N_TEMPLATES, Template, by_template, corpus, template_text, templates
 
 # Flaws of templates that the rules are known to miss: (rule, line, why).
@@ -85,3 +86,23 @@ def safe_candidates(spark: SparkSession, folder: str) -> DataFrame:
         _pick(TOOLS, key).alias("tool"),
         F.concat(F.lit("Here it is:\n"), fence, F.lit("\n"), template_text(key, safe), fence, F.lit("\n")).alias("response"),
     )
+
+
+def attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """Attempts made so far: the first finding of files with an even key, and
+    twenty attempts, which is all a file gets, in every thirtieth file."""
+    files = corpus(spark.read.parquet(f"{folder}/part.parquet"), "p_partkey", F.col("p_brand"))
+    key, t = F.col("key"), F.col("key") % N_TEMPLATES
+    line = by_template(t, lambda x: x.expected[0][1] if x.expected else None)
+    known = files.where(line.isNotNull()).select(
+        "repo",
+        "path",
+        "key",
+        by_template(t, lambda x: x.expected[0][0] if x.expected else None).alias("rule_id"),
+        line.alias("line"),
+        snippet(lines_of(F.col("text")), line).alias("snippet"),
+    )
+    spent = known.where(key % 30 == 1).withColumns(
+        {"rule_id": F.lit("OTHER"), "line": F.explode(F.sequence(F.lit(1), F.lit(20)))}
+    )
+    return known.where(key % 2 == 0).unionByName(spent).drop("key")

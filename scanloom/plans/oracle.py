@@ -430,6 +430,7 @@ FROM labelled l LEFT JOIN gated a ON a.path = l.path LEFT JOIN gated b ON b.path
         PATCHED,
     ),
     "line_delta": known("SELECT path, side, line_no, line FROM delta", PATCHED),
+    "line_delta_of_versions": known("SELECT path, side, line_no, line FROM delta", PATCHED),
     "delta_text": known(
         f"SELECT path, string_agg(side || line, {NL} ORDER BY line_no, side = '+') AS diff FROM delta GROUP BY path", PATCHED
     ),

@@ -174,14 +174,16 @@ def test_a_round_of_patching(spark, files):
     new = patch.apply_patches(before, checked)
     texts = {r.path: r.text for r in new.collect()}
     assert texts["b.py"] == "os.system('b')\n" and texts["d.py"] == "x = 1\n" and texts["a.py"].endswith("os.popen('z')\n")
-    delta = patch.line_delta(before, new)
+    delta = patch.line_delta(patch.changed_files(before, new))
+    assert delta.exceptAll(patch.line_delta(patch.text_pairs(before, checked))).count() == 0
     assert sorted(tuple(r) for r in delta.select("line_no", "side", "line").collect()) == [
         (3, "+", "DEBUG = False"), (3, "-", "os.system('a')"), (4, "+", "os.popen('z')"), (4, "-", "DEBUG = True"),
     ]
     assert patch.delta_text(delta).first().diff == "-os.system('a')\n+DEBUG = False\n-DEBUG = True\n+os.popen('z')"
-    final = patch.final_gate(scan.scan_files(before), after).first()
+    verdicts, checks = gate.gate(scan.scan_files(before), "file"), patch.verify_patches(before, checked)
+    final = patch.final_gate(verdicts, checks).first()
     assert (final.n_files, final.n_findings, final.patch_exit_code) == (4, 4, 1)
-    whole = patch.patch_result(scan.scan_files(before), patch.verify_patches(before, checked), after).first()
+    whole = patch.patch_result(verdicts, checks).first()
     assert (whole.n_patched, whole.ai_used) == (1, "beta")
 
 
@@ -189,7 +191,7 @@ def test_unified_diff_is_that_of_difflib(files):
     import difflib
 
     old, new = "a\nb\nc\n", "a\nB\nc\nd\n"
-    made = patch.unified_diffs(files({"x.py": old, "same.py": "s\n"}), files({"x.py": new, "same.py": "s\n"}))
+    made = patch.unified_diffs(patch.changed_files(files({"x.py": old, "same.py": "s\n"}), files({"x.py": new, "same.py": "s\n"})))
     want = "".join(difflib.unified_diff(old.splitlines(True), new.splitlines(True), "x.py", "x.py", lineterm=""))
     assert [(r.path, r.diff) for r in made.collect()] == [("x.py", want)]
     assert all(not r.text.startswith(("--- ", "+++ ")) for r in report.patch_lines(made).collect())
@@ -201,13 +203,14 @@ def test_clean_corpus_needs_no_patch(spark, files):
     empty = answers(spark, {"zz.py": "x"}).where("false")
     checked = patch.validate_candidates(patch.candidates(empty))
     files_ = files({"a.py": "x = 1\n"})
-    result = patch.patch_result(clean, patch.verify_patches(files_, checked), patch.rescan(files_, checked)).first()
+    result = patch.patch_result(gate.gate(clean, "file"), patch.verify_patches(files_, checked)).first()
     assert (result.ai_used, result.n_patched, result.deployable, result.n_files) == ("none", 0, True, 1)
 
 
-def test_syntax_issues_alone_block_but_patching_exits_with_zero(files):
-    broken = scan.scan_files(files({"a.py": "def nope(:\n"}))
-    verdict = patch.final_gate(broken, broken.where("false")).first()
+def test_syntax_issues_alone_block_but_patching_exits_with_zero(spark, files):
+    made = files({"a.py": "def nope(:\n"})
+    nothing = patch.verify_patches(made, patch.validate_candidates(patch.candidates(answers(spark, {"a.py": "x"}).where("false"))))
+    verdict = patch.final_gate(gate.gate(scan.scan_files(made), "file"), nothing).first()
     assert (verdict.deployable, verdict.exit_code, verdict.patch_exit_code) == (False, 1, 0)
 
 
