@@ -37,9 +37,14 @@ def expected_hits(expected: DataFrame) -> DataFrame:
 
 
 def found_lines(findings: DataFrame, expected: DataFrame) -> DataFrame:
-    """Findings in files named in the manifest, counted by line: repeats on a line stay one row."""
+    """Findings in files named in the manifest, counted by line: repeats on a line stay one row.
+
+    The null tests are those that joins would add; given here, all joins with
+    this table have the same input and Spark computes it once.
+    """
     named = expected.select(F.col("file").alias("path")).distinct()
-    return findings.join(named, "path", "left_semi").groupBy("path", "rule_id", "line").agg(F.count("*").alias("n_found"))
+    whole = findings.where("path IS NOT NULL AND rule_id IS NOT NULL AND line IS NOT NULL")
+    return whole.join(named, "path", "left_semi").groupBy("path", "rule_id", "line").agg(F.count("*").alias("n_found"))
 
 
 def _match(found: DataFrame, expected: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scanloom.functions import fixed, fixed_rules
 from scanloom.functions.text import base_name, redact as mask, strip_both
 from scanloom.operators.gate import severity_rank
-from scanloom.operators.rules import with_guidance, with_rules
+from scanloom.operators.rules import with_everything
 from scanloom.operators.scan import FINDINGS
 
 
@@ -24,7 +24,7 @@ def _shown(snippet: Column, redact: bool) -> Column:
 
 def report(findings: DataFrame, rules: DataFrame, redact: bool = True) -> DataFrame:
     """One row a finding with everything a reader needs; secrets are masked."""
-    rows = with_guidance(with_rules(findings, rules), rules)
+    rows = with_everything(findings, rules)
     return rows.select(
         "repo",
         "path",
@@ -45,7 +45,7 @@ def report_lines(findings: DataFrame, rules: DataFrame, redact: bool = True) ->
 
     Order by path components, ``seq`` and ``part`` to print it.
     """
-    rows = with_guidance(with_rules(findings, rules), rules)
+    rows = with_everything(findings, rules)
     head = F.format_string(
         "✗  %-22s %s:%-4d %s",
         F.col("rule_name"),

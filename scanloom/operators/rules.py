@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions import fixed, fixed_rules
@@ -28,29 +28,38 @@ def rule_aliases(spark: SparkSession) -> DataFrame:
     return local_table(spark, rows, {"alias": pa.string(), "rule_id": pa.string()})
 
 
+def _names() -> list[Column]:
+    return [
+        F.coalesce("name", "rule_id").alias("rule_name"),
+        F.col("description").alias("explanation"),
+        F.coalesce("severity", F.lit("medium")).alias("severity"),
+    ]
+
+
+def _advice() -> list[Column]:
+    return [
+        F.coalesce("guidance", F.lit(fixed_rules.OTHER_GUIDANCE)).alias("guidance"),
+        F.coalesce(F.split("why", "\n")[0], F.lit("")).alias("why"),
+        F.coalesce("fix", F.lit("")).alias("fix"),
+    ]
+
+
 def with_rules(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings with the name, description and severity of their rule.
 
     A rule that is not in the table keeps its id as name and counts as medium.
     """
-    texts = rules.select("rule_id", "name", "description", "severity")
-    return findings.join(texts, "rule_id", "left").select(
-        *findings.columns,
-        F.coalesce("name", "rule_id").alias("rule_name"),
-        F.col("description").alias("explanation"),
-        F.coalesce("severity", F.lit("medium")).alias("severity"),
-    )
+    return findings.join(rules, "rule_id", "left").select(*findings.columns, *_names())
 
 
 def with_guidance(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings with the guidance, reason and fix of their rule, with defaults."""
-    texts = rules.select("rule_id", "guidance", "why", "fix")
-    return findings.join(texts, "rule_id", "left").select(
-        *findings.columns,
-        F.coalesce("guidance", F.lit(fixed_rules.OTHER_GUIDANCE)).alias("guidance"),
-        F.coalesce(F.split("why", "\n")[0], F.lit("")).alias("why"),
-        F.coalesce("fix", F.lit("")).alias("fix"),
-    )
+    return findings.join(rules, "rule_id", "left").select(*findings.columns, *_advice())
+
+
+def with_everything(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """Both of the above from one join."""
+    return findings.join(rules, "rule_id", "left").select(*findings.columns, *_names(), *_advice())
 
 
 def failed_rules(findings: DataFrame) -> DataFrame:
