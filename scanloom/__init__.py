@@ -1,0 +1,62 @@
+"""Scan corpora of source code for security flaws with Spark."""
+
+from scanloom.functions.text import canonical_rule_id, detect_language, extract_code, is_placeholder, redact
+from scanloom.functions.syntax import register_py_facts
+from scanloom.operators.evaluate import (
+    ai_result_counts,
+    ai_result_lines,
+    blind_spots,
+    counterparts,
+    evaluate,
+    sources_by_rule,
+)
+from scanloom.operators.gate import by_file, files_with_findings, gate, scan_counts, summary, summary_by_language
+from scanloom.operators.patch import (
+    apply_patches,
+    candidates,
+    changed_files,
+    delta_text,
+    final_gate,
+    finding_changes,
+    finding_difference,
+    first_pending,
+    line_delta,
+    next_pending,
+    patch_explanations,
+    patch_requests,
+    patch_result,
+    provenance,
+    rescan,
+    suppress,
+    text_pairs,
+    unified_diffs,
+    validate_candidates,
+    verify_patches,
+)
+from scanloom.operators.ranking import chosen_rules, importance, rule_frequency, rule_priority
+from scanloom.operators.report import patch_report, report, report_lines, scan_json, verdict_lines
+from scanloom.operators.rules import clean_rules, default_rules, failed_rules, with_guidance, with_rules
+from scanloom.operators.scan import (
+    findings,
+    in_scan_order,
+    load_custom_rules,
+    py_facts,
+    rule_findings,
+    scan,
+    scan_files,
+    split_lines,
+    syntax_issues,
+)
+from scanloom.session import build_session
+from scanloom.sources.tables import (
+    from_table,
+    read_ai_results,
+    read_manifest,
+    save_bucketed,
+    write_findings,
+    write_json,
+)
+from scanloom.sources.tree import list_tree, read_tree
+from scanloom.streaming.stream import gate_each_batch, new_arrivals, scan_stream, windowed_findings
+
+__all__ = [name for name in dir() if not name.startswith("_") and name not in ("functions", "operators", "sources", "streaming", "plans", "session")]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.operators.gate import gate
+from scanloom.operators.scan import findings as findings_of
+
 
 def labelled_files(expected: DataFrame) -> DataFrame:
     """Every file of a manifest once a category; counterparts count as ``fixed``."""
@@ -164,3 +167,13 @@ def ai_result_counts(results: DataFrame) -> DataFrame:
 def ai_result_lines(results: DataFrame) -> DataFrame:
     """Published findings of generated files, one row a finding."""
     return results.select("file", F.inline("violations_detected")).select("file", F.col("rule").alias("rule_id"), "line", "snippet")
+
+
+def evaluate(scanned: DataFrame, expected: DataFrame, grain: str = "file") -> DataFrame:
+    """Evaluation of scanned files at the grain of files, cases, lines or rules."""
+    if grain == "file":
+        return evaluate_files(gate(scanned, "file"), expected)
+    by_grain = {"case": evaluate_cases, "line": match_lines, "rule": rule_quality}
+    if grain not in by_grain:
+        raise ValueError(f"unknown grain: {grain}")
+    return by_grain[grain](findings_of(scanned), expected)

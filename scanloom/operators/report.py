@@ -132,15 +132,37 @@ def explanation_lines(explanations: DataFrame) -> DataFrame:
     return explanations.select("repo", "path", "line", "rule_id", F.posexplode(texts).alias("part", "text"))
 
 
-def patch_report(verified: DataFrame, explanations: DataFrame) -> DataFrame:
-    """Lines of the patch report: status a file, then explanations."""
-    status = verified.select(
-        "repo",
-        "path",
-        F.lit(0).alias("section"),
-        F.lit(0).alias("line"),
-        F.lit(0).alias("part"),
-        F.format_string("✓  %s %s", base_name(F.col("path")), F.col("status")).alias("text"),
+def remaining_lines(findings: DataFrame, redact: bool = False) -> DataFrame:
+    """One line of text for each finding that remains; secrets stay as they are unless ``redact`` is set."""
+    text = F.format_string(
+        "✗  %-22s %s:%-4d %s", F.col("rule_id"), base_name(F.col("path")), F.col("line"), _shown(F.col("snippet"), redact)
     )
-    told = explanation_lines(explanations).select("repo", "path", F.lit(1).alias("section"), "line", "part", "text")
-    return status.unionByName(told)
+    return findings.select("repo", "path", "line", "seq", text.alias("text"))
+
+
+def patch_report(
+    verified: DataFrame,
+    explanations: DataFrame,
+    diffs: DataFrame | None = None,
+    remaining: DataFrame | None = None,
+    redact: bool = False,
+) -> DataFrame:
+    """Lines of the patch report: status a file, its diff, explanations, remaining findings.
+
+    Order by ``section``, path components, ``line`` and ``part`` to print it.
+    """
+
+    def section(number: int, lines: DataFrame, line, part) -> DataFrame:
+        return lines.select(
+            "repo", "path", F.lit(number).alias("section"), line.cast("int").alias("line"), part.cast("int").alias("part"), "text"
+        )
+
+    status = F.format_string("✓  %s %s", base_name(F.col("path")), F.col("status"))
+    report = section(0, verified.withColumn("text", status), F.lit(0), F.lit(0))
+    if diffs is not None:
+        indented = patch_lines(diffs).withColumn("text", F.concat(F.lit("    "), "text"))
+        report = report.unionByName(section(1, indented, F.col("at"), F.lit(0)))
+    report = report.unionByName(section(2, explanation_lines(explanations), F.col("line"), F.col("part")))
+    if remaining is not None:
+        report = report.unionByName(section(3, remaining_lines(remaining, redact), F.col("line"), F.col("seq")))
+    return report

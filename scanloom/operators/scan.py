@@ -138,6 +138,18 @@ def custom_findings(text: Column, language: Column, custom_rules) -> Column:
     return _over_lines(raw_lines(text), per_line)
 
 
+def load_custom_rules(table: DataFrame, most: int = 1000) -> tuple:
+    """Custom rules from a table with ``rule_id``, ``language`` and ``regex``.
+
+    The patterns become part of the plan, so their number is checked: a table
+    with more than ``most`` rows is refused.
+    """
+    rows = table.select("rule_id", "language", "regex").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} custom rules")
+    return tuple((r.rule_id, r.language, r.regex) for r in rows)
+
+
 ALL_LANGUAGES = ("python", "javascript", "typescript")
 
 

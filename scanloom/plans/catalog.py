@@ -557,9 +557,12 @@ def unified_diffs(spark, folder):
 
 @query
 def patch_report(spark, folder):
-    verified = patch.verify_patches(part_files(spark, folder), _validated(spark, folder))
+    """The report of a round; findings of the new version of the corpus remain."""
+    files, checked = part_files(spark, folder), _validated(spark, folder)
+    remaining = scan.findings(scan.scan_files(patch.apply_patches(files, checked)))
     told = patch.patch_explanations(part_findings(spark, folder))
-    return report.patch_report(verified, told).select("path", "section", "line", "part", "text")
+    lines = report.patch_report(patch.verify_patches(files, checked), told, remaining=remaining)
+    return lines.select("path", "section", "line", "part", "text")
 
 
 @query

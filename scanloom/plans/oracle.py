@@ -436,8 +436,12 @@ FROM labelled l LEFT JOIN gated a ON a.path = l.path LEFT JOIN gated b ON b.path
     ),
     "patch_report": known(
         f"""SELECT path, 0 AS section, 0 AS line, 0 AS part, '✓  ' || {BASENAME} || ' ' || status AS text FROM verified
-UNION ALL SELECT path, 1, line, 0, '• ' || rule_id || '  ' || {BASENAME} || ':' || line || ' — ' || title FROM told
-UNION ALL SELECT path, 1, line, 1, '  ' || summary FROM told""",
+UNION ALL SELECT path, 2, line, 0, '• ' || rule_id || '  ' || {BASENAME} || ':' || line || ' — ' || title FROM told
+UNION ALL SELECT path, 2, line, 1, '  ' || summary FROM told
+UNION ALL SELECT path, 3, line, seq, '✗  ' || rpad(rule_id, 22, ' ') || ' ' || {BASENAME} || ':' || rpad(line::VARCHAR, 4, ' ')
+  || ' ' || trim(snippet) FROM after_found
+UNION ALL SELECT path, 3, line, seq, '✗  ' || rpad(rule_id, 22, ' ') || ' ' || {BASENAME} || ':' || rpad(line::VARCHAR, 4, ' ')
+  || ' ' || trim(snippet) FROM found WHERE path NOT IN (SELECT path FROM patched)""",
         PATCHED,
         f"told AS ({CANONICAL_EXPLANATION})",
     ),

@@ -20,13 +20,20 @@ def scan_stream(source_files: DataFrame, custom_rules=()) -> DataFrame:
     return scan_files(source_files, custom_rules)
 
 
-def new_arrivals(source_files: DataFrame, delay: str = "1 day") -> DataFrame:
+def new_arrivals(source_files: DataFrame, delay: str = "1 day", salts: int = 16) -> DataFrame:
     """Drop a file that arrives again unchanged within the delay.
 
-    State holds one hash a file, and no longer than the watermark allows.
+    Copies are first dropped within a salt, taken from the input partition, so
+    that a file of which very many copies arrive is spread over ``salts``
+    tasks; at most one copy a salt is left for the second step. State holds
+    one hash a file and salt, and no longer than the watermark allows.
     """
-    marked = source_files.withWatermark("mtime", delay).withColumn("digest", F.sha2("text", 256))
-    return marked.dropDuplicatesWithinWatermark(["repo", "path", "digest"]).drop("digest")
+    key = ["repo", "path", "digest"]
+    marked = source_files.withWatermark("mtime", delay).withColumns(
+        {"digest": F.sha2(F.coalesce("text", F.lit("")), 256), "salt": F.spark_partition_id() % salts}
+    )
+    once_a_salt = marked.dropDuplicatesWithinWatermark([*key, "salt"])
+    return once_a_salt.dropDuplicatesWithinWatermark(key).drop("digest", "salt")
 
 
 def windowed_findings(source_files: DataFrame, width: str = "1 day", delay: str = "1 day") -> DataFrame:

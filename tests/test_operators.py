@@ -253,3 +253,71 @@ def test_suppression_is_by_rule_and_keeps_the_reason(files):
     kept, audit = patch.suppress(found)
     assert [r.path for r in kept.collect()] == ["b.py"]
     assert rows(audit.select("path", "reason"), "path") == [("a.py", "local only"), ("c.py", "")]
+
+
+def test_custom_rules_from_a_table_are_counted(spark):
+    table = spark.createDataFrame([("A", "python", "x", "high"), ("B", "python", "y", "low")], "rule_id string, language string, regex string, severity string")
+    assert sorted(scan.load_custom_rules(table)) == [("A", "python", "x"), ("B", "python", "y")]
+    with pytest.raises(ValueError):
+        scan.load_custom_rules(table, 1)
+
+
+def test_single_rules_agree_with_the_whole_scan(files):
+    made = files({"a.js": 'const dbToken = "abcd99"; exec(1)\nexec(2)\ntry {} catch (e) {}\n', "b.py": SECRET + "os.system(1)\n"})
+    whole = scan.findings(scan.scan_files(made))
+    for rule in ("NO_EXEC", "NO_HARDCODED_SECRETS", "NO_BARE_EXCEPT"):
+        alone = scan.rule_findings(made, rule).drop("seq")
+        assert rows(alone, "path", "line") == rows(whole.where(F.col("rule_id") == rule).drop("seq"), "path", "line")
+    scripts = scan.rule_findings(made, "NO_EXEC", "javascript")
+    assert "ArrowEvalPython" not in scripts._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scan_runs_once_and_without_shuffle(files):
+    scanned = scan.scan_files(files({"a.py": "x = 1\n"}))
+    for frame in (scanned.where(F.size("findings") > 0), gate.gate(scanned, "file"), scan.findings(scanned).where("rule_id = 'NO_EXEC'"),
+                  patch.first_pending(scanned), patch.patch_requests(scanned), gate.by_file(scanned), report.scan_json(scanned)):
+        plan = plan_of(frame)
+        assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1 and plan.count("inline(array(struct") == 1
+
+
+def test_filters_reach_the_source(spark, files, tmp_path):
+    files({"a.py": "x = 1\n"}).write.parquet(str(tmp_path / "f"))
+    scanned = scan.scan_files(spark.read.parquet(str(tmp_path / "f")))
+    plan = plan_of(gate.gate(scanned.where("repo = 'r' AND size(findings) > 0"), "file"))
+    assert "EqualTo(repo,r)" in plan
+
+
+def test_numbering_and_pairing_share_one_layout(files):
+    found = scan.findings(scan.scan_files(files({"a.py": "DEBUG = True\n"})))
+    assert plan_of(patch.finding_changes(found, found)).count("Exchange") == 1
+
+
+def test_bucketed_tables_are_joined_without_shuffle(spark, files):
+    tables.save_bucketed(files({"a.py": "x = 1\n", "b.py": "y\n"}), "t_files", 4)
+    tables.save_bucketed(files({"a.py": "x = 2\n"}).select("repo", "path", F.lit("X").alias("rule_id"), F.lit(1).alias("line"),
+                         F.lit("t").alias("tool"), "text", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason")), "t_new", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = patch.text_pairs(spark.table("t_files"), spark.table("t_new"))
+        assert "Exchange" not in plan_of(pairs)
+        assert [(r.path, r.new_text) for r in pairs.collect()] == [("a.py", "x = 2\n")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE t_files")
+        spark.sql("DROP TABLE t_new")
+
+
+def test_whole_patch_report(spark, files):
+    before = files({"a.py": "os.system('a')\n" + SECRET})
+    checked = patch.validate_candidates(patch.candidates(answers(spark, {"a.py": "x = 1\n" + SECRET})))
+    remaining = scan.findings(patch.rescan(before, checked))
+    told = patch.patch_explanations(scan.findings(scan.scan_files(before)).where("rule_id = 'NO_EXEC'"))
+    diffs = patch.unified_diffs(patch.text_pairs(before, checked))
+    lines = report.patch_report(patch.verify_patches(before, checked), told, diffs, remaining)
+    texts = [r.text for r in lines.orderBy("section", "line", "part").collect()]
+    assert texts[0] == "✓  a.py patched" and "    +x = 1" in texts
+    assert texts[-1] == '✗  NO_HARDCODED_SECRETS   a.py:2    token = "abcd99"'
