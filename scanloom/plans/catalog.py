@@ -33,18 +33,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Spread a table with fewer input splits than cores; leave any other as it is.
-
-    A small file is one split, and scanning texts is work for the processor.
-    Large tables have splits enough and are not shuffled.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def part_files(spark: SparkSession, folder: str) -> DataFrame:
-    return made.corpus(spread(table(spark, folder, "part")), "p_partkey", F.col("p_brand"))
+    return made.corpus(made.spread(table(spark, folder, "part")), "p_partkey", F.col("p_brand"))
 
 
 def scanned_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +47,7 @@ def part_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents read as Python text: only whole lines that assign a secret count."""
-    return from_table(spread(table(spark, folder, "documents")), "doc_id", "text", language="python", repo="lang")
+    return from_table(made.spread(table(spark, folder, "documents")), "doc_id", "text", language="python", repo="lang")
 
 
 # Texts
@@ -84,12 +74,12 @@ def documents_secret_lines(spark, folder):
 
 @query
 def documents_redacted(spark, folder):
-    return spread(table(spark, folder, "documents")).select("doc_id", redact(F.col("text")).alias("redacted"))
+    return made.spread(table(spark, folder, "documents")).select("doc_id", redact(F.col("text")).alias("redacted"))
 
 
 @query
 def pages_script_lines(spark, folder):
-    scripts = spread(table(spark, folder, "pages")).select(
+    scripts = made.spread(table(spark, folder, "pages")).select(
         "page_id",
         F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), F.lit(1))).alias("at", "code"),
     )
@@ -99,14 +89,14 @@ def pages_script_lines(spark, folder):
 
 @query
 def pages_secret_lines(spark, folder):
-    pages = spread(table(spark, folder, "pages")).withColumn("text", F.replace("html", F.lit("&quot;"), F.lit('"')))
+    pages = made.spread(table(spark, folder, "pages")).withColumn("text", F.replace("html", F.lit("&quot;"), F.lit('"')))
     found = scan.findings(scan.scan_files(from_table(pages, "page_id", "text", language="python", repo="url")))
     return found.groupBy(F.col("path").cast("long").alias("page_id")).agg(F.count("*").alias("n_secrets"))
 
 
 @query
 def conversations_code(spark, folder):
-    return spread(table(spark, folder, "conversations")).select("conv_id", "turn", extract_code(F.col("text")).alias("code"))
+    return made.spread(table(spark, folder, "conversations")).select("conv_id", "turn", extract_code(F.col("text")).alias("code"))
 
 
 @query
@@ -275,7 +265,7 @@ def scan_counts(spark, folder):
 @query
 def orders_gate_by_repo(spark, folder):
     """A larger corpus, with one file an order."""
-    files = made.corpus(spread(table(spark, folder, "orders")), "o_orderkey", F.col("o_orderpriority"))
+    files = made.corpus(made.spread(table(spark, folder, "orders")), "o_orderkey", F.col("o_orderpriority"))
     return gate.gate(scan.scan_files(files), "repo")
 
 

@@ -43,14 +43,35 @@ def templates() -> list[Template]:
     ]
 
 
+def _sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if not isinstance(value, str):
+        return str(value)
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r")
+    return f"'{escaped}'"
+
+
 def by_template(template: Column, value) -> Column:
-    return F.get(F.array(*(F.lit(value(t)) for t in templates())), template.cast("int"))
+    """Look up what belongs to a template, from one constant array."""
+    values = ", ".join(_sql_literal(value(t)) for t in templates())
+    return F.get(F.expr(f"array({values})"), template.cast("int"))
 
 
 def template_text(key: Column, template: Column) -> Column:
     return F.replace(by_template(template, lambda t: t.text), F.lit("<k>"), key.cast("string"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Spread a table with fewer input splits than cores; leave any other as it is.
+
+    A small file is one split, and scanning texts is work for the processor.
+    Large tables have splits enough and are not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def corpus(table: DataFrame, key: str, repo: Column, mtime: Column | None = None) -> DataFrame:
     """``source_files`` made from the rows of a table, one file a row."""
     template = F.col(key) % N_TEMPLATES

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions.text import lines_of, snippet
-from scanloom.plans.corpus import N_TEMPLATES, Template, by_template, corpus, template_text, templates
+from scanloom.plans.corpus import N_TEMPLATES, Template, by_template, corpus, spread, template_text, templates
 
 # Flaws of templates that the rules are known to miss: (rule, line, why).
 BLIND = {
@@ -44,9 +44,13 @@ def case_of(t: Template) -> tuple[str, str, list[int], int]:
     return "vulnerable", rule, lines, len(t.expected)
 
 
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus(spread(spark.read.parquet(f"{folder}/part.parquet")), "p_partkey", F.col("p_brand"))
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """One labelled case for every file made from ``part``."""
-    files = corpus(spark.read.parquet(f"{folder}/part.parquet"), "p_partkey", F.col("p_brand"))
+    files = _files(spark, folder)
     key, t = F.col("key"), F.col("key") % N_TEMPLATES
     cases = [case_of(x) for x in templates()]
     lines = F.array(*(F.array(*(F.lit(n) for n in c[2])).cast("array<int>") for c in cases))
@@ -74,7 +78,7 @@ def _pick(names: tuple[str, ...], key: Column) -> Column:
 
 def safe_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Responses of a patching tool for every file with a finding and a safe text."""
-    files = corpus(spark.read.parquet(f"{folder}/part.parquet"), "p_partkey", F.col("p_brand"))
+    files = _files(spark, folder)
     key, t = F.col("key"), F.col("key") % N_TEMPLATES
     safe = by_template(t, lambda x: SAFE.get(x.number))
     fence = F.lit("```")
@@ -91,7 +95,7 @@ def safe_candidates(spark: SparkSession, folder: str) -> DataFrame:
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
     """Attempts made so far: the first finding of files with an even key, and
     twenty attempts, which is all a file gets, in every thirtieth file."""
-    files = corpus(spark.read.parquet(f"{folder}/part.parquet"), "p_partkey", F.col("p_brand"))
+    files = _files(spark, folder)
     key, t = F.col("key"), F.col("key") % N_TEMPLATES
     line = by_template(t, lambda x: x.expected[0][1] if x.expected else None)
     known = files.where(line.isNotNull()).select(
