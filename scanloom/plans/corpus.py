@@ -44,12 +44,13 @@ def templates() -> list[Template]:
 
 
 def _sql_literal(value) -> str:
+    """A constant in SQL text; ``$`` is escaped because ``${name}`` would be substituted."""
     if value is None:
         return "NULL"
     if not isinstance(value, str):
         return str(value)
-    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r")
-    return f"'{escaped}'"
+    escapes = {"\\": "\\\\", "'": "\\'", "\n": "\\n", "\r": "\\r", "$": "\\u0024"}
+    return "'" + "".join(escapes.get(c, c) for c in value) + "'"
 
 
 def by_template(template: Column, value) -> Column:
