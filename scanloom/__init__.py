@@ -10,7 +10,7 @@ from scanloom.operators.evaluate import (
     evaluate,
     sources_by_rule,
 )
-from scanloom.operators.gate import by_file, files_with_findings, gate, scan_counts, summary, summary_by_language
+from scanloom.operators.gate import by_file, files_with_findings, gate, gate_from_tables, scan_counts, summary, summary_by_language
 from scanloom.operators.patch import (
     apply_patches,
     candidates,

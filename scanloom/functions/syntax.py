@@ -288,4 +288,4 @@ class PyFacts:
 
 
 def register_py_facts(spark) -> None:
-    spark.udtf.register("py_facts", F.udtf(PyFacts, returnType=FACT))
+    spark.udtf.register("py_facts", F.udtf(PyFacts, returnType=FACT, useArrow=True))

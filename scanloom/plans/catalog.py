@@ -250,6 +250,13 @@ def gate_by_repo(spark, folder):
     return gate.gate(scanned_parts(spark, folder), "repo")
 
 
+@query
+def gate_from_tables(spark, folder):
+    """The same from the tables of files, findings and syntax issues."""
+    files = part_files(spark, folder)
+    return gate.gate_from_tables(files, *scan.scan(files), grain="repo")
+
+
 @query
 def gate_corpus(spark, folder):
     return gate.gate(scanned_parts(spark, folder))

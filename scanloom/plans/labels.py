@@ -26,6 +26,10 @@ SAFE = {
     22: 23, 24: 25, 26: 30, 27: 35, 28: 30, 29: 30, 31: 32, 33: 35, 34: 35,
 }
 
+# Templates whose first finding was attempted, and those whose attempts are spent.
+TRIED = (1, 4, 18, 19, 22, 31)
+SPENT = (6, 29)
+
 TOOLS = ("alpha", "beta", "gamma")
 SOURCES = ("set one", "set two", "set three")
 
@@ -93,20 +97,21 @@ def safe_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
-    """Attempts made so far: the first finding of files with an even key, and
-    twenty attempts, which is all a file gets, in every thirtieth file."""
+    """Attempts made so far: the first finding of files of some templates, and
+    twenty attempts, which is all a file gets, in files of others."""
     files = _files(spark, folder)
-    key, t = F.col("key"), F.col("key") % N_TEMPLATES
+    t = F.col("key") % N_TEMPLATES
     line = by_template(t, lambda x: x.expected[0][1] if x.expected else None)
-    known = files.where(line.isNotNull()).select(
+    known = files.select(
         "repo",
         "path",
-        "key",
         by_template(t, lambda x: x.expected[0][0] if x.expected else None).alias("rule_id"),
         line.alias("line"),
         snippet(lines_of(F.col("text")), line).alias("snippet"),
+        by_template(t, lambda x: x.number in TRIED).alias("tried"),
+        by_template(t, lambda x: x.number in SPENT).alias("spent"),
     )
-    spent = known.where(key % 30 == 1).withColumns(
+    spent = known.where("spent").withColumns(
         {"rule_id": F.lit("OTHER"), "line": F.explode(F.sequence(F.lit(1), F.lit(20)))}
     )
-    return known.where(key % 2 == 0).unionByName(spent).drop("key")
+    return known.where("tried").unionByName(spent).drop("tried", "spent")

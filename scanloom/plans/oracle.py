@@ -9,7 +9,7 @@ from __future__ import annotations
 from scanloom.functions import fixed
 from scanloom.functions.fixed_rules import IMPORTANCE, OTHER_GUIDANCE, REFERENCE, RULES
 from scanloom.plans.corpus import N_TEMPLATES, templates
-from scanloom.plans.labels import BLIND, SAFE, SOURCES, TOOLS, case_of
+from scanloom.plans.labels import BLIND, SAFE, SOURCES, SPENT, TOOLS, TRIED, case_of
 
 
 def lit(value) -> str:
@@ -181,10 +181,10 @@ BY_CASE = """by_case AS (
          coalesce(f.n, 0) AS n_found, coalesce(f.n, 0) = expected_count AS count_agrees
   FROM labelled l LEFT JOIN matched m USING (case_id)
   LEFT JOIN (SELECT path, rule_id, count(*) AS n FROM found GROUP BY ALL) f ON f.path = l.path AND f.rule_id = l.rule)"""
-ATTEMPTED = """open_findings AS (
+ATTEMPTED = f"""open_findings AS (
   SELECT f.* FROM found f
-  WHERE f.key % 30 <> 1
-    AND NOT (f.key % 2 = 0 AND EXISTS (SELECT 1 FROM found g WHERE g.key = f.key AND g.seq = 0
+  WHERE f.t NOT IN {SPENT}
+    AND NOT (f.t IN {TRIED} AND EXISTS (SELECT 1 FROM found g WHERE g.key = f.key AND g.seq = 0
              AND g.rule_id = f.rule_id AND g.line = f.line AND g.snippet[1:60] = f.snippet[1:60]))),
 next_finding AS (SELECT * FROM open_findings QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq) = 1)"""
 # What becomes of each file with a candidate: template 13 is rejected, 14 unchanged.
@@ -318,6 +318,8 @@ JOIN (VALUES ('IMPORTS_RANDOM', 'python', '^import random$'), ('NO_VAR_LET', 'ty
     "findings_by_alias": known("SELECT rule_id, count(*) AS n_findings FROM found GROUP BY rule_id"),
     "gate_by_file": known(f"SELECT repo, path, n_findings, n_syntax, {VERDICT} FROM gated"),
     "gate_by_repo": known(f"""SELECT *, {VERDICT} FROM (
+  SELECT repo, count(*) AS n_files, sum(n_findings) AS n_findings, sum(n_syntax) AS n_syntax FROM gated GROUP BY repo)"""),
+    "gate_from_tables": known(f"""SELECT *, {VERDICT} FROM (
   SELECT repo, count(*) AS n_files, sum(n_findings) AS n_findings, sum(n_syntax) AS n_syntax FROM gated GROUP BY repo)"""),
     "gate_corpus": known(f"""SELECT *, {VERDICT} FROM (
   SELECT count(*) AS n_files, sum(n_findings) AS n_findings, sum(n_syntax) AS n_syntax FROM gated)"""),

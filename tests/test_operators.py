@@ -321,3 +321,43 @@ def test_whole_patch_report(spark, files):
     texts = [r.text for r in lines.orderBy("section", "line", "part").collect()]
     assert texts[0] == "✓  a.py patched" and "    +x = 1" in texts
     assert texts[-1] == '✗  NO_HARDCODED_SECRETS   a.py:2    token = "abcd99"'
+
+
+def test_deltas_and_changes_agree_with_counting(spark, files):
+    """Random texts with many equal lines against plain counters."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    lines = ["DEBUG = True", "x = 1", "os.system('a')", "", "app.run(debug=True)"]
+
+    def text():
+        return "".join(rng.choice(lines) + "\n" for _ in range(rng.randint(0, 12)))
+
+    old = {f"f{i}.py": text() for i in range(25)}
+    new = {path: text() if rng.random() < 0.8 else t for path, t in old.items()}
+    before, after = files(old), files(new)
+    delta = patch.line_delta(patch.changed_files(before, after)).collect()
+    for path in old:
+        was, now = Counter(old[path].splitlines()), Counter(new[path].splitlines())
+        assert Counter(r.line for r in delta if r.path == path and r.side == "-") == was - now
+        assert Counter(r.line for r in delta if r.path == path and r.side == "+") == now - was
+        for r in delta:
+            if r.path == path:
+                assert (old if r.side == "-" else new)[path].splitlines()[r.line_no - 1] == r.line
+
+    found = {"before": scan.findings(scan.scan_files(before)), "after": scan.findings(scan.scan_files(after))}
+    counts = {s: Counter((r.path, r.rule_id, r.snippet) for r in f.collect()) for s, f in found.items()}
+    changes = Counter((r.change, (r.path, r.rule_id, r.snippet)) for r in patch.finding_changes(found["before"], found["after"]).collect())
+    for name, want in (
+        ("fixed", counts["before"] - counts["after"]), ("introduced", counts["after"] - counts["before"]), ("remaining", counts["before"] & counts["after"]),
+    ):
+        assert Counter({k: n for (c, k), n in changes.items() if c == name}) == want
+    fixed, introduced, common = patch.finding_difference(found["before"], found["after"])
+    assert fixed.count() == sum((counts["before"] - counts["after"]).values())
+
+
+def test_gate_from_tables_counts_clean_files(files):
+    made = files({"a.py": SECRET, "b.py": "x = 1\n", "c.py": "def nope(:\n"})
+    from_tables = gate.gate_from_tables(made, *scan.scan(made), grain="file")
+    assert rows(from_tables, "path") == rows(gate.gate(scan.scan_files(made), "file"), "path")
