@@ -53,10 +53,17 @@ def raw_lines(text: Column) -> Column:
     return F.when(rare, F.split(text, LINE_BREAK, -1)).otherwise(F.split(text, "\n", -1))
 
 
+def with_value(value: Column, body) -> Column:
+    """Evaluate ``value`` once for all its uses in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines_of(text: Column) -> Column:
     """Lines as an array, without the empty element after a final line break."""
-    lines = raw_lines(text)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return with_value(
+        raw_lines(text),
+        lambda lines: F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines),
+    )
 
 
 def strip_right(text: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scanloom.functions import line_rules, syntax
 from scanloom.functions.fixed_rules import RULE_IDS
 from scanloom.functions.syntax_rules import PY_SYNTAX_RULES
-from scanloom.functions.text import lines_of, raw_lines, snippet, strip_right, universal_newlines
+from scanloom.functions.text import lines_of, raw_lines, snippet, strip_right, universal_newlines, with_value
 
 FINDING = "struct<rule_id:string,line:int,col:int,snippet:string,pass:int>"
 FINDINGS = f"array<{FINDING}>"
@@ -47,11 +47,6 @@ def _over_lines(lines: Column, per_line) -> Column:
     return F.flatten(F.transform(lines, lambda line, i: per_line(line, i + 1)))
 
 
-def _with(value: Column, body) -> Column:
-    """Evaluate ``value`` once for all its uses in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def python_line_findings(text: Column) -> Column:
     """Secrets in a Python text, at most one a line."""
 
@@ -118,7 +113,7 @@ def empty_catch_findings(text: Column) -> Column:
         return F.flatten(F.transform(F.split(marked, "\n", -1), found))
 
     has_catch = F.contains(text, F.lit("catch")) & text.rlike(line_rules.EMPTY_CATCH)
-    return F.when(has_catch, _with(raw_lines(plain), per_line)).otherwise(_nothing())
+    return F.when(has_catch, with_value(raw_lines(plain), per_line)).otherwise(_nothing())
 
 
 def custom_findings(text: Column, language: Column, custom_rules) -> Column:

@@ -132,18 +132,30 @@ def list_tree(spark: SparkSession, root: str, splits: int = 256) -> DataFrame:
     return spark.read.format("source_tree").option("splits", splits).load(str(root))
 
 
-def read_tree(spark: SparkSession, root: str, repo_depth: int = 0, tasks: int | None = None) -> DataFrame:
+def _even_tasks(listed: DataFrame, task_bytes: int) -> int:
+    """Tasks of about equal work, from one sum over the listing."""
+    total = listed.agg(F.sum("size").alias("bytes"), F.count("*").alias("files")).first()
+    cores = listed.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(total.files, max(cores, -(-(total.bytes or 0) // task_bytes))))
+
+
+def read_tree(
+    spark: SparkSession, root: str, repo_depth: int = 0, tasks: int | None = None, task_bytes: int = 16 << 20
+) -> DataFrame:
     """``source_files`` of a directory or a single file that all executors can see.
 
     Paths are spread by hash before texts are read, so that one large
-    directory is read by many tasks. ``repo_depth`` directories below the root
-    name the repository; with 0 it is the name of the root.
+    directory is read by many tasks. Their number is fixed from the sizes
+    listed, or given: left to itself, Spark would join the tasks again, as
+    paths are much smaller than the texts behind them. ``repo_depth``
+    directories below the root name the repository; with 0 it is the name of
+    the root.
     """
     real = os.path.realpath(str(root))
     listed = list_tree(spark, real)
     # Every path is the root itself or lies below it.
     inside = listed.where((F.col("path") == real) | F.startswith("path", F.lit(real.rstrip("/") + "/")))
-    spread = inside.repartition(tasks, "path") if tasks else inside.repartition("path")
+    spread = inside.repartition(tasks or _even_tasks(inside, task_bytes), "path")
     texts = spread.select("path", "mtime").mapInArrow(
         _read_batches, "path string, text string, mtime timestamp, error string"
     )

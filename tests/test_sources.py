@@ -43,6 +43,13 @@ def test_tree_is_read_and_scanned(spark, root):
     assert {n for n, r in rows.items() if r.findings} == {"a.py", ".hidden/h.js", "crlf.js"}
 
 
+def test_texts_are_read_by_as_many_tasks_as_their_size_asks_for(spark, root):
+    assert tree._even_tasks(tree.list_tree(spark, root), 1) == 7
+    files = tree.read_tree(spark, root, tasks=5)
+    files.collect()
+    assert files.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_single_file_missing_path_and_ignored_root(spark, root):
     assert [r.path for r in tree.read_tree(spark, root / "a.py").collect()] == [str(root / "a.py")]
     assert tree.read_tree(spark, root / "notes.txt").count() == 0
