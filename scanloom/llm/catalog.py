@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from scanloom.llm import jaccard_join
+from scanloom.llm import jaccard_join, mixing, sharding
 
-MODULES = (jaccard_join,)
+MODULES = (mixing, jaccard_join, sharding)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}

@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but these bytes.
@@ -185,32 +185,45 @@ def binary_column(values: list[bytes]) -> pa.Array:
 
 # --- Running sums over any number of rows --------------------------------------------------------------------------
 
+#: Parts of a group, by ranges of a hash: a group with a third of all rows becomes so many window groups.
+PARTS = 4096
+HASH_RANGE = 1 << 31
 
-def running(frame: DataFrame, group: list[str], order: str, ties: list[str], size: str, parts: int, spread: str) -> DataFrame:
-    """Add ``before`` (sum of ``size`` of earlier rows) and ``rank_before`` (their number) within a group.
 
-    A group is split by ranges of ``order``, a hash in [0, 2^31), into ``parts``; sums of parts are added up first, so
-    that a group with a third of all rows spreads over many tasks. ``spread`` names the column made for the part.
+def order_hash(*columns: str) -> Column:
+    """A hash in [0, 2^31) that any engine with md5 can repeat."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long") * 8
+
+
+def part_of(order: str) -> Column:
+    return F.floor(F.col(order) * F.lit(PARTS) / F.lit(HASH_RANGE)).cast("int")
+
+
+def part_sums(rows: DataFrame, group: str, order: str, size: str) -> DataFrame:
+    """Sum of sizes and number of rows of each part of each group: a small table, written."""
+    sums = rows.groupBy(F.col(group).alias("__group"), part_of(order).alias("__part"))
+    return written(sums.agg(F.sum(size).alias("__size"), F.count(F.lit(1)).alias("__rows")), "sums")
+
+
+def running(rows: DataFrame, group: str, order: str, ties: list[str], size: str, sums: DataFrame) -> DataFrame:
+    """Add ``before`` (sum of ``size`` of earlier rows) and ``rank_before`` (their number) within each group.
+
+    ``sums`` comes from ``part_sums``; further columns it has are added. Windows run inside parts only, and the join
+    and the windows share one shuffle.
     """
-    from pyspark.sql import Window
-
-    rows = frame.withColumn(spread, (F.col(order) * F.lit(parts) / F.lit(2.0**31)).cast("int"))
-    sums = rows.groupBy(*group, spread).agg(F.sum(size).alias("__sum"), F.count(F.lit(1)).alias("__rows"))
-    earlier = Window.partitionBy(*group).orderBy(spread).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        *[F.col(c).alias(f"__{c}") for c in (*group, spread)],
-        F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__sum"),
-        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__rows"),
-    )
-    on = None
-    for c in (*group, spread):
-        same = F.col(c).eqNullSafe(F.col(f"__{c}"))
-        on = same if on is None else on & same
-    inside = Window.partitionBy(*group, spread).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(sums, on)
-    out = out.withColumn("before", F.col("__sum") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    earlier = Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.withColumn("__size", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
+    base = base.withColumn("__rows", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+    empty = F.lit("" if sums.schema["__group"].dataType.typeName() == "string" else -1)
+    base = base.withColumn("__none", F.col("__group").isNull()).withColumn("__group", F.coalesce("__group", empty))
+    keyed = rows.withColumn("__part", part_of(order)).withColumn("__none", F.col(group).isNull()).withColumn("__group", F.coalesce(F.col(group), empty))
+    keys = ["__group", "__none", "__part"]
+    inside = Window.partitionBy(*keys).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    out = keyed.join(base, keys)
+    out = out.withColumn("before", F.col("__size") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
     out = out.withColumn("rank_before", F.col("__rows") + F.count(F.lit(1)).over(inside))
-    return out.drop(*[f"__{c}" for c in (*group, spread)], "__sum", "__rows", spread)
+    return out.drop(*keys, "__size", "__rows")
 
 
 # --- Connected components ------------------------------------------------------------------------------------------
