@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from scanloom.llm import fingerprints, jaccard_join, mixing, sharding
+from scanloom.llm import fingerprints, jaccard_join, language, mixing, sharding
 
-MODULES = (mixing, fingerprints, jaccard_join, sharding)
+MODULES = (mixing, language, fingerprints, jaccard_join, sharding)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}

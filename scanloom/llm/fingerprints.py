@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from scanloom.llm.common import FOLDED, buckets_for, mixed, mixed_int, slices, t
 SAMPLES = 64
 ROWS_OF_TASK = 20_000
 #: Bytes of text whose words share one table of variables.
-TABLE_BYTES = 1 << 18
+TABLE_BYTES = 1 << 19
 
 _LEVELS = np.uint64(0x9FB21C651E98DF25)
 
@@ -67,7 +68,7 @@ def weighted_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(column: pa.Array) -> list[bytes]:
-    """The fingerprint of each text of an Arrow column: 2 bytes a draw; empty for texts without words."""
+    """The fingerprint of each text of an Arrow column: 2 bytes a draw; empty for texts without words (or null)."""
     data, offsets = text_bytes(column)
     out: list[bytes] = []
     for low, high in slices(offsets, TABLE_BYTES):
@@ -123,9 +124,7 @@ _SORTED = _ROW + ", kind int, place int, text string"
 _DONE, _LAST, _FIRST_ROW = 0, 1, 2
 
 
-def _compared(ids: list, texts: list[str], own: list[bytes], following: list[str], next_own: list[bytes]) -> list[pa.Array]:
-    edits = [edited(a, b) for a, b in zip(texts, following, strict=True)]
-    marks = fingerprints(pa.array(edits, pa.string()))
+def _compared(ids: list, texts: list[str], own: list[bytes], edits: list[str], marks: list[bytes], next_own: list[bytes]) -> list[pa.Array]:
     return [
         pa.array(ids, pa.int64()),
         pa.array([len(t) for t in texts], pa.int64()),
@@ -158,13 +157,19 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for got in batches:
         for low in range(0, got.num_rows, 1000):
             some = got.slice(low, 1000)
-            texts, own, ids = some.column(1).to_pylist(), fingerprints(some.column(1)), some.column(0).to_pylist()
+            ids, texts = some.column(0).to_pylist(), some.column(1).to_pylist()
+            before = [held[1]] if held else []
+            edits = [edited(a, b) for a, b in zip([*before, *texts], [*before, *texts][1:], strict=False)]
+            # A text stands beside its edited text, with which it shares words.
+            marks = fingerprints(pa.array([x for pair in zip_longest(texts, edits[len(before) :]) for x in pair] + edits[: len(before)], pa.string()))
+            own = marks[: 2 * len(texts) : 2]
             rows = [*([held] if held else []), *zip(ids, texts, own, strict=True)]
             if not held:
                 yield end(rows[0], _FIRST_ROW)
             if len(rows) > 1:
                 i, t, f = (list(x) for x in zip(*rows, strict=True))
-                yield batch(_compared(i[:-1], t[:-1], f[:-1], t[1:], f[1:]), _DONE, [None] * (len(rows) - 1))
+                of_edits = marks[2 * len(texts) :] + marks[1 : 2 * len(texts) - 1 : 2]
+                yield batch(_compared(i[:-1], t[:-1], f[:-1], edits, of_edits, f[1:]), _DONE, [None] * len(edits))
             held = rows[-1]
     if held:
         yield end(held, _LAST)
@@ -173,7 +178,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for got in batches:
         c = {n: got.column(n).to_pylist() for n in got.schema.names}
-        yield pa.RecordBatch.from_arrays(_compared(c["doc_id"], c["text"], c["own"], c["next_text"], c["next_own"]), _NAMES)
+        edits = [edited(a, b) for a, b in zip(c["text"], c["next_text"], strict=True)]
+        marks = fingerprints(pa.array(edits, pa.string()))
+        yield pa.RecordBatch.from_arrays(_compared(c["doc_id"], c["text"], c["own"], edits, marks, c["next_own"]), _NAMES)
 
 
 def compared_with_next(docs: DataFrame) -> DataFrame:
