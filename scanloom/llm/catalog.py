@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from scanloom.llm import fingerprints, jaccard_join, language, mixing, pii, quality, sharding
+from scanloom.llm import decontamination, fingerprints, jaccard_join, language, lm_scores, mixing, pii, quality, sharding, token_counts
 
-MODULES = (mixing, quality, language, fingerprints, pii, jaccard_join, sharding)
+MODULES = (mixing, lm_scores, decontamination, token_counts, quality, language, fingerprints, pii, jaccard_join, sharding)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}

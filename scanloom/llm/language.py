@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from scanloom.llm.common import held_out, mixed, slices, table
 
@@ -198,9 +199,8 @@ def with_language(docs: DataFrame, model: Languages) -> DataFrame:
     """``docs`` with lang_pred, score and mixture (languages with proportions).
 
     A text that is null or has no letter is ``und`` with score 0; so is every text where no language was learned.
+    Columns of ``docs`` with the names of new ones give way.
     """
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
     new = {"lang_pred": pa.string(), "score": pa.float64(), "mixture": pa.string()}
     docs = docs.drop(*new)
     kinds = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("mixture", StringType())])
@@ -217,8 +217,14 @@ def with_language(docs: DataFrame, model: Languages) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Languages, share: float = ACCEPTED_SHARE) -> DataFrame:
     """``docs`` in which one learned language has at least this share; others go, as do texts without letters."""
-    kept = with_language(docs.select(*docs.columns), model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= share))
-    return kept.select(*docs.columns)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            langs, scores, _ = identify([t or "" for t in batch.column(place).to_pylist()], model)
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= share for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

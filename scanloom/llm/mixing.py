@@ -72,9 +72,12 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     ``copies`` whole passes over a document; its position is null where there is none. A source's last document is
     taken if its middle lies before the target, so a source ends within half a document of its target. Sizes of null
     or empty texts are 0: such documents are taken with their neighbours and add no words. Rows that agree in id,
-    size and tie are alike, so whichever is taken gives the same result. A null source is a source of its own.
+    size and tie are alike, so whichever is taken gives the same result. A null source is a source of its own. Columns of
+    ``docs`` with the names of new ones give way.
     """
-    rows = docs.withColumn("__order", order_hash("doc_id"))
+    new = ["source_size", "place", "target", "before", "copies", "position"]
+    old = [c for c in docs.columns if c not in new]
+    rows = docs.select(F.struct(*old).alias("__row"), "doc_id", "source", "size", "tie", order_hash("doc_id").alias("__order"))
     sums = part_sums(rows, "source", "__order", "size")
     targets = source_targets(sums, weights, most)
     on = sums["__group"].eqNullSafe(targets["source"])
@@ -84,7 +87,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     rest = F.col("target") - whole * F.col("source_size")
     middle = F.col("before") + F.col("size") / F.lit(2.0)
     out = out.withColumn("copies", (whole + (middle < rest).cast("int")).cast("int"))
-    return out.withColumn("position", F.when(F.col("copies") > 0, position(F.lit(0), len(weights), schedules))).drop("__order", "rank_before")
+    out = out.withColumn("position", F.when(F.col("copies") > 0, position(F.lit(0), len(weights), schedules)))
+    return out.select(*[F.col("__row")[c].alias(c) for c in old], *new)
 
 
 def position(copy: Column, classes: int, schedules) -> Column:
@@ -100,11 +104,11 @@ def position(copy: Column, classes: int, schedules) -> Column:
 
 def training_order(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, schedules=SCHEDULES) -> DataFrame:
     """The mix itself: a row for every copy, in training order, with the columns of ``docs``."""
-    rows = docs.withColumn("size", words_in(F.col("text"))).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("__whole"), "doc_id", "source", words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     mixed = mixed_documents(rows, weights, most, schedules).where("copies > 0")
     mixed = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     mixed = mixed.withColumn("__position", position(F.col("__copy"), len(weights), schedules))
-    return mixed.orderBy("__position", "doc_id").select(*docs.columns)
+    return mixed.orderBy("__position", "doc_id").select("__whole.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

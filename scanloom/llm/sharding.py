@@ -95,10 +95,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS, texts: bool = True) -> DataFr
     text = F.coalesce(F.col("text"), F.lit(""))
     clash = [c for c in ("size", "text_crc32", "shard", "slot") if c in docs.columns]
     docs = docs.drop(*clash)
-    keyed = docs.withColumn("size", (F.octet_length(text) + 8).cast("long")).withColumn("text_crc32", F.crc32(text.cast("binary")))
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text").withColumn("size", (F.octet_length(text) + 8).cast("long")).withColumn("text_crc32", F.crc32(text.cast("binary")))
     keyed = keyed.withColumn("__key", F.xxhash64(text)).withColumn("__dealt", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS_OF_GROUP)).cast("int"))
     keyed = keyed.withColumn("__cell", F.shiftrightunsigned("__key", 48).cast("int")).withColumn("__order", order_hash("doc_id", "text_crc32"))
-    small = written(keyed.drop(*[c for c in docs.columns if c != "doc_id"]), "keys")
+    small = written(keyed.drop("__row", "text"), "keys")
     total = small.agg(F.sum("size")).first()[0] or 0
     # Fewer than shards * HEAVY groups can have this many bytes.
     heavy = small.groupBy("__key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * (shards * HEAVY) > total)
@@ -123,7 +123,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, texts: bool = True) -> DataFr
         return grouped(rows).withColumn("__item", item).join(where, ["__group", "__item"], "left")
 
     sums = part_sums(dealt(small), "shard", "__order", "size")
-    columns = docs.columns if texts else ["doc_id"]
+    columns = ["__row.*"] if texts else ["doc_id"]
     slots = running(dealt(keyed if texts else small), "shard", "__order", ["doc_id", "text_crc32", "size"], "size", sums)
     return slots.select(*columns, "size", "text_crc32", "shard", F.col("rank_before").cast("long").alias("slot"))
 
