@@ -21,7 +21,7 @@ from scanloom.llm.common import binary_column, buckets_for, from_planes, mixed,
 
 ORDER = 2
 BACKOFF = 0.4
-PART_BYTES = 24_000_000
+PART_BYTES = 8_000_000
 RANGE_BYTES = 4_000_000
 #: The name under which the number of all words is kept, beside the n-grams.
 ALL_WORDS = np.uint64(0)
