@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import table
+from scanloom.llm.common import table, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public byte-level vocabulary splits a text before merging (fixed value).
@@ -89,7 +89,7 @@ def truncated_total(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_limit(length_histogram(table(spark, sf_dir, "documents")))
+    return by_limit(written(length_histogram(table(spark, sf_dir, "documents")), "lengths"))
 
 
 QUERIES = {"op4_token_counts": op4_token_counts}
