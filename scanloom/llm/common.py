@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Texts are worked on in slices of about so many bytes, so that arrays of eight bytes a character stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Rows that Spark hands to Python at once, at most: texts are long.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` where they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import buckets_for, mixed, slices, table
+from scanloom.llm.common import buckets_for, mixed, slices, small_batches, table
 
 Q = 12
 PIECE = 96
@@ -238,7 +238,7 @@ def benchmark_blocks(benchmark: DataFrame, characters: int = BLOCK_CHARACTERS) -
 def _in_slices(column: pa.Array, pieces: Pieces) -> Iterator[tuple[int, list]]:
     texts = [t or "" for t in column.to_pylist()]
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    for low, high in slices(offsets, 1 << 19):
+    for low, high in slices(offsets, 1 << 18):
         yield low, leaks(texts[low:high], pieces)
 
 
@@ -250,6 +250,7 @@ def leaked_regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Clean documents have no row, nor have null and empty texts; repeated rows have their rows each.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for pieces in benchmark_blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")):
@@ -270,6 +271,7 @@ def leaked_regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold benchmark text; null and empty texts stay."""
+    small_batches(docs.sparkSession)
     place = docs.columns.index("text")
     for pieces in benchmark_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(pieces)

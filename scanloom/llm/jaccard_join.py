@@ -33,6 +33,7 @@ from scanloom.llm.common import (
     packed,
     planes,
     slices,
+    small_batches,
     table,
     text_bytes,
     unpacked,
@@ -51,7 +52,7 @@ FREQUENT_IN_TASK = 4
 #: Members of a block; a task compares two blocks at most.
 BLOCK = 2000
 #: Keys that a task holds before it sends them on.
-HELD_KEYS = 2_000_000
+HELD_KEYS = 1_000_000
 
 _SHINGLE = [np.uint64(mixed_int(i + 77) | 1) for i in range(64)]
 
@@ -70,10 +71,10 @@ def shingle_sets(words: np.ndarray, begin: np.ndarray, width: int) -> list[np.nd
         if n >= width:
             sets.append(np.unique(hashes[low : high - width + 1]))
         elif n:
-            whole = np.uint64(n)
-            for i in range(n):
-                whole = mixed(np.array([whole + words[low + i] * _SHINGLE[i + 32]], np.uint64))[0]
-            sets.append(np.array([whole], np.uint64))
+            whole = np.array([n], np.uint64)
+            for i in range(low, high):
+                whole = mixed(whole + words[i : i + 1] * _SHINGLE[i - low + 32])
+            sets.append(whole)
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
@@ -138,7 +139,10 @@ def _summarise(width: int, percent: int):
         seen, held, size = set(), [], 0
 
         def frequent():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64),) * 2
+            keys = np.concatenate(held)
+            keys.sort()
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, counts = keys[first], np.diff(np.append(first, len(keys)))
             often = counts >= FREQUENT_IN_TASK
             keys, counts = keys[often], counts[often].astype(np.int64)
             none = pa.nulls(len(keys), pa.int64())
@@ -166,7 +170,7 @@ def _summarise(width: int, percent: int):
                     for band, _ in bands(len(members), percent):
                         held.append(cells(members, band))
                         size += len(held[-1])
-                if size > 2 * HELD_KEYS:
+                if size > HELD_KEYS:
                     yield frequent()
                     held, size = [], 0
             none = pa.nulls(len(sizes), pa.int64())
@@ -384,6 +388,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     as no id: such a row takes the least id of what it links with, or null. Repeated rows stay, each with its row.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     summary = written(texts.mapInArrow(_summarise(width, percent), _SUMMARY), "sketches")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from scanloom.llm.common import held_out, mixed, slices, table
+from scanloom.llm.common import held_out, mixed, slices, small_batches, table
 
 ORDERS = (1, 2, 3, 4)
 BINS = 1 << 15
@@ -105,7 +105,7 @@ def _count(batches):
     for batch in batches:
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-        for low, high in slices(at):
+        for low, high in slices(at, 1 << 17):
             letters, begin = letters_of(texts[low:high])
             bins, owner = ngram_bins(letters, begin)
             for lang in set(langs[low:high]):
@@ -118,6 +118,7 @@ def _count(batches):
 
 def learned(docs: DataFrame, documents: int = DOCUMENTS_A_LANGUAGE) -> Languages:
     """Learn languages from (doc_id, text, lang); null texts and languages teach nothing."""
+    small_batches(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     # A share of each language by hash of the id, so that about as many documents as asked for come from each.
@@ -176,7 +177,7 @@ def identify(texts: list[str], model: Languages) -> tuple[list[str], list[float]
     """Language, its proportion, and the whole mixture of each text."""
     langs, scores, mixes = [UNKNOWN] * len(texts), [0.0] * len(texts), [""] * len(texts)
     at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    for low, high in slices(at, 1 << 18):
+    for low, high in slices(at, 1 << 17):
         letters, begin = letters_of(texts[low:high])
         bins, owner = ngram_bins(letters, begin)
         order = np.argsort(owner, kind="stable")
@@ -201,6 +202,7 @@ def with_language(docs: DataFrame, model: Languages) -> DataFrame:
     A text that is null or has no letter is ``und`` with score 0; so is every text where no language was learned.
     Columns of ``docs`` with the names of new ones give way.
     """
+    small_batches(docs.sparkSession)
     new = {"lang_pred": pa.string(), "score": pa.float64(), "mixture": pa.string()}
     docs = docs.drop(*new)
     kinds = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("mixture", StringType())])
@@ -217,6 +219,7 @@ def with_language(docs: DataFrame, model: Languages) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Languages, share: float = ACCEPTED_SHARE) -> DataFrame:
     """``docs`` in which one learned language has at least this share; others go, as do texts without letters."""
+    small_batches(docs.sparkSession)
     place = docs.columns.index("text")
 
     def run(batches):
