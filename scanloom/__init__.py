@@ -29,7 +29,6 @@ from scanloom.operators.patch import (
     rescan,
     suppress,
     text_pairs,
-    unified_diffs,
     validate_candidates,
     verify_patches,
 )
@@ -39,10 +38,8 @@ from scanloom.operators.rules import clean_rules, default_rules, failed_rules, w
 from scanloom.operators.scan import (
     findings,
     in_scan_order,
-    load_custom_rules,
     py_facts,
     rule_findings,
-    scan,
     scan_files,
     split_lines,
     syntax_issues,

@@ -131,5 +131,4 @@ SEVERITY_LABELS = {
 
 # Limits.
 SNIPPET_SHOWN = 120
-SNIPPET_KEY = 60
 MAX_ATTEMPTS_PER_FILE = 20

@@ -94,7 +94,8 @@ def _call_fact(node: ast.Call, dotted: str, focus: bool) -> dict | None:
     keywords = {}
     for kw in node.keywords:
         if kw.arg in ("shell", "debug"):
-            keywords[kw.arg] = _is_true(kw.value)
+            # A keyword given twice parses; one that is true is enough.
+            keywords[kw.arg] = keywords.get(kw.arg, False) or _is_true(kw.value)
         elif kw.arg in ("url", "endpoint"):
             keywords.setdefault("url", kw.value)
     fact = {

@@ -7,10 +7,8 @@ is: ``patch_requests`` → (tool) → ``candidates`` → ``validate_candidates``
 
 from __future__ import annotations
 
-import difflib
 import sys
 
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,21 +37,15 @@ def first_pending(scanned: DataFrame) -> DataFrame:
     return scanned.where(F.size("findings") > 0).select("repo", "path", first.alias("f")).select("repo", "path", "f.*")
 
 
-def attempt_key(snippet: Column) -> Column:
-    return F.substring(snippet, 1, fixed.SNIPPET_KEY)
-
-
 def pending(findings: DataFrame, attempts: DataFrame) -> DataFrame:
     """Findings not attempted yet, in files that have attempts left.
 
     ``attempts`` has one row an attempt: ``repo``, ``path``, ``rule_id``,
     ``line``, ``snippet``. A file gets at most 20 attempts.
     """
-    tried = attempts.select(*FILE, "rule_id", "line", attempt_key(F.col("snippet")).alias("key"))
+    tried = attempts.select(*FILE, "rule_id", "line", "snippet")
     spent = attempts.groupBy(*FILE).agg(F.count("*").alias("n")).where(F.col("n") >= fixed.MAX_ATTEMPTS_PER_FILE)
-    open_ = findings.withColumn("key", attempt_key(F.col("snippet"))).join(
-        tried, [*FILE, "rule_id", "line", "key"], "left_anti"
-    )
+    open_ = findings.join(tried, [*FILE, "rule_id", "line", "snippet"], "left_anti")
     return open_.join(spent, FILE, "left_anti").select(*findings.columns)
 
 
@@ -67,10 +59,11 @@ def next_pending(findings: DataFrame, attempts: DataFrame) -> DataFrame:
     return pending(findings, attempts).groupBy(*FILE).agg(first).select(*FILE, "f.*").select(*findings.columns)
 
 
-def first_findings(findings: DataFrame, n: int = fixed.MAX_ATTEMPTS_PER_FILE) -> DataFrame:
-    """At most ``n`` findings a file, in scan order (the attempt limit of a file)."""
+def first_findings(findings: DataFrame, n: int | None = None) -> DataFrame:
+    """Findings with their turn in scan order; with ``n``, at most so many a file (the attempt limit)."""
     order = Window.partitionBy(*FILE).orderBy("pass", "seq")
-    return findings.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= n)
+    ranked = findings.withColumn("turn", F.row_number().over(order))
+    return ranked if n is None else ranked.where(F.col("turn") <= n)
 
 
 def prompt_rules(findings: DataFrame) -> DataFrame:
@@ -290,17 +283,22 @@ def provenance(verified: DataFrame) -> DataFrame:
     return verified.select(*FILE, "rule_id", "line", "tool", "status", "reason", "deployable")
 
 
+def latest_accepted(validated: DataFrame) -> DataFrame:
+    """One accepted candidate a file: of the latest ``round`` where there is that column, then by tool and text."""
+    order = [c for c in ("round", "tool", "text") if c in validated.columns]
+    last = F.max_by("text", F.struct(*order)).alias("new_text")
+    return validated.where("accepted").groupBy(*FILE).agg(last)
+
+
 def apply_patches(source_files: DataFrame, validated: DataFrame) -> DataFrame:
     """A new version of the files, with accepted candidates in place of old texts.
 
-    Write it to a new table. The files that stay are found by a join with the
-    keys of the accepted candidates only, so that the texts of the corpus are
-    not shuffled while those keys are few enough to be broadcast.
+    Write it to a new table. Every file keeps one row: of several accepted
+    candidates the latest counts. One left join; the texts of the corpus are
+    not shuffled while the accepted candidates are few enough to be broadcast.
     """
-    accepted = validated.where("accepted").select(*FILE, F.col("text").alias("new_text"))
-    kept = source_files.join(accepted.select(*FILE).distinct(), FILE, "left_anti")
-    changed = source_files.join(accepted, FILE).withColumn("text", F.col("new_text"))
-    return kept.select(*source_files.columns).unionByName(changed.select(*source_files.columns))
+    rows = source_files.join(latest_accepted(validated), FILE, "left")
+    return rows.withColumn("text", F.coalesce("new_text", "text")).select(*source_files.columns)
 
 
 def final_gate(file_gate: DataFrame, verified: DataFrame, grain: str = "corpus") -> DataFrame:
@@ -380,36 +378,26 @@ def delta_text(delta: DataFrame) -> DataFrame:
     return delta.groupBy(*FILE).agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("diff"))
 
 
-@F.arrow_udf(T.StringType())
-def _unified(names: pa.Array, old: pa.Array, new: pa.Array) -> pa.Array:
-    def diff(name, a, b):
-        a, b = a.splitlines(keepends=True), b.splitlines(keepends=True)
-        return "".join(difflib.unified_diff(a, b, name, name, lineterm=""))
-
-    rows = zip(names.to_pylist(), old.to_pylist(), new.to_pylist())
-    return pa.array([diff(*r) for r in rows], pa.string())
-
-
-def unified_diffs(changed: DataFrame) -> DataFrame:
-    """Unified diff of each changed file."""
-    text = [F.coalesce(c, F.lit("")) for c in ("old_text", "new_text")]
-    return changed.select(*FILE, _unified(F.col("path"), *text).alias("diff"))
-
-
 # Suppression
 
 
-def _ignored_rule(marker: str) -> str:
-    return rf"\b{marker}:\s*ignore\s+([A-Z_]+)(?:\s+(.*))?"
+#: What may follow the marker: a rule id of any case with digits, and a reason up to the next comment.
+_IGNORED = r"\b{marker}:\s*ignore\s+([A-Za-z0-9_]+)(?:\s+((?:(?!\b{marker}:\s*ignore\s).)*))?"
 
 
 def suppress(findings: DataFrame, marker: str = "scan") -> tuple[DataFrame, DataFrame]:
     """Split findings into those kept and those ignored by a comment on their line.
 
-    The comment reads ``scan: ignore RULE_ID reason``. The snippet is the line,
-    so no join is needed. The second table keeps the reason for audits.
+    The comment reads ``scan: ignore RULE_ID reason``; a line may have several.
+    The snippet is the line, so no join is needed. A finding without a snippet
+    is kept. The second table keeps the reason for audits.
     """
-    pattern = _ignored_rule(marker)
-    ignored = canonical_rule_id(F.regexp_extract("snippet", pattern, 1)) == F.col("rule_id")
-    audit = findings.where(ignored).withColumn("reason", F.regexp_extract("snippet", pattern, 2))
+    pattern = F.lit(_IGNORED.format(marker=marker))
+    rules = F.regexp_extract_all("snippet", pattern, F.lit(1))
+    reasons = F.regexp_extract_all("snippet", pattern, F.lit(2))
+    comments = F.arrays_zip(rules.alias("rule"), reasons.alias("reason"))
+    own = F.filter(comments, lambda c: canonical_rule_id(c["rule"]) == F.col("rule_id"))
+    ignored = F.coalesce(F.size(own) > 0, F.lit(False))
+    reason = F.trim(F.regexp_replace(F.get(own, F.lit(0))["reason"], r"[\s#/;,]+$", ""))
+    audit = findings.where(ignored).withColumn("reason", reason)
     return findings.where(~ignored), audit

@@ -78,7 +78,12 @@ def rule_priority(scores: DataFrame) -> DataFrame:
 
 
 def chosen_rules(priorities: DataFrame, n: int = 7) -> DataFrame:
-    """The ``n`` rules with the highest priority among those not excluded."""
-    return (
-        priorities.where(F.col("excluded").isNull()).orderBy(F.col("priority").desc(), "rule_id").limit(n)
-    )
+    """All rules with their ``rank`` by priority and whether they are ``chosen``.
+
+    The ``n`` rules with the highest priority among those not excluded are
+    chosen; an excluded rule has no rank. One row a rule keeps the window small.
+    """
+    candidate = F.col("excluded").isNull()
+    place = F.row_number().over(Window.partitionBy(candidate).orderBy(F.col("priority").desc(), "rule_id"))
+    ranked = priorities.withColumn("rank", F.when(candidate, place))
+    return ranked.withColumn("chosen", F.coalesce(F.col("rank") <= n, F.lit(False)))

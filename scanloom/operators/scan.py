@@ -133,18 +133,6 @@ def custom_findings(text: Column, language: Column, custom_rules) -> Column:
     return _over_lines(raw_lines(text), per_line)
 
 
-def load_custom_rules(table: DataFrame, most: int = 1000) -> tuple:
-    """Custom rules from a table with ``rule_id``, ``language`` and ``regex``.
-
-    The patterns become part of the plan, so their number is checked: a table
-    with more than ``most`` rows is refused.
-    """
-    rows = table.select("rule_id", "language", "regex").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} custom rules")
-    return tuple((r.rule_id, r.language, r.regex) for r in rows)
-
-
 ALL_LANGUAGES = ("python", "javascript", "typescript")
 
 
@@ -161,8 +149,11 @@ def _script_findings(text: Column, rule_ids) -> Column:
 
 
 @cache
-def _scan_column(application: str, custom_rules: tuple, languages: tuple, rule_ids: tuple) -> Column:
-    """Findings and syntax issues of a row. Building it takes long, so each application keeps it."""
+def _scan_column(application: str, custom_rules: tuple, languages: tuple, rule_ids: tuple, with_issues: bool) -> Column:
+    """Findings and syntax issues of a row. Building it takes long, so each application keeps it.
+
+    Files are parsed only for syntax rules or issues: without either, no text leaves the JVM.
+    """
     text, language = F.col("text"), F.col("language")
     is_python = language == "python"
     scripts = [name for name in languages if name != "python"]
@@ -172,13 +163,15 @@ def _scan_column(application: str, custom_rules: tuple, languages: tuple, rule_i
         F.array(F.struct(F.col("error").alias("message"), F.lit(0).alias("line"), F.lit(0).alias("col"))),
     )
     if "python" in languages:
-        facts = syntax.facts_column(F.when(is_python, text))
+        parsed = with_issues or any(rule in rule_ids for rule, _ in PY_SYNTAX_RULES)
+        facts = syntax.facts_column(F.when(is_python, text)) if parsed else None
         found = found.when(is_python, _python_findings(text, facts, rule_ids).cast(FINDINGS))
-        problems = F.transform(
-            F.filter(facts, lambda f: f["kind"] == "syntax_error"),
-            lambda f: F.struct(f["message"].alias("message"), f["lineno"].alias("line"), f["col"].alias("col")),
-        )
-        issues = issues.when(is_python & text.isNotNull(), problems)
+        if with_issues:
+            problems = F.transform(
+                F.filter(facts, lambda f: f["kind"] == "syntax_error"),
+                lambda f: F.struct(f["message"].alias("message"), f["lineno"].alias("line"), f["col"].alias("col")),
+            )
+            issues = issues.when(is_python & text.isNotNull(), problems)
     if scripts:
         found = found.when(language.isin(*scripts), _script_findings(text, rule_ids).cast(FINDINGS))
     found = found.otherwise(_nothing())
@@ -192,25 +185,26 @@ def _scan_column(application: str, custom_rules: tuple, languages: tuple, rule_i
     return F.inline(F.array(both))
 
 
-def scan_files(source_files: DataFrame, custom_rules=(), languages=ALL_LANGUAGES, rule_ids=RULE_IDS) -> DataFrame:
+def scan_files(source_files: DataFrame, custom_rules=(), languages=ALL_LANGUAGES, rule_ids=RULE_IDS, issues: bool = True) -> DataFrame:
     """Source files with two more columns, ``findings`` and ``syntax_issues``.
 
     Both arrays are computed behind one ``inline``, so that filters on them
     are not pushed below and the rules never run twice for a row; filters on
     other columns still reach the source. Where ``languages`` leaves out
     Python, no Python worker is started. ``rule_ids`` other than all seven
-    means that only those rules are computed.
+    means that only those rules are computed; ``issues`` false leaves out what
+    cannot be parsed, and with it the parser where no syntax rule needs it.
     """
     application = source_files.sparkSession.conf.get("spark.app.id")
     rules = tuple(tuple(rule) for rule in custom_rules)
-    return source_files.select("*", _scan_column(application, rules, tuple(languages), tuple(rule_ids)))
+    return source_files.select("*", _scan_column(application, rules, tuple(languages), tuple(rule_ids), issues))
 
 
 def rule_findings(source_files: DataFrame, rule_id: str, *languages: str) -> DataFrame:
     """Findings of one rule in some languages; nothing else is computed."""
     languages = languages or ALL_LANGUAGES
     chosen = source_files.where(F.col("language").isin(*languages))
-    return findings(scan_files(chosen, (), languages, (rule_id,)))
+    return findings(scan_files(chosen, (), languages, (rule_id,), issues=False))
 
 
 def findings(scanned: DataFrame) -> DataFrame:
@@ -223,12 +217,6 @@ def syntax_issues(scanned: DataFrame) -> DataFrame:
     return scanned.select("repo", "path", F.inline("syntax_issues"))
 
 
-def scan(source_files: DataFrame, custom_rules=()) -> tuple[DataFrame, DataFrame]:
-    """Findings and syntax issues of a corpus, with custom rules if given."""
-    scanned = scan_files(source_files, custom_rules)
-    return findings(scanned), syntax_issues(scanned)
-
-
 def in_scan_order(found: DataFrame) -> DataFrame:
     """Findings ordered by path components, pass and position."""
     return found.orderBy("repo", F.split("path", "/"), "pass", "seq")

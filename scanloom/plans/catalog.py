@@ -45,6 +45,13 @@ def part_findings(spark: SparkSession, folder: str) -> DataFrame:
     return scan.findings(scanned_parts(spark, folder))
 
 
+SECRETS = ("NO_HARDCODED_SECRETS",)
+
+
+def secrets_alone(files: DataFrame) -> DataFrame:
+    return scan.scan_files(files, rule_ids=SECRETS, issues=False)
+
+
 def document_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents read as Python text: only whole lines that assign a secret count."""
     return from_table(made.spread(table(spark, folder, "documents")), "doc_id", "text", language="python", repo="lang")
@@ -55,8 +62,8 @@ def document_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def documents_secrets_by_lang(spark, folder):
-    scanned = scan.scan_files(document_files(spark, folder))
-    secrets = F.filter("findings", lambda f: f["rule_id"] == "NO_HARDCODED_SECRETS")
+    scanned = secrets_alone(document_files(spark, folder))
+    secrets = F.col("findings")
     return scanned.groupBy(F.col("repo").alias("lang")).agg(
         F.count("*").alias("n_files"),
         F.sum(F.size(secrets)).alias("n_secrets"),
@@ -66,8 +73,8 @@ def documents_secrets_by_lang(spark, folder):
 
 @query
 def documents_secret_lines(spark, folder):
-    found = scan.findings(scan.scan_files(document_files(spark, folder)))
-    return found.where(F.col("rule_id") == "NO_HARDCODED_SECRETS").select(
+    found = scan.findings(secrets_alone(document_files(spark, folder)))
+    return found.select(
         F.col("path").cast("long").alias("doc_id"), "line", "snippet"
     )
 
@@ -90,7 +97,7 @@ def pages_script_lines(spark, folder):
 @query
 def pages_secret_lines(spark, folder):
     pages = made.spread(table(spark, folder, "pages")).withColumn("text", F.replace("html", F.lit("&quot;"), F.lit('"')))
-    found = scan.findings(scan.scan_files(from_table(pages, "page_id", "text", language="python", repo="url")))
+    found = scan.findings(secrets_alone(from_table(pages, "page_id", "text", language="python", repo="url")))
     return found.groupBy(F.col("path").cast("long").alias("page_id")).agg(F.count("*").alias("n_secrets"))
 
 
@@ -101,13 +108,11 @@ def conversations_code(spark, folder):
 
 @query
 def conversations_fenced_code(spark, folder):
-    """Responses with two fences, put together from the turns of a conversation."""
+    """Each turn's own text as the longer of two fenced blocks of a response."""
     turns = table(spark, folder, "conversations")
     fence = F.lit("```")
-    text = F.concat(
-        F.lit("see\n"), fence, F.lit("py\n"), F.lit("a = "), F.col("conv_id"), F.lit("\n"), fence,
-        F.lit("\nor\n"), fence, F.lit("\n"), F.lit("longer = "), F.col("turn"), F.lit(" # line\n"), fence, F.lit("\n"),
-    )
+    own = F.replace(F.coalesce("text", F.lit("")), fence, F.lit("''"))
+    text = F.concat(F.lit("see\n"), fence, F.lit("py\n"), fence, F.lit("\nor\n"), fence, F.lit("\n"), own, F.lit("\n"), fence, F.lit("\n"))
     return turns.select("conv_id", "turn", extract_code(text).alias("code"))
 
 
@@ -203,7 +208,7 @@ def custom_rule_hits(spark, folder):
         ("NO_VAR_LET", "typescript", r"\blet\s"),
         ("USES_CONST", "javascript", r"^const\s"),
     )
-    found, _ = scan.scan(part_files(spark, folder), own)
+    found = scan.findings(scan.scan_files(part_files(spark, folder), own))
     return found.where(F.col("pass") == scan.CUSTOM_PASS).select("path", "rule_id", "line", "snippet")
 
 
@@ -254,7 +259,8 @@ def gate_by_repo(spark, folder):
 def gate_from_tables(spark, folder):
     """The same from the tables of files, findings and syntax issues."""
     files = part_files(spark, folder)
-    return gate.gate_from_tables(files, *scan.scan(files), grain="repo")
+    scanned = scan.scan_files(files)
+    return gate.gate_from_tables(files, scan.findings(scanned), scan.syntax_issues(scanned), grain="repo")
 
 
 @query
@@ -421,10 +427,12 @@ def rule_priority(spark, folder):
     )
     seen = ranking.rule_frequency(scanned_parts(spark, folder)).select("rule_id", F.col("n_findings").alias("n_found"))
     ranked = ranking.rule_priority(scores.join(seen, "rule_id", "left"))
-    return ranking.chosen_rules(ranked).select(
+    return ranking.chosen_rules(ranked).where("excluded IS NULL").select(
         "rule_id",
         F.round("frequency", 3).alias("frequency"),
         F.round("priority", 3).alias("priority"),
+        "rank",
+        "chosen",
     )
 
 
@@ -445,7 +453,7 @@ def pending_after_attempts(spark, folder):
 @query
 def first_findings(spark, folder):
     """The first finding of each file under a limit of one attempt a file."""
-    return patch.first_findings(part_findings(spark, folder), 1).select("path", "rule_id", "line", "turn")
+    return patch.first_findings(part_findings(spark, folder)).select("path", "rule_id", "line", "turn")
 
 
 @query
@@ -546,12 +554,6 @@ def delta_text(spark, folder):
     return patch.delta_text(patch.line_delta(pairs)).select("path", "diff")
 
 
-@query
-def unified_diffs(spark, folder):
-    diffs = patch.unified_diffs(patch.text_pairs(part_files(spark, folder), _validated(spark, folder)))
-    return report.patch_lines(diffs).where(~F.col("text").startswith("@@")).select("path", "text")
-
-
 @query
 def patch_report(spark, folder):
     """The report of a round; findings of the new version of the corpus remain."""

@@ -185,7 +185,7 @@ ATTEMPTED = f"""open_findings AS (
   SELECT f.* FROM found f
   WHERE f.t NOT IN {SPENT}
     AND NOT (f.t IN {TRIED} AND EXISTS (SELECT 1 FROM found g WHERE g.key = f.key AND g.seq = 0
-             AND g.rule_id = f.rule_id AND g.line = f.line AND g.snippet[1:60] = f.snippet[1:60]))),
+             AND g.rule_id = f.rule_id AND g.line = f.line AND g.snippet = f.snippet))),
 next_finding AS (SELECT * FROM open_findings QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq) = 1)"""
 # What becomes of each file with a candidate: template 13 is rejected, 14 unchanged.
 PATCHED = f"""patched AS (
@@ -283,7 +283,8 @@ SELECT path, 'javascript' AS language, line_no, line FROM script_lines""",
 SELECT page_id, count(*) AS n_secrets FROM page_lines WHERE {PY_SECRET} GROUP BY page_id""",
     "conversations_code": f"""SELECT conv_id, turn, CASE WHEN {STRIPPED} = '' THEN '' ELSE {STRIPPED} || {NL} END AS code
 FROM conversations""",
-    "conversations_fenced_code": f"SELECT conv_id, turn, 'longer = ' || turn || ' # line' || {NL} AS code FROM conversations",
+    "conversations_fenced_code": f"""SELECT conv_id, turn, {STRIPPED} || {NL} AS code
+FROM (SELECT conv_id, turn, replace(coalesce(text, ''), repeat('`', 3), repeat(chr(39), 2)) AS text FROM conversations)""",
     "corpus_lines": known("SELECT path, line_no, line FROM lines"),
     "corpus_language_counts": known(
         "SELECT language, count(*) AS n_files, sum(length(text)) AS n_chars FROM corpus GROUP BY language"
@@ -400,7 +401,9 @@ FROM labelled l LEFT JOIN gated a ON a.path = l.path LEFT JOIN gated b ON b.path
     ),
     "rule_frequency": known("SELECT * FROM frequency", FREQUENCY),
     "rule_priority": known(
-        """SELECT rule_id, round(f, 3) AS frequency, round(importance * 0.6 + f * 0.4, 3) AS priority FROM (
+        """SELECT rule_id, round(f, 3) AS frequency, round(importance * 0.6 + f * 0.4, 3) AS priority,
+  row_number() OVER (ORDER BY importance * 0.6 + f * 0.4 DESC, rule_id) AS rank,
+  row_number() OVER (ORDER BY importance * 0.6 + f * 0.4 DESC, rule_id) <= 7 AS chosen FROM (
   SELECT rule_id, importance, coalesce(CASE WHEN n_findings > 0 THEN log10(n_findings)
     / log10((SELECT max(n_findings) FROM frequency)) * 5 END, freq_estimate, 0.0) AS f
   FROM scores LEFT JOIN frequency USING (rule_id) WHERE excluded IS NULL)""",
@@ -409,7 +412,7 @@ FROM labelled l LEFT JOIN gated a ON a.path = l.path LEFT JOIN gated b ON b.path
     ),
     "first_pending": known("SELECT path, rule_id, line, snippet FROM found WHERE seq = 0"),
     "pending_after_attempts": known("SELECT path, rule_id, line, snippet FROM next_finding", ATTEMPTED),
-    "first_findings": known("SELECT path, rule_id, line, 1 AS turn FROM found WHERE seq = 0"),
+    "first_findings": known("SELECT path, rule_id, line, row_number() OVER (PARTITION BY path ORDER BY seq) AS turn FROM found"),
     "prompt_rules": known("SELECT path, rule_id, min(seq) AS first_seq, max_by(line, seq) AS line FROM found GROUP BY path, rule_id"),
     "patch_requests": known(f"""SELECT path, rule_id, line, prompt FROM (SELECT f.*, guidance, text, {PROMPT.replace("path", "f.path").replace("language", "f.language")} AS prompt
   FROM found f JOIN rules USING (rule_id) JOIN corpus c ON c.key = f.key WHERE seq = 0)"""),

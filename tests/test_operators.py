@@ -13,7 +13,7 @@ SECRET = 'token = "abcd99"\n'
 
 @pytest.fixture(scope="module")
 def scanned(files):
-    one = files({"a.py": SECRET + "DEBUG = True\n", "b.py": "x = 1\n", "c.py": "def nope(:\n"}, "one")
+    one = files({"a.py": SECRET + "DEBUG = True\n", "b.py": "x = 1\n", "c.py": "if x ==:\n"}, "one")
     two = files({"d.js": "exec('x')\nexec('y')\n", "e.ts": "let a;\n"}, "two")
     return scan.scan_files(one.unionByName(two))
 
@@ -70,7 +70,7 @@ def test_report_masks_secrets_and_json_does_not(spark, scanned):
 
 
 def test_unknown_rules_get_defaults(spark, files):
-    found, _ = scan.scan(files({"a.py": "print(1)\n"}), (("OWN", "python", "print"),))
+    found = scan.findings(scan.scan_files(files({"a.py": "print(1)\n"}), (("OWN", "python", "print"),)))
     default = rules.default_rules(spark)
     assert rules.with_rules(found, default).first().severity == "medium"
     assert rules.with_guidance(found, default).first().guidance == "Replace the violation with a safe alternative."
@@ -88,7 +88,9 @@ def test_priorities_are_the_published_ones(spark):
     assert got == {"NO_HARDCODED_SECRETS": 5.00, "NO_EXEC": 4.67, "SQL_PARAM_BINDING": 4.52, "NO_NETWORK": 3.53, "NO_DEBUG_MODE": 3.52,
                    "NO_WEAK_RANDOM": 3.46, "NO_BARE_EXCEPT": 3.00, "INSECURE_DESERIALIZATION": 3.45, "CORS_WILDCARD": 3.16,
                    "INSECURE_COOKIE": 2.98}
-    chosen = [r.rule_id for r in ranking.chosen_rules(ranked).collect()]
+    ranks = ranking.chosen_rules(ranked).orderBy("rank").collect()
+    assert len(ranks) == len(got) and all(r.chosen == (r.rank is not None and r.rank <= 7) for r in ranks)
+    chosen = [r.rule_id for r in ranks if r.chosen]
     assert chosen == ["NO_HARDCODED_SECRETS", "NO_EXEC", "SQL_PARAM_BINDING", "NO_NETWORK", "NO_DEBUG_MODE", "NO_WEAK_RANDOM", "NO_BARE_EXCEPT"]
     scores = spark.createDataFrame([(5, 4, 3, 2, 1)], "a int, b int, c int, d int, e int")
     assert scores.select(ranking.importance("a", "b", "c", "d", "e")).first()[0] == pytest.approx(3.3)
@@ -149,7 +151,7 @@ def test_a_round_of_patching(spark, files):
         "a.py": "import os\nos.system('a')\nos.system('a')\nDEBUG = True\n", "b.py": "os.system('b')\n", "c.js": "exec('c')\n", "d.py": "x = 1\n",
     })
     responses = answers(spark, {
-        "a.py": "```python\nimport os\nos.system('a')\nDEBUG = False\nos.popen('z')\n```", "b.py": "```\ndef nope(:\n```", "c.js": "exec('c')",
+        "a.py": "```python\nimport os\nos.system('a')\nDEBUG = False\nos.popen('z')\n```", "b.py": "```\nif x ==:\n```", "c.js": "exec('c')",
     })
     checked = patch.validate_candidates(patch.candidates(responses)).cache()
     assert {r.path: r.accepted for r in checked.collect()} == {"a.py": True, "b.py": False, "c.js": True}
@@ -187,16 +189,6 @@ def test_a_round_of_patching(spark, files):
     assert (whole.n_patched, whole.ai_used) == (1, "beta")
 
 
-def test_unified_diff_is_that_of_difflib(files):
-    import difflib
-
-    old, new = "a\nb\nc\n", "a\nB\nc\nd\n"
-    made = patch.unified_diffs(patch.changed_files(files({"x.py": old, "same.py": "s\n"}), files({"x.py": new, "same.py": "s\n"})))
-    want = "".join(difflib.unified_diff(old.splitlines(True), new.splitlines(True), "x.py", "x.py", lineterm=""))
-    assert [(r.path, r.diff) for r in made.collect()] == [("x.py", want)]
-    assert all(not r.text.startswith(("--- ", "+++ ")) for r in report.patch_lines(made).collect())
-
-
 def test_clean_corpus_needs_no_patch(spark, files):
     clean = scan.scan_files(files({"a.py": "x = 1\n"}))
     assert patch.patch_requests(clean).count() == 0
@@ -208,7 +200,7 @@ def test_clean_corpus_needs_no_patch(spark, files):
 
 
 def test_syntax_issues_alone_block_but_patching_exits_with_zero(spark, files):
-    made = files({"a.py": "def nope(:\n"})
+    made = files({"a.py": "if x ==:\n"})
     nothing = patch.verify_patches(made, patch.validate_candidates(patch.candidates(answers(spark, {"a.py": "x"}).where("false"))))
     verdict = patch.final_gate(gate.gate(scan.scan_files(made), "file"), nothing).first()
     assert (verdict.deployable, verdict.exit_code, verdict.patch_exit_code) == (False, 1, 0)
@@ -227,7 +219,7 @@ def test_attempts_move_on_and_end(spark, files):
     assert [(r.path, r.rule_id) for r in requests] == [("a.py", "NO_DEBUG_MODE")]
     assert "abcd99" not in requests[0].prompt and "***REDACTED***" in requests[0].prompt
     many = scan.findings(scan.scan_files(files({"m.py": "DEBUG = True\n" * 30})))
-    assert patch.first_findings(many).count() == 20
+    assert patch.first_findings(many).count() == 30 and patch.first_findings(many, 20).count() == 20
 
 
 def test_each_rule_is_told_once_where_first_seen_as_last_seen(files):
@@ -255,11 +247,36 @@ def test_suppression_is_by_rule_and_keeps_the_reason(files):
     assert rows(audit.select("path", "reason"), "path") == [("a.py", "local only"), ("c.py", "")]
 
 
-def test_custom_rules_from_a_table_are_counted(spark):
-    table = spark.createDataFrame([("A", "python", "x", "high"), ("B", "python", "y", "low")], "rule_id string, language string, regex string, severity string")
-    assert sorted(scan.load_custom_rules(table)) == [("A", "python", "x"), ("B", "python", "y")]
-    with pytest.raises(ValueError):
-        scan.load_custom_rules(table, 1)
+def test_suppression_keeps_null_snippets_and_reads_every_comment(spark):
+    rows_ = [("r", "a", "NO_EXEC", None), ("r", "b", "OWN2_x", "x()  # scan: ignore OWN2_x why not"),
+             ("r", "c", "NO_EXEC", "y()  # scan: ignore NO_NETWORK one # scan: ignore NO_EXEC two")]
+    found = spark.createDataFrame(rows_, "repo string, path string, rule_id string, snippet string")
+    kept, audit = patch.suppress(found)
+    assert [r.path for r in kept.collect()] == ["a"]
+    assert rows(audit.select("path", "reason"), "path") == [("b", "why not"), ("c", "two")]
+
+
+def test_one_candidate_a_file_is_applied(spark, files):
+    before = files({"a.py": "x = 1\n", "b.py": "y = 1\n"})
+    several = spark.createDataFrame(
+        [("r", "a.py", "late\n", 2, True), ("r", "a.py", "early\n", 1, True), ("r", "b.py", "no\n", 1, False)],
+        "repo string, path string, text string, round int, accepted boolean",
+    )
+    assert rows(patch.apply_patches(before, several).select("path", "text"), "path") == [("a.py", "late\n"), ("b.py", "y = 1\n")]
+
+
+def test_repeated_keywords_count_if_any_is_true(files):
+    made = files({"a.py": "import subprocess\nsubprocess.run('x', shell=True, shell=False)\napp.run(debug=True, debug=False)\n"})
+    found = rows(scan.findings(scan.scan_files(made)).select("rule_id", "line"), "line")
+    assert found == [("NO_EXEC", 2), ("NO_DEBUG_MODE", 3)]
+
+
+def test_line_rules_alone_start_no_python(files):
+    made = files({"a.py": SECRET})
+    for frame in (scan.rule_findings(made, "NO_HARDCODED_SECRETS"), scan.scan_files(made, rule_ids=("NO_HARDCODED_SECRETS",), issues=False)):
+        assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+        assert frame.count() == 1
+    assert "Python" in scan.scan_files(made)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_single_rules_agree_with_the_whole_scan(files):
@@ -316,7 +333,7 @@ def test_whole_patch_report(spark, files):
     checked = patch.validate_candidates(patch.candidates(answers(spark, {"a.py": "x = 1\n" + SECRET})))
     remaining = scan.findings(patch.rescan(before, checked))
     told = patch.patch_explanations(scan.findings(scan.scan_files(before)).where("rule_id = 'NO_EXEC'"))
-    diffs = patch.unified_diffs(patch.text_pairs(before, checked))
+    diffs = patch.delta_text(patch.line_delta(patch.text_pairs(before, checked)))
     lines = report.patch_report(patch.verify_patches(before, checked), told, diffs, remaining)
     texts = [r.text for r in lines.orderBy("section", "line", "part").collect()]
     assert texts[0] == "✓  a.py patched" and "    +x = 1" in texts
@@ -358,6 +375,7 @@ def test_deltas_and_changes_agree_with_counting(spark, files):
 
 
 def test_gate_from_tables_counts_clean_files(files):
-    made = files({"a.py": SECRET, "b.py": "x = 1\n", "c.py": "def nope(:\n"})
-    from_tables = gate.gate_from_tables(made, *scan.scan(made), grain="file")
+    made = files({"a.py": SECRET, "b.py": "x = 1\n", "c.py": "if x ==:\n"})
+    scanned = scan.scan_files(made)
+    from_tables = gate.gate_from_tables(made, scan.findings(scanned), scan.syntax_issues(scanned), grain="file")
     assert rows(from_tables, "path") == rows(gate.gate(scan.scan_files(made), "file"), "path")

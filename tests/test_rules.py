@@ -196,7 +196,7 @@ def test_facts_as_table_and_table_function(spark, files):
 
 def test_custom_rules_are_added_after_the_others(files):
     own = (("NO_PRINT", "python", r"\bprint\("), ("NO_ALERT", "javascript", r"alert\("))
-    rows, issues = scan.scan(files({"a.py": "print(1)\nDEBUG = True\n", "b.js": "alert(1)\n"}), own)
+    rows = scan.findings(scan.scan_files(files({"a.py": "print(1)\nDEBUG = True\n", "b.js": "alert(1)\n"}), own))
     got = sorted((r.path, r.seq, r.rule_id, r.line) for r in rows.collect())
     assert got == [("a.py", 0, "NO_DEBUG_MODE", 2), ("a.py", 1, "NO_PRINT", 1), ("b.js", 0, "NO_ALERT", 1)]
 
