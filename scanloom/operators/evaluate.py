@@ -9,11 +9,17 @@ from scanloom.operators.gate import gate
 from scanloom.operators.scan import findings as findings_of
 
 
+def _keys(expected: DataFrame) -> list[str]:
+    """What names a file: repository and path, or the path alone in a manifest of one repository (without ``repo``)."""
+    return ["repo", "path"] if "repo" in expected.columns else ["path"]
+
+
 def labelled_files(expected: DataFrame) -> DataFrame:
     """Every file of a manifest once a category; counterparts count as ``fixed``."""
-    given = expected.select("category", F.col("file").alias("path"))
+    repo = _keys(expected)[:-1]
+    given = expected.select(*repo, "category", F.col("file").alias("path"))
     fixed = expected.where(F.col("fixed_file").isNotNull()).select(
-        F.lit("fixed").alias("category"), F.col("fixed_file").alias("path")
+        *repo, F.lit("fixed").alias("category"), F.col("fixed_file").alias("path")
     )
     return given.unionByName(fixed).distinct()
 
@@ -23,7 +29,8 @@ def evaluate_files(file_gate: DataFrame, expected: DataFrame) -> DataFrame:
 
     Files of the manifest that were not scanned are left out.
     """
-    joined = labelled_files(expected).join(file_gate.select("path", "deployable"), "path")
+    keys = _keys(expected)
+    joined = labelled_files(expected).join(file_gate.select(*keys, "deployable"), keys)
     return joined.groupBy("category").agg(
         F.count("*").alias("n_files"),
         F.count_if(~F.col("deployable")).alias("n_blocked"),
@@ -35,7 +42,7 @@ def evaluate_files(file_gate: DataFrame, expected: DataFrame) -> DataFrame:
 def expected_hits(expected: DataFrame) -> DataFrame:
     """One row a case and expected line; cases without lines keep one row."""
     return expected.select(
-        "case_id", "category", "language", "rule", F.col("file").alias("path"), F.explode_outer("expected_lines").alias("line")
+        *_keys(expected)[:-1], "case_id", "category", "language", "rule", F.col("file").alias("path"), F.explode_outer("expected_lines").alias("line")
     )
 
 
@@ -45,14 +52,16 @@ def found_lines(findings: DataFrame, expected: DataFrame) -> DataFrame:
     The null tests are those that joins would add; given here, all joins with
     this table have the same input and Spark computes it once.
     """
-    named = expected.select(F.col("file").alias("path")).distinct()
+    keys = _keys(expected)
+    named = expected.select(*keys[:-1], F.col("file").alias("path")).distinct()
     whole = findings.where("path IS NOT NULL AND rule_id IS NOT NULL AND line IS NOT NULL")
-    return whole.join(named, "path", "left_semi").groupBy("path", "rule_id", "line").agg(F.count("*").alias("n_found"))
+    return whole.join(named, keys, "left_semi").groupBy(*keys, "rule_id", "line").agg(F.count("*").alias("n_found"))
 
 
 def _match(found: DataFrame, expected: DataFrame) -> DataFrame:
     hits = expected_hits(expected).where(F.col("line").isNotNull()).withColumnRenamed("rule", "rule_id")
-    return hits.join(found, ["path", "rule_id", "line"], "full_outer").select(
+    return hits.join(found, [*_keys(expected), "rule_id", "line"], "full_outer").select(
+        *_keys(expected)[:-1],
         "case_id",
         "category",
         "path",
@@ -80,26 +89,28 @@ def evaluate_cases(findings: DataFrame, expected: DataFrame) -> DataFrame:
     Cases bring their number of findings in the file, and their lines, in two
     joins that share one counted layout of the findings.
     """
+    keys = _keys(expected)
     found = found_lines(findings, expected)
-    lines = expected_hits(expected).select("case_id", F.col("rule").alias("rule_id"), "path", "line").where(
+    lines = expected_hits(expected).select("case_id", F.col("rule").alias("rule_id"), *keys, "line").where(
         F.col("line").isNotNull()
     )
     per_case = (
-        lines.join(found, ["path", "rule_id", "line"], "left")
+        lines.join(found, [*keys, "rule_id", "line"], "left")
         .groupBy("case_id")
         .agg(
             F.count("n_found").alias("n_hit"),
             F.count_if(F.col("n_found").isNull()).alias("n_missed"),
         )
     )
-    counts = found.groupBy("path", "rule_id").agg(F.sum("n_found").alias("n_found"))
+    counts = found.groupBy(*keys, "rule_id").agg(F.sum("n_found").alias("n_found"))
     cases = expected.select(
-        "case_id", "category", "language", F.col("rule").alias("rule_id"), F.col("file").alias("path"), "expected_count"
+        *keys[:-1], "case_id", "category", "language", F.col("rule").alias("rule_id"), F.col("file").alias("path"), "expected_count"
     )
     return (
         cases.join(per_case, "case_id", "left")
-        .join(counts, ["path", "rule_id"], "left")
+        .join(counts, [*keys, "rule_id"], "left")
         .select(
+            *keys[:-1],
             "case_id",
             "category",
             "language",
@@ -147,12 +158,13 @@ def sources_by_rule(expected: DataFrame) -> DataFrame:
 
 def counterparts(file_gate: DataFrame, expected: DataFrame) -> DataFrame:
     """Vulnerable files next to their fixed counterparts, with both verdicts."""
-    pairs = expected.where(F.col("fixed_file").isNotNull()).select("file", "fixed_file").distinct()
-    verdict = file_gate.select("path", "deployable")
+    repo = _keys(expected)[:-1]
+    pairs = expected.where(F.col("fixed_file").isNotNull()).select(*repo, "file", "fixed_file").distinct()
+    verdict = file_gate.select(*repo, "path", "deployable")
     return (
-        pairs.join(verdict.select(F.col("path").alias("file"), F.col("deployable").alias("deployable")), "file", "left")
-        .join(verdict.select(F.col("path").alias("fixed_file"), F.col("deployable").alias("fixed_deployable")), "fixed_file", "left")
-        .select("file", "fixed_file", "deployable", "fixed_deployable")
+        pairs.join(verdict.select(*repo, F.col("path").alias("file"), "deployable"), [*repo, "file"], "left")
+        .join(verdict.select(*repo, F.col("path").alias("fixed_file"), F.col("deployable").alias("fixed_deployable")), [*repo, "fixed_file"], "left")
+        .select(*repo, "file", "fixed_file", "deployable", "fixed_deployable")
     )
 
 

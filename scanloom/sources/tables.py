@@ -80,7 +80,7 @@ def write_json(scanned: DataFrame, path: str, redact: bool = False) -> None:
 def write_findings(found: DataFrame, path: str) -> None:
     """Findings as parquet, one folder a rule, so that a rule can be read alone.
 
-    Rows are spread by rule and file, so a rule with most findings is still
+    Rows are spread by rule, repository and file, so a rule with most findings is still
     written by many tasks.
     """
-    found.repartition("rule_id", "path").write.partitionBy("rule_id").mode("errorifexists").parquet(str(path))
+    found.repartition("rule_id", "repo", "path").write.partitionBy("rule_id").mode("errorifexists").parquet(str(path))

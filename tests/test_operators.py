@@ -102,6 +102,23 @@ def test_frequency_counts_files_and_repositories_once(scanned):
     assert got["NO_NETWORK"] == (0, 0, 0, 0.0)
 
 
+def test_repositories_that_share_paths_are_kept_apart(spark, files):
+    made = files({"a.js": "exec(1)\n"}, "one").unionByName(files({"a.js": "x\n", "f.js": "y\n"}, "two"))
+    scanned = scan.scan_files(made)
+    cases = [("one", "1", "vulnerable", "a.js", [1], 1, None), ("two", "2", "false_positive", "a.js", [], 0, "f.js")]
+    expected = spark.createDataFrame(
+        [(r, c, k, "javascript", "NO_EXEC", f, lines, n, fixed) for r, c, k, f, lines, n, fixed in cases],
+        "repo string, case_id string, category string, language string, rule string, file string, expected_lines array<int>, expected_count int, fixed_file string",
+    )
+    found, verdicts = scan.findings(scanned), gate.gate(scanned, "file")
+    by_case = {r.case_id: (r.repo, r.n_hit, r.n_found, r.count_agrees) for r in evaluate.evaluate_cases(found, expected).collect()}
+    assert by_case == {"1": ("one", 1, 1, True), "2": ("two", 0, 0, True)}
+    by_category = {r.category: (r.n_files, r.n_right) for r in evaluate.evaluate_files(verdicts, expected).collect()}
+    assert by_category == {"vulnerable": (1, 1), "false_positive": (1, 1), "fixed": (1, 1)}
+    assert [r.outcome for r in evaluate.match_lines(found, expected).collect()] == ["hit"]
+    assert [(r.repo, r.file, r.fixed_deployable) for r in evaluate.counterparts(verdicts, expected).collect()] == [("two", "a.js", True)]
+
+
 def test_manifest_and_evaluation(spark, files, tmp_path):
     cases = [
         {"case_id": "1", "category": "vulnerable", "rule": "NO_EXEC", "file": "v.js", "expected_lines": [1, 3], "expected_count": 2,
