@@ -13,7 +13,7 @@ from scanloom.llm.common import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a learned language holds half at least; null texts and texts without letters go."""
+    """Documents of which one learned language holds three tenths at least; null texts and texts without letters go."""
     return language.accepted(docs, language.learned(docs))
 
 

@@ -28,8 +28,8 @@ SMOOTHING = 0.5
 STEPS = 20
 #: A further language must gain this many times the log of the number of n-grams.
 PENALTY = 3.0
-#: Documents with a lower share of their language are rejected by the pipeline.
-ACCEPTED_SHARE = 0.5
+#: The pipeline rejects documents in which no language has this share: mixtures of many, and texts without letters.
+ACCEPTED_SHARE = 0.3
 UNKNOWN = "und"
 
 
