@@ -26,15 +26,17 @@ from scanloom.operators.patch import (
     patch_requests,
     patch_result,
     provenance,
+    record_attempts,
     rescan,
+    spent_files,
     suppress,
     text_pairs,
     validate_candidates,
     verify_patches,
 )
 from scanloom.operators.ranking import chosen_rules, importance, rule_frequency, rule_priority
-from scanloom.operators.report import patch_report, report, report_lines, scan_json, verdict_lines
-from scanloom.operators.rules import clean_rules, default_rules, failed_rules, with_guidance, with_rules
+from scanloom.operators.report import patch_json, patch_report, progress_lines, report, report_lines, scan_json, verdict_lines
+from scanloom.operators.rules import clean_rules, default_rules, failed_rules, rules_with_own, with_guidance, with_rules
 from scanloom.operators.scan import (
     findings,
     in_scan_order,
@@ -54,6 +56,6 @@ from scanloom.sources.tables import (
     write_json,
 )
 from scanloom.sources.tree import list_tree, read_tree
-from scanloom.streaming.stream import gate_each_batch, new_arrivals, scan_stream, windowed_findings
+from scanloom.streaming.stream import gate_each_batch, new_arrivals, run_windows, scan_stream, windowed_findings
 
 __all__ = [name for name in dir() if not name.startswith("_") and name not in ("functions", "operators", "sources", "streaming", "plans", "session")]

@@ -130,5 +130,4 @@ SEVERITY_LABELS = {
 }
 
 # Limits.
-SNIPPET_SHOWN = 120
 MAX_ATTEMPTS_PER_FILE = 20

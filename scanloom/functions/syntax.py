@@ -278,15 +278,6 @@ def problem_column(text: Column) -> Column:
     return _problem_udf(text)
 
 
-class PyFacts:
-    """Table function for SQL: ``SELECT * FROM files, LATERAL py_facts(files.text)``."""
-
-    def eval(self, text: str):
-        with _quiet():
-            facts = extract_facts(text) if text is not None else []
-        for fact in facts:
-            yield tuple(list(v) if isinstance(v := fact.get(name), tuple) else v for name in _NAMES)
-
-
 def register_py_facts(spark) -> None:
-    spark.udtf.register("py_facts", F.udtf(PyFacts, returnType=FACT, useArrow=True))
+    """``py_facts(text)`` for SQL, an array of facts: ``SELECT * FROM files, LATERAL inline(py_facts(files.text))``."""
+    spark.udf.register("py_facts", _facts_udf(False))

@@ -37,26 +37,47 @@ def first_pending(scanned: DataFrame) -> DataFrame:
     return scanned.where(F.size("findings") > 0).select("repo", "path", first.alias("f")).select("repo", "path", "f.*")
 
 
-def pending(findings: DataFrame, attempts: DataFrame) -> DataFrame:
+ATTEMPT = [*FILE, "rule_id", "line", "snippet"]
+
+
+def _spent(attempts: DataFrame, most: int) -> DataFrame:
+    return attempts.groupBy(*FILE).agg(F.count("*").alias("n_attempts")).where(F.col("n_attempts") >= most)
+
+
+def pending(findings: DataFrame, attempts: DataFrame, most: int | None = fixed.MAX_ATTEMPTS_PER_FILE) -> DataFrame:
     """Findings not attempted yet, in files that have attempts left.
 
     ``attempts`` has one row an attempt: ``repo``, ``path``, ``rule_id``,
-    ``line``, ``snippet``. A file gets at most 20 attempts.
+    ``line``, ``snippet``. A file gets at most ``most`` attempts, or any number
+    with None; ``spent_files`` tells which files have none left.
     """
-    tried = attempts.select(*FILE, "rule_id", "line", "snippet")
-    spent = attempts.groupBy(*FILE).agg(F.count("*").alias("n")).where(F.col("n") >= fixed.MAX_ATTEMPTS_PER_FILE)
-    open_ = findings.join(tried, [*FILE, "rule_id", "line", "snippet"], "left_anti")
-    return open_.join(spent, FILE, "left_anti").select(*findings.columns)
+    open_ = findings.join(attempts.select(*ATTEMPT), ATTEMPT, "left_anti")
+    if most is not None:
+        open_ = open_.join(_spent(attempts, most), FILE, "left_anti")
+    return open_.select(*findings.columns)
+
+
+def spent_files(findings: DataFrame, attempts: DataFrame, most: int = fixed.MAX_ATTEMPTS_PER_FILE) -> DataFrame:
+    """Files that still have findings not attempted but no attempts left."""
+    open_ = findings.join(attempts.select(*ATTEMPT), ATTEMPT, "left_anti")
+    left = open_.groupBy(*FILE).agg(F.count("*").alias("n_open"))
+    return left.join(_spent(attempts, most), FILE).select(*FILE, "n_attempts", "n_open", F.lit("spent").alias("status"))
+
 
+def record_attempts(requests: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
+    """Attempts so far and those that a round of requests makes: the input of the next round."""
+    made = requests.select(*ATTEMPT)
+    return made if attempts is None else attempts.select(*ATTEMPT).unionByName(made)
 
-def next_pending(findings: DataFrame, attempts: DataFrame) -> DataFrame:
+
+def next_pending(findings: DataFrame, attempts: DataFrame, most: int | None = fixed.MAX_ATTEMPTS_PER_FILE) -> DataFrame:
     """The first finding of every file that was not attempted yet.
 
     A minimum of structs combines before the shuffle; no file is sorted.
     """
     rest = [c for c in findings.columns if c not in (*FILE, "pass", "seq")]
     first = F.min(F.struct("pass", "seq", *rest)).alias("f")
-    return pending(findings, attempts).groupBy(*FILE).agg(first).select(*FILE, "f.*").select(*findings.columns)
+    return pending(findings, attempts, most).groupBy(*FILE).agg(first).select(*FILE, "f.*").select(*findings.columns)
 
 
 def first_findings(findings: DataFrame, n: int | None = None) -> DataFrame:
@@ -123,7 +144,12 @@ def patch_requests(scanned: DataFrame, attempts: DataFrame | None = None) -> Dat
         redact(F.col("text")),
     )
     return rows.select(
-        *FILE, "language", F.col("f.rule_id").alias("rule_id"), F.col("f.line").alias("line"), prompt.alias("prompt")
+        *FILE,
+        "language",
+        F.col("f.rule_id").alias("rule_id"),
+        F.col("f.line").alias("line"),
+        F.col("f.snippet").alias("snippet"),
+        prompt.alias("prompt"),
     )
 
 
@@ -151,10 +177,9 @@ def patch_explanations(findings: DataFrame) -> DataFrame:
 
 
 def candidates(responses: DataFrame) -> DataFrame:
-    """Code of each response: its longest fenced block, or all of it."""
-    return responses.select(
-        *FILE, "rule_id", "line", "tool", extract_code(F.col("response")).alias("text")
-    )
+    """Code of each response: its longest fenced block, or all of it. A ``round`` is kept where there is one."""
+    round_ = [c for c in ("round",) if c in responses.columns]
+    return responses.select(*FILE, "rule_id", "line", "tool", *round_, extract_code(F.col("response")).alias("text"))
 
 
 def validate_candidates(proposed: DataFrame) -> DataFrame:
@@ -175,7 +200,7 @@ def validate_candidates(proposed: DataFrame) -> DataFrame:
 
 def _before_and_after(source_files: DataFrame, validated: DataFrame) -> DataFrame:
     """Files with a candidate: old text, new text (the old one if rejected) and status."""
-    new = validated.select(*FILE, "rule_id", "line", "tool", "accepted", "reason", F.col("text").alias("new_text"))
+    new = latest_candidates(validated).withColumnRenamed("text", "new_text")
     joined = source_files.join(new, FILE)
     status = (
         F.when(~F.col("accepted"), "error")
@@ -233,7 +258,7 @@ def finding_difference(before: DataFrame, after: DataFrame) -> tuple[DataFrame,
 
 
 def verify_patches(source_files: DataFrame, validated: DataFrame) -> DataFrame:
-    """One row a candidate: status, findings before and after, verdict.
+    """One row a file with a candidate (its latest): status, findings before and after, verdict.
 
     Files are first reduced to those with a candidate; old and new text are
     then scanned side by side in one row.
@@ -283,6 +308,14 @@ def provenance(verified: DataFrame) -> DataFrame:
     return verified.select(*FILE, "rule_id", "line", "tool", "status", "reason", "deployable")
 
 
+def latest_candidates(validated: DataFrame) -> DataFrame:
+    """One candidate a file: the latest accepted one, or the latest of those rejected."""
+    kept = [c for c in ("rule_id", "line", "tool", "accepted", "reason", "text") if c in validated.columns]
+    order = [c for c in ("accepted", "round", "tool", "text") if c in validated.columns]
+    last = F.max_by(F.struct(*kept), F.struct(*order)).alias("last")
+    return validated.groupBy(*FILE).agg(last).select(*FILE, "last.*")
+
+
 def latest_accepted(validated: DataFrame) -> DataFrame:
     """One accepted candidate a file: of the latest ``round`` where there is that column, then by tool and text."""
     order = [c for c in ("round", "tool", "text") if c in validated.columns]
@@ -321,10 +354,14 @@ def final_gate(file_gate: DataFrame, verified: DataFrame, grain: str = "corpus")
     return verdicts(latest, grain).withColumn("patch_exit_code", F.when(F.col("n_findings") > 0, 1).otherwise(0))
 
 
+def _tools_used() -> Column:
+    return F.when(F.count("*") == 0, "none").otherwise(F.array_join(F.array_sort(F.collect_set("tool")), ","))
+
+
 def patch_result(file_gate: DataFrame, verified: DataFrame) -> DataFrame:
-    """One row on the whole round. With no candidate at all the tool is ``none``."""
+    """One row on the whole round, with the names of the tools that answered; ``none`` without candidates."""
     done = verified.agg(
-        F.count_if(F.col("status") == "patched").alias("n_patched"), F.coalesce(F.min("tool"), F.lit("none")).alias("ai_used")
+        F.count_if(F.col("status") == "patched").alias("n_patched"), _tools_used().alias("ai_used")
     )
     parts = done.unionByName(final_gate(file_gate, verified), allowMissingColumns=True)
     return parts.agg(*(F.max(c).alias(c) for c in parts.columns))

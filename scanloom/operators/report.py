@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import fixed, fixed_rules
-from scanloom.functions.text import base_name, redact as mask, strip_both
+from scanloom.functions.fixed_rules import RULE_IDS
+from scanloom.functions.text import base_name, canonical_rule_id, redact as mask, strip_both
 from scanloom.operators.gate import severity_rank
 from scanloom.operators.rules import with_everything
 from scanloom.operators.scan import FINDINGS
@@ -23,7 +24,7 @@ def _shown(snippet: Column, redact: bool) -> Column:
 
 
 def report(findings: DataFrame, rules: DataFrame, redact: bool = True) -> DataFrame:
-    """One row a finding with everything a reader needs; secrets are masked."""
+    """One row a finding with everything a reader needs; secrets are masked, lines are whole."""
     rows = with_everything(findings, rules)
     return rows.select(
         "repo",
@@ -34,7 +35,7 @@ def report(findings: DataFrame, rules: DataFrame, redact: bool = True) -> DataFr
         _label(F.col("severity")).alias("badge"),
         "rule_name",
         F.concat(base_name(F.col("path")), F.lit(":"), F.col("line")).alias("location"),
-        F.substring(_shown(F.col("snippet"), redact), 1, fixed.SNIPPET_SHOWN).alias("snippet"),
+        _shown(F.col("snippet"), redact).alias("snippet"),
         "why",
         "fix",
     )
@@ -82,14 +83,11 @@ def verdict_lines(counts: DataFrame) -> DataFrame:
     )
 
 
-def scan_json(scanned: DataFrame, redact: bool = False) -> DataFrame:
-    """One JSON document a file: its findings, syntax issues and verdict.
-
-    Secrets appear as they are in the code unless ``redact`` is set.
-    """
-    pairs = [F.lit(x) for rule in fixed_rules.RULES for x in (rule.rule_id, rule.description)]
-    descriptions = F.create_map(*pairs)
-    violations = F.transform(
+def _violations(redact: bool, custom_rules=()) -> Column:
+    told = {rule.rule_id: rule.description for rule in fixed_rules.RULES}
+    told |= {rule[0]: rule[4] for rule in custom_rules if len(rule) > 4}
+    descriptions = F.create_map(*(F.lit(x) for pair in told.items() for x in pair))
+    return F.transform(
         F.col("findings").cast(FINDINGS.replace("pass:int", "pass:int,seq:int")),
         lambda f: F.struct(
             f["rule_id"].alias("rule_id"),
@@ -101,19 +99,63 @@ def scan_json(scanned: DataFrame, redact: bool = False) -> DataFrame:
             F.try_element_at(descriptions, f["rule_id"]).alias("explanation"),
         ),
     )
+
+
+def _issues() -> Column:
+    return F.transform(
+        "syntax_issues",
+        lambda i: F.struct(F.col("path").alias("file"), i["message"].alias("message"), i["line"].alias("line"), i["col"].alias("col")),
+    )
+
+
+def _deployable() -> Column:
+    return (F.size("findings") == 0) & (F.size("syntax_issues") == 0)
+
+
+def scan_json(scanned: DataFrame, redact: bool = False, custom_rules=()) -> DataFrame:
+    """One JSON document a file: its findings, syntax issues and verdict.
+
+    ``pass_count`` is the number of rules without a finding. Secrets appear as
+    they are in the code unless ``redact`` is set.
+    """
+    rules = F.array(*(F.lit(name) for name in dict.fromkeys((*RULE_IDS, *(rule[0] for rule in custom_rules)))))
+    broken = F.transform("findings", lambda f: f["rule_id"])
     document = F.struct(
         F.col("path").alias("file"),
-        violations.alias("violations"),
+        _violations(redact, custom_rules).alias("violations"),
+        F.size(F.array_except(rules, broken)).alias("pass_count"),
         F.size("findings").alias("fail_count"),
-        ((F.size("findings") == 0) & (F.size("syntax_issues") == 0)).alias("deployable"),
-        F.transform(
-            "syntax_issues",
-            lambda i: F.struct(F.col("path").alias("file"), i["message"].alias("message"), i["line"].alias("line"), i["col"].alias("col")),
-        ).alias("syntax_errors"),
+        _deployable().alias("deployable"),
+        _issues().alias("syntax_errors"),
     )
     return scanned.select("repo", "path", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
 
 
+def patch_json(after: DataFrame, diffs: DataFrame, explanations: DataFrame, redact: bool = False) -> DataFrame:
+    """One JSON document a file with a candidate: what was changed and why, and what remains.
+
+    ``after`` comes from ``rescan``, ``diffs`` from ``delta_text``. Only the patch that was applied is explained.
+    """
+    texts = ("rule_id", "rule_name", "line", "title", "summary", "guidance", "reference")
+    applied = F.col("status") == "patched"
+    told = explanations.select(
+        "repo", "path", F.col("rule_id").alias("_rule"), F.col("line").alias("_line"), F.struct(F.col("path").alias("file"), *texts).alias("_told")
+    )
+    rows = after.withColumns({"_rule": canonical_rule_id(F.col("rule_id")), "_line": F.col("line")})
+    rows = rows.join(told, ["repo", "path", "_rule", "_line"], "left").join(diffs, ["repo", "path"], "left")
+    document = F.struct(
+        F.when(applied, F.array("path")).otherwise(F.array().cast("array<string>")).alias("patched_files"),
+        F.when(applied & F.col("diff").isNotNull(), F.create_map("path", "diff")).alias("diffs"),
+        F.array_compact(F.array(F.when(applied, F.col("_told")))).alias("patch_explanations"),
+        _violations(redact).alias("remaining_violations"),
+        _deployable().alias("deployable"),
+        F.col("tool").alias("ai_used"),
+        F.array("path").alias("scanned_files"),
+        _issues().alias("syntax_errors"),
+    )
+    return rows.select("repo", "path", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def patch_lines(diffs: DataFrame) -> DataFrame:
     """Lines of a table of diff texts (``path``, ``diff``) without file headers."""
     lines = diffs.select("repo", "path", F.posexplode(F.split("diff", "\n")).alias("at", "text"))
@@ -140,29 +182,54 @@ def remaining_lines(findings: DataFrame, redact: bool = False) -> DataFrame:
     return findings.select("repo", "path", "line", "seq", text.alias("text"))
 
 
+def progress_lines(verified: DataFrame) -> DataFrame:
+    """One line of text for each candidate: applied, without effect or rejected."""
+    finding = F.format_string("%s  %s:%d", F.col("rule_id"), base_name(F.col("path")), F.col("line"))
+    text = (
+        F.when(F.col("status") == "patched", F.concat(F.lit("✓ "), finding))
+        .when(F.col("status") == "unchanged", F.concat(F.lit("↷  "), finding, F.lit("  (no change)")))
+        .otherwise(F.concat(F.lit("✗  "), finding, F.lit("  "), F.coalesce("reason", F.lit(""))))
+    )
+    return verified.select("repo", "path", "line", text.alias("text"))
+
+
 def patch_report(
     verified: DataFrame,
     explanations: DataFrame,
     diffs: DataFrame | None = None,
     remaining: DataFrame | None = None,
     redact: bool = False,
+    issues: DataFrame | None = None,
+    verdict: DataFrame | None = None,
 ) -> DataFrame:
-    """Lines of the patch report: status a file, its diff, explanations, remaining findings.
+    """Lines of the patch report: patched files, diffs, explanations, syntax issues, verdict, remaining findings.
 
-    Order by ``section``, path components, ``line`` and ``part`` to print it.
+    Only applied patches are listed and explained. ``verdict`` is the row of
+    ``final_gate``; its line belongs to no file. Order by ``section``, path
+    components, ``line`` and ``part`` to print it.
     """
+    patched = verified.where(F.col("status") == "patched")
+    applied = patched.select("repo", "path", canonical_rule_id(F.col("rule_id")).alias("rule_id"), "line")
+    explanations = explanations.join(applied, ["repo", "path", "rule_id", "line"], "left_semi")
 
     def section(number: int, lines: DataFrame, line, part) -> DataFrame:
         return lines.select(
             "repo", "path", F.lit(number).alias("section"), line.cast("int").alias("line"), part.cast("int").alias("part"), "text"
         )
 
-    status = F.format_string("✓  %s %s", base_name(F.col("path")), F.col("status"))
-    report = section(0, verified.withColumn("text", status), F.lit(0), F.lit(0))
+    status = F.format_string("✓  %s patched", base_name(F.col("path")))
+    report = section(0, patched.withColumn("text", status), F.lit(0), F.lit(0))
     if diffs is not None:
         indented = patch_lines(diffs).withColumn("text", F.concat(F.lit("    "), "text"))
         report = report.unionByName(section(1, indented, F.col("at"), F.lit(0)))
     report = report.unionByName(section(2, explanation_lines(explanations), F.col("line"), F.col("part")))
+    if issues is not None:
+        report = report.unionByName(section(3, issue_lines(issues), F.lit(0), F.lit(0)))
+    if verdict is not None:
+        closing = F.when(F.col("deployable"), "🚀 Deployment Approved").otherwise("Remaining violations:")
+        of_no_file = F.lit(None).cast("string")
+        closed = verdict.select(of_no_file.alias("repo"), of_no_file.alias("path"), closing.alias("text"))
+        report = report.unionByName(section(4, closed, F.lit(0), F.lit(0)))
     if remaining is not None:
-        report = report.unionByName(section(3, remaining_lines(remaining, redact), F.col("line"), F.col("seq")))
+        report = report.unionByName(section(5, remaining_lines(remaining, redact), F.col("line"), F.col("seq")))
     return report

@@ -23,6 +23,17 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return local_table(spark, rows, dict.fromkeys(names, pa.string()))
 
 
+def rules_with_own(spark: SparkSession, custom_rules) -> DataFrame:
+    """The seven rules and own ones, given as (rule id, language, pattern, severity, description); the last two may be left out."""
+    names = ("rule_id", "name", "severity", "description", "rule_type")
+    own = {rule[0]: rule for rule in custom_rules}
+    rows = [
+        {"rule_id": r[0], "name": r[0], "severity": (*r, None, None)[3], "description": (*r, None, None)[4], "rule_type": "CUSTOM"}
+        for r in own.values()
+    ]
+    return default_rules(spark).unionByName(local_table(spark, rows, dict.fromkeys(names, pa.string())), allowMissingColumns=True)
+
+
 def rule_aliases(spark: SparkSession) -> DataFrame:
     rows = [{"alias": a, "rule_id": r} for a, r in fixed.RULE_ALIASES.items()]
     return local_table(spark, rows, {"alias": pa.string(), "rule_id": pa.string()})

@@ -1,6 +1,6 @@
 """A corpus of small source files derived from the key of any table.
 
-``template = key % 36`` chooses a snippet and the key is written into it, so
+``template = key % 37`` chooses a snippet and the key is written into it, so
 the corpus grows with the table it is made from. Spark builds the texts with
 a lookup in a constant array; no file is made up outside the query.
 """
@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.text import detect_language
 
-N_TEMPLATES = 36
+N_TEMPLATES = 37
+#: What stands before and after a text that a source file carries.
+PY_BEFORE, PY_AFTER = 'NOTE = """\n', '\n"""\nDEBUG = True\n'
+JS_BEFORE, JS_AFTER = "/*\n", "\n*/\nexec(1);\n"
 SCORE_COLUMNS = {
     "rule_id": pa.string(), "importance": pa.float64(), "freq_estimate": pa.float64(), "excluded": pa.string()
 }
@@ -63,14 +66,18 @@ def template_text(key: Column, template: Column) -> Column:
     return F.replace(by_template(template, lambda t: t.text), F.lit("<k>"), key.cast("string"))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Spread a table with fewer input splits than cores; leave any other as it is.
+def spread(rows: DataFrame, key: str, repo: str) -> DataFrame:
+    """Keys and repositories of a table, spread by hash before texts are made from them.
 
-    A small file is one split, and scanning texts is work for the processor.
-    Large tables have splits enough and are not shuffled.
+    Only these two columns are shuffled. Tables that hold texts are never spread.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(key, repo).repartition(tasks, key)
+
+
+def mirrored(files: DataFrame) -> DataFrame:
+    """Every file also in a second repository, under the same path."""
+    return files.unionByName(files.withColumn("repo", F.lit("mirror")))
 
 
 def corpus(table: DataFrame, key: str, repo: Column, mtime: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions.text import lines_of, snippet
-from scanloom.plans.corpus import N_TEMPLATES, Template, by_template, corpus, spread, template_text, templates
+from scanloom.plans.corpus import N_TEMPLATES, Template, by_template, corpus, mirrored, spread, template_text, templates
 
 # Flaws of templates that the rules are known to miss: (rule, line, why).
 BLIND = {
@@ -30,6 +30,9 @@ SAFE = {
 TRIED = (1, 4, 18, 19, 22, 31)
 SPENT = (6, 29)
 
+# Templates of which an earlier round proposed the old text once more.
+AGAIN = (1, 22)
+
 TOOLS = ("alpha", "beta", "gamma")
 SOURCES = ("set one", "set two", "set three")
 
@@ -49,19 +52,20 @@ def case_of(t: Template) -> tuple[str, str, list[int], int]:
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus(spread(spark.read.parquet(f"{folder}/part.parquet")), "p_partkey", F.col("p_brand"))
+    return corpus(spread(spark.read.parquet(f"{folder}/part.parquet"), "p_partkey", "p_brand"), "p_partkey", F.col("p_brand"))
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """One labelled case for every file made from ``part``."""
-    files = _files(spark, folder)
+    """One labelled case for every file made from ``part``, in both of its repositories."""
+    files = mirrored(_files(spark, folder))
     key, t = F.col("key"), F.col("key") % N_TEMPLATES
     cases = [case_of(x) for x in templates()]
     lines = F.array(*(F.array(*(F.lit(n) for n in c[2])).cast("array<int>") for c in cases))
     # The file of the template before serves as the fixed counterpart of template 1.
     fixed = F.when(t == 1, F.concat(F.lit("src/t0/f"), (key - 1).cast("string"), F.lit(".py")))
     return files.select(
-        F.concat(F.lit("case-"), key).alias("case_id"),
+        "repo",
+        F.concat(F.lit("case-"), key, F.lit("-"), "repo").alias("case_id"),
         F.lit("derived").alias("dataset"),
         by_template(t, lambda x: case_of(x)[0]).alias("category"),
         "language",
@@ -86,13 +90,17 @@ def safe_candidates(spark: SparkSession, folder: str) -> DataFrame:
     key, t = F.col("key"), F.col("key") % N_TEMPLATES
     safe = by_template(t, lambda x: SAFE.get(x.number))
     fence = F.lit("```")
-    return files.where(safe.isNotNull()).select(
+    rounds = F.when(t.isin(*AGAIN), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    proposed = files.where(safe.isNotNull()).withColumn("round", F.explode(rounds))
+    code = F.when(F.col("round") == 0, F.col("text")).otherwise(template_text(key, safe))
+    return proposed.select(
         "repo",
         "path",
         by_template(t, lambda x: x.expected[0][0] if x.expected else None).alias("rule_id"),
         by_template(t, lambda x: x.expected[0][1] if x.expected else None).alias("line"),
         _pick(TOOLS, key).alias("tool"),
-        F.concat(F.lit("Here it is:\n"), fence, F.lit("\n"), template_text(key, safe), fence, F.lit("\n")).alias("response"),
+        "round",
+        F.concat(F.lit("Here it is:\n"), fence, F.lit("\n"), code, fence, F.lit("\n")).alias("response"),
     )
 
 

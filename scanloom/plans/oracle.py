@@ -9,7 +9,7 @@ from __future__ import annotations
 from scanloom.functions import fixed
 from scanloom.functions.fixed_rules import IMPORTANCE, OTHER_GUIDANCE, REFERENCE, RULES
 from scanloom.plans.corpus import N_TEMPLATES, templates
-from scanloom.plans.labels import BLIND, SAFE, SOURCES, SPENT, TOOLS, TRIED, case_of
+from scanloom.plans.labels import AGAIN, BLIND, SAFE, SOURCES, SPENT, TOOLS, TRIED, case_of
 
 
 def lit(value) -> str:
@@ -65,6 +65,9 @@ def corpus_of(table: str, key: str, repo: str, extra: str = "") -> str:
 
 
 PART = corpus_of("part", "p_partkey", "p_brand")
+# The same in two repositories, under the same paths.
+TWICE = PART.replace("corpus AS", "once AS", 1) + """,
+corpus AS (SELECT * FROM once UNION ALL SELECT * REPLACE ('mirror' AS repo) FROM once)"""
 ORDERS = corpus_of("orders", "o_orderkey", "o_orderpriority", ", s.o_orderdate AS mtime")
 
 
@@ -81,7 +84,7 @@ FOUND = """found AS (
   SELECT c.key, c.t, c.repo, c.path, c.language, e.seq, e.rule_id, e.line, rtrim(l.line) AS snippet,
          CASE WHEN e.rule_id = 'NO_HARDCODED_SECRETS' THEN 1 WHEN c.language = 'python' THEN 2
               WHEN e.rule_id = 'NO_BARE_EXCEPT' THEN 2 ELSE 1 END AS pass
-  FROM corpus c JOIN expected e USING (t) JOIN lines l ON l.key = c.key AND l.line_no = e.line)"""
+  FROM corpus c JOIN expected e USING (t) JOIN lines l ON l.key = c.key AND l.repo = c.repo AND l.line_no = e.line)"""
 GATED = """gated AS (
   SELECT c.key, c.t, c.repo, c.path, c.language, count(e.rule_id) AS n_findings,
          max(CASE WHEN c.syntax > 0 THEN 1 ELSE 0 END) AS n_syntax
@@ -164,23 +167,23 @@ def pick(names, key: str) -> str:
 
 
 MANIFEST = f"""labelled AS (
-  SELECT 'case-' || c.key AS case_id, category, c.language, rule, c.path, cases.line, expected_count, reason, c.key,
+  SELECT c.repo, 'case-' || c.key || '-' || c.repo AS case_id, category, c.language, rule, c.path, cases.line, expected_count, reason, c.key,
          CASE WHEN c.t = 1 THEN 'src/t0/f' || (c.key - 1) || '.py' END AS fixed_file
   FROM corpus c JOIN cases USING (t))"""
 MATCHED = """matched AS (
-  SELECT m.case_id, m.category, coalesce(m.path, f.path) AS path, coalesce(m.rule, f.rule_id) AS rule_id,
+  SELECT coalesce(m.repo, f.repo) AS repo, m.case_id, m.category, coalesce(m.path, f.path) AS path, coalesce(m.rule, f.rule_id) AS rule_id,
          coalesce(m.line, f.line) AS line, coalesce(n, 0) AS n_found,
          CASE WHEN m.case_id IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missed' ELSE 'hit' END AS outcome
   FROM (SELECT * FROM labelled WHERE line IS NOT NULL) m
-  FULL JOIN (SELECT path, rule_id, line, count(*) AS n FROM found GROUP BY ALL) f
-    ON m.path = f.path AND m.rule = f.rule_id AND m.line = f.line)"""
+  FULL JOIN (SELECT repo, path, rule_id, line, count(*) AS n FROM found GROUP BY ALL) f
+    ON m.repo = f.repo AND m.path = f.path AND m.rule = f.rule_id AND m.line = f.line)"""
 BY_CASE = """by_case AS (
-  SELECT l.case_id, l.category, l.language, l.rule AS rule_id, l.path, reason,
+  SELECT l.repo, l.case_id, l.category, l.language, l.rule AS rule_id, l.path, reason,
          CASE WHEN l.line IS NOT NULL AND m.outcome = 'hit' THEN 1 ELSE 0 END AS n_hit,
          CASE WHEN l.line IS NOT NULL AND m.outcome = 'missed' THEN 1 ELSE 0 END AS n_missed,
          coalesce(f.n, 0) AS n_found, coalesce(f.n, 0) = expected_count AS count_agrees
   FROM labelled l LEFT JOIN matched m USING (case_id)
-  LEFT JOIN (SELECT path, rule_id, count(*) AS n FROM found GROUP BY ALL) f ON f.path = l.path AND f.rule_id = l.rule)"""
+  LEFT JOIN (SELECT repo, path, rule_id, count(*) AS n FROM found GROUP BY ALL) f ON f.repo = l.repo AND f.path = l.path AND f.rule_id = l.rule)"""
 ATTEMPTED = f"""open_findings AS (
   SELECT f.* FROM found f
   WHERE f.t NOT IN {SPENT}
@@ -264,11 +267,27 @@ SCRIPTS = f"""scripts AS (
   SELECT 'page/' || page_id || '/' || (generate_subscripts(codes, 1) - 1) || '.js' AS path, unnest(codes) AS text
   FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1) AS codes FROM pages)),
 script_lines AS {lines_of('scripts', 'path')}"""
-# Findings in a stream's windows that have closed by the end of the data.
+# Findings in a stream's windows, open ones included.
 WINDOWS = """windows AS (
   SELECT floor(epoch(c.mtime) / 86400 / 30)::BIGINT * 30 AS day, e.rule_id, count(*) AS n_findings
   FROM corpus c JOIN expected e USING (t) GROUP BY ALL)"""
 
+OWN = r"""own(rule_id, wanted, re, severity, description) AS (VALUES
+  ('IMPORTS_RANDOM', 'python', '^import random$', 'low', 'imports the module random'),
+  ('NO_VAR_LET', 'typescript', '\blet\s', 'high', 'declares by let'), ('USES_CONST', 'javascript', '^const\s', NULL, NULL),
+  ('NO_GOTO', 'python', '\bgoto\s', 'critical', 'jumps')),
+own_found AS (SELECT path, rule_id, severity, description, line_no AS line, rtrim(lines.line) AS snippet
+  FROM lines JOIN own ON language = wanted AND regexp_matches(lines.line, re))"""
+
+
+def doc_files(before: str, after: str) -> str:
+    plain = r"regexp_replace(coalesce(text, ''), '[^\x20\x21\x23-\x29\x2B-\x5B\x5D-\x7E\n]', '_', 'g')"
+    return f"doc_files AS (SELECT doc_id, {lit(before)} || {plain} || {lit(after)} AS text FROM documents)"
+
+
+DOC_FILES = doc_files('NOTE = """\n', '\n"""\nDEBUG = True\n')
+DOC_SCRIPTS = doc_files("/*\n", "\n*/\nexec(1);\n")
+
 ORACLE: dict[str, str] = {
     "documents_secrets_by_lang": f"""WITH {DOC_LINES},
 hits AS (SELECT doc_id, count(*) AS n FROM doc_lines WHERE {PY_SECRET} GROUP BY ALL)
@@ -308,9 +327,7 @@ FROM (SELECT conv_id, turn, replace(coalesce(text, ''), repeat('`', 3), repeat(c
     "provider_keys": f"""WITH {KEY_TEXTS}
 SELECT path, 'NO_HARDCODED_SECRETS' AS rule_id, 1 AS line FROM key_lines
 WHERE CASE WHEN is_py THEN {PY_SECRET} ELSE {JS_SECRET} END""",
-    "custom_rule_hits": known("""SELECT path, rule_id, line_no AS line, rtrim(lines.line) AS snippet FROM lines
-JOIN (VALUES ('IMPORTS_RANDOM', 'python', '^import random$'), ('NO_VAR_LET', 'typescript', '\\blet\\s'),
-  ('USES_CONST', 'javascript', '^const\\s')) own(rule_id, wanted, re) ON language = wanted AND regexp_matches(line, re)"""),
+    "custom_rule_hits": known("SELECT path, rule_id, line, snippet FROM own_found", OWN),
     "findings_all": known("SELECT repo, path, rule_id, line, 0 AS col, snippet, pass, seq FROM found"),
     "findings_with_rule": known(
         "SELECT path, seq, line, rule_id AS rule_name, severity, description AS explanation FROM found JOIN rules USING (rule_id)"
@@ -326,9 +343,9 @@ JOIN (VALUES ('IMPORTS_RANDOM', 'python', '^import random$'), ('NO_VAR_LET', 'ty
   SELECT count(*) AS n_files, sum(n_findings) AS n_findings, sum(n_syntax) AS n_syntax FROM gated)"""),
     "scan_counts": known("""SELECT n_files, fail_count, pass_count, n_syntax, fail_count = 0 AND n_syntax = 0 AS deployable,
   CASE WHEN fail_count = 0 AND n_syntax = 0 THEN 0 ELSE 1 END AS exit_code FROM (
-  SELECT count(*) AS n_files, sum(n_findings) AS fail_count, sum(n_syntax) AS n_syntax,
-    7 - (SELECT count(DISTINCT rule_id) FROM found WHERE language = 'typescript') AS pass_count
-  FROM gated WHERE language = 'typescript')"""),
+  SELECT count(*) AS n_files, sum(n_findings) + (SELECT count(*) FROM own_found) AS fail_count, sum(n_syntax) AS n_syntax,
+    7 + 4 - (SELECT count(DISTINCT rule_id) FROM (SELECT rule_id FROM found UNION ALL SELECT rule_id FROM own_found)) AS pass_count
+  FROM gated)""", OWN),
     "orders_gate_by_repo": known(
         f"""SELECT *, {VERDICT} FROM (
   SELECT repo, count(*) AS n_files, sum(n_findings) AS n_findings, sum(n_syntax) AS n_syntax FROM gated GROUP BY repo)""",
@@ -344,8 +361,33 @@ JOIN (VALUES ('IMPORTS_RANDOM', 'python', '^import random$'), ('NO_VAR_LET', 'ty
     ),
     "failed_rules": known("SELECT rule_id, count(*) AS n_findings FROM found GROUP BY rule_id"),
     "clean_rules": known(
-        "SELECT rule_id, severity FROM rules WHERE rule_id NOT IN (SELECT rule_id FROM found WHERE language = 'typescript')"
+        """SELECT rule_id, severity FROM (SELECT rule_id, severity FROM rules UNION ALL SELECT rule_id, severity FROM own)
+WHERE rule_id NOT IN (SELECT rule_id FROM found) AND rule_id NOT IN (SELECT rule_id FROM own_found)""",
+        OWN,
     ),
+    "custom_rule_report": known(
+        """SELECT rule_id, coalesce(severity, 'medium') AS severity, description AS explanation, count(*) AS n_findings
+FROM own_found GROUP BY ALL""",
+        OWN,
+    ),
+    "documents_as_python": f"""WITH {DOC_FILES}, file_lines AS {lines_of('doc_files', 'doc_id')}
+SELECT doc_id || '.py' AS path, 'NO_HARDCODED_SECRETS' AS rule_id, line_no AS line, rtrim(line) AS snippet
+FROM file_lines WHERE {PY_SECRET}
+UNION ALL SELECT doc_id || '.py', 'NO_DEBUG_MODE', max(line_no), 'DEBUG = True' FROM file_lines GROUP BY doc_id""",
+    "documents_as_scripts": f"""WITH {DOC_SCRIPTS}, file_lines AS {lines_of('doc_files', 'doc_id')}
+SELECT doc_id || '.js' AS path, rule_id, line_no AS line, rtrim(line) AS snippet FROM (
+  SELECT *, 'NO_HARDCODED_SECRETS' AS rule_id FROM file_lines WHERE {JS_SECRET}
+  UNION ALL SELECT *, 'NO_NETWORK' FROM file_lines WHERE NOT {JS_SKIP} AND {JS_TESTS['network']}
+  UNION ALL SELECT *, 'NO_EXEC' FROM file_lines WHERE NOT {JS_SKIP} AND {JS_TESTS['exec']}
+  UNION ALL SELECT *, 'SQL_PARAM_BINDING' FROM file_lines WHERE NOT {JS_SKIP} AND {JS_TESTS['sql']}
+  UNION ALL SELECT *, 'NO_DEBUG_MODE' FROM file_lines WHERE NOT {JS_SKIP} AND {JS_TESTS['debug']}
+  UNION ALL SELECT *, 'NO_WEAK_RANDOM' FROM file_lines WHERE NOT {JS_SKIP} AND {JS_TESTS['random']})""",
+    "documents_decoded": "SELECT doc_id, text || chr(65533) AS text FROM documents",
+    "unreadable_files": known("""SELECT path, count(e.rule_id) FILTER (key % 5 <> 0)::INTEGER AS n_findings,
+  CASE WHEN key % 5 = 0 THEN 0 ELSE syntax END AS line, CASE WHEN key % 5 = 0 THEN 'no permission' END AS message
+FROM corpus c LEFT JOIN expected e USING (t) WHERE key % 5 = 0 OR syntax > 0 GROUP BY path, key, syntax"""),
+    "published_counts": known("""SELECT g.path AS file, g.language, n_lines::INTEGER AS total_lines, n_findings::INTEGER AS n_findings,
+  n_syntax::INTEGER AS n_limitations FROM gated g JOIN (SELECT path, count(*) AS n_lines FROM lines GROUP BY path) USING (path)"""),
     "report_lines": known(f"""SELECT repo, path, seq, part, text FROM (
   SELECT repo, path, seq, 0 AS part, '✗  ' || rpad(rule_id, 22, ' ') || ' ' || {BASENAME} || ':' || rpad(line::VARCHAR, 4, ' ')
     || ' ' || trim({redacted('snippet')}) AS text FROM found
@@ -353,7 +395,7 @@ JOIN (VALUES ('IMPORTS_RANDOM', 'python', '^import random$'), ('NO_VAR_LET', 'ty
   UNION ALL SELECT repo, path, seq, 2, '   → ' || fix FROM found JOIN rules USING (rule_id)
   UNION ALL SELECT repo, path, seq, 3, '' FROM found)"""),
     "report_rows": known(f"""SELECT path, seq, {RANK} AS severity_rank, {BADGE} AS badge, rule_id AS rule_name,
-  {BASENAME} || ':' || line AS location, (trim({redacted('snippet')}))[1:120] AS snippet FROM found JOIN rules USING (rule_id)"""),
+  {BASENAME} || ':' || line AS location, trim({redacted('snippet')}) AS snippet FROM found JOIN rules USING (rule_id)"""),
     "report_verdicts": known("""SELECT repo, CASE WHEN n = 0 AND s = 0 THEN '🚀 Deployment Approved'
   ELSE 'Deployment BLOCKED — ' || n || ' violation(s)' END AS text
 FROM (SELECT repo, sum(n_findings)::BIGINT AS n, sum(n_syntax) AS s FROM gated GROUP BY repo)"""),
@@ -365,39 +407,40 @@ FROM gated g JOIN corpus c USING (path) LEFT JOIN found f ON f.path = g.path AND
     "evaluate_file": known(
         """SELECT category, count(*) AS n_files, count_if(n > 0) AS n_blocked, count_if(n = 0) AS n_approved,
   count_if((n = 0) = (category <> 'vulnerable')) AS n_right
-FROM (SELECT category, path FROM labelled UNION SELECT 'fixed', fixed_file FROM labelled WHERE fixed_file IS NOT NULL)
-JOIN (SELECT path, n_findings + n_syntax AS n FROM gated) USING (path) GROUP BY category""",
-        MANIFEST,
+FROM (SELECT repo, category, path FROM labelled UNION SELECT repo, 'fixed', fixed_file FROM labelled WHERE fixed_file IS NOT NULL)
+JOIN (SELECT repo, path, n_findings + n_syntax AS n FROM gated) USING (repo, path) GROUP BY category""",
+        MANIFEST, corpus=TWICE,
     ),
     "evaluate_case": known(
-        "SELECT case_id, category, language, rule_id, path, n_hit, n_missed, n_found, count_agrees FROM by_case",
-        MANIFEST, MATCHED, BY_CASE,
+        "SELECT repo, case_id, category, language, rule_id, path, n_hit, n_missed, n_found, count_agrees FROM by_case",
+        MANIFEST, MATCHED, BY_CASE, corpus=TWICE,
     ),
     "evaluate_lines": known(
-        "SELECT rule_id, outcome, count(*) AS n_lines, sum(n_found) AS n_found FROM matched GROUP BY ALL", MANIFEST, MATCHED
+        "SELECT rule_id, outcome, count(*) AS n_lines, sum(n_found) AS n_found FROM matched GROUP BY ALL", MANIFEST, MATCHED, corpus=TWICE
     ),
     "rule_quality": known(
         """SELECT rule_id, tp, fn, fp, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 4) END AS precision,
   CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 4) END AS recall FROM (
   SELECT rule_id, count_if(outcome = 'hit') AS tp, count_if(outcome = 'missed') AS fn, count_if(outcome = 'unexpected') AS fp
   FROM matched WHERE category IS NULL OR category <> 'blind_spot' GROUP BY rule_id)""",
-        MANIFEST, MATCHED,
+        MANIFEST, MATCHED, corpus=TWICE,
     ),
     "blind_spots": known(
         """SELECT case_id, rule_id, path, n_hit, n_missed, n_hit = 0 AS still_blind, reason AS blind_spot_reason
 FROM by_case WHERE category = 'blind_spot'""",
-        MANIFEST, MATCHED, BY_CASE,
+        MANIFEST, MATCHED, BY_CASE, corpus=TWICE,
     ),
     "sources_by_rule": known(
         f"""SELECT rule, source_dataset, count(*) AS n_cases FROM (
   SELECT rule, unnest([{pick(SOURCES, 'key')}, 'set zero']) AS source_dataset FROM labelled) GROUP BY ALL""",
-        MANIFEST,
+        MANIFEST, corpus=TWICE,
     ),
     "counterparts": known(
-        """SELECT l.path AS file, fixed_file, a.n_findings + a.n_syntax = 0 AS deployable,
+        """SELECT l.repo, l.path AS file, fixed_file, a.n_findings + a.n_syntax = 0 AS deployable,
   b.n_findings + b.n_syntax = 0 AS fixed_deployable
-FROM labelled l LEFT JOIN gated a ON a.path = l.path LEFT JOIN gated b ON b.path = l.fixed_file WHERE fixed_file IS NOT NULL""",
-        MANIFEST,
+FROM labelled l LEFT JOIN gated a ON a.repo = l.repo AND a.path = l.path
+LEFT JOIN gated b ON b.repo = l.repo AND b.path = l.fixed_file WHERE fixed_file IS NOT NULL""",
+        MANIFEST, corpus=TWICE,
     ),
     "rule_frequency": known("SELECT * FROM frequency", FREQUENCY),
     "rule_priority": known(
@@ -417,12 +460,47 @@ FROM labelled l LEFT JOIN gated a ON a.path = l.path LEFT JOIN gated b ON b.path
     "patch_requests": known(f"""SELECT path, rule_id, line, prompt FROM (SELECT f.*, guidance, text, {PROMPT.replace("path", "f.path").replace("language", "f.language")} AS prompt
   FROM found f JOIN rules USING (rule_id) JOIN corpus c ON c.key = f.key WHERE seq = 0)"""),
     "patch_requests_next_round": known(
-        f"""SELECT path, rule_id, line, length(prompt) AS n_chars FROM (SELECT f.*, guidance, text, {PROMPT.replace("path", "f.path").replace("language", "f.language")} AS prompt
+        f"""SELECT path, rule_id, line, prompt FROM (SELECT f.*, guidance, text, {PROMPT.replace("path", "f.path").replace("language", "f.language")} AS prompt
   FROM next_finding f JOIN rules USING (rule_id) JOIN corpus c ON c.key = f.key)""",
         ATTEMPTED,
     ),
+    "spent_files": known(f"""SELECT path, 20 AS n_attempts, count(*) AS n_open, 'spent' AS status
+FROM found WHERE t IN {SPENT} GROUP BY path"""),
+    "second_round": known(
+        """SELECT path, rule_id, line, snippet FROM (
+  SELECT path, rule_id, line, snippet, seq FROM after_found
+  UNION ALL SELECT path, rule_id, line, snippet, seq FROM found WHERE path NOT IN (SELECT path FROM patched)) s
+WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.path = s.path AND g.seq = 0
+  AND g.rule_id = s.rule_id AND g.line = s.line AND g.snippet = s.snippet)
+QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq) = 1""",
+        PATCHED,
+    ),
+    "findings_introduced_or_common": known(
+        "SELECT path, rule_id, snippet, change FROM changes WHERE change <> 'fixed'", PATCHED
+    ),
+    "patch_result_clean": known("""SELECT 0 AS n_patched, 'none' AS ai_used, n_files, n_findings, n_syntax,
+  n_syntax = 0 AS deployable, CASE WHEN n_syntax = 0 THEN 0 ELSE 1 END AS exit_code, 0 AS patch_exit_code FROM (
+  SELECT count(*) AS n_files, sum(n_findings) AS n_findings, sum(n_syntax) AS n_syntax FROM gated WHERE n_findings = 0)"""),
+    "patch_progress": known(
+        f"""SELECT path, line, CASE status WHEN 'patched' THEN '✓ ' || shown WHEN 'unchanged' THEN '↷  ' || shown || '  (no change)'
+  ELSE '✗  ' || shown || '  rejected' END AS text
+FROM (SELECT *, rule_id || '  ' || {BASENAME} || ':' || line AS shown FROM verified)""",
+        PATCHED,
+    ),
+    "patch_json": known(
+        f"""SELECT v.path, CASE WHEN status = 'patched' THEN v.path END AS patched, d.diff,
+  CASE WHEN status = 'patched' THEN r.title END AS title, a.rule_id AS remains,
+  CASE WHEN deployable THEN 'true' ELSE 'false' END AS deployable, tool AS ai_used
+FROM verified v LEFT JOIN rules r USING (rule_id) LEFT JOIN after_found a ON a.path = v.path AND a.seq = 0
+LEFT JOIN (SELECT path, string_agg(side || line, {NL} ORDER BY line_no, side = '+') AS diff FROM delta GROUP BY path) d ON d.path = v.path""",
+        PATCHED,
+    ),
     "patch_explanations": known(CANONICAL_EXPLANATION),
-    "validate_candidates": known("SELECT path, rule_id, line, status <> 'error' AS accepted FROM patched", PATCHED),
+    "validate_candidates": known(
+        f"""SELECT path, rule_id, line, status <> 'error' AS accepted FROM patched
+UNION ALL SELECT path, rule_id, line, true FROM patched WHERE t IN {AGAIN}""",
+        PATCHED,
+    ),
     "verify_patches": known("SELECT * FROM verified", PATCHED),
     "provenance": known("SELECT tool, rule_id, status, deployable, count(*) AS n FROM verified GROUP BY ALL", PATCHED),
     "finding_changes": known("SELECT path, rule_id, occurrence, change, line FROM changes", PATCHED),
@@ -431,7 +509,7 @@ FROM labelled l LEFT JOIN gated a ON a.path = l.path LEFT JOIN gated b ON b.path
     "final_gate": known(f"SELECT {FINAL} FROM final", PATCHED),
     "patch_result": known(
         f"""SELECT (SELECT count(*) FROM verified WHERE status = 'patched') AS n_patched,
-  (SELECT min(tool) FROM verified) AS ai_used, {FINAL} FROM final""",
+  (SELECT string_agg(DISTINCT tool, ',' ORDER BY tool) FROM verified) AS ai_used, {FINAL} FROM final""",
         PATCHED,
     ),
     "line_delta": known("SELECT path, side, line_no, line FROM delta", PATCHED),
@@ -440,26 +518,29 @@ FROM labelled l LEFT JOIN gated a ON a.path = l.path LEFT JOIN gated b ON b.path
         f"SELECT path, string_agg(side || line, {NL} ORDER BY line_no, side = '+') AS diff FROM delta GROUP BY path", PATCHED
     ),
     "patch_report": known(
-        f"""SELECT path, 0 AS section, 0 AS line, 0 AS part, '✓  ' || {BASENAME} || ' ' || status AS text FROM verified
-UNION ALL SELECT path, 2, line, 0, '• ' || rule_id || '  ' || {BASENAME} || ':' || line || ' — ' || title FROM told
-UNION ALL SELECT path, 2, line, 1, '  ' || summary FROM told
-UNION ALL SELECT path, 3, line, seq, '✗  ' || rpad(rule_id, 22, ' ') || ' ' || {BASENAME} || ':' || rpad(line::VARCHAR, 4, ' ')
+        f"""SELECT path, 0 AS section, 0 AS line, 0 AS part, '✓  ' || {BASENAME} || ' patched' AS text FROM verified WHERE status = 'patched'
+UNION ALL SELECT path, 2, line, 0, '• ' || rule_id || '  ' || {BASENAME} || ':' || line || ' — ' || title FROM applied_told
+UNION ALL SELECT path, 2, line, 1, '  ' || summary FROM applied_told
+UNION ALL SELECT path, 3, 0, 0, '⚠ syntax error  ' || path || ':' || syntax || '  cannot be parsed' FROM corpus WHERE syntax > 0
+UNION ALL SELECT NULL, 4, 0, 0, CASE WHEN n_findings = 0 AND n_syntax = 0 THEN '🚀 Deployment Approved' ELSE 'Remaining violations:' END FROM final
+UNION ALL SELECT path, 5, line, seq, '✗  ' || rpad(rule_id, 22, ' ') || ' ' || {BASENAME} || ':' || rpad(line::VARCHAR, 4, ' ')
   || ' ' || trim(snippet) FROM after_found
-UNION ALL SELECT path, 3, line, seq, '✗  ' || rpad(rule_id, 22, ' ') || ' ' || {BASENAME} || ':' || rpad(line::VARCHAR, 4, ' ')
+UNION ALL SELECT path, 5, line, seq, '✗  ' || rpad(rule_id, 22, ' ') || ' ' || {BASENAME} || ':' || rpad(line::VARCHAR, 4, ' ')
   || ' ' || trim(snippet) FROM found WHERE path NOT IN (SELECT path FROM patched)""",
         PATCHED,
         f"told AS ({CANONICAL_EXPLANATION})",
+        "applied_told AS (SELECT told.* FROM told JOIN verified USING (path, rule_id, line) WHERE status = 'patched')",
     ),
     "suppressed": known("SELECT path, rule_id, line, 'ticket ' || key AS reason FROM found WHERE t = 13"),
     "kept_findings": known("SELECT rule_id, count(*) AS n_findings FROM found WHERE t <> 13 GROUP BY rule_id"),
     "stream_findings": known("SELECT path, rule_id, line FROM found", corpus=ORDERS),
     "stream_gate": known(
-        "SELECT repo, count(*) AS n_files, sum(n_findings) AS n_findings, sum(n_syntax) AS n_syntax FROM gated GROUP BY repo",
+        f"""SELECT *, {VERDICT} FROM (
+  SELECT repo, count(*) AS n_files, sum(n_findings) AS n_findings, sum(n_syntax) AS n_syntax FROM gated GROUP BY repo)""",
         corpus=ORDERS,
     ),
     "stream_windows": known(
-        """SELECT day::INTEGER AS window_day, rule_id, n_findings FROM windows
-WHERE (day + 30) * 86400 <= (SELECT epoch(max(o_orderdate)) FROM orders) - 10 * 86400""",
+        "SELECT day::INTEGER AS window_day, rule_id, n_findings FROM windows",
         WINDOWS,
         corpus=ORDERS,
     ),

@@ -54,8 +54,10 @@ def _children(directory: str) -> tuple[list[str], list[tuple]]:
 
 
 class _Part(InputPartition):
-    def __init__(self, directory: str, deep: bool):
-        self.directory, self.deep = directory, deep
+    """Directories that one task lists; with ``deep``, all that lies below them too."""
+
+    def __init__(self, directories: list[str], deep: bool):
+        self.directories, self.deep = directories, deep
 
 
 class SourceTreeReader(DataSourceReader):
@@ -64,23 +66,26 @@ class SourceTreeReader(DataSourceReader):
         self.splits = int(options.get("splits", "256"))
 
     def partitions(self):
-        """Split the tree breadth first until there are enough parts; tasks walk the rest."""
-        if os.path.isfile(self.root):
-            return [_Part(self.root, False)]
-        waiting, parts = deque([self.root]), []
-        while waiting and len(waiting) + len(parts) < self.splits:
+        """Enter the tree breadth first until there is a directory for every task; tasks walk the rest.
+
+        Directories are dealt to ``splits`` tasks at most, however many lie side by side.
+        """
+        waiting, entered = deque([self.root]), []
+        while waiting and len(waiting) + len(entered) < self.splits and os.path.isdir(waiting[0]):
             directory = waiting.popleft()
-            parts.append(_Part(directory, False))
+            entered.append(directory)
             waiting.extend(_children(directory)[0])
-        return parts + [_Part(d, True) for d in waiting]
+        parts = [_Part(entered[i :: self.splits], False) for i in range(min(self.splits, len(entered)))]
+        below = list(waiting)
+        return parts + [_Part(below[i :: self.splits], True) for i in range(min(self.splits, len(below)))]
 
     def read(self, partition):
-        if os.path.isfile(partition.directory):
-            file = Path(partition.directory)
+        waiting = list(partition.directories)
+        if os.path.isfile(waiting[0]):
+            file = Path(waiting[0])
             if _wanted(file):
                 yield _row(str(file), file.stat())
             return
-        waiting = [partition.directory]
         while waiting:
             directories, files = _children(waiting.pop())
             yield from files
@@ -132,21 +137,12 @@ def list_tree(spark: SparkSession, root: str, splits: int = 256) -> DataFrame:
     return spark.read.format("source_tree").option("splits", splits).load(str(root))
 
 
-def _even_tasks(listed: DataFrame, task_bytes: int) -> int:
-    """Tasks of about equal work, from one sum over the listing."""
-    total = listed.agg(F.sum("size").alias("bytes"), F.count("*").alias("files")).first()
-    cores = listed.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(total.files, max(cores, -(-(total.bytes or 0) // task_bytes))))
-
-
-def read_tree(
-    spark: SparkSession, root: str, repo_depth: int = 0, tasks: int | None = None, task_bytes: int = 16 << 20
-) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, repo_depth: int = 0, tasks: int | None = None) -> DataFrame:
     """``source_files`` of a directory or a single file that all executors can see.
 
     Paths are spread by hash before texts are read, so that one large
-    directory is read by many tasks. Their number is fixed from the sizes
-    listed, or given: left to itself, Spark would join the tasks again, as
+    directory is read by many tasks. Their number is ``tasks``, or that of
+    shuffle partitions: left to itself, Spark would join the tasks again, as
     paths are much smaller than the texts behind them. ``repo_depth``
     directories below the root name the repository; with 0 it is the name of
     the root.
@@ -155,7 +151,7 @@ def read_tree(
     listed = list_tree(spark, real)
     # Every path is the root itself or lies below it.
     inside = listed.where((F.col("path") == real) | F.startswith("path", F.lit(real.rstrip("/") + "/")))
-    spread = inside.repartition(tasks or _even_tasks(inside, task_bytes), "path")
+    spread = inside.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     texts = spread.select("path", "mtime").mapInArrow(
         _read_batches, "path string, text string, mtime timestamp, error string"
     )

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.operators.gate import gate
 from scanloom.operators.scan import findings, scan_files
@@ -37,7 +38,10 @@ def new_arrivals(source_files: DataFrame, delay: str = "1 day", salts: int = 16)
 
 
 def windowed_findings(source_files: DataFrame, width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Findings per rule and time window; files later than the delay are dropped."""
+    """Findings per rule and time window; files later than the delay are dropped.
+
+    In append mode a window comes out once it is closed; ``run_windows`` gives open ones as well.
+    """
     scanned = scan_files(source_files.withWatermark("mtime", delay))
     found = scanned.select("mtime", F.inline("findings"))
     return (
@@ -60,6 +64,15 @@ def gate_each_batch(folder: str, grain: str = "corpus"):
     return write
 
 
+def latest_each_batch(folder: str):
+    """A ``foreachBatch`` function that keeps the rows each micro-batch changed, under its number."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(folder, f"batch_id={batch_id}"))
+
+    return write
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder the cluster names.
 
@@ -79,6 +92,27 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{folder}/data")
 
 
+def run_windows(windows: DataFrame, name: str) -> DataFrame:
+    """Process all that has arrived and return every window, those still open included.
+
+    Each micro-batch writes the counts it changed; of a window's counts the latest stands.
+    """
+    spark = windows.sparkSession
+    folder = shared_folder(spark, name)
+    query = (
+        windows.writeStream.foreachBatch(latest_each_batch(f"{folder}/data"))
+        .outputMode("update")
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = T.StructType([*windows.schema.fields, T.StructField("batch_id", T.LongType())])
+    written = spark.read.schema(schema).parquet(f"{folder}/data")
+    keys = [c for c in windows.columns if c != "n_findings"]
+    return written.groupBy(*keys).agg(F.max_by("n_findings", "batch_id").alias("n_findings"))
+
+
 def run_gate(stream: DataFrame, name: str, grain: str = "corpus") -> DataFrame:
     """Process all that has arrived and return the gate of each micro-batch."""
     spark = stream.sparkSession
@@ -99,6 +133,7 @@ __all__ = [
     "new_arrivals",
     "run_gate",
     "run_to_table",
+    "run_windows",
     "scan_stream",
     "shared_folder",
     "windowed_findings",

@@ -273,6 +273,31 @@ def test_suppression_keeps_null_snippets_and_reads_every_comment(spark):
     assert rows(audit.select("path", "reason"), "path") == [("b", "why not"), ("c", "two")]
 
 
+def test_one_candidate_a_file_is_checked(spark, files):
+    before = files({"a.py": "os.system('a')\n", "b.py": "os.system('b')\n"})
+    several = spark.createDataFrame(
+        [("r", "a.py", "NO_EXEC", 1, "x", "os.system('z')\n", 1, True, None), ("r", "a.py", "NO_EXEC", 1, "x", "y = 1\n", 2, True, None),
+         ("r", "a.py", "NO_EXEC", 1, "x", "if x ==:\n", 3, False, "bad"), ("r", "b.py", "NO_EXEC", 1, "x", "if x ==:\n", 1, False, "bad")],
+        "repo string, path string, rule_id string, line int, tool string, text string, round int, accepted boolean, reason string",
+    )
+    verified = rows(patch.verify_patches(before, several).select("path", "status", "n_after", "n_introduced"), "path")
+    assert verified == [("a.py", "patched", 0, 0), ("b.py", "error", 1, 0)]
+    assert [r.text for r in report.progress_lines(patch.verify_patches(before, several)).orderBy("path").collect()] == [
+        "✓ NO_EXEC  a.py:1", "✗  NO_EXEC  b.py:1  bad",
+    ]
+
+
+def test_spent_files_are_told_and_the_limit_can_be_lifted(spark, files):
+    scanned = scan.scan_files(files({"b.py": "DEBUG = True\n"}))
+    tried = [("r", "b.py", "X", i, "") for i in range(3)]
+    attempts = spark.createDataFrame(tried, "repo string, path string, rule_id string, line int, snippet string")
+    found = scan.findings(scanned)
+    assert patch.pending(found, attempts, 3).count() == 0 and patch.pending(found, attempts, None).count() == 1
+    assert rows(patch.spent_files(found, attempts, 3).select("path", "n_attempts", "n_open", "status"), "path") == [("b.py", 3, 1, "spent")]
+    again = patch.record_attempts(patch.patch_requests(scanned), attempts)
+    assert again.count() == 4 and patch.pending(found, again, None).count() == 0
+
+
 def test_one_candidate_a_file_is_applied(spark, files):
     before = files({"a.py": "x = 1\n", "b.py": "y = 1\n"})
     several = spark.createDataFrame(

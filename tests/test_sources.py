@@ -43,8 +43,15 @@ def test_tree_is_read_and_scanned(spark, root):
     assert {n for n, r in rows.items() if r.findings} == {"a.py", ".hidden/h.js", "crlf.js"}
 
 
-def test_texts_are_read_by_as_many_tasks_as_their_size_asks_for(spark, root):
-    assert tree._even_tasks(tree.list_tree(spark, root), 1) == 7
+def test_listing_has_no_more_tasks_than_asked_for(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"d{i}" / "below").mkdir(parents=True)
+        (tmp_path / f"d{i}" / "below" / "a.py").write_text("x = 1\n")
+    listed = tree.list_tree(spark, tmp_path, 4)
+    assert listed.count() == 40 and len(tree.SourceTreeReader({"path": str(tmp_path), "splits": "4"}).partitions()) <= 8
+
+
+def test_texts_are_read_by_several_tasks(spark, root):
     files = tree.read_tree(spark, root, tasks=5)
     files.collect()
     assert files.select(F.spark_partition_id().alias("p")).distinct().count() > 1
