@@ -2,7 +2,8 @@
 
 Spark's own file sources hide names that begin with ``_`` or ``.``, so
 ``__init__.py`` would be lost. The ``source_tree`` data source lists such
-trees on the executors; the texts are then read by tasks of even size.
+trees on the executors, where they must be mounted; paths are then spread by
+hash and the texts are read.
 """
 
 from __future__ import annotations
