@@ -189,7 +189,7 @@ def test_facts_as_table_and_table_function(spark, files):
     made = files({"a.py": "try:\n    f(1)\nexcept (A, B):\n    pass\n", "b.js": "x"})
     assert sorted(r.kind for r in scan.py_facts(made).collect()) == ["call", "handler"]
     register_py_facts(spark)
-    rows = spark.sql("SELECT f.* FROM {t} t, LATERAL py_facts(t.text) f", t=made.where("language = 'python'"))
+    rows = spark.sql("SELECT f.* FROM {t} t, LATERAL inline(py_facts(t.text)) f", t=made.where("language = 'python'"))
     assert rows.schema.names == FACT.names
     assert sorted(r.kind for r in rows.collect()) == ["call", "handler"]
 
