@@ -17,7 +17,7 @@ from pyspark.sql import Window
 
 from scanloom.functions import fixed, fixed_rules
 from scanloom.functions.syntax import problem_column
-from scanloom.functions.text import canonical_rule_id, detect_language, extract_code, lines_of, redact, universal_newlines
+from scanloom.functions.text import canonical_rule_id, detect_language, extract_code, lines_of, redact, universal_newlines, with_value
 from scanloom.operators.gate import verdicts
 from scanloom.operators.rules import default_rules
 from scanloom.operators.scan import findings as findings_of
@@ -257,50 +257,63 @@ def finding_difference(before: DataFrame, after: DataFrame) -> tuple[DataFrame,
     return b.exceptAll(a), a.exceptAll(b), b.intersectAll(a)
 
 
+def _shared(old: Column, new: Column) -> Column:
+    """How many findings two arrays share, as bags of rule and snippet.
+
+    Both are sorted together, so that equal findings of either side stand next
+    to each other as two runs; what they share is the shorter run. After the
+    sort the work is linear in the findings of the row.
+    """
+
+    def sided(array: Column, side: int) -> Column:
+        return F.transform(
+            array, lambda f: F.struct(f["rule_id"].alias("rule"), f["snippet"].alias("snippet"), F.lit(side).alias("side"))
+        )
+
+    def runs(f: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(f) - 1), lambda i: (i == 0) | ~F.get(f, i).eqNullSafe(F.get(f, i - 1)))
+        return with_value(
+            starts,
+            lambda at: F.transform(
+                at, lambda i, k: F.struct(F.get(f, i).alias("f"), (F.coalesce(F.get(at, k + 1), F.size(f)) - i).alias("n"))
+            ),
+        )
+
+    def in_both(run: Column) -> Column:
+        def shorter(one: Column, k: Column) -> Column:
+            other = F.get(run, k + 1)
+            same = one["f"]["rule"].eqNullSafe(other["f"]["rule"]) & one["f"]["snippet"].eqNullSafe(other["f"]["snippet"])
+            return F.when(other.isNotNull() & same, F.least(one["n"], other["n"])).otherwise(0)
+
+        return F.aggregate(F.transform(run, shorter), F.lit(0), lambda total, n: total + n)
+
+    both = F.sort_array(F.concat(sided(old, 0), sided(new, 1)))
+    some = (F.size(old) > 0) & (F.size(new) > 0)
+    return F.when(some, with_value(both, lambda f: with_value(runs(f), in_both))).otherwise(0).cast("long")
+
+
 def verify_patches(source_files: DataFrame, validated: DataFrame) -> DataFrame:
     """One row a file with a candidate (its latest): status, findings before and after, verdict.
 
     Files are first reduced to those with a candidate; old and new text are
-    then scanned side by side in one row.
+    then scanned and compared side by side in one row, so that findings are
+    not shuffled.
     """
     old = scan_files(_before_and_after(source_files, validated)).withColumnsRenamed(
         {"findings": "old_findings", "syntax_issues": "old_issues"}
     )
     after = scan_files(old.withColumn("text", F.col("new_text")).drop("new_text", "old_issues"))
-
-    def signed(findings: str, before: int) -> Column:
-        return F.transform(
-            findings,
-            lambda f: F.struct(
-                f["rule_id"].alias("rule"),
-                f["snippet"].alias("snippet"),
-                F.lit(before).alias("old"),
-                F.lit(1 - before).alias("new"),
-            ),
-        )
-
-    candidate = [*FILE, "rule_id", "line", "tool"]
-    rows = after.select(
-        *candidate,
+    n_before, n_after, n_syntax = F.size("old_findings"), F.size("findings"), F.size("syntax_issues")
+    return after.select(
+        *[*FILE, "rule_id", "line", "tool"],
         "status",
         "reason",
-        F.size("old_findings").alias("n_before"),
-        F.size("findings").alias("n_after"),
-        F.size("syntax_issues").alias("n_syntax"),
-        ((F.size("findings") == 0) & (F.size("syntax_issues") == 0)).alias("deployable"),
-        F.inline_outer(F.concat(signed("old_findings", 1), signed("findings", 0))),
-    )
-    facts = ["status", "reason", "n_before", "n_after", "n_syntax", "deployable"]
-    # Equal (rule, snippet) pairs are counted on both sides, then summed a file:
-    # laid out by file, both steps need one shuffle.
-    counts = rows.repartition(*FILE).groupBy(*candidate, *facts, "rule", "snippet").agg(
-        F.coalesce(F.sum("old"), F.lit(0)).alias("old"), F.coalesce(F.sum("new"), F.lit(0)).alias("new")
-    )
-    return counts.groupBy(*candidate, *facts).agg(
-        F.sum(F.greatest(F.col("old") - F.col("new"), F.lit(0))).alias("n_fixed"),
-        F.sum(F.least("old", "new")).alias("n_remaining"),
-        F.sum(F.greatest(F.col("new") - F.col("old"), F.lit(0))).alias("n_introduced"),
-    )
+        n_before.alias("n_before"),
+        n_after.alias("n_after"),
+        n_syntax.alias("n_syntax"),
+        ((n_after == 0) & (n_syntax == 0)).alias("deployable"),
+        _shared(F.col("old_findings"), F.col("findings")).alias("n_remaining"),
+    ).withColumns({"n_fixed": F.col("n_before") - F.col("n_remaining"), "n_introduced": F.col("n_after") - F.col("n_remaining")})
 
 
 def provenance(verified: DataFrame) -> DataFrame:

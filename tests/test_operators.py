@@ -1,4 +1,6 @@
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,6 +208,22 @@ def test_a_round_of_patching(spark, files):
     assert (whole.n_patched, whole.ai_used) == (1, "beta")
 
 
+def test_shared_findings_are_a_bag_intersection(spark):
+    rnd = random.Random(4)
+    pool = [(rule, snippet) for rule in "AB" for snippet in ("x", "y", "", None)]
+    sides = [[[rnd.choice(pool) for _ in range(rnd.choice((0, 1, 3, 9, 40)))] for _ in "on"] for _ in range(80)]
+    kind = "id int, o array<struct<rule_id:string,snippet:string>>, n array<struct<rule_id:string,snippet:string>>"
+    table = spark.createDataFrame([(i, *pair) for i, pair in enumerate(sides)], kind)
+    got = {r.id: r.shared for r in table.select("id", patch._shared(F.col("o"), F.col("n")).alias("shared")).collect()}
+    assert got == {i: sum((Counter(old) & Counter(new)).values()) for i, (old, new) in enumerate(sides)}
+
+
+def test_verifying_shuffles_no_findings(spark, files):
+    checked = patch.validate_candidates(patch.candidates(answers(spark, {"a.py": "x = 1\n"})))
+    plan = patch.verify_patches(files({"a.py": "exec('a')\n"}), checked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Repartition" not in plan
+
+
 def test_clean_corpus_needs_no_patch(spark, files):
     clean = scan.scan_files(files({"a.py": "x = 1\n"}))
     assert patch.patch_requests(clean).count() == 0
