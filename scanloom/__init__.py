@@ -13,8 +13,10 @@ from scanloom.operators.evaluate import (
 from scanloom.operators.gate import by_file, files_with_findings, gate, gate_from_tables, scan_counts, summary, summary_by_language
 from scanloom.operators.patch import (
     apply_patches,
+    bag_changes,
     candidates,
     changed_files,
+    changes,
     delta_text,
     final_gate,
     finding_changes,
@@ -28,6 +30,7 @@ from scanloom.operators.patch import (
     provenance,
     record_attempts,
     rescan,
+    sided_findings,
     spent_files,
     suppress,
     text_pairs,

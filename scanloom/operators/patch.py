@@ -226,20 +226,30 @@ def rescan(source_files: DataFrame, validated: DataFrame) -> DataFrame:
     return scan_files(pairs.withColumn("text", F.col("new_text")).drop("new_text"))
 
 
+_SIDED = [*FILE, "rule_id", "snippet", "pass", "seq", "line"]
+
+
 def finding_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Findings of two scans as ``fixed``, ``remaining`` or ``introduced``.
 
+    Where both scans are of texts before and after a patch, ``sided_findings``
+    with ``changes`` gives the same from one pass over the files.
+    """
+    old, new = (x.select(*_SIDED, F.lit(side).alias("side")) for x, side in ((before, "before"), (after, "after")))
+    return changes(old.unionByName(new))
+
+
+def changes(sided: DataFrame) -> DataFrame:
+    """Findings with a ``side`` (``before``, ``after``), paired across sides.
+
     Line numbers shift between scans, so findings are paired by file, rule,
-    snippet and occurrence. Both scans are laid out once by file, rule and
+    snippet and occurrence. Both sides are laid out once by file, rule and
     snippet; numbering and pairing use that same layout. Such a group lies
     within one file, so its size is bounded by that file.
     """
     cols = [*FILE, "rule_id", "snippet"]
-    both = before.select(*cols, "pass", "seq", "line", F.lit("before").alias("side")).unionByName(
-        after.select(*cols, "pass", "seq", "line", F.lit("after").alias("side"))
-    )
     order = Window.partitionBy(*cols, "side").orderBy("pass", "seq")
-    numbered = both.repartition(*cols).withColumn("occurrence", F.row_number().over(order))
+    numbered = sided.repartition(*cols).withColumn("occurrence", F.row_number().over(order))
     old, new = (F.max(F.when(F.col("side") == s, F.col("line"))) for s in ("before", "after"))
     return numbered.groupBy(*cols, "occurrence").agg(old.alias("line_before"), new.alias("line_after")).select(
         "*",
@@ -250,6 +260,18 @@ def finding_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def bag_changes(sided: DataFrame) -> DataFrame:
+    """The same as bags: a row for each fixed, introduced or remaining finding, without lines.
+
+    Only counts are summed, before the one shuffle.
+    """
+    old, new = (F.count_if(F.col("side") == s) for s in ("before", "after"))
+    counts = sided.groupBy(*FILE, "rule_id", "snippet").agg(old.alias("old"), new.alias("new"))
+    kinds = (("fixed", F.col("old") - F.col("new")), ("introduced", F.col("new") - F.col("old")), ("remaining", F.least("old", "new")))
+    each = F.flatten(F.array(*(F.array_repeat(F.lit(kind), F.greatest(n, F.lit(0)).cast("int")) for kind, n in kinds)))
+    return counts.select(*FILE, "rule_id", "snippet", F.explode(each).alias("change"))
+
+
 def finding_difference(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fixed, introduced and common findings as bags, without numbering."""
     cols = [*FILE, "rule_id", "snippet"]
@@ -257,6 +279,24 @@ def finding_difference(before: DataFrame, after: DataFrame) -> tuple[DataFrame,
     return b.exceptAll(a), a.exceptAll(b), b.intersectAll(a)
 
 
+def _both_scans(source_files: DataFrame, validated: DataFrame) -> DataFrame:
+    """Files with a candidate, with the findings of the old and of the new text in one row."""
+    old = scan_files(_before_and_after(source_files, validated)).withColumnsRenamed(
+        {"findings": "old_findings", "syntax_issues": "old_issues"}
+    )
+    return scan_files(old.withColumn("text", F.col("new_text")).drop("new_text", "old_issues"))
+
+
+def sided_findings(source_files: DataFrame, validated: DataFrame) -> DataFrame:
+    """One row a finding before and after, of files with a candidate; ``side`` tells which. One join, one pass."""
+
+    def sided(findings: str, side: str) -> Column:
+        return F.transform(findings, lambda f: f.withField("side", F.lit(side)))
+
+    both = F.concat(sided("old_findings", "before"), sided("findings", "after"))
+    return _both_scans(source_files, validated).select(*FILE, F.inline(both)).select(*_SIDED, "side")
+
+
 def _shared(old: Column, new: Column) -> Column:
     """How many findings two arrays share, as bags of rule and snippet.
 
@@ -299,10 +339,7 @@ def verify_patches(source_files: DataFrame, validated: DataFrame) -> DataFrame:
     then scanned and compared side by side in one row, so that findings are
     not shuffled.
     """
-    old = scan_files(_before_and_after(source_files, validated)).withColumnsRenamed(
-        {"findings": "old_findings", "syntax_issues": "old_issues"}
-    )
-    after = scan_files(old.withColumn("text", F.col("new_text")).drop("new_text", "old_issues"))
+    after = _both_scans(source_files, validated)
     n_before, n_after, n_syntax = F.size("old_findings"), F.size("findings"), F.size("syntax_issues")
     return after.select(
         *[*FILE, "rule_id", "line", "tool"],

@@ -582,29 +582,24 @@ def provenance(spark, folder):
     return patch.provenance(verified).groupBy("tool", "rule_id", "status", "deployable").agg(F.count("*").alias("n"))
 
 
+def _sided(spark: SparkSession, folder: str) -> DataFrame:
+    return patch.sided_findings(part_files(spark, folder), _validated(spark, folder))
+
+
 @query
 def finding_changes(spark, folder):
-    files, checked = part_files(spark, folder), _validated(spark, folder)
-    before = scan.scan_files(files.join(checked.select("repo", "path"), ["repo", "path"], "left_semi"))
-    changes = patch.finding_changes(scan.findings(before), scan.findings(patch.rescan(files, checked)))
+    changes = patch.changes(_sided(spark, folder))
     return changes.select("path", "rule_id", "occurrence", "change", F.coalesce("line_before", "line_after").alias("line"))
 
 
 @query
 def findings_fixed(spark, folder):
-    files, checked = part_files(spark, folder), _validated(spark, folder)
-    before = scan.scan_files(files.join(checked.select("repo", "path"), ["repo", "path"], "left_semi"))
-    fixed, _, _ = patch.finding_difference(scan.findings(before), scan.findings(patch.rescan(files, checked)))
-    return fixed.select("path", "rule_id", "snippet")
+    return patch.bag_changes(_sided(spark, folder)).where("change = 'fixed'").select("path", "rule_id", "snippet")
 
 
 @query
 def findings_introduced_or_common(spark, folder):
-    files, checked = part_files(spark, folder), _validated(spark, folder)
-    before = scan.scan_files(files.join(checked.select("repo", "path"), ["repo", "path"], "left_semi"))
-    _, introduced, common = patch.finding_difference(scan.findings(before), scan.findings(patch.rescan(files, checked)))
-    both = introduced.withColumn("change", F.lit("introduced")).unionByName(common.withColumn("change", F.lit("remaining")))
-    return both.select("path", "rule_id", "snippet", "change")
+    return patch.bag_changes(_sided(spark, folder)).where("change <> 'fixed'").select("path", "rule_id", "snippet", "change")
 
 
 @query

@@ -189,6 +189,9 @@ def test_a_round_of_patching(spark, files):
     assert sorted((r.change, r.line_before, r.line_after) for r in changes.collect() if r.change != "fixed") == [
         ("introduced", None, 4), ("remaining", 2, 2),
     ]
+    sided = patch.sided_findings(before, checked).where("path = 'a.py'")
+    assert sorted(map(str, patch.changes(sided).collect())) == sorted(map(str, changes.collect()))
+    assert Counter(r.change for r in patch.bag_changes(sided).collect()) == {"fixed": 2, "introduced": 1, "remaining": 1}
     fixed, introduced, common = patch.finding_difference(old.where("path = 'a.py'"), scan.findings(after).where("path = 'a.py'"))
     assert (fixed.count(), introduced.count(), common.count()) == (2, 1, 1)
 
