@@ -1,10 +1,11 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are compared as lower-cased letters and digits, with one gap between words. A benchmark item is searched as
-overlapping pieces. A region of a document within ``k`` edits of a piece with ``m`` characters shares at least
-``m - q + 1 - k q`` of the piece's q-grams inside a band of ``k + 1`` diagonals (place in the text less place in the
-piece). So shared q-grams are counted in bands of twice that width, half overlapping; only bands that meet the bound
-go on, and an alignment within the band decides. A first test on hits of any piece in a window leaves most texts out.
+pieces that begin every few characters, so that a passage is found wherever it was cut. A region of a document within
+``k`` edits of a piece with ``g`` q-grams, taken at every third character, shares at least ``g - k q / 3`` of them inside
+a band of ``k + 1`` diagonals (place in the text less place in the piece), as an edit spoils q / 3 at most. So shared q-grams are counted in bands of twice that
+width, half overlapping; only bands that meet the bound go on, and an alignment within the band decides. A first count
+by item and band, in hashed slots, leaves most hits out.
 
 The benchmark is taken in blocks of bounded size; each block meets all documents.
 """
@@ -22,15 +23,21 @@ from pyspark.sql import functions as F
 
 from scanloom.llm.common import buckets_for, mixed, slices, small_batches, table
 
-Q = 12
-PIECE = 96
-STRIDE = 48
+Q = 6
+#: An item's q-grams are indexed at every third character; a text's are taken everywhere.
+EVERY = 3
+#: A passage of PIECE + STRIDE - 1 characters holds a whole piece, wherever it begins.
+PIECE = 72
+STRIDE = 9
 #: A piece may have one edit for so many of its characters.
 CHARACTERS_AN_EDIT = 20
 #: Items with fewer characters (letters, digits, gaps) than this are too short to tell, and are not searched.
 LEAST_ITEM = 32
-BLOCK_CHARACTERS = 4_000_000
+BLOCK_CHARACTERS = 128_000
 BITS = 22
+#: Places of texts whose hits are counted at once, and slots they are counted in.
+CHUNK = 1 << 17
+SLOTS = 1 << 20
 _OUTSIDE = np.uint32(0xFFFFFFFF)
 
 
@@ -73,21 +80,21 @@ def qgrams(chars: np.ndarray) -> np.ndarray:
     one = chars.astype(np.uint64) + np.uint64(1)
     two = one[:-1] * base + one[1:]
     four = two[:-2] * power(2) + two[2:]
-    eight = four[:-4] * power(4) + four[4:]
-    return mixed(eight[: len(chars) - Q + 1] * power(4) + four[8 : len(chars) - Q + 9])
+    return mixed(four[: len(chars) - Q + 1] * power(2) + two[4 : len(chars) - Q + 5])
 
 
 @dataclass
 class Pieces:
-    """Pieces of a block of items and an index of their q-grams."""
+    """Pieces of a block of items and an index of the items' q-grams."""
 
     items: np.ndarray  # number of the item of each piece
     ids: list
     lengths: np.ndarray
+    starts: np.ndarray  # where in its item a piece begins
     chars: np.ndarray  # piece, character; outside behind its end
     grams: np.ndarray  # sorted
     first: np.ndarray  # where a q-gram's places begin
-    piece: np.ndarray
+    item: np.ndarray
     offset: np.ndarray
     seen: np.ndarray  # bits of hashes that occur
 
@@ -98,11 +105,12 @@ class Pieces:
     @property
     def least(self) -> np.ndarray:
         """Q-grams that a region within the edits must share."""
-        return np.maximum(self.lengths - Q + 1 - self.edits * Q, 1)
+        grams = (self.starts + self.lengths - Q) // EVERY - -(-self.starts // EVERY) + 1
+        return np.maximum(grams - self.edits * (Q // EVERY), 1)
 
 
 def indexed(items: list[tuple[object, str | None]]) -> Pieces:
-    owner, parts, ids = [], [], []
+    owner, parts, begins, ids, hashes, searched = [], [], [], [], [], []
     for number, (item, text) in enumerate(items):
         ids.append(item)
         chars, _, _ = normal([text or ""])
@@ -115,19 +123,22 @@ def indexed(items: list[tuple[object, str | None]]) -> Pieces:
             starts.append(len(chars) - PIECE)
         for s in starts:
             owner.append(number)
+            begins.append(s)
             parts.append(chars[s : s + PIECE])
+        hashes.append(qgrams(chars)[::EVERY])
+        searched.append(number)
     grid = np.full((len(parts), PIECE), _OUTSIDE, np.uint32)
     for i, part in enumerate(parts):
         grid[i, : len(part)] = part
-    hashes = [qgrams(part) for part in parts]
     every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    piece = np.repeat(np.arange(len(parts)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
-    offset = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
+    item = np.repeat(searched, [len(h) for h in hashes]).astype(np.int64) if hashes else np.zeros(0, np.int64)
+    offset = np.concatenate([np.arange(len(h)) * EVERY for h in hashes]) if hashes else np.zeros(0, np.int64)
     order = np.argsort(every, kind="stable")
     grams, first = np.unique(every[order], return_index=True)
     seen = np.zeros(1 << BITS, bool)
     seen[(grams >> np.uint64(64 - BITS)).astype(np.int64)] = True
-    return Pieces(np.array(owner, np.int64), ids, np.array([len(p) for p in parts], np.int64), grid, grams, np.append(first, len(every)), piece[order], offset[order], seen)
+    lengths = np.array([len(p) for p in parts], np.int64)
+    return Pieces(np.array(owner, np.int64), ids, lengths, np.array(begins, np.int64), grid, grams, np.append(first, len(every)), item[order], offset[order], seen)
 
 
 def aligned(pieces: Pieces, which: np.ndarray, chars: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,16 +169,58 @@ def aligned(pieces: Pieces, which: np.ndarray, chars: np.ndarray, low: np.ndarra
     return value >> 20, base + (value & (edit - 1)), base + lengths + best
 
 
-def _survivors(at: np.ndarray, need: int, window: int) -> np.ndarray:
-    """Hits inside a window that has enough of them."""
-    if len(at) < need:
-        return np.zeros(0, np.int64)
-    full = at[need - 1 :] - at[: len(at) - need + 1] < window
-    change = np.zeros(len(at) + 1, np.int64)
-    start = np.flatnonzero(full)
-    np.add.at(change, start, 1)
-    np.add.at(change, start + need, -1)
-    return np.flatnonzero(np.cumsum(change[:-1]) > 0)
+def _several(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... (count of them) of each row, one after the other."""
+    return np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+
+
+def _candidates(pieces: Pieces, hashes: np.ndarray, begin: np.ndarray, low: int, high: int, size: int) -> np.ndarray:
+    """Text, piece and band (rows) wherever enough q-grams between two places are shared."""
+    maybe = low + np.flatnonzero(pieces.seen[(hashes[low:high] >> np.uint64(64 - BITS)).astype(np.int64)])
+    gram = np.minimum(np.searchsorted(pieces.grams, hashes[maybe]), len(pieces.grams) - 1)
+    hit = pieces.grams[gram] == hashes[maybe]
+    at, gram = maybe[hit], gram[hit]
+    text = np.searchsorted(begin, at, side="right") - 1
+    whole = at + Q <= begin[text + 1]
+    at, gram, text = at[whole], gram[whole], text[whole]
+    if not len(at):
+        return np.zeros((3, 0), np.int64)
+    count = pieces.first[gram + 1] - pieces.first[gram]
+    place = _several(pieces.first[gram], count)
+    item, at = pieces.item[place], np.repeat(at, count)
+    # Hits by item and band, wide enough for every piece; of neighbours that share a slot, too many go on, never too few.
+    need = np.full(len(pieces.ids), PIECE, np.int64)
+    np.minimum.at(need, pieces.items, pieces.least)
+    step = int(pieces.edits.max()) + 1
+    band = (at - pieces.offset[place]) // step
+    slot = (item * ((high - low) // step + size // step + 3) + band) % SLOTS
+    held = np.bincount(slot, minlength=SLOTS)
+    pair = held + np.roll(held, -1)
+    left = np.flatnonzero(np.maximum(pair, np.roll(pair, 1))[slot] >= need[item])
+    place, item, at, text = place[left], item[left], at[left], np.repeat(text, count)[left]
+    # Each hit that is left, for every piece that has it.
+    offset, name = pieces.offset[place], pieces.items * size + pieces.starts
+    one = np.searchsorted(name, item * size + np.maximum(offset - (PIECE - Q), 0))
+    count = np.searchsorted(name, item * size + offset, side="right") - one
+    piece = _several(one, count)
+    at, text, diagonal = np.repeat(at, count), np.repeat(text, count), np.repeat(at - offset, count) + pieces.starts[piece]
+    band = diagonal // (pieces.edits[piece] + 1)
+    # Each hit counts in its band and in the one before, which overlaps half of it.
+    at, offset = np.tile(at, 2), np.tile(at - diagonal, 2)
+    text, piece, band = np.tile(text, 2), np.tile(piece, 2), np.concatenate((band, band - 1))
+    key = (text * len(pieces.lengths) + piece) * (begin[-1] + 4 * PIECE) + band + 2 * PIECE
+    source = np.arange(len(key))
+    # Shared q-grams have places of their own in the piece and in the text: "the the the" counts by the fewer.
+    for where in (offset, at):
+        order = source[np.lexsort((where[source], key[source]))]
+        name, spot = key[order], where[order]
+        fresh = np.ones(len(name), bool)
+        fresh[1:] = (name[1:] != name[:-1]) | (spot[1:] != spot[:-1])
+        _, group, count = np.unique(name[fresh], return_inverse=True, return_counts=True)
+        group = np.repeat(group, np.diff(np.append(np.flatnonzero(fresh), len(name))))
+        source = order[count[group] >= pieces.least[piece[order]]] if len(order) else order
+    _, first = np.unique(key[source], return_index=True)
+    return np.stack((text, piece, band))[:, source[first]]
 
 
 def leaks(texts: list[str], pieces: Pieces) -> list[tuple[int, int, int, int, int, int]]:
@@ -179,34 +232,13 @@ def leaks(texts: list[str], pieces: Pieces) -> list[tuple[int, int, int, int, in
         return []
     chars, begin, origin = normal(texts)
     hashes = qgrams(chars)
-    maybe = np.flatnonzero(pieces.seen[(hashes >> np.uint64(64 - BITS)).astype(np.int64)])
-    gram = np.minimum(np.searchsorted(pieces.grams, hashes[maybe]), len(pieces.grams) - 1)
-    hit = pieces.grams[gram] == hashes[maybe]
-    at, gram = maybe[hit], gram[hit]
-    text = np.searchsorted(begin, at, side="right") - 1
-    whole = at + Q <= begin[text + 1]
-    at, gram, text = at[whole], gram[whole], text[whole]
-    left = _survivors(at, int(pieces.least.min()), PIECE + 2 * int(pieces.edits.max()))
-    at, gram, text = at[left], gram[left], text[left]
-    if not len(at):
+    size = int(pieces.offset.max()) + PIECE
+    # Chunks overlap by more than a region, so that each region lies inside one.
+    over = PIECE + 2 * int(pieces.edits.max()) + Q
+    some = [_candidates(pieces, hashes, begin, low, min(len(hashes), low + CHUNK + over), size) for low in range(0, len(hashes), CHUNK)]
+    if not some:
         return []
-    count = pieces.first[gram + 1] - pieces.first[gram]
-    place = np.repeat(pieces.first[gram] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    piece, diagonal = pieces.piece[place], np.repeat(at, count) - pieces.offset[place]
-    at, text = np.repeat(at, count), np.repeat(text, count)
-    step = pieces.edits[piece] + 1
-    band = diagonal // step
-    # Each hit counts in its band and in the one before, which overlaps half of it.
-    at, text, piece, band = np.tile(at, 2), np.tile(text, 2), np.tile(piece, 2), np.concatenate((band, band - 1))
-    key = (text * len(pieces.lengths) + piece) * (len(chars) + 4 * PIECE) + band + 2 * PIECE
-    order = np.lexsort((at, key))
-    key, at = key[order], at[order]
-    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (at[1:] != at[:-1])))
-    names, first, count = np.unique(key[fresh], return_index=True, return_counts=True)
-    source = order[fresh][first]
-    text, piece, band = text[source], piece[source], band[source]
-    enough = count >= pieces.least[piece]
-    text, piece, band = text[enough], piece[enough], band[enough]
+    text, piece, band = np.unique(np.concatenate(some, axis=1), axis=1) if len(some) > 1 else some[0]
     found = []
     for low in range(0, len(text), 4096):
         t, p, b = text[low : low + 4096], piece[low : low + 4096], band[low : low + 4096]

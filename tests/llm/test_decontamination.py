@@ -79,3 +79,36 @@ def test_whole_table(spark):
     got = {(r.doc_id, r.item_id) for r in op3_decontamination(spark, folder).collect()}
     plain = {(d, i) for d, t in docs.items() for i, b in items.items() if b.lower() in t.lower()}
     assert plain and got == plain
+
+
+WORDS = [w + x for w in ("river", "stone", "garden", "letter", "window", "morning", "silver", "paper") for x in ("", "s", "ing", "less", "ward", "like")]
+
+
+def holding(part, rnd):
+    """A text of other words with a passage in it."""
+    other = lambda n: " ".join("".join(rnd.choice("bcdfgklmpqvxz") for _ in range(rnd.randrange(3, 9))) for _ in range(n))
+    return f"{other(rnd.randrange(30))} {part} {other(rnd.randrange(30))}"
+
+
+def test_passages_anywhere():
+    """Against plain search: every verbatim passage of 79 characters or more, cut at any place, has a row."""
+    rnd = random.Random(4)
+    items = [(i, " ".join(rnd.choice(WORDS) for _ in range(rnd.randrange(20, 60)))) for i in range(20)]
+    pieces = indexed(items)
+    texts, want = [], set()
+    for _ in range(300):
+        i, item = rnd.choice(items)
+        size = rnd.randrange(79, 111)
+        low = rnd.randrange(len(item) - size + 1)
+        texts.append(holding(item[low : low + size], rnd))
+        want |= {(len(texts) - 1, j) for j, other in items if item[low : low + size] in other}
+    got = {(t, i) for t, i, *_ in leaks(texts, pieces)}
+    assert want <= got
+    assert leaks([holding("", rnd) for _ in range(100)], pieces) == []
+
+
+def test_long_texts_in_chunks():
+    rnd = random.Random(6)
+    item = " ".join(rnd.choice(WORDS) for _ in range(30))
+    for before in range((1 << 17) - 260, (1 << 17) + 40, 20):
+        assert {i for _, i, *_ in leaks(["x" * before + " " + item], indexed([(3, item)]))} == {0}
