@@ -29,8 +29,8 @@ EVERY = 3
 #: A passage of PIECE + STRIDE - 1 characters holds a whole piece, wherever it begins.
 PIECE = 72
 STRIDE = 9
-#: A piece may have one edit for so many of its characters.
-CHARACTERS_AN_EDIT = 20
+#: A piece may have one edit for so many of its characters: a replaced word or two.
+CHARACTERS_AN_EDIT = 8
 #: Items with fewer characters (letters, digits, gaps) than this are too short to tell, and are not searched.
 LEAST_ITEM = 32
 BLOCK_CHARACTERS = 128_000

@@ -107,6 +107,20 @@ def test_passages_anywhere():
     assert leaks([holding("", rnd) for _ in range(100)], pieces) == []
 
 
+def test_replaced_words():
+    """Whole items with every tenth or twelfth word replaced, and items of one piece or two with one word replaced."""
+    rnd = random.Random(5)
+    items = [(i, " ".join(rnd.choice(WORDS) for _ in range(rnd.randrange(11, 50)))) for i in range(60)]
+    texts = []
+    for _, item in items:
+        words = item.split()
+        every = rnd.choice((10, 12)) if len(words) > 20 else len(words)
+        for at in range(rnd.randrange(every), len(words), every):
+            words[at] = "zqxvkj"[: len(words[at])]
+        texts.append(holding(" ".join(words), rnd))
+    assert {(t, i) for t, i, *_ in leaks(texts, indexed(items))} >= {(i, i) for i, _ in items}
+
+
 def test_long_texts_in_chunks():
     rnd = random.Random(6)
     item = " ".join(rnd.choice(WORDS) for _ in range(30))
