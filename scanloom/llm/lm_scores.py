@@ -2,7 +2,7 @@
 
 Documents are dealt into parts by hash. Each part counts its distinct n-grams and sends them, with their counts, to
 the range of hashes they belong to; a range adds up the counts of all parts, which is its share of the n-gram table,
-and answers every part with the totals of its n-grams. Joined back to the documents of the part, the totals (less the
+and answers every part with the totals of its n-grams, except those that no other part has. Joined back to the documents of the part, the totals (less the
 document's own occurrences, so that no text vouches for itself) give each word's score, summed per document.
 
 A word scores count(n-gram) / count(context) for the longest n-gram that other documents have, times ``BACKOFF`` for
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from scanloom.llm.common import binary_column, buckets_for, from_planes, mixed, mixed_int, packed, planes, slices, table, text_bytes, unpacked, words_of
 
 ORDER = 2
+#: The query's tables go up to this order; scores of both orders come from them.
+HIGH_ORDER = 3
 BACKOFF = 0.4
 PART_BYTES = 8_000_000
 RANGE_BYTES = 4_000_000
@@ -92,7 +94,7 @@ def _send(order: int, ranges: int):
 
 
 def _total(held: pa.Table) -> pa.Table:
-    """A range of the n-gram table: each part's n-grams with the counts of all parts."""
+    """A range of the n-gram table: which of each part's n-grams (bits) other parts have, and the counts of all parts."""
     names = [unpacked(x.as_py()) for x in held["names"]]
     counts = np.concatenate([from_planes(x.as_py(), np.uint64) for x in held["counts"]])
     every = np.concatenate(names)
@@ -102,23 +104,58 @@ def _total(held: pa.Table) -> pa.Table:
     total = np.empty(len(every), np.uint64)
     total[order] = np.repeat(sums, np.diff(np.append(first, len(every))))
     edges = np.concatenate(([0], np.cumsum([len(n) for n in names])))
-    blocks = [planes(total[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    shared = total != counts
+    blocks = [np.packbits(shared[a:b]).tobytes() + planes(total[a:b][shared[a:b]]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     return pa.table({"part": held["part"], "range": held["range"], "totals": binary_column(blocks)})
 
 
-_SCORED = "doc_id long, n_words long, log_score double, backed_off long"
+def _answered(counts: np.ndarray, edges: np.ndarray, spans: list[int], blocks: list[bytes]) -> np.ndarray:
+    """Counts of all parts, from a part's own and the answers of the ranges."""
+    total = counts.astype(np.int64)
+    for i, block in zip(spans, blocks, strict=True):
+        low, high = int(edges[i]), int(edges[i + 1])
+        bits = -(-(high - low) // 8)
+        shared = np.unpackbits(np.frombuffer(block, np.uint8, bits), count=high - low).astype(bool)
+        total[low + np.flatnonzero(shared)] = from_planes(block[bits:], np.uint64).astype(np.int64)
+    return total
 
 
-def _score(order: int, backoff: float):
+def _scored_columns(orders: tuple[int, ...]) -> str:
+    more = "".join(f", log_score_{n} double, backed_off_{n} long" for n in orders[1:])
+    return "doc_id long, n_words long, log_score double, backed_off long" + more
+
+
+def _score(orders: tuple[int, ...], backoff: float, ranges: int):
+    bounds = _bounds(ranges)
+
+    def values(order: int, other: list[np.ndarray], every: np.ndarray, begin: np.ndarray, owner: np.ndarray, place: np.ndarray):
+        """Log score and number of words backed off, by text."""
+        score, backed = np.zeros(len(begin) - 1), np.zeros(len(begin) - 1, np.int64)
+        value = np.full(len(place), -np.inf)
+        open_ = np.ones(len(place), bool)
+        for n in range(order, 0, -1):
+            here = np.flatnonzero(open_ & (other[n - 1] > 0))
+            context = other[n - 2][here - 1] if n > 1 else every[here]
+            skipped = np.minimum(order, place[here] + 1) - n
+            value[here] = np.log(other[n - 1][here] / context) + skipped * np.log(backoff)
+            open_[here] = False
+            np.add.at(backed, owner[here], (skipped > 0).astype(np.int64))
+        rest = np.flatnonzero(open_)
+        value[rest] = np.minimum(order, place[rest] + 1) * np.log(backoff) - np.log(every[rest])
+        np.add.at(backed, owner[rest], 1)
+        some = np.flatnonzero(np.diff(begin))
+        score[some] = np.add.reduceat(value, begin[:-1][some])
+        return score, backed
+
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
         words, begin = text_words(docs["text"])
         rows = len(begin) - 1
-        score, backed = np.zeros(rows), np.zeros(rows, np.int64)
+        found = [(np.zeros(rows), np.zeros(rows, np.int64)) for _ in orders]
         if len(words):
-            names, _ = _distinct(words, begin, order)
-            blocks = totals.sort_by("range")["totals"]
-            total = np.concatenate([from_planes(x.as_py(), np.uint64) for x in blocks]).astype(np.int64)
-            grams, place = grams_of(words, begin, order)
+            names, counts = _distinct(words, begin, max(orders))
+            edges = np.concatenate(([0], np.searchsorted(names, bounds), [len(names)]))
+            total = _answered(counts, edges, totals["range"].to_pylist(), totals["totals"].to_pylist())
+            grams, place = grams_of(words, begin, max(orders))
             owner = np.repeat(np.arange(rows), np.diff(begin))
             # What other documents have of the n-gram, by order, at the place where it ends; -1 where there is none.
             other = []
@@ -129,31 +166,21 @@ def _score(order: int, backoff: float):
                 there[ends] = total[at] - own[same]
                 other.append(there)
             every = np.maximum(total[0] - np.diff(begin)[owner], 1)
-            value = np.full(len(words), -np.inf)
-            open_ = np.ones(len(words), bool)
-            for n in range(order, 0, -1):
-                here = np.flatnonzero(open_ & (other[n - 1] > 0))
-                context = other[n - 2][here - 1] if n > 1 else every[here]
-                skipped = np.minimum(order, place[here] + 1) - n
-                value[here] = np.log(other[n - 1][here] / context) + skipped * np.log(backoff)
-                open_[here] = False
-                np.add.at(backed, owner[here], (skipped > 0).astype(np.int64))
-            rest = np.flatnonzero(open_)
-            value[rest] = np.minimum(order, place[rest] + 1) * np.log(backoff) - np.log(every[rest])
-            np.add.at(backed, owner[rest], 1)
-            some = np.flatnonzero(np.diff(begin))
-            score[some] = np.add.reduceat(value, begin[:-1][some])
-        return pa.table({"doc_id": docs["doc_id"], "n_words": pa.array(np.diff(begin), pa.int64()), "log_score": pa.array(score), "backed_off": pa.array(backed)})
+            found = [values(n, other, every, begin, owner, place) for n in orders]
+        out = {"doc_id": docs["doc_id"], "n_words": pa.array(np.diff(begin), pa.int64())}
+        for end, (score, backed) in zip(["", *(f"_{n}" for n in orders[1:])], found, strict=True):
+            out |= {f"log_score{end}": pa.array(score), f"backed_off{end}": pa.array(backed)}
+        return pa.table(out)
 
     return run
 
 
-def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, more: tuple[int, ...] = ()) -> DataFrame:
     """(doc_id, n_words, log_score, backed_off) of each row of ``docs`` (doc_id, text, any other columns).
 
     ``log_score`` is the sum of the words' log scores under all other rows, copies of the row included; words that no
     other row has score as one backoff below a single occurrence. Texts without words (null, empty) score 0.
-    ``backed_off`` counts words for which an order was given up.
+    ``backed_off`` counts words for which an order was given up. Each order n of ``more`` adds log_score_n, backed_off_n.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -161,15 +188,16 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Dat
     pieces, ranges = max(parts, buckets_for(size, PART_BYTES)), max(parts, buckets_for(size, RANGE_BYTES))
     dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(pieces)).cast("int").alias("part")
     rows = docs.select(dealt, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = rows.groupBy("part").applyInArrow(_send(order, ranges), "range int, part int, names binary, counts binary")
+    sent = rows.groupBy("part").applyInArrow(_send(max(order, *more, 1), ranges), "range int, part int, names binary, counts binary")
     totals = sent.groupBy("range").applyInArrow(_total, "part int, range int, totals binary")
-    return rows.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(_score(order, backoff), _SCORED)
+    return rows.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(_score((order, *more), backoff, ranges), _scored_columns((order, *more)))
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(table(spark, sf_dir, "documents"))
-    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
-    return rows.select("doc_id", "n_words", "log_score", mean.alias("mean_log_score"), "backed_off")
+    rows = scored(table(spark, sf_dir, "documents"), more=(HIGH_ORDER,))
+    mean = lambda score: F.when(F.col("n_words") > 0, F.col(score) / F.col("n_words"))
+    high = [f"log_score_{HIGH_ORDER}", mean(f"log_score_{HIGH_ORDER}").alias(f"mean_log_score_{HIGH_ORDER}"), f"backed_off_{HIGH_ORDER}"]
+    return rows.select("doc_id", "n_words", "log_score", mean("log_score").alias("mean_log_score"), "backed_off", *high)
 
 
 QUERIES = {"op2_lm_scores": op2_lm_scores}

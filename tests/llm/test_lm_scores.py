@@ -57,3 +57,9 @@ def test_one_text_and_none(spark, documents):
 def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert result(op2_lm_scores(spark, "/root/testdata/sf0.001")) == by_hand(rows, 2)
+
+
+def test_query_scores_trigrams(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = op2_lm_scores(spark, "/root/testdata/sf0.001").selectExpr("doc_id", "n_words", "log_score_3 as log_score", "backed_off_3 as backed_off")
+    assert result(got) == by_hand(rows, 3)
