@@ -30,6 +30,8 @@ STEPS = 20
 PENALTY = 3.0
 #: The pipeline rejects documents in which no language has this share: mixtures of many, and texts without letters.
 ACCEPTED_SHARE = 0.3
+#: It also rejects texts whose n-grams gain less over uniform ones than this part of what the found languages' own do.
+LEAST_GAIN = 0.6
 UNKNOWN = "und"
 
 
@@ -98,6 +100,11 @@ class Languages:
     #: Log-probability of each bin (rows) in each language.
     chances: np.ndarray
 
+    @property
+    def gains(self) -> np.ndarray:
+        """Mean log-likelihood of a language's own n-grams, over that of uniform ones."""
+        return (self.chances * np.log(np.maximum(self.chances * BINS, 1e-300))).sum(axis=0)
+
 
 def _count(batches):
     """Counts of n-gram bins by language, one row a language and task."""
@@ -175,7 +182,13 @@ def mixture(chances: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) -
 
 def identify(texts: list[str], model: Languages) -> tuple[list[str], list[float], list[str]]:
     """Language, its proportion, and the whole mixture of each text."""
+    return fitted(texts, model)[:3]
+
+
+def fitted(texts: list[str], model: Languages) -> tuple[list[str], list[float], list[str], list[float]]:
+    """As ``identify``, and the gain of each text over uniform n-grams as a part of its languages' own (about 1 if it fits)."""
     langs, scores, mixes = [UNKNOWN] * len(texts), [0.0] * len(texts), [""] * len(texts)
+    fits, gains = [0.0] * len(texts), model.gains
     at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     for low, high in slices(at, 1 << 17):
         letters, begin = letters_of(texts[low:high])
@@ -190,10 +203,13 @@ def identify(texts: list[str], model: Languages) -> tuple[list[str], list[float]
             seen = np.bincount(bins[ends[i] : ends[i + 1]], minlength=BINS)
             own = np.flatnonzero(seen)
             found = mixture(model.chances[own], seen[own].astype(float))
+            chosen, share = list(found), np.array(list(found.values()))
+            gain = seen[own] @ np.log(model.chances[own][:, chosen] @ share * BINS) / seen.sum()
+            fits[low + i] = float(gain / max(gains[chosen] @ share, 1e-9))
             top = max(found, key=lambda k: (found[k], -k))
             langs[low + i], scores[low + i] = model.names[top], min(1.0, max(0.0, found[top]))
             mixes[low + i] = ",".join(f"{model.names[k]}:{found[k]:.3f}" for k in sorted(found, key=lambda k: (-found[k], k)))
-    return langs, scores, mixes
+    return langs, scores, mixes, fits
 
 
 def with_language(docs: DataFrame, model: Languages) -> DataFrame:
@@ -218,14 +234,17 @@ def with_language(docs: DataFrame, model: Languages) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Languages, share: float = ACCEPTED_SHARE) -> DataFrame:
-    """``docs`` in which one learned language has at least this share; others go, as do texts without letters."""
+    """``docs`` in which one learned language has at least this share and whose n-grams fit the languages found.
+
+    Others go: texts without letters, in languages never learned, or of scrambled letters, however many were learned.
+    """
     small_batches(docs.sparkSession)
     place = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            langs, scores, _ = identify([t or "" for t in batch.column(place).to_pylist()], model)
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= share for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
+            langs, scores, _, fits = fitted([t or "" for t in batch.column(place).to_pylist()], model)
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= share and fit >= LEAST_GAIN for lang, score, fit in zip(langs, scores, fits, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -62,3 +62,18 @@ def test_edge_cases(spark, documents):
     nothing = learned(documents([(1, "a"), (2, None)]))
     assert [r.lang_pred for r in with_language(documents([(1, "a")]), nothing).collect()] == ["und"]
     assert with_language(documents([]), model).collect() == []
+
+
+def test_unlearned_and_scrambled_texts_go(spark, documents):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 300 and 3000")
+    model = learned(docs)
+    clean = [r.text for r in docs.orderBy("doc_id").limit(40).collect()]
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja omatunto",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem i sumieniem",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах, они наделены разумом и совестью",
+    ]
+    rnd = np.random.default_rng(1)
+    scrambled = ["".join(rnd.permutation(list(t))) for t in clean[:10]]
+    kept = accepted(documents(list(enumerate(clean + foreign + scrambled))), model).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(len(clean)))
