@@ -128,13 +128,16 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and behind-last byte of each word of a slice, and where each text's words begin. Offsets start at 0."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and behind-last byte of each word of a slice, and where each text's words begin. Offsets start at 0.
+
+    ``between`` tells of each byte whether it separates words.
+    """
     size = len(data)
     if not size:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    space = IS_SPACE[data]
+    space = between[data]
     edge = np.zeros(size + 1, bool)
     edge[offsets] = True
     before = np.empty(size, bool)
