@@ -66,6 +66,21 @@ def verdicts(counted: DataFrame, grain: str) -> DataFrame:
     return counted.select("*", *_verdict(F.col("n_findings"), F.col("n_syntax")))
 
 
+def gate_from_changes(changes: DataFrame, grain: str = "corpus") -> DataFrame:
+    """The gate from changes of counts, as ``streaming.state.gate_changes`` emits them: their sums are the counts of now.
+
+    Repositories all of whose files have gone have no row.
+    """
+    if grain not in ("repo", "corpus"):
+        raise ValueError(f"unknown grain: {grain}")
+    sums = changes.groupBy(*(["repo"] if grain == "repo" else [])).agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_files", "n_findings", "n_syntax"))
+    )
+    if grain == "repo":
+        sums = sums.where(F.col("n_files") > 0)
+    return sums.select("*", *_verdict(F.col("n_findings"), F.col("n_syntax")))
+
+
 def _of_rule(rule: str):
     return lambda f: f["rule_id"] == rule
 

@@ -8,9 +8,15 @@ hash and the texts are read.
 
 from __future__ import annotations
 
+import heapq
+import json
 import os
+import shutil
 import sys
+import uuid
 from collections import deque
+from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -18,7 +24,14 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    DataSourceStreamReader,
+    InputPartition,
+    WriterCommitMessage,
+)
 
 from scanloom.functions import fixed
 from scanloom.functions.text import detect_language
@@ -94,8 +107,178 @@ class SourceTreeReader(DataSourceReader):
                 waiting.extend(directories)
 
 
+# The tree as a stream
+
+
+def _walk(root: str) -> Iterator[tuple[int, str, os.stat_result]]:
+    """(time, path, state) of every source file below a root; the time is when its entry last changed."""
+    waiting = [root]
+    while waiting:
+        try:
+            with os.scandir(waiting.pop()) as entries:
+                for entry in entries:
+                    if entry.is_dir(follow_symlinks=False):
+                        if entry.name not in _IGNORED:
+                            waiting.append(entry.path)
+                    elif entry.is_file(follow_symlinks=False) and _wanted(entry):
+                        info = entry.stat(follow_symlinks=False)
+                        yield info.st_ctime_ns, entry.path, info
+        except OSError:
+            pass  # gone or unreadable: it holds nothing to scan
+
+
+def _position(offset: dict) -> tuple[int, str]:
+    return int(offset["time"]), offset["path"]
+
+
+class _Listed(InputPartition):
+    """Files that one task tells of."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
+
+
+class SourceTreeStreamReader(DataSourceStreamReader):
+    """New and changed files in the order of (time, path), which is the offset.
+
+    The time is that of the entry's last change, which the system sets: a file moved in or written with an old time of its
+    own is later than all before it. ``maxFilesPerTrigger`` bounds a batch. After a restart Spark does not tell a reader
+    where it stands, so the first batch then takes all that is new. A file younger than ``settle`` seconds waits, so that
+    none is passed by another of the same moment.
+    """
+
+    def __init__(self, options):
+        self.root = os.path.realpath(options["path"])
+        self.splits = int(options.get("splits", "256"))
+        self.progress = options.get("progress")
+        self.most = int(options.get("maxFilesPerTrigger", "0"))
+        self.settle_ns = int(float(options.get("settle", "1")) * 1e9)
+        # Where the query stands, or None where that is not known.
+        self.reached = (0, "") if self.progress and not os.path.exists(self.progress) else self._noted()
+        if self.most and not self.progress:
+            raise ValueError("maxFilesPerTrigger needs progress, a file that outlives restarts")
+
+    def _noted(self) -> tuple[int, str] | None:
+        try:
+            with open(self.progress or "", encoding="utf-8") as file:
+                return _position(json.load(file))
+        except (OSError, ValueError, KeyError):
+            return None
+
+    def _note(self, offset: dict) -> None:
+        self.reached = max(_position(offset), self.reached or (0, ""))
+        if self.progress:
+            os.makedirs(os.path.dirname(os.path.abspath(self.progress)), exist_ok=True)
+            with open(f"{self.progress}.new", "w", encoding="utf-8") as file:
+                json.dump({"time": str(self.reached[0]), "path": self.reached[1]}, file)
+            os.replace(f"{self.progress}.new", self.progress)
+
+    def _files(self, after: tuple[int, str], until: tuple[int, str] | None = None):
+        for time, path, info in _walk(self.root):
+            if after < (time, path) and (until is None or (time, path) <= until):
+                yield time, path, info
+
+    def initialOffset(self) -> dict:
+        return {"time": "0", "path": ""}
+
+    def latestOffset(self) -> dict:
+        now = datetime.now(timezone.utc).timestamp() * 1e9 - self.settle_ns
+        start = self.reached or (0, "")
+        new = ((time, path) for time, path, _ in self._files(start) if time <= now)
+        if self.most and self.reached is not None:
+            admitted = heapq.nsmallest(self.most, new)
+            end = admitted[-1] if admitted else start
+        else:
+            end = max(new, default=start)
+        return {"time": str(end[0]), "path": end[1]}
+
+    def partitions(self, start: dict, end: dict):
+        low, high = _position(start), _position(end)
+        self._note(end)
+        rows = [_row(path, info) for _, path, info in sorted(self._files(low, high), key=lambda f: f[:2])]
+        return [_Listed(rows[i :: self.splits]) for i in range(min(self.splits, len(rows)))]
+
+    def read(self, partition):
+        yield from partition.rows
+
+    def commit(self, end: dict) -> None:
+        self._note(end)
+
+
+# A new version of a tree
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    folder: str
+    files: int
+
+
+class SourceTreeWriter(DataSourceArrowWriter):
+    """Writes (path, text) as files of a new tree; paths are relative to it.
+
+    Tasks write below a staging folder beside the tree, each attempt in a folder of its own. Commit puts the files of
+    the attempts that counted together and gives the folder its name, which must not be taken: readers see nothing or
+    all. Abort and commit both remove the staging folder, so a failed task leaves nothing.
+    """
+
+    def __init__(self, options, overwrite: bool):
+        if overwrite:
+            raise ValueError("a tree is never overwritten: write the new version beside the old one")
+        self.root = os.path.abspath(options["path"])
+        if os.path.lexists(self.root):
+            raise FileExistsError(self.root)
+        self.staging = f"{self.root}.staging-{uuid.uuid4().hex}"
+
+    def write(self, iterator):
+        folder = f"{self.staging}/{uuid.uuid4().hex}"
+        os.makedirs(folder)
+        files = 0
+        for batch in iterator:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                target = os.path.normpath(f"{folder}/{path}")
+                if text is None:
+                    continue  # a file that could not be read has nothing to write
+                if not path or path.endswith("/") or not target.startswith(folder + "/"):
+                    raise ValueError(f"not a path inside the tree: {path!r}")
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "x", encoding="utf-8", newline="", errors="surrogatepass") as file:
+                    file.write(text)
+                files += 1
+        return _Written(folder, files)
+
+    def commit(self, messages):
+        whole = f"{self.staging}/whole"
+        try:
+            os.makedirs(whole)
+            for message in messages:
+                if message:
+                    _join_trees(message.folder, whole)
+            os.rename(whole, self.root)
+        finally:
+            shutil.rmtree(self.staging, ignore_errors=True)
+
+    def abort(self, messages):
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+
+def _join_trees(source: str, target: str) -> None:
+    """Move what lies below one directory into another; directories meet, files must not."""
+    for entry in list(os.scandir(source)):
+        there = f"{target}/{entry.name}"
+        if not os.path.lexists(there):
+            os.rename(entry.path, there)
+        elif entry.is_dir(follow_symlinks=False) and os.path.isdir(there):
+            _join_trees(entry.path, there)
+        else:
+            raise FileExistsError(f"two files for one path: {entry.name}")
+
+
 class SourceTree(DataSource):
-    """``spark.read.format("source_tree").load(root)``: path, size and time of each source file."""
+    """``spark.read.format("source_tree").load(root)``: path, size and time of each source file.
+
+    ``readStream`` gives new and changed files as they come, ``write`` a new tree from (path, text).
+    """
 
     @classmethod
     def name(cls):
@@ -107,6 +290,12 @@ class SourceTree(DataSource):
     def reader(self, schema):
         return SourceTreeReader(self.options)
 
+    def streamReader(self, schema):
+        return SourceTreeStreamReader(self.options)
+
+    def writer(self, schema, overwrite):
+        return SourceTreeWriter(self.options, overwrite)
+
 
 _BATCH_BYTES = 8 << 20
 
@@ -150,9 +339,45 @@ def read_tree(spark: SparkSession, root: str, repo_depth: int = 0, tasks: int |
     """
     real = os.path.realpath(str(root))
     listed = list_tree(spark, real)
+    return _source_files(listed, real, repo_depth, tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def stream_tree(
+    spark: SparkSession, root: str, repo_depth: int = 0, tasks: int | None = None,
+    max_files: int | None = None, progress: str | None = None, settle: float = 1,
+) -> DataFrame:
+    """``source_files`` of a directory as a stream: every file once, and again whenever it has changed.
+
+    ``max_files`` bounds a batch, and needs ``progress``, a file of this query alone beside its checkpoint; a trigger
+    ``availableNow`` makes one batch of at most so many files. Paths are listed by the driver, texts read by tasks. Removed files give no row. The rest is as in ``read_tree``.
+    """
+    spark.dataSource.register(SourceTree)
+    real = os.path.realpath(str(root))
+    stream = spark.readStream.format("source_tree").option("settle", str(settle))
+    if max_files:
+        stream = stream.option("maxFilesPerTrigger", str(max_files))
+    if progress:
+        stream = stream.option("progress", os.path.abspath(progress))
+    return _source_files(stream.load(real), real, repo_depth, tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def write_tree(source_files: DataFrame, root: str, old_root: str = "") -> None:
+    """Write files as a new tree, which must not exist yet and be mounted on every machine.
+
+    ``old_root`` is taken off the front of paths, so that a tree read with ``read_tree`` and patched is written beside
+    the old one. Rows without a text are left out; two rows with one path, or a path that leads outside, fail the whole.
+    Only source files are rows, so other files of the old tree are not in the new one.
+    """
+    source_files.sparkSession.dataSource.register(SourceTree)
+    old = os.path.realpath(old_root).rstrip("/") + "/" if old_root else ""
+    below = F.when(F.startswith("path", F.lit(old)), F.substring(F.col("path"), len(old) + 1, 1 << 30)).otherwise(F.col("path"))
+    source_files.select(below.alias("path"), "text").write.format("source_tree").mode("append").save(str(root))
+
+
+def _source_files(listed: DataFrame, real: str, repo_depth: int, tasks: int) -> DataFrame:
     # Every path is the root itself or lies below it.
     inside = listed.where((F.col("path") == real) | F.startswith("path", F.lit(real.rstrip("/") + "/")))
-    spread = inside.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    spread = inside.repartition(tasks, "path")
     texts = spread.select("path", "mtime").mapInArrow(
         _read_batches, "path string, text string, mtime timestamp, error string"
     )

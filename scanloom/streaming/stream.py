@@ -74,11 +74,7 @@ def latest_each_batch(folder: str):
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder the cluster names.
-
-    Where none is named, as in tests, it lies in the working directory's
-    Spark warehouse.
-    """
+    """A new folder below the checkpoint folder the session names, or else below its warehouse, which is shared too."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
