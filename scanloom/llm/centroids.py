@@ -285,10 +285,10 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     most = F.lit((1 << 63) - 1).cast("decimal(38,0)")
     whole = lambda c: F.least(c, most).cast("long")
     sums = rows.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(28,0)")).alias("of_cluster"))
-    every = sums.agg(whole(F.sum("of_cluster")).alias("inertia"))
+    every = sums.agg(whole(F.sum("of_cluster"))).first()[0]
     sums = sums.join(named, "cluster").select("cluster", whole(F.col("of_cluster")).alias("cluster_inertia"), "centroid_sha256")
-    # A row a cluster, and one row.
-    return rows.join(F.broadcast(sums), "cluster").join(F.broadcast(every)).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+    # A row a cluster.
+    return rows.join(F.broadcast(sums), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", F.lit(every).cast("long").alias("inertia"), "centroid_sha256")
 
 
 QUERIES = {"op13_centroids": op13_centroids}
