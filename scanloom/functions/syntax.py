@@ -281,3 +281,34 @@ def problem_column(text: Column) -> Column:
 def register_py_facts(spark) -> None:
     """``py_facts(text)`` for SQL, an array of facts: ``SELECT * FROM files, LATERAL inline(py_facts(files.text))``."""
     spark.udf.register("py_facts", _facts_udf(False))
+
+
+_FACT_ROW = T.StructType([T.StructField("repo", T.StringType()), T.StructField("path", T.StringType()), *FACT.fields])
+
+
+class _FactRows:
+    """Facts of the files of a table, a row each."""
+
+    def eval(self, files: pa.RecordBatch):
+        held = {name.lower(): files.column(i).to_pylist() for i, name in enumerate(files.schema.names)}
+        rows = []
+        with _quiet():
+            for repo, path, text in zip(held.get("repo", [None] * files.num_rows), held["path"], held["text"], strict=True):
+                rows += [{"repo": repo, "path": path, **fact} for fact in extract_facts(text)] if text is not None else []
+        yield pa.table(
+            {
+                "repo": pa.array([r["repo"] for r in rows], pa.string()),
+                "path": pa.array([r["path"] for r in rows], pa.string()),
+                **{name: pa.array([r.get(name) for r in rows], _ARROW_FACT.field(name).type) for name in _NAMES},
+            }
+        )
+
+
+def register_py_fact_rows(spark) -> None:
+    """``py_fact_rows``, a table function for SQL.
+
+    ``SELECT * FROM py_fact_rows(TABLE(files) PARTITION BY path)`` gives repo, path and the facts of every Python text, one
+    row a fact; ``files`` has path, text and perhaps repo. Without ``PARTITION BY`` use ``WITH SINGLE PARTITION`` only for
+    small tables: it is one task. Null texts have no facts.
+    """
+    spark.udtf.register("py_fact_rows", F.arrow_udtf(_FactRows, returnType=_FACT_ROW))

@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions.fixed_rules import IMPORTANCE, RULE_IDS
-from scanloom.functions.syntax import register_py_facts
+from scanloom.functions.syntax import register_py_fact_rows, register_py_facts
 from scanloom.functions.text import extract_code, lines_of, redact
-from scanloom.operators import evaluate, gate, patch, ranking, report, rules, scan
+from scanloom.operators import content, delta, evaluate, gate, owners, patch, ranking, report, rule_index, rules, scan, suppressions
 from scanloom.plans import corpus as made
 from scanloom.plans.labels import attempts, manifest, safe_candidates
-from scanloom.sources.tables import from_table
-from scanloom.streaming import stream
+from scanloom.sources.tables import from_table, shared_folder
+from scanloom.sources.tree import read_tree, stream_tree, write_tree
+from scanloom.streaming import state, stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -717,11 +718,18 @@ def kept_findings(spark, folder):
 
 def _order_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as a stream of source files that arrive at their order date."""
+    return made.corpus(_orders_stream(spark, folder), "o_orderkey", F.col("o_orderpriority"), F.col("arrived"))
+
+
+def _orders_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of orders as they arrive, spread by hash before texts are made from them, as in ``corpus.spread``."""
     schema = table(spark, folder, "orders").schema
-    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(folder)
+    # A pattern with this one name serves a single file and a folder of part files.
+    orders = spark.readStream.schema(schema).parquet(f"{folder}/orders.parque[t]")
     # Order dates carry no time zone: they are taken as UTC.
     arrived = F.concat(F.col("o_orderdate").cast("string"), F.lit("Z")).cast("timestamp")
-    return made.corpus(orders, "o_orderkey", F.col("o_orderpriority"), arrived)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return orders.select("o_orderkey", "o_orderpriority", arrived.alias("arrived")).repartition(tasks, "o_orderkey")
 
 
 @query
@@ -753,3 +761,228 @@ def stream_dedup(spark, folder):
     twice = _order_stream(spark, folder).unionByName(_order_stream(spark, folder))
     arrived = stream.run_to_table(stream.new_arrivals(twice, "10 days"), "stream-dedup")
     return arrived.groupBy("language").agg(F.count("*").alias("n_files"))
+
+
+@query
+def stream_gate_latest(spark, folder):
+    """Every order's file arrives, then all but a third again: as it was, emptied, or broken. The latest version counts."""
+    orders = _orders_stream(spark, folder)
+    first = made.corpus(orders, "o_orderkey", F.col("o_orderpriority"), F.col("arrived"))
+    again = made.corpus(orders, "o_orderkey", F.col("o_orderpriority"), F.col("arrived") + F.expr("INTERVAL 1 DAY"))
+    text = F.when(F.col("key") % 4 == 1, "").when(F.col("key") % 4 == 2, "x = (\n").otherwise(F.col("text"))
+    arrived = first.unionByName(again.where(F.col("key") % 4 > 0).withColumn("text", text))
+    return state.run_gate_changes(state.gate_changes(arrived), "stream-gate-latest", "repo")
+
+
+# Trees
+
+
+def _mounted(folder: str) -> str:
+    """A shared folder as a path that every machine has mounted, which trees need."""
+    return folder.removeprefix("file://").removeprefix("file:")
+
+
+def _written_documents(spark: SparkSession, folder: str) -> str:
+    root = _mounted(shared_folder(spark, "tree"))
+    write_tree(documents_inside(spark, folder, made.PY_BEFORE, made.PY_AFTER, ".py"), root)
+    return root
+
+
+def _by_name(found: DataFrame) -> DataFrame:
+    return found.select(F.substring_index("path", "/", -1).alias("path"), "rule_id", "line", "snippet")
+
+
+@query
+def tree_round_trip(spark, folder):
+    """Whole documents written as a tree of files, read back and scanned."""
+    return _by_name(scan.findings(scan.scan_files(read_tree(spark, _written_documents(spark, folder)))))
+
+
+@query
+def stream_tree_findings(spark, folder):
+    """The same tree as a stream."""
+    files = stream_tree(spark, _written_documents(spark, folder), settle=0)
+    return _by_name(stream.run_to_table(scan.findings(scan.scan_files(files)), "stream-tree"))
+
+
+# Many own rules
+
+
+def part_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule for each part, made from the words of its name, and two that no literal can be taken from."""
+    key, word = F.col("p_partkey"), lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
+    pattern = (
+        F.when(key == 1, r"^[0-9]+$")
+        .when(key == 2, r"[0-9]{5}")
+        .when(key % 4 == 0, F.concat(F.substring(word(1), 1, 4), F.lit("[a-z]* ")))
+        .when(key % 4 == 1, F.concat(F.lit("(?i)"), word(2)))
+        .when(key % 4 == 2, F.concat(word(1), F.lit(".*"), key % 10, F.lit("$")))
+        .otherwise(F.concat(F.substring(word(2), 1, 3), F.lit("[a-z]*, ")))
+    )
+    language = F.when(key % 7 == 0, "javascript").otherwise("python")
+    return table(spark, folder, "part").select(F.concat(F.lit("PART_"), key).alias("rule_id"), language.alias("language"), pattern.alias("pattern"))
+
+
+@query
+def many_own_rules(spark, folder):
+    """As many own rules as there are parts, on the lines of documents."""
+    found = rule_index.indexed_rule_findings(document_files(spark, folder), part_rules(spark, folder))
+    return found.groupBy("rule_id").agg(F.count("*").alias("n_findings"), F.countDistinct("repo", "path").alias("n_files"))
+
+
+# Syntax facts as a table function
+
+
+@query
+def py_fact_rows(spark, folder):
+    register_py_fact_rows(spark)
+    files = part_files(spark, folder).where(F.col("language") == "python")
+    facts = spark.sql("SELECT * FROM py_fact_rows(TABLE(SELECT repo, path, text FROM {files}) PARTITION BY path)", files=files)
+    return facts.where("kind IN ('handler', 'assign')").select("path", "kind", F.col("lineno").alias("line"))
+
+
+# Contents
+
+
+def _scanned_again(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """Documents scanned by content, and again when a tenth of them has a line more."""
+    files = documents_inside(spark, folder, made.PY_BEFORE, made.PY_AFTER, ".py")
+    store = shared_folder(spark, "store")
+    content.scan_contents(files, store, "1", "first")
+    tenth = F.split_part("path", F.lit("."), F.lit(1)).cast("long") % 10 == 0
+    changed = files.withColumn("text", F.when(tenth, F.concat("text", F.lit("DEBUG = True\n"))).otherwise(F.col("text")))
+    return content.scan_contents(changed, store, "1", "second"), store
+
+
+@query
+def content_scan(spark, folder):
+    return scan.findings(_scanned_again(spark, folder)[0]).select("path", "rule_id", "line", "snippet")
+
+
+@query
+def content_scan_runs(spark, folder):
+    """How many contents each of the two scans had to parse."""
+    return content.scanned_by_run(spark, _scanned_again(spark, folder)[1]).select("run", "n_scanned")
+
+
+# Ordered deltas
+
+HUNK_LINES = 12
+
+
+def _edited_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """A text of numbered lines for each part, and the same with a line edited, moved, repeated, or both ends edited."""
+    key = F.col("p_partkey")
+    old = F.transform(F.sequence(F.lit(1), F.lit(HUNK_LINES)), lambda i: F.concat(F.lit("line "), i, F.lit(" of "), key))
+    some = lambda low, high: F.slice("old", low, high - low + 1)
+    other = F.array(F.concat(F.lit("edited "), key))
+    new = (
+        F.when(key % 4 == 0, F.concat(some(1, 5), other, some(7, 12)))
+        .when(key % 4 == 1, F.concat(some(1, 1), some(3, 10), some(2, 2), some(11, 12)))
+        .when(key % 4 == 2, F.concat(some(1, 4), some(4, 12)))
+        .otherwise(F.concat(other, some(2, 11), other))
+    )
+    parts = table(spark, folder, "part").withColumn("old", old)
+    return parts.select(
+        F.col("p_brand").alias("repo"), key.cast("string").alias("path"), F.array_join("old", "\n").alias("old_text"), F.array_join(new, "\n").alias("new_text")
+    )
+
+
+@query
+def line_hunks(spark, folder):
+    shown = delta.hunks(delta.line_script(_edited_parts(spark, folder)))
+    return shown.select("path", "hunk", "mark", "old_no", "new_no", "line")
+
+
+@query
+def line_hunk_headers(spark, folder):
+    shown = delta.hunks(delta.line_script(_edited_parts(spark, folder)))
+    return delta.hunk_headers(shown).select("path", "hunk", "header")
+
+
+@query
+def line_script_texts(spark, folder):
+    """Whole documents with a line moved to the end and one put in front: both texts from the script alone."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    docs = table(spark, folder, "documents").select(F.lit("").alias("repo"), F.col("doc_id").cast("string").alias("path"), lines.alias("lines"))
+    n = F.pmod(F.col("path").cast("int"), F.size("lines")) + 1
+    new = F.concat(F.array(F.lit("first")), F.slice("lines", 1, n - 1), F.slice("lines", n + 1, F.size("lines")), F.slice("lines", n, 1))
+    end = lambda lines: F.concat(F.array_join(lines, "\n"), F.lit("\nend"))
+    changed = docs.select("repo", "path", F.replace(end(F.col("lines")), F.lit("\r"), F.lit("")).alias("old_text"), F.replace(end(new), F.lit("\r"), F.lit("")).alias("new_text"))
+    script = delta.line_script(changed)
+
+    def text(mark: str):
+        held = F.sort_array(F.collect_list(F.when(F.col("mark").isin(" ", mark), F.struct("at", "line"))))
+        return F.sha2(F.array_join(F.transform(held, lambda r: r["line"]), "\n"), 256)
+
+    return script.groupBy(F.col("path").cast("long").alias("doc_id")).agg(text("-").alias("old_sha256"), text("+").alias("new_sha256"))
+
+
+# Mergeable frequencies
+
+
+@query
+def frequency_estimates(spark, folder):
+    """Sketches made by source and language, merged, against exact counts: close where within 5 in a hundred."""
+    scanned = scanned_parts(spark, folder)
+    sketches = ranking.frequency_sketches(scanned.withColumn("source", F.col("key") % 3), "source", "language")
+    merged = ranking.estimated_frequency(ranking.merged_sketches(ranking.merged_sketches(sketches, "source")))
+    both = ranking.rule_frequency(scanned).alias("e").join(merged.alias("m"), "rule_id", "left")
+
+    def close(name: str):
+        exact, guess = F.col(f"e.{name}"), F.coalesce(f"m.{name}", F.lit(0))
+        return (F.abs(guess - exact) <= F.lit(0.05) * exact + F.lit(0.5)).alias(f"{name}_close")
+
+    return both.select(
+        "rule_id", F.coalesce("m.n_findings", F.lit(0)).alias("n_findings"), F.col("e.n_files").alias("n_files"),
+        F.col("e.n_repos_hit").alias("n_repos_hit"), close("n_files"), close("n_repos_hit"),
+    )
+
+
+@query
+def rule_importance(spark, folder):
+    """The weighted sum of five scores, one row a part."""
+    score = lambda n: (F.col("p_partkey") % n % 5 + 1).cast("double")
+    scores = table(spark, folder, "part").select("p_partkey", *(score(n).alias(name) for name, n in {"a": 7, "d": 11, "s": 13, "e": 17, "m": 19}.items()))
+    return scores.select("p_partkey", F.round(ranking.importance("a", "d", "s", "e", "m"), 6).alias("importance"))
+
+
+# Owners and suppressions
+
+
+@query
+def file_owners(spark, folder):
+    """Roots from folders, brands and some files; the deepest owns a path."""
+    files = part_files(spark, folder).withColumn("t", F.col("key") % made.N_TEMPLATES)
+    none = F.lit(None).cast("string")
+    root = lambda path, owner, repo=none: files.select(path.alias("root"), owner.alias("owner"), repo.alias("repo"))
+    place = F.concat(F.lit("src/t"), F.col("t"))
+    roots = root(F.lit("src/"), F.lit("platform")).unionByName(root(F.lit("src/t"), F.lit("nobody")))
+    roots = roots.unionByName(root(place, F.concat(F.lit("team "), F.col("t") % 5)).where("t < 20"))
+    roots = roots.unionByName(root(place, F.col("repo"), F.col("repo")).where("t = 3"))
+    roots = roots.unionByName(root(F.col("path"), F.lit("file")).where("key % 10 = 0")).distinct()
+    return owners.owned(files, roots).select("path", "root", "owner")
+
+
+@query
+def suppression_table(spark, folder):
+    """Findings of dated files against entries for a year, until a day, and for some of the files without end."""
+    orders = table(spark, folder, "orders")
+    when = F.concat(F.col("o_orderdate").cast("string"), F.lit("Z")).cast("timestamp")
+    dated = orders.select("o_orderkey", "o_orderpriority", when.alias("at")).repartition("o_orderkey")
+    files = made.corpus(dated, "o_orderkey", F.col("o_orderpriority"), F.col("at"))
+    scanned = scan.scan_files(files)
+    found = scanned.select("repo", "path", "mtime", F.inline("findings"))
+    t = F.col("o_orderkey") % made.N_TEMPLATES
+    day = lambda d: F.lit(d and f"{d} 00:00:00Z").cast("timestamp")
+
+    def entry(name, rule, ending, low, high):
+        return orders.select(
+            F.concat(F.lit(f"{name}-"), t).alias("entry_id"), F.lit(rule).alias("rule_id"), F.concat(F.lit("src/t"), t, F.lit(ending)).alias("path_pattern"),
+            day(low).alias("valid_from"), day(high).alias("valid_to"), F.lit(name).alias("reason"),
+        ).distinct()
+
+    entries = entry("year", "*", "/", "1995-01-01", "1996-01-01").unionByName(entry("until", "NO_EXEC", "/f*", None, "1994-07-01"))
+    entries = entries.unionByName(entry("fives", "NO_DEBUG_MODE", "/f*5.**", "1993-01-01", None))
+    rows = suppressions.judged(found, entries)
+    return rows.select("path", "rule_id", "line", "status", "entry_id", "reason")

@@ -557,3 +557,83 @@ for _short, _rule in {
     ORACLE[f"py_{_short}"] = known(
         f"SELECT path, line, snippet FROM found WHERE language = 'python' AND rule_id = {lit(_rule)}"
     )
+
+#: What each kind of edit of ``catalog._edited_parts`` gives: hunk, mark, old line, new line.
+_HUNKS = {
+    0: [(1, " ", 3, 3), (1, " ", 4, 4), (1, " ", 5, 5), (1, "-", 6, None), (1, "+", None, 6), (1, " ", 7, 7), (1, " ", 8, 8), (1, " ", 9, 9)],
+    1: [(1, " ", 1, 1), (1, "-", 2, None), (1, " ", 3, 2), (1, " ", 4, 3), (1, " ", 5, 4),
+        (2, " ", 8, 7), (2, " ", 9, 8), (2, " ", 10, 9), (2, "+", None, 10), (2, " ", 11, 11), (2, " ", 12, 12)],
+    2: [(1, " ", 2, 2), (1, " ", 3, 3), (1, " ", 4, 4), (1, "+", None, 5), (1, " ", 5, 6), (1, " ", 6, 7), (1, " ", 7, 8)],
+    3: [(1, "-", 1, None), (1, "+", None, 1), (1, " ", 2, 2), (1, " ", 3, 3), (1, " ", 4, 4),
+        (2, " ", 9, 9), (2, " ", 10, 10), (2, " ", 11, 11), (2, "-", 12, None), (2, "+", None, 12)],
+}
+_HEADERS = [(0, 1, "@@ -3,7 +3,7 @@"), (1, 1, "@@ -1,5 +1,4 @@"), (1, 2, "@@ -8,5 +7,6 @@"), (2, 1, "@@ -2,6 +2,7 @@"), (3, 1, "@@ -1,4 +1,4 @@"), (3, 2, "@@ -9,4 +9,4 @@")]
+_AS_PYTHON = f"""SELECT doc_id || '.py' AS path, 'NO_HARDCODED_SECRETS' AS rule_id, line_no AS line, rtrim(line) AS snippet
+FROM file_lines WHERE {PY_SECRET}
+UNION ALL SELECT doc_id || '.py', 'NO_DEBUG_MODE', line_no, 'DEBUG = True' FROM file_lines WHERE line_no >= (
+  SELECT max(line_no) FROM file_lines f WHERE f.doc_id = file_lines.doc_id) - CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END"""
+_OLD = "string_split(coalesce(text, ''), chr(10))"
+
+ORACLE |= {
+    "stream_gate_latest": known(
+        f"""SELECT *, {VERDICT} FROM (
+  SELECT g.repo, count(*) AS n_files, CAST(sum(CASE WHEN c.key % 4 IN (1, 2) THEN 0 ELSE n_findings END) AS BIGINT) AS n_findings,
+         CAST(sum(CASE c.key % 4 WHEN 1 THEN 0 WHEN 2 THEN (c.language = 'python')::INTEGER ELSE n_syntax END) AS BIGINT) AS n_syntax
+  FROM gated g JOIN corpus c USING (path) GROUP BY g.repo)""",
+        corpus=ORDERS,
+    ),
+    "tree_round_trip": ORACLE["documents_as_python"],
+    "stream_tree_findings": ORACLE["documents_as_python"],
+    "many_own_rules": f"""WITH {DOC_LINES},
+r AS (
+  SELECT 'PART_' || p_partkey AS rule_id, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_partkey AS k FROM part WHERE p_partkey % 7 <> 0),
+p AS (
+  SELECT rule_id, CASE WHEN k <= 2 THEN '' WHEN k % 4 = 0 THEN substr(a, 1, 4) WHEN k % 4 = 1 THEN b WHEN k % 4 = 2 THEN a ELSE substr(b, 1, 3) END AS held,
+    CASE WHEN k = 1 THEN '^[0-9]+$' WHEN k = 2 THEN '[0-9]{{5}}' WHEN k % 4 = 0 THEN substr(a, 1, 4) || '[a-z]* ' WHEN k % 4 = 1 THEN '(?i)' || b
+         WHEN k % 4 = 2 THEN a || '.*' || (k % 10) || '$' ELSE substr(b, 1, 3) || '[a-z]*, ' END AS pattern
+  FROM r),
+d AS MATERIALIZED (SELECT DISTINCT held FROM p),
+near AS MATERIALIZED (SELECT doc_id, line, held FROM doc_lines JOIN d ON contains(lower(line), held)),
+c AS (SELECT DISTINCT held, pattern FROM p),
+hits AS MATERIALIZED (SELECT doc_id, pattern FROM near JOIN c USING (held) WHERE regexp_matches(line, pattern))
+SELECT rule_id, count(*) AS n_findings, count(DISTINCT doc_id) AS n_files FROM p JOIN hits USING (pattern) GROUP BY rule_id""",
+    "py_fact_rows": known(
+        """SELECT l.path, 'handler' AS kind, line_no AS line FROM lines l JOIN corpus c USING (path)
+WHERE c.language = 'python' AND syntax = 0 AND regexp_matches(line, '^\\s*except\\b')
+UNION ALL SELECT l.path, 'assign', line_no FROM lines l JOIN corpus c USING (path)
+WHERE c.language = 'python' AND syntax = 0 AND regexp_matches(line, '^\\w+ = ')"""
+    ),
+    "content_scan": f"""WITH {DOC_FILES.replace('doc_files AS', 'once AS', 1)},
+doc_files AS (SELECT doc_id, text || CASE WHEN doc_id % 10 = 0 THEN 'DEBUG = True' || {NL} ELSE '' END AS text FROM once),
+file_lines AS {lines_of('doc_files', 'doc_id')} {_AS_PYTHON}""",
+    "content_scan_runs": f"""WITH {DOC_FILES},
+again AS (SELECT text || CASE WHEN doc_id % 10 = 0 THEN 'DEBUG = True' || {NL} ELSE '' END AS text FROM doc_files)
+SELECT 'first' AS run, count(DISTINCT text) AS n_scanned FROM doc_files
+UNION ALL SELECT 'second', count(DISTINCT text) FROM again WHERE text NOT IN (SELECT text FROM doc_files)""",
+    "line_hunks": f"""WITH {rows('e', 'kind, hunk, mark, old_no, new_no', [(kind, *row) for kind, some in _HUNKS.items() for row in some])}
+SELECT p_partkey::VARCHAR AS path, hunk, mark, old_no, new_no, CASE WHEN mark = '+' AND p_partkey % 4 IN (0, 3) THEN 'edited ' || p_partkey
+  ELSE 'line ' || coalesce(old_no, CASE WHEN p_partkey % 4 = 1 THEN 2 ELSE 4 END) || ' of ' || p_partkey END AS line
+FROM part JOIN e ON p_partkey % 4 = kind""",
+    "line_hunk_headers": f"""WITH {rows('e', 'kind, hunk, header', _HEADERS)}
+SELECT p_partkey::VARCHAR AS path, hunk, header FROM part JOIN e ON p_partkey % 4 = kind""",
+    "line_script_texts": f"""WITH d AS (SELECT doc_id, {_OLD} AS ls FROM documents),
+n AS (SELECT *, doc_id % len(ls) + 1 AS n FROM d),
+t AS (SELECT doc_id, list_concat(ls, ['end']) AS old, list_concat(list_concat(list_concat(['first'], ls[:n - 1]), ls[n + 1:]), [ls[n], 'end']) AS new FROM n)
+SELECT doc_id, sha256(replace(array_to_string(old, {NL}), {CR}, '')) AS old_sha256, sha256(replace(array_to_string(new, {NL}), {CR}, '')) AS new_sha256 FROM t""",
+    "frequency_estimates": known("SELECT rule_id, n_findings, n_files, n_repos_hit, true AS n_files_close, true AS n_repos_hit_close FROM frequency", FREQUENCY),
+    "rule_importance": """SELECT p_partkey, round(0.25 * (p_partkey % 7 % 5 + 1) + 0.25 * (p_partkey % 11 % 5 + 1) + 0.2 * (p_partkey % 13 % 5 + 1)
+  + 0.15 * (p_partkey % 17 % 5 + 1) + 0.15 * (p_partkey % 19 % 5 + 1), 6)::DOUBLE AS importance FROM part""",
+    "file_owners": known("""SELECT path, CASE WHEN key % 10 = 0 THEN path WHEN t < 20 THEN 'src/t' || t ELSE 'src/' END AS root,
+  CASE WHEN key % 10 = 0 THEN 'file' WHEN t = 3 THEN repo WHEN t < 20 THEN 'team ' || (t % 5) ELSE 'platform' END AS owner FROM corpus"""),
+    "suppression_table": known(
+        """SELECT path, rule_id, line, CASE WHEN hit IS NOT NULL THEN 'suppressed' WHEN past IS NOT NULL THEN 'expired' ELSE 'kept' END AS status,
+  coalesce(hit, past) || '-' || t AS entry_id, coalesce(hit, past) AS reason FROM (
+  SELECT f.path, f.rule_id, f.line, c.t,
+    CASE WHEN f.rule_id = 'NO_DEBUG_MODE' AND regexp_matches(f.path, '/f[^/]*5\\.') AND mtime >= DATE '1993-01-01' THEN 'fives'
+         WHEN f.rule_id = 'NO_EXEC' AND mtime < DATE '1994-07-01' THEN 'until'
+         WHEN mtime >= DATE '1995-01-01' AND mtime < DATE '1996-01-01' THEN 'year' END AS hit,
+    CASE WHEN mtime >= DATE '1996-01-01' THEN 'year' WHEN f.rule_id = 'NO_EXEC' AND mtime >= DATE '1994-07-01' THEN 'until' END AS past
+  FROM found f JOIN corpus c USING (path))""",
+        corpus=ORDERS,
+    ),
+}

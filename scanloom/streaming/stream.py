@@ -6,14 +6,14 @@
 from __future__ import annotations
 
 import os
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanloom.operators.gate import gate
 from scanloom.operators.scan import findings, scan_files
+from scanloom.sources.tables import shared_folder
 
 
 def scan_stream(source_files: DataFrame, custom_rules=()) -> DataFrame:
@@ -73,12 +73,6 @@ def latest_each_batch(folder: str):
     return write
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder the session names, or else below its warehouse, which is shared too."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process all that has arrived, write it as parquet and return it as a table."""
     spark = stream.sparkSession
