@@ -1,6 +1,6 @@
 """Language-model scores by stupid backoff, computed as joins of n-gram tables.
 
-Documents are dealt into parts by hash. Each part counts its distinct n-grams and sends them, with their counts, to
+Documents are dealt into parts by hash, packed; equal rows of a task go to different parts. Each part counts its distinct n-grams and sends them, with their counts, to
 the range of hashes they belong to; a range adds up the counts of all parts, which is its share of the n-gram table,
 and answers every part with the totals of its n-grams, except those that no other part has. Joined back to the documents of the part, the totals (less the
 document's own occurrences, so that no text vouches for itself) give each word's score, summed per document.
@@ -12,12 +12,14 @@ so frequent n-grams make no hot key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import binary_column, buckets_for, from_planes, mixed, mixed_int, packed, planes, slices, table, text_bytes, unpacked, words_of
+from scanloom.llm.common import binary_column, buckets_for, from_planes, mixed, mixed_int, packed, planes, slices, small_batches, table, text_bytes, unpacked, words_of
 
 ORDER = 2
 #: The query's tables go up to this order; scores of both orders come from them.
@@ -25,6 +27,9 @@ HIGH_ORDER = 3
 BACKOFF = 0.4
 PART_BYTES = 8_000_000
 RANGE_BYTES = 4_000_000
+#: Bytes of text of a task that are dealt out at once.
+DEALT_BYTES = 32_000_000
+CODEC = "zstd"
 #: The name under which the number of all words is kept, beside the n-grams.
 ALL_WORDS = np.uint64(0)
 
@@ -63,6 +68,56 @@ def grams_of(words: np.ndarray, begin: np.ndarray, order: int) -> tuple[list[tup
     return out, place
 
 
+def _small(raw: bytes) -> bytes:
+    """Compressed, with its size in front."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=CODEC, asbytes=True)
+
+
+def _large(raw: bytes) -> bytes:
+    size = int.from_bytes(raw[:8], "little")
+    return pa.decompress(raw[8:], size, codec=CODEC, asbytes=True) if size else b""
+
+
+def _deal(pieces: int):
+    """Rows packed by part. A row that repeats others of its task goes to the next parts in turn."""
+
+    def packs(held: list[pa.RecordBatch], parts: list[int]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        order = np.argsort(parts, kind="stable")
+        table, sorted_parts = table.take(pa.array(order)).combine_chunks(), np.array(parts)[order]
+        names, first = np.unique(sorted_parts, return_index=True)
+        for name, low, high in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(parts)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as stream:
+                stream.write_table(table.slice(low, high - low))
+            body = _small(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), binary_column([body])], ["part", "body"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        held, parts, size = [], [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                again = seen.get(name, 0)
+                seen[name] = again + 1
+                parts.append((name + again) % pieces)
+            rows = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2).cast(pa.large_string())], ["doc_id", "text"])
+            held.append(rows)
+            size += rows.nbytes
+            if size > DEALT_BYTES:
+                yield from packs(held, parts)
+                held, parts, size = [], [], 0
+        if parts:
+            yield from packs(held, parts)
+
+    return run
+
+
+def _unpacked_rows(held: pa.Table) -> pa.Table:
+    bodies = [_large(x.as_py()) for x in held["body"]]
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in bodies]) if bodies else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.large_string())})
+
+
 def _distinct(words: np.ndarray, begin: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-grams of a part with their numbers; the number of words first."""
     every = [h for _, h, _ in grams_of(words, begin, order)[0]]
@@ -78,15 +133,15 @@ def _send(order: int, ranges: int):
     bounds = _bounds(ranges)
 
     def run(key: tuple, held: pa.Table) -> pa.Table:
-        names, counts = _distinct(*text_words(held["text"]), order)
+        names, counts = _distinct(*text_words(_unpacked_rows(held)["text"]), order)
         edges = np.concatenate(([0], np.searchsorted(names, bounds), [len(names)]))
         spans = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
         return pa.table(
             {
                 "range": pa.array([i for i, _, _ in spans], pa.int32()),
                 "part": pa.array([key[0].as_py()] * len(spans), pa.int32()),
-                "names": binary_column([packed(names[a:b]) for _, a, b in spans]),
-                "counts": binary_column([planes(counts[a:b]) for _, a, b in spans]),
+                "names": binary_column([_small(packed(names[a:b])) for _, a, b in spans]),
+                "counts": binary_column([_small(planes(counts[a:b])) for _, a, b in spans]),
             }
         )
 
@@ -95,8 +150,8 @@ def _send(order: int, ranges: int):
 
 def _total(held: pa.Table) -> pa.Table:
     """A range of the n-gram table: which of each part's n-grams (bits) other parts have, and the counts of all parts."""
-    names = [unpacked(x.as_py()) for x in held["names"]]
-    counts = np.concatenate([from_planes(x.as_py(), np.uint64) for x in held["counts"]])
+    names = [unpacked(_large(x.as_py())) for x in held["names"]]
+    counts = np.concatenate([from_planes(_large(x.as_py()), np.uint64) for x in held["counts"]])
     every = np.concatenate(names)
     order = np.argsort(every, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
@@ -105,7 +160,7 @@ def _total(held: pa.Table) -> pa.Table:
     total[order] = np.repeat(sums, np.diff(np.append(first, len(every))))
     edges = np.concatenate(([0], np.cumsum([len(n) for n in names])))
     shared = total != counts
-    blocks = [np.packbits(shared[a:b]).tobytes() + planes(total[a:b][shared[a:b]]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    blocks = [_small(np.packbits(shared[a:b]).tobytes() + planes(total[a:b][shared[a:b]])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     return pa.table({"part": held["part"], "range": held["range"], "totals": binary_column(blocks)})
 
 
@@ -113,7 +168,7 @@ def _answered(counts: np.ndarray, edges: np.ndarray, spans: list[int], blocks: l
     """Counts of all parts, from a part's own and the answers of the ranges."""
     total = counts.astype(np.int64)
     for i, block in zip(spans, blocks, strict=True):
-        low, high = int(edges[i]), int(edges[i + 1])
+        block, low, high = _large(block), int(edges[i]), int(edges[i + 1])
         bits = -(-(high - low) // 8)
         shared = np.unpackbits(np.frombuffer(block, np.uint8, bits), count=high - low).astype(bool)
         total[low + np.flatnonzero(shared)] = from_planes(block[bits:], np.uint64).astype(np.int64)
@@ -147,7 +202,8 @@ def _score(orders: tuple[int, ...], backoff: float, ranges: int):
         score[some] = np.add.reduceat(value, begin[:-1][some])
         return score, backed
 
-    def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
+    def run(held: pa.Table, totals: pa.Table) -> pa.Table:
+        docs = _unpacked_rows(held)
         words, begin = text_words(docs["text"])
         rows = len(begin) - 1
         found = [(np.zeros(rows), np.zeros(rows, np.int64)) for _ in orders]
@@ -179,15 +235,19 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, more:
     """(doc_id, n_words, log_score, backed_off) of each row of ``docs`` (doc_id, text, any other columns).
 
     ``log_score`` is the sum of the words' log scores under all other rows, copies of the row included; words that no
-    other row has score as one backoff below a single occurrence. Texts without words (null, empty) score 0.
+    other row has score as one backoff below a single occurrence. Texts without words (null, empty) score 0. Repeated rows
+    have their rows each; null ids stay; whole texts count, of any length (one text is one part's work); an empty table
+    gives an empty one; other columns, whatever their names, are not carried. ``docs`` should come from a table, as it is
+    read again where a task is lost.
     ``backed_off`` counts words for which an order was given up. Each order n of ``more`` adds log_score_n, backed_off_n.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pieces, ranges = max(parts, buckets_for(size, PART_BYTES)), max(parts, buckets_for(size, RANGE_BYTES))
-    dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(pieces)).cast("int").alias("part")
-    rows = docs.select(dealt, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(spark)
+    named = docs.select(F.xxhash64("doc_id", "text").alias("name"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = named.mapInArrow(_deal(pieces), "part int, body binary")
     sent = rows.groupBy("part").applyInArrow(_send(max(order, *more, 1), ranges), "range int, part int, names binary, counts binary")
     totals = sent.groupBy("range").applyInArrow(_total, "part int, range int, totals binary")
     return rows.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(_score((order, *more), backoff, ranges), _scored_columns((order, *more)))
