@@ -7,21 +7,25 @@ a band of ``k + 1`` diagonals (place in the text less place in the piece), as an
 width, half overlapping; only bands that meet the bound go on, and an alignment within the band decides. A first count
 by item and band, in hashed slots, leaves most hits out.
 
-The benchmark is taken in blocks of bounded size; each block meets all documents.
+Items too short for a piece are searched as they are, between word borders: hashes of all runs of an item's length that
+begin with a word are looked up, and the characters compared.
+
+The benchmark is taken in blocks of bounded size; a pass over all documents meets ``PASS_BLOCKS`` blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import buckets_for, mixed, slices, small_batches, table
+from scanloom.llm.common import buckets_for, mixed, powers, slices, small_batches, table
 
 Q = 6
 #: An item's q-grams are indexed at every third character; a text's are taken everywhere.
@@ -31,9 +35,13 @@ PIECE = 72
 STRIDE = 9
 #: A piece may have one edit for so many of its characters: a replaced word or two.
 CHARACTERS_AN_EDIT = 8
-#: Items with fewer characters (letters, digits, gaps) than this are too short to tell, and are not searched.
+#: Items with fewer characters (letters, digits, gaps) than this are searched without edits.
 LEAST_ITEM = 32
+#: Items with fewer than this are no reason to drop a document: any text may hold such a word.
+LEAST_REASON = 12
 BLOCK_CHARACTERS = 128_000
+#: Blocks of one pass: an index of about 2 MB of benchmark, some 100 MB in a worker.
+PASS_BLOCKS = 16
 BITS = 22
 #: Places of texts whose hits are counted at once, and slots they are counted in.
 CHUNK = 1 << 17
@@ -97,6 +105,7 @@ class Pieces:
     item: np.ndarray
     offset: np.ndarray
     seen: np.ndarray  # bits of hashes that occur
+    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: sorted hashes, items, characters
 
     @property
     def edits(self) -> np.ndarray:
@@ -110,13 +119,15 @@ class Pieces:
 
 
 def indexed(items: list[tuple[object, str | None]]) -> Pieces:
-    owner, parts, begins, ids, hashes, searched = [], [], [], [], [], []
+    owner, parts, begins, ids, hashes, searched, short = [], [], [], [], [], [], []
     for number, (item, text) in enumerate(items):
         ids.append(item)
         chars, _, _ = normal([text or ""])
         if len(chars) and chars[-1] == 0:
             chars = chars[:-1]
         if len(chars) < LEAST_ITEM:
+            if len(chars):
+                short.append((number, chars))
             continue
         starts = list(range(0, max(1, len(chars) - PIECE + 1), STRIDE))
         if len(chars) > PIECE and starts[-1] != len(chars) - PIECE:
@@ -138,7 +149,49 @@ def indexed(items: list[tuple[object, str | None]]) -> Pieces:
     seen = np.zeros(1 << BITS, bool)
     seen[(grams >> np.uint64(64 - BITS)).astype(np.int64)] = True
     lengths = np.array([len(p) for p in parts], np.int64)
-    return Pieces(np.array(owner, np.int64), ids, lengths, np.array(begins, np.int64), grid, grams, np.append(first, len(every)), item[order], offset[order], seen)
+    return Pieces(np.array(owner, np.int64), ids, lengths, np.array(begins, np.int64), grid, grams, np.append(first, len(every)), item[order], offset[order], seen, _short_items(short))
+
+
+def _run_hashes(chars: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of ``length`` characters that begin at these places."""
+    up, down = powers(len(chars) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[: len(chars)], dtype=np.uint64)))
+    return mixed((total[at + length] - total[at]) * down[at])
+
+
+def _short_items(items: list[tuple[int, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    out = {}
+    for length in sorted({len(c) for _, c in items}):
+        mine = [(number, c) for number, c in items if len(c) == length]
+        grid = np.stack([c for _, c in mine])
+        hashes = np.array([_run_hashes(c, np.zeros(1, np.int64), length)[0] for c in grid], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        out[length] = hashes[order], np.array([number for number, _ in mine])[order], grid[order]
+    return out
+
+
+def _short_found(pieces: Pieces, chars: np.ndarray, begin: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """(text, item, first, behind last, -1 for no piece, 0) wherever a short item stands between borders of words."""
+    word = chars > 0
+    edge = np.zeros(len(chars) + 1, bool)
+    edge[begin] = True
+    starts = np.flatnonzero(word & (edge[:-1] | ~np.concatenate(([False], word[:-1]))))
+    found = []
+    for length, (hashes, items, grid) in pieces.short.items():
+        at = starts[starts + length <= len(chars)]
+        text = np.searchsorted(begin, at, side="right") - 1
+        inside = at + length <= begin[text + 1]
+        behind = at + length
+        closed = edge[behind] | ~np.concatenate((word, [False]))[behind]
+        at, text = at[inside & closed], text[inside & closed]
+        run = _run_hashes(chars, at, length)
+        low, high = np.searchsorted(hashes, run, side="left"), np.searchsorted(hashes, run, side="right")
+        for k in np.flatnonzero(high > low).tolist():
+            place = int(at[k])
+            for i in range(int(low[k]), int(high[k])):
+                if (grid[i] == chars[place : place + length]).all():
+                    found.append((int(text[k]), int(items[i]), place, place + length, -1, 0))
+    return found
 
 
 def aligned(pieces: Pieces, which: np.ndarray, chars: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,15 +276,48 @@ def _candidates(pieces: Pieces, hashes: np.ndarray, begin: np.ndarray, low: int,
     return np.stack((text, piece, band))[:, source[first]]
 
 
-def leaks(texts: list[str], pieces: Pieces) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, item, first, behind last, pieces, edits) of each region that holds pieces of an item.
+@dataclass
+class Prepared:
+    """Normal characters and q-grams of some texts, for any number of blocks."""
 
-    Places are code points of the text; pieces of an item that overlap or touch make one region.
-    """
-    if not len(pieces.lengths):
-        return []
+    chars: np.ndarray
+    begin: np.ndarray
+    origin: np.ndarray
+    hashes: np.ndarray
+
+
+def prepared(texts: list[str]) -> Prepared:
     chars, begin, origin = normal(texts)
-    hashes = qgrams(chars)
+    return Prepared(chars, begin, origin, qgrams(chars))
+
+
+def leaks(texts: list[str] | Prepared, pieces: Pieces) -> list[tuple[int, int, int, int, int, int]]:
+    """(text, item, first, behind last, pieces, edits) of each region that holds an item or pieces of it.
+
+    Places are code points of the text; pieces of an item that overlap or touch make one region, so do short items, which
+    have no pieces and no edits.
+    """
+    held = texts if isinstance(texts, Prepared) else prepared(texts)
+    found = _pieces_found(pieces, held.chars, held.hashes, held.begin) if len(pieces.lengths) else []
+    found += _short_found(pieces, held.chars, held.begin) if pieces.short else []
+    origin = held.origin
+    return [(t, item, int(origin[s]), int(origin[e - 1]) + 1, len(ps - {-1}), d) for t, item, s, e, ps, d in _regions(found)]
+
+
+def _regions(found: list[tuple]) -> list[list]:
+    out: list[list] = []
+    for t, item, s, e, p, d in sorted(found):
+        if out and out[-1][0] == t and out[-1][1] == item and s <= out[-1][3]:
+            out[-1][3] = max(out[-1][3], e)
+            out[-1][4].add(p)
+            out[-1][5] = min(out[-1][5], d)
+        else:
+            out.append([t, item, s, e, {p}, d])
+    return out
+
+
+def _pieces_found(pieces: Pieces, chars: np.ndarray, hashes: np.ndarray, begin: np.ndarray) -> list[tuple]:
+    """(text, item, first, behind last, piece, edits) of each aligned piece, in places of ``chars``."""
     size = int(pieces.offset.max()) + PIECE
     # Chunks overlap by more than a region, so that each region lies inside one.
     over = PIECE + 2 * int(pieces.edits.max()) + Q
@@ -247,15 +333,7 @@ def leaks(texts: list[str], pieces: Pieces) -> list[tuple[int, int, int, int, in
             s, e = max(int(start[k]), int(begin[t[k]])), min(int(end[k]), int(begin[t[k] + 1]))
             if e > s:
                 found.append((int(t[k]), int(pieces.items[p[k]]), s, e, int(p[k]), int(edits[k])))
-    out: list[list] = []
-    for t, item, s, e, p, d in sorted(found):
-        if out and out[-1][0] == t and out[-1][1] == item and s <= out[-1][3]:
-            out[-1][3] = max(out[-1][3], e)
-            out[-1][4].add(p)
-            out[-1][5] = min(out[-1][5], d)
-        else:
-            out.append([t, item, s, e, {p}, d])
-    return [(t, item, int(origin[s]), int(origin[e - 1]) + 1, len(ps), d) for t, item, s, e, ps, d in out]
+    return found
 
 
 def benchmark_blocks(benchmark: DataFrame, characters: int = BLOCK_CHARACTERS) -> Iterator[Pieces]:
@@ -267,11 +345,19 @@ def benchmark_blocks(benchmark: DataFrame, characters: int = BLOCK_CHARACTERS) -
         yield indexed(sorted(((r.item_id, r.text) for r in some), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
 
 
-def _in_slices(column: pa.Array, pieces: Pieces) -> Iterator[tuple[int, list]]:
+def _passes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """Broadcast indexes of the benchmark, ``PASS_BLOCKS`` blocks each: one for each pass over the documents."""
+    blocks = benchmark_blocks(benchmark)
+    while some := list(islice(blocks, PASS_BLOCKS)):
+        yield docs.sparkSession.sparkContext.broadcast(some)
+
+
+def _in_slices(column: pa.Array, blocks: list[Pieces]) -> Iterator[tuple[int, list]]:
     texts = [t or "" for t in column.to_pylist()]
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     for low, high in slices(offsets, 1 << 18):
-        yield low, leaks(texts[low:high], pieces)
+        held = prepared(texts[low:high])
+        yield low, [(t, pieces.ids[item], *rest) for pieces in blocks for t, item, *rest in leaks(held, pieces)]
 
 
 _LEAK = "doc_id long, item_id long, start long, end long, pieces int, edits int"
@@ -280,18 +366,19 @@ _LEAK = "doc_id long, item_id long, start long, end long, pieces int, edits int"
 def leaked_regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Regions of ``docs`` (doc_id, text, ...) that hold benchmark text: a row for each document, item and region.
 
-    Clean documents have no row, nor have null and empty texts; repeated rows have their rows each.
+    Items of any length count; those below ``LEAST_ITEM`` characters as they are, between borders of words, with 0
+    pieces. Clean documents have no row, nor have null and empty texts or items, nor empty tables; repeated rows and items
+    have their rows each; null ids stay. Other columns, whatever their names, are not carried.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for pieces in benchmark_blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")):
-        shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    for shared in _passes(docs, benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")):
 
         def run(batches, shared=shared):
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                rows = [(ids[low + t], shared.value.ids[item], *rest) for low, some in _in_slices(batch.column(1), shared.value) for t, item, *rest in some]
+                rows = [(ids[low + t], *rest) for low, some in _in_slices(batch.column(1), shared.value) for t, *rest in some]
                 kinds = [pa.int64()] * 4 + [pa.int32()] * 2
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start", "end", "pieces", "edits"])
@@ -301,17 +388,20 @@ def leaked_regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold benchmark text; null and empty texts stay."""
+def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_REASON) -> DataFrame:
+    """``docs`` without the rows that hold benchmark text; null and empty texts stay.
+
+    Items of fewer than ``least`` normal characters are left out: they would take clean documents along.
+    """
     small_batches(docs.sparkSession)
     place = docs.columns.index("text")
-    for pieces in benchmark_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    for shared in _passes(docs, benchmark):
 
         def run(batches, shared=shared):
+            blocks = [replace(b, short={n: some for n, some in b.short.items() if n >= least}) for b in shared.value]
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for low, some in _in_slices(batch.column(place), shared.value):
+                for low, some in _in_slices(batch.column(place), blocks):
                     keep[[low + t for t, *_ in some]] = False
                 yield batch.filter(pa.array(keep))
 

@@ -126,3 +126,39 @@ def test_long_texts_in_chunks():
     item = " ".join(rnd.choice(WORDS) for _ in range(30))
     for before in range((1 << 17) - 260, (1 << 17) + 40, 20):
         assert {i for _, i, *_ in leaks(["x" * before + " " + item], indexed([(3, item)]))} == {0}
+
+
+def test_short_items_as_they_are(spark, documents):
+    items = [(1, "What is the capital?"), (2, "a"), (3, "Zürich, 1848"), (4, "b c"), (5, "--"), (6, "what is the capital"), (7, "a" * 31)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [
+        "So: what IS\tthe capital? Nobody knows.", "what is the capitals", "somewhat is the capital", "In zürich 1848 it was", "a", "b - c", "bc", "abc a",
+        "x" * 300_000 + " What is the capital", "a" * 32, "b c" * 2, "what is the capital what is the capital",
+    ]
+    got = sorted((r.doc_id, r.item_id, texts[r.doc_id][r.start : r.end], r.pieces, r.edits) for r in leaked_regions(documents(list(enumerate(texts))), bench).collect())
+    whole = "What is the capital"
+    assert got == [
+        (0, 1, "what IS\tthe capital", 0, 0), (0, 6, "what IS\tthe capital", 0, 0), (3, 3, "zürich 1848", 0, 0), (4, 2, "a", 0, 0), (5, 4, "b - c", 0, 0),
+        (7, 2, "a", 0, 0), (8, 1, whole, 0, 0), (8, 6, whole, 0, 0), *((11, i, whole.lower(), 0, 0) for i in (1, 1, 6, 6)),
+    ]
+    # Short words are no reason to drop a document.
+    assert sorted(r.doc_id for r in clean_documents(documents(list(enumerate(texts))), bench).collect()) == [1, 2, 3, 4, 5, 6, 7, 9, 10]
+
+
+def test_short_items_against_plain_search():
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abé") for _ in range(rnd.randrange(1, 4)))
+    items = [(i, " ".join(word() for _ in range(rnd.randrange(1, 6)))) for i in range(80)]
+    texts = [" ".join(word() for _ in range(rnd.randrange(0, 30))) for _ in range(60)]
+    got = {(t, i) for t, i, *_ in leaks(texts, indexed(items))}
+    assert got == {(t, i) for t, text in enumerate(texts) for i, item in items if f" {item} " in f" {text} "}
+
+
+def test_a_large_benchmark_is_one_pass(spark, documents):
+    rnd = random.Random(3)
+    items = [(i, " ".join("".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(60))) for i in range(1000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, "before " + items[i * 37][1][40:300] + " after") for i in range(20)]
+    found = leaked_regions(documents(rows), bench)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i * 37) for i in range(20)}
