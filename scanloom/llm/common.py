@@ -241,6 +241,17 @@ def running(rows: DataFrame, group: str, order: str, ties: list[str], size: str,
 # --- Connected components ------------------------------------------------------------------------------------------
 
 
+#: Parts that the neighbours of a node are dealt into where they meet what is known of it: a node can have very many.
+NEIGHBOUR_SALTS = 16
+
+
+def _told(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) with what ``known`` says of a; the pairs of one node lie in ``NEIGHBOUR_SALTS`` tasks."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(NEIGHBOUR_SALTS - 1)))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(NEIGHBOUR_SALTS)).cast("int"))
+    return salted.join(known.withColumn("salt", salts), ["a", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the least node reachable.
 
@@ -253,10 +264,10 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: neighbours above a node hang on the least node it sees.
         both = pairs.union(pairs.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _told(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: a node and those below it hang on the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = _told(large, low).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         pairs = written(small.select("e.*").where("a <> b").distinct(), "links")
         state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

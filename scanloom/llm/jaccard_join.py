@@ -131,7 +131,7 @@ def bit_sketch(members: np.ndarray) -> bytes:
 
 # --- First pass: sizes, signatures, sketches, frequent keys ---------------------------------------------------------
 
-_SUMMARY = "doc_id long, n long, sig long, sketch binary, key long, texts long"
+_SUMMARY = "doc_id long, name long, n long, sig long, sketch binary, key long, texts long"
 
 
 def _summarise(width: int, percent: int):
@@ -147,13 +147,13 @@ def _summarise(width: int, percent: int):
             keys, counts = keys[often], counts[often].astype(np.int64)
             none = pa.nulls(len(keys), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [none, none, none, pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)],
-                ["doc_id", "n", "sig", "sketch", "key", "texts"],
+                [none, none, none, none, pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)],
+                ["doc_id", "name", "n", "sig", "sketch", "key", "texts"],
             )
 
         for batch in batches:
             sizes, sigs, sketches = [], [], []
-            for _, sets in text_sets(batch.column(1), width):
+            for _, sets in text_sets(batch.column(2), width):
                 for members in sets:
                     sizes.append(len(members))
                     if not len(members):
@@ -175,8 +175,8 @@ def _summarise(width: int, percent: int):
                     held, size = [], 0
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [one_chunk(batch.column(0)).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), binary_column(sketches), none, none],
-                ["doc_id", "n", "sig", "sketch", "key", "texts"],
+                [*(one_chunk(batch.column(i)).cast(pa.int64()) for i in (0, 1)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), binary_column(sketches), none, none],
+                ["doc_id", "name", "n", "sig", "sketch", "key", "texts"],
             )
         if held:
             yield frequent()
@@ -381,6 +381,24 @@ def _compare_texts(width: int, percent: int):
 # --- The join ------------------------------------------------------------------------------------------------------
 
 
+def _first_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose id and text no earlier row of the task has, so that equal rows are few wherever they meet."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        keep = []
+        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keep.append(row not in seen)
+            seen.add(row)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def wanted_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(task, sig, text): each text that stands for a set, once for each task that compares it."""
+    few = texts.mapInArrow(_first_in_task, texts.schema)
+    same = F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.name") == F.col("t.name"))
+    return few.alias("t").join(wanted.alias("w"), same).select("w.task", "w.sig", "t.text")
+
+
 def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text, any other columns).
 
@@ -390,7 +408,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("name"), "text")
     summary = written(texts.mapInArrow(_summarise(width, percent), _SUMMARY), "sketches")
     total = summary.agg(F.sum("n")).first()[0] or 0
     often = summary.where("key is not null").groupBy("key").agg(F.sum("texts").alias("texts"))
@@ -400,7 +418,10 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     sent = texts.select("text").mapInArrow(_send_keys(width, percent, frequent, ranges), "part int, keys binary, owners binary")
     groups = sent.groupBy("part").applyInArrow(_groups, "gid long, members array<long>").dropDuplicates(["gid"])
     groups = written(groups, "groups")
-    known = summary.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("sketch").alias("sketch"))
+    # Of the texts with one set, that of the least id stands for all; ids may be missing or shared, so its hash goes along.
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("one")
+    known = summary.where("sig is not null").groupBy("sig").agg(one, F.max("n").alias("n"), F.min("sketch").alias("sketch"))
+    known = known.select("sig", "n", "sketch", "one.doc_id", "one.name")
     members = groups.select("gid", F.explode("members").alias("sig"))
     spread = max(parts, buckets_for(members.count(), 20_000))
     compared = members.join(known.select("sig", "n", "sketch"), "sig").groupBy(F.pmod("gid", F.lit(spread)).alias("part"))
@@ -412,9 +433,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.select(F.col("node").alias("sig"), F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
-    wanted = blocks.join(known.select("sig", "doc_id"), "sig")
-    ids = F.col("w.doc_id").eqNullSafe(F.col("t.doc_id"))
-    held = texts.alias("t").join(wanted.alias("w"), ids).select("w.task", "w.sig", "t.text")
+    held = wanted_texts(texts, blocks.join(known.select("sig", "doc_id", "name"), "sig"))
     checked = held.groupBy(F.pmod("task", F.lit(max(parts, buckets_for(clusters.count(), 1000)))).alias("part"))
     links = components(checked.applyInArrow(_compare_texts(width, percent), "a long, b long"))
 

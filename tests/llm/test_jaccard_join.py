@@ -81,6 +81,28 @@ def test_edge_cases(spark, documents):
     assert result(near_copies(documents([]))) == []
 
 
+def test_rows_without_an_id_are_not_joined_all_with_all(spark, documents, monkeypatch):
+    from scanloom.llm import jaccard_join
+
+    sent = []
+    whole = jaccard_join.wanted_texts
+    monkeypatch.setattr(jaccard_join, "wanted_texts", lambda *a: sent.append(whole(*a).cache()) or sent[-1])
+    rows = [(None, f"a b c d e f g h i j k l m n o p q r s t u v w x y z end{i}") for i in range(300)]
+    rows += [(None, rows[0][1])] * 100 + [(7, f"other words that stand {'again ' * 30} and again {i % 2}") for i in range(50)]
+    assert result(near_copies(documents(rows))) == by_hand(rows)
+    # A text a set and task; equal rows at most once for each task that read them.
+    assert sent[0].select("sig", "text").distinct().count() >= 300
+    assert sent[0].count() <= 302 * 8 and sent[0].where("text like '%end5'").count() == 1
+
+
+def test_a_hub_is_dealt_out(spark):
+    from scanloom.llm.common import components
+
+    hub = spark.range(1, 4001).selectExpr("cast(id as long) a", "cast(0 as long) b").unionByName(spark.range(5000, 5010).selectExpr("id a", "id + 1 b"))
+    roots = {r.node: r.root for r in components(hub).collect()}
+    assert roots == {i: 0 for i in range(4001)} | {i: 5000 for i in range(5000, 5011)}
+
+
 def test_extra_columns_and_one_of_each(spark, documents):
     frame = documents([(3, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (1, None), (None, "a b c d e f")])
     frame = frame.selectExpr("*", "1 as sig", "2 as key", "3 as a", "4 as part")
