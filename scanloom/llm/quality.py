@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a small calibrated network.
 
 Every word (hashed to a row of a table) has a sparse random index vector. A word's vector is the sum of the index
-vectors of the words around it in the labelled documents, scaled, plus its own. Marks for what a word looks like
+vectors of the words around it in all documents, scaled, plus its own. Marks for what a word looks like
 (signs attached to it, capitals, the word before repeated) stand in the text as words of their own. A document is the
 mean of its words' vectors; a network with one hidden layer gives a logit, and a temperature fitted on documents kept
 from training makes it a probability.
@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from scanloom.llm.common import FOLDED, IS_SPACE, binary_column, held_out, mixed, mixed_int, powers, slices, table, text_bytes, word_spans, written
+from scanloom.llm.common import FOLDED, IS_SPACE, binary_column, from_planes, held_out, mixed, mixed_int, planes, powers, slices, table, text_bytes, word_spans, written
 
 ROWS = 1 << 14
 SIZE = 64
@@ -28,6 +29,8 @@ HIDDEN = 32
 LABELLED = 20_000
 TASKS = 16
 CHUNK = 256
+#: Sums of tasks are added up in two steps, so many groups of tasks first.
+SUM_GROUPS = 1024
 CUT = 0.7
 
 _ALNUM = np.zeros(256, bool)
@@ -169,33 +172,49 @@ def fitted(x: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 7) -> Net
     return net
 
 
-def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = LABELLED) -> tuple[np.ndarray, Network]:
-    """Word vectors and network from ``docs`` (doc_id, text) and ``labels`` (doc_id, label).
+def corpus_contexts(docs: DataFrame) -> np.ndarray:
+    """Sums of the index vectors around each word over the texts of all rows: a table of fixed size.
 
-    Rows without label or id teach nothing; an id with several labels has their mean, rounded.
+    A task adds up its own; whole numbers, so the order of adding makes no difference.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.round(F.avg(label)).cast("int").alias("y"))
-    share = int(min(1.0, most / max(1, known.count())) * 1_000_000)
-    # Of bounded size: about ``most`` ids and labels.
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
-    rows = written(rows.repartition(TASKS, "doc_id"), "labelled")
 
     def sums(batches):
         total = np.zeros((ROWS, SIZE))
         for batch in batches:
             total += context_sums(batch.column(0))
-        chunks = [i for i in range(ROWS // CHUNK) if total[i * CHUNK : (i + 1) * CHUNK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), binary_column([total[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in chunks])], ["chunk", "sums"])
+        whole = total.astype(np.int64)
+        chunks = [i for i in range(ROWS // CHUNK) if whole[i * CHUNK : (i + 1) * CHUNK].any()]
+        group = TaskContext.get().partitionId() % SUM_GROUPS
+        bodies = [planes(whole[i * CHUNK : (i + 1) * CHUNK].ravel()) for i in chunks]
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([group] * len(chunks), pa.int32()), binary_column(bodies)], ["chunk", "group", "sums"])
 
     def added(held: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py()) for x in held["sums"])
-        return pa.table({"chunk": held["chunk"][:1], "sums": binary_column([total.tobytes()])})
+        total = np.zeros(CHUNK * SIZE, np.int64)
+        for x in held["sums"]:
+            total += from_planes(x.as_py(), np.int64)
+        return pa.table({"chunk": held["chunk"][:1], "group": held["group"][:1], "sums": binary_column([planes(total)])})
 
+    kind = "chunk int, group int, sums binary"
+    some = docs.select("text").mapInArrow(sums, kind).groupBy("chunk", "group").applyInArrow(added, kind)
     contexts = np.zeros((ROWS, SIZE))
-    summed = rows.select("text").mapInArrow(sums, "chunk int, sums binary").groupBy("chunk").applyInArrow(added, "chunk int, sums binary")
-    for r in summed.collect():  # a table of fixed size
-        contexts[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r["sums"]).reshape(CHUNK, SIZE)
+    for r in some.groupBy("chunk").applyInArrow(added, kind).collect():
+        contexts[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = from_planes(r["sums"], np.int64).reshape(CHUNK, SIZE)
+    return contexts
+
+
+def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = LABELLED) -> tuple[np.ndarray, Network]:
+    """Word vectors from all of ``docs`` (doc_id, text) and a network from ``labels`` (doc_id, label).
+
+    Rows without label or id teach nothing; an id with several labels has their mean, rounded.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.round(F.avg(label)).cast("int").alias("y"))
+    share = int(min(1.0, most / max(1, known.count())) * 1_000_000)
+    # Of bounded size: about ``most`` ids and labels.
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = written(rows.repartition(TASKS, "doc_id"), "labelled")
+
+    contexts = corpus_contexts(docs)
     vectors = word_vectors(contexts)
 
     def features(batches):
@@ -210,7 +229,11 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", most: in
 
 
 def scored(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
-    """``docs`` with a score from its text alone, 0 to 1; null and empty texts have the score of no words."""
+    """``docs`` with a score from its text alone, 0 to 1; null and empty texts have the score of no words.
+
+    Repeated rows have the same score; whole texts count, of any length; an empty table gives an empty one. A column
+    ``score`` of ``docs`` gives way.
+    """
     docs = docs.drop("score")
     place = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))

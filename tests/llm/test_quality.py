@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from scanloom.llm.quality import SIZE, Network, context_sums, fitted, learned, op5_quality, pooled, scored, tokens
+from scanloom.llm.quality import SIZE, Network, context_sums, corpus_contexts, fitted, learned, op5_quality, pooled, scored, tokens, word_vectors
 
 
 def rows_of(text):
@@ -71,3 +71,21 @@ def test_network_learns_a_curve_and_its_temperature():
     assert isinstance(net, Network) and net.temperature > 1
     assert ((net.scores(x[4::5]) > 0.5) == y[4::5]).mean() > 0.75
     assert pooled(pa.array([None, "a"]), np.ones((1 << 14, SIZE), np.float32)).sum(axis=1).tolist() == [0, SIZE]
+
+
+def test_contexts_come_from_all_documents(spark, documents):
+    rows = [(i, f"alpha beta w{i % 7} gamma") for i in range(50)] + [(None, "alpha delta"), (60, None), (61, "")]
+    whole = context_sums(pa.array([t for _, t in rows]))
+    assert (corpus_contexts(documents(rows).repartition(5)) == whole).all() and whole.any()
+    # A word that no labelled text holds has its surroundings too.
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    vectors, _ = learned(documents(rows), labels)
+    assert (vectors == word_vectors(whole)).all()
+    assert not corpus_contexts(documents([])).any()
+
+
+def test_a_score_at_the_cut_counts_as_good(spark):
+    from scanloom.llm.quality import CUT
+
+    frame = spark.createDataFrame([(CUT,), (float(np.nextafter(CUT, 0)),)], "score double")
+    assert [r.p for r in frame.selectExpr(f"int(score >= {CUT}D) p").collect()] == [1, 0]
