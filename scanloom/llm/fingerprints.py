@@ -61,10 +61,10 @@ def _draws(rate, log_size, shift, log_weight: np.ndarray, words: np.ndarray) ->
     return (mixed(words[best] ^ (at * _LEVELS)) >> np.uint64(48)).astype(np.uint16)
 
 
-def weighted_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words and the logs of their weights; the low byte of a word's hash is its length."""
-    words, count = np.unique(words, return_counts=True)
-    return words, np.log((count * np.maximum(words & np.uint64(0xFF), 1)).astype(np.float32))
+def weighted_words(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and the logs of their weights, from all words and their lengths in bytes."""
+    words, first, count = np.unique(words, return_index=True, return_counts=True)
+    return words, np.log((count * lengths[first]).astype(np.float32))
 
 
 def fingerprints(column: pa.Array) -> list[bytes]:
@@ -75,8 +75,8 @@ def fingerprints(column: pa.Array) -> list[bytes]:
         part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         starts, ends, begin = word_spans(part, at)
         hashes = word_hashes(part, starts, ends, FOLDED)
-        hashes = (hashes & ~np.uint64(0xFF)) | np.minimum(ends - starts, 255).astype(np.uint64)
-        sets = [weighted_words(hashes[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+        lengths = ends - starts
+        sets = [weighted_words(hashes[a:b], lengths[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
         known = np.unique(hashes)
         drawn: list[bytes] = [b""] * len(sets)
         if len(known) <= 1 << 16:
@@ -186,16 +186,18 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compared_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of each row of ``docs`` (doc_id, text, ...) and its edited text, and their likeness.
 
-    A null text is empty. Rows are ordered by descending id, nulls last, then by text, so repeated rows are each
-    other's next; after the last comes the first, and a single row is its own next. Texts without words have an empty
-    fingerprint.
+    A null text is empty. Rows are ordered by descending id, nulls last, then by a hash of the text, so repeated rows are
+    each other's next; after the last comes the first, and a single row is its own next. Texts without words have an
+    empty fingerprint. Words of any length weigh all their bytes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Rows with one id, or none, are dealt by text, and equal rows by their number.
+    rows = rows.withColumns({"name": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").desc_nulls_last(), F.col("name"), F.col("row")]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(docs.count(), ROWS_OF_TASK))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").desc_nulls_last())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
-    done = written(ordered.mapInArrow(_neighbours, _SORTED), "neighbours")
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    done = written(ordered.select("doc_id", "text").mapInArrow(_neighbours, _SORTED), "neighbours")
     # Two rows a task: the last of each and the first of the next.
     firsts = done.where(F.col("kind") == _FIRST_ROW).select(F.col("place").alias("to"), F.col("text").alias("next_text"), F.col("own").alias("next_own"))
     line = Window.orderBy("place")
