@@ -95,3 +95,13 @@ def test_agrees_with_the_batch_gate(spark, arrivals, tmp_path):
 def test_unknown_grain(spark):
     with pytest.raises(ValueError):
         gate_from_changes(spark.createDataFrame([], "repo string, n_files long, n_findings long, n_syntax long"), "file")
+
+
+def test_streams_read_a_folder_of_parts_as_a_single_file(spark, tmp_path):
+    from scanloom.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/orders.parquet").repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    for name in ("stream_dedup", "stream_findings"):
+        want = sorted(map(tuple, QUERIES[name](spark, sf).collect()))
+        assert want and sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == want
