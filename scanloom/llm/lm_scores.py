@@ -1,18 +1,24 @@
 """Language-model scores by stupid backoff, computed as joins of n-gram tables.
 
-Documents are dealt into parts by hash, packed; equal rows of a task go to different parts. Each part counts its distinct n-grams and sends them, with their counts, to
-the range of hashes they belong to; a range adds up the counts of all parts, which is its share of the n-gram table,
-and answers every part with the totals of its n-grams, except those that no other part has. Joined back to the documents of the part, the totals (less the
-document's own occurrences, so that no text vouches for itself) give each word's score, summed per document.
+Documents are dealt into parts by hash, packed; equal rows of a task go to different parts. Each part counts its
+distinct n-grams and sends them, with their counts, to the range of hashes they belong to; a range adds up the counts of
+all parts, which is its share of the n-gram table, and answers every part with the totals of its n-grams, except those
+that no other part has. Joined back to the documents of the part, the totals (less the document's own occurrences, so
+that no text vouches for itself) give each word's score, summed per document.
 
 A word scores count(n-gram) / count(context) for the longest n-gram that other documents have, times ``BACKOFF`` for
-each order given up. Counts travel as sorted blocks, a row for each part and range, and an n-gram occurs once a part,
-so frequent n-grams make no hot key.
+each order given up. Counts travel as sorted blocks, and an n-gram occurs once a part, so frequent n-grams make no hot key.
+
+Blocks travel in steps (``Route``). In a step a sender has a block for each of at most ``FAN`` narrower ranges, and a node
+adds up the blocks of at most ``FAN`` senders before it sends on; answers go the same way back. So the number of blocks
+grows with the number of parts times the steps, which is its logarithm, and not with parts times ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +36,8 @@ RANGE_BYTES = 4_000_000
 #: Bytes of text of a task that are dealt out at once.
 DEALT_BYTES = 32_000_000
 CODEC = "zstd"
+#: A sender has blocks for at most so many nodes of the next step, and a node hears from at most so many.
+FAN = 8192
 #: The name under which the number of all words is kept, beside the n-grams.
 ALL_WORDS = np.uint64(0)
 
@@ -125,43 +133,135 @@ def _distinct(words: np.ndarray, begin: np.ndarray, order: int) -> tuple[np.ndar
     return np.concatenate(([ALL_WORDS], names)), np.concatenate(([len(words)], counts)).astype(np.uint64)
 
 
-def _bounds(ranges: int) -> np.ndarray:
-    return np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+@dataclass(frozen=True)
+class Route:
+    """The way from parts to ranges. A node of step n is (group of parts, run of ranges); groups widen as runs narrow.
+
+    Step 0 are the parts, all ranges each; in the last step there is one group, of all parts, and each run is one range.
+    """
+
+    parts: int
+    ranges: int
+    fan: int
+    steps: int
+
+    def runs(self, step: int) -> int:
+        """Number of runs of ranges in a step."""
+        return -(-self.ranges // self.fan ** (self.steps - step))
+
+    def group(self, step: int, sender: int) -> int:
+        """The group that hears from a sender: from a part in step 1, else from a group of the step before."""
+        return sender * self.fan ** (self.steps - 1) // self.parts if step == 1 else sender // self.fan
+
+    def narrower(self, step: int, run: int) -> range:
+        """The runs of the next step inside one of this step."""
+        return range(run * self.fan, min((run + 1) * self.fan, self.runs(step + 1)))
+
+
+def route(parts: int, ranges: int, fan: int = FAN) -> Route:
+    """The fewest steps that ``fan`` allows, each about as wide."""
+    most = max(parts, ranges, 1)
+    steps = 1
+    while fan**steps < most:
+        steps += 1
+    width = next(w for w in range(max(1, int(most ** (1 / steps)) - 1), most + 1) if w**steps >= most)
+    return Route(parts, ranges, width, steps)
 
 
-def _send(order: int, ranges: int):
-    bounds = _bounds(ranges)
+@lru_cache(maxsize=8)
+def _bounds(way: Route, step: int, run: int) -> np.ndarray:
+    """The hashes at which the narrower runs of a run begin, the first left out."""
+    width = way.fan ** (way.steps - step - 1)
+    return np.array([((i * width) << 64) // way.ranges for i in way.narrower(step, run)[1:]], np.uint64)
 
+
+def _edges(way: Route, step: int, run: int, names: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.searchsorted(names, _bounds(way, step, run)), [len(names)]))
+
+
+_BLOCKS = "group int, range int, sender int, names binary, counts binary"
+#: ``group`` and ``range`` name who asked; ``at`` is the narrower range that answers.
+_ANSWERS = "group int, range int, at int, totals binary"
+
+
+def _blocks(way: Route, step: int, run: int, sender: int, names: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """What a sender of a step sends to the next one."""
+    edges = _edges(way, step, run, names)
+    spans = [(i, int(a), int(b)) for i, a, b in zip(way.narrower(step, run), edges[:-1], edges[1:], strict=True) if b > a]
+    return pa.table(
+        {
+            "group": pa.array([way.group(step + 1, sender)] * len(spans), pa.int32()),
+            "range": pa.array([i for i, _, _ in spans], pa.int32()),
+            "sender": pa.array([sender] * len(spans), pa.int32()),
+            "names": binary_column([_small(packed(names[a:b])) for _, a, b in spans]),
+            "counts": binary_column([_small(planes(counts[a:b])) for _, a, b in spans]),
+        }
+    )
+
+
+def _send(order: int, way: Route):
     def run(key: tuple, held: pa.Table) -> pa.Table:
-        names, counts = _distinct(*text_words(_unpacked_rows(held)["text"]), order)
-        edges = np.concatenate(([0], np.searchsorted(names, bounds), [len(names)]))
-        spans = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-        return pa.table(
-            {
-                "range": pa.array([i for i, _, _ in spans], pa.int32()),
-                "part": pa.array([key[0].as_py()] * len(spans), pa.int32()),
-                "names": binary_column([_small(packed(names[a:b])) for _, a, b in spans]),
-                "counts": binary_column([_small(planes(counts[a:b])) for _, a, b in spans]),
-            }
-        )
+        return _blocks(way, 0, 0, key[0].as_py(), *_distinct(*text_words(_unpacked_rows(held)["text"]), order))
 
     return run
 
 
-def _total(held: pa.Table) -> pa.Table:
-    """A range of the n-gram table: which of each part's n-grams (bits) other parts have, and the counts of all parts."""
+def _added(held: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Distinct n-grams of a node's blocks, their sums; of all blocks in a row: which n-gram, what count, where each begins."""
     names = [unpacked(_large(x.as_py())) for x in held["names"]]
     counts = np.concatenate([from_planes(_large(x.as_py()), np.uint64) for x in held["counts"]])
     every = np.concatenate(names)
     order = np.argsort(every, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
-    sums = np.add.reduceat(counts[order], first)
-    total = np.empty(len(every), np.uint64)
-    total[order] = np.repeat(sums, np.diff(np.append(first, len(every))))
-    edges = np.concatenate(([0], np.cumsum([len(n) for n in names])))
+    line = every[order]
+    new = np.concatenate(([True], line[1:] != line[:-1]))
+    first = np.flatnonzero(new)
+    which = np.empty(len(every), np.int64)
+    which[order] = np.cumsum(new) - 1
+    edges = np.cumsum([0, *map(len, names)])
+    return line[first], np.add.reduceat(counts[order], first), which, counts, edges.tolist()
+
+
+def _answers(way: Route, step: int, run: int, held: pa.Table, total: np.ndarray, counts: np.ndarray, edges: list[int]) -> pa.Table:
+    """For each block, which of its n-grams (bits) others have, and the counts of all parts."""
     shared = total != counts
-    blocks = [_small(np.packbits(shared[a:b]).tobytes() + planes(total[a:b][shared[a:b]])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-    return pa.table({"part": held["part"], "range": held["range"], "totals": binary_column(blocks)})
+    blocks = [_small(np.packbits(shared[a:b]).tobytes() + planes(total[a:b][shared[a:b]])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    rows = len(blocks)
+    asked = run // way.fan if step > 1 else 0
+    return pa.table({"group": held["sender"], "range": pa.array([asked] * rows, pa.int32()), "at": pa.array([run] * rows, pa.int32()), "totals": binary_column(blocks)})
+
+
+def _pass_on(way: Route, step: int):
+    """A node adds up what it heard and sends it on."""
+
+    def run(key: tuple, held: pa.Table) -> pa.Table:
+        group, at = (k.as_py() for k in key)
+        return _blocks(way, step, at, group, *_added(held)[:2])
+
+    return run
+
+
+def _total(way: Route):
+    """A range of the n-gram table answers those it heard from."""
+
+    def run(key: tuple, held: pa.Table) -> pa.Table:
+        _, sums, which, counts, edges = _added(held)
+        return _answers(way, way.steps, key[1].as_py(), held, sums[which], counts, edges)
+
+    return run
+
+
+def _pass_back(way: Route, step: int):
+    """A node that was answered answers those it heard from."""
+
+    def run(key: tuple, held: pa.Table, totals: pa.Table) -> pa.Table:
+        at = key[1].as_py()
+        names, sums, which, counts, edges = _added(held)
+        first = at * way.fan
+        spans = [i - first for i in totals["at"].to_pylist()]
+        total = _answered(sums, _edges(way, step, at, names), spans, totals["totals"].to_pylist()).astype(np.uint64)
+        return _answers(way, step, at, held, total[which], counts, edges)
+
+    return run
 
 
 def _answered(counts: np.ndarray, edges: np.ndarray, spans: list[int], blocks: list[bytes]) -> np.ndarray:
@@ -180,9 +280,7 @@ def _scored_columns(orders: tuple[int, ...]) -> str:
     return "doc_id long, n_words long, log_score double, backed_off long" + more
 
 
-def _score(orders: tuple[int, ...], backoff: float, ranges: int):
-    bounds = _bounds(ranges)
-
+def _score(orders: tuple[int, ...], backoff: float, way: Route):
     def values(order: int, other: list[np.ndarray], every: np.ndarray, begin: np.ndarray, owner: np.ndarray, place: np.ndarray):
         """Log score and number of words backed off, by text."""
         score, backed = np.zeros(len(begin) - 1), np.zeros(len(begin) - 1, np.int64)
@@ -209,8 +307,7 @@ def _score(orders: tuple[int, ...], backoff: float, ranges: int):
         found = [(np.zeros(rows), np.zeros(rows, np.int64)) for _ in orders]
         if len(words):
             names, counts = _distinct(words, begin, max(orders))
-            edges = np.concatenate(([0], np.searchsorted(names, bounds), [len(names)]))
-            total = _answered(counts, edges, totals["range"].to_pylist(), totals["totals"].to_pylist())
+            total = _answered(counts, _edges(way, 0, 0, names), totals["at"].to_pylist(), totals["totals"].to_pylist())
             grams, place = grams_of(words, begin, max(orders))
             owner = np.repeat(np.arange(rows), np.diff(begin))
             # What other documents have of the n-gram, by order, at the place where it ends; -1 where there is none.
@@ -231,7 +328,7 @@ def _score(orders: tuple[int, ...], backoff: float, ranges: int):
     return run
 
 
-def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, more: tuple[int, ...] = ()) -> DataFrame:
+def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, more: tuple[int, ...] = (), fan: int = FAN) -> DataFrame:
     """(doc_id, n_words, log_score, backed_off) of each row of ``docs`` (doc_id, text, any other columns).
 
     ``log_score`` is the sum of the words' log scores under all other rows, copies of the row included; words that no
@@ -240,6 +337,7 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, more:
     gives an empty one; other columns, whatever their names, are not carried. ``docs`` should come from a table, as it is
     read again where a task is lost.
     ``backed_off`` counts words for which an order was given up. Each order n of ``more`` adds log_score_n, backed_off_n.
+    ``fan`` bounds the blocks of a sender and so sets the number of steps; it never changes a result.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -248,9 +346,15 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, more:
     small_batches(spark)
     named = docs.select(F.xxhash64("doc_id", "text").alias("name"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = named.mapInArrow(_deal(pieces), "part int, body binary")
-    sent = rows.groupBy("part").applyInArrow(_send(max(order, *more, 1), ranges), "range int, part int, names binary, counts binary")
-    totals = sent.groupBy("range").applyInArrow(_total, "part int, range int, totals binary")
-    return rows.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(_score((order, *more), backoff, ranges), _scored_columns((order, *more)))
+    way = route(pieces, ranges, fan)
+    sent = [rows.groupBy("part").applyInArrow(_send(max(order, *more, 1), way), _BLOCKS)]
+    for step in range(1, way.steps):
+        sent.append(sent[-1].groupBy("group", "range").applyInArrow(_pass_on(way, step), _BLOCKS))
+    answers = sent[-1].groupBy("group", "range").applyInArrow(_total(way), _ANSWERS)
+    for step in range(way.steps - 1, 0, -1):
+        both = sent[step - 1].groupBy("group", "range").cogroup(answers.groupBy("group", "range"))
+        answers = both.applyInArrow(_pass_back(way, step), _ANSWERS)
+    return rows.groupBy("part").cogroup(answers.groupBy("group")).applyInArrow(_score((order, *more), backoff, way), _scored_columns((order, *more)))
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from scanloom.llm.lm_scores import op2_lm_scores, scored
+from scanloom.llm.lm_scores import op2_lm_scores, route, scored
 
 
 def by_hand(rows, order, backoff=0.4):
@@ -63,3 +63,33 @@ def test_query_scores_trigrams(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = op2_lm_scores(spark, "/root/testdata/sf0.001").selectExpr("doc_id", "n_words", "log_score_3 as log_score", "backed_off_3 as backed_off")
     assert result(got) == by_hand(rows, 3)
+
+
+@pytest.mark.parametrize("fan, steps", [(2, 3), (3, 2), (8, 1)])
+def test_any_number_of_steps(spark, documents, fan, steps):
+    rnd = random.Random(fan)
+    rows = [(i, " ".join(rnd.choice(("a", "b", "c", "dé", "e", "the", f"x{i % 5}")) for _ in range(rnd.randrange(0, 30)))) for i in range(150)]
+    rows += [(None, "a b c"), (None, "a b c"), (300, None), (301, "alone here")]
+    assert route(8, 8, fan).steps == steps
+    got = scored(documents(rows), 3, fan=fan)
+    assert result(got) == by_hand(rows, 3)
+    # Blocks of a step are shuffled once, though they are read on both ways.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") >= steps
+
+
+def test_routes():
+    rnd = random.Random(5)
+    for _ in range(300):
+        parts, ranges, fan = rnd.randrange(1, 400), rnd.randrange(1, 400), rnd.randrange(2, 40)
+        way = route(parts, ranges, fan)
+        assert way.fan <= fan or way.steps == 1
+        nodes = {(p, 0) for p in range(parts)}
+        for step in range(way.steps):
+            sent = [((way.group(step + 1, g), r), g) for g, run in nodes for r in way.narrower(step, run)]
+            heard = Counter(node for node, _ in sent)
+            assert max(heard.values()) <= way.fan and len(sent) <= way.fan * len(nodes)
+            # All ranges are reached, and a node of the next step lies in one run of this one.
+            assert {r for (_, r), _ in sent} == set(range(way.runs(step + 1)))
+            nodes = set(heard)
+        assert nodes == {(0, r) for r in range(ranges)}
