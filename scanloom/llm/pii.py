@@ -24,6 +24,8 @@ from scanloom.llm.common import table
 KINDS = ("email", "ip", "card", "phone")
 #: Lines of documents that the labelled table takes at most, about, dealt by hash of the id.
 DOCUMENT_LINES = 1500
+#: Lines of documents from so many code points on are not learned from, which bounds the table in bytes. All are searched.
+LINE_CHARS = 2000
 #: An added span needs this probability.
 CERTAIN = 0.9
 OUTSIDE = 0
@@ -94,20 +96,24 @@ _SPACE_SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 _NEEDED = re.compile(r"[0-9@]")
 
 
+class _Kinds(dict):
+    def __missing__(self, point: int) -> str:
+        return chr(point) if point < 0x7F else "u"
+
+
+_KIND_OF = _Kinds({ord(c): "9" for c in "0123456789"} | {ord(c): "a" for c in "abcdefghijklmnopqrstuvwxyz"} | {ord(c): "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+_REPEATED = re.compile(r"(.)\1+", re.DOTALL)
+
+
 def shape(word: str) -> str:
-    """Letters as a or A, digits as 9, other ASCII signs as they are, the rest as u; runs once."""
-    out = []
-    for c in word[:200]:
-        s = "9" if c in "0123456789" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else c if c < "\x7f" else "u"
-        if not out or out[-1] != s:
-            out.append(s)
-    return "".join(out)[:24]
+    """Letters as a or A, digits as 9, other ASCII signs as they are, the rest as u; runs once. Of the whole word."""
+    return _REPEATED.sub(r"\1", word.translate(_KIND_OF))
 
 
 def features(words: list[str], before: str, after: str) -> list[list[str]]:
     """Feature names of each word of a run, with the plain words on either side."""
     shapes = [shape(w) for w in words]
-    sides = ["<" + before.lower()[-12:], *shapes, ">" + after.lower()[:12]]
+    sides = ["<" + before.lower(), *shapes, ">" + after.lower()]
     whole = _digits("".join(words))
     out = []
     for i, word in enumerate(words):
@@ -344,12 +350,15 @@ def written_table() -> list[tuple[Run, list[int]]]:
 
 
 def labelled_lines(docs: DataFrame, lines: int = DOCUMENT_LINES) -> list[str]:
-    """About so many lines with a digit or an at sign, and no more than twice as many, from all of ``docs``."""
+    """About so many lines with a digit or an at sign, and no more than twice as many, from all of ``docs``.
+
+    Documents are dealt by hash of id and text, equal lines count once, and lines of ``LINE_CHARS`` and more are left out.
+    """
     some = docs.where(F.col("text").rlike("[0-9@]"))
     count = max(1, some.count())
     share = int(min(1.0, lines / count) * 1_000_000)
     dealt = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share).select(F.explode(F.split("text", "\n")).alias("line"))
-    dealt = dealt.where(F.col("line").rlike("[0-9@]") & (F.length("line") < 2000)).distinct()
+    dealt = dealt.where(F.col("line").rlike("[0-9@]") & (F.length("line") < LINE_CHARS)).distinct()
     return [r.line for r in dealt.orderBy(F.xxhash64("line"), "line").limit(2 * lines).collect()]
 
 
@@ -431,7 +440,9 @@ _FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 def found(docs: DataFrame, field: Field) -> DataFrame:
     """Personal data of each row of ``docs`` (doc_id, text, ...): numbers of base spans, their digest, all spans.
 
-    A null text is empty: no spans and the digest of nothing. Offsets are code points.
+    A null text is empty: no spans and the digest of nothing. Offsets are code points. Texts of any length are searched
+    whole, however long their lines and words. Repeated rows and null ids have a row each; an empty table gives an empty one;
+    where spans of one kind tie for a place, the leftmost holds. Other columns, whatever their names, are not carried.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 

@@ -8,7 +8,7 @@ import time
 
 import numpy as np
 
-from scanloom.llm.pii import KINDS, LABELS, base_spans, best_path, found, learned, luhn, marginals, op8_pii, trained, written_table
+from scanloom.llm.pii import KINDS, LABELS, WRITTEN_LINES, base_spans, best_path, found, learned, luhn, marginals, op8_pii, shape, trained, written_table
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -104,3 +104,56 @@ def test_what_the_field_adds(spark, documents):
     assert got[(2, 0)].spans == "email:5:25" and got[(2, 0)].n_added == 1
     assert got[(None, 1)].spans == "email:0:6" and (7, 20_000) in got
     assert found(documents([]), field).collect() == []
+
+
+#: Lines of other words and numbers than ``WRITTEN_LINES``; marked spans are those that the base patterns miss.
+MARKED = (
+    "Please call me on [phone:040 5550 1234] tomorrow.",
+    "Our phone is [phone:(415) 555-0133], day and night.",
+    "Phone: [phone:646-555-0127] for tickets.",
+    "You can call [phone:(020) 555-0187] at noon.",
+    "Call us at [phone:0711 5550 876] please.",
+    "Mail [email:søren@blå.example.dk] for the plan.",
+    "Contact: [email:admin@intranet], he knows.",
+    "Write to [email:zoë@café.example.fr] before Monday.",
+    "My address is [email:pi@raspberry] on that machine.",
+    "Card [card:5500.0000.0000.0004] is void.",
+    "Card [card:4012.8888.8888.1881] was used.",
+    "Phone: [phone:312-555-0164] or by letter.",
+    "In 1998 there were 3100 of 17 sorts.",
+    "Chapter 3, pages 120-155, says so.",
+    "Version 2.7.18 replaced 2.7.17 in April.",
+    "Order 9876543210987654 was late.",
+    "The total was 7,250.25 for 30 days.",
+    "On 2019-11-23 at 08:15 it snowed.",
+    "Isbn 978-0-306-40615-7 is out of print.",
+    "ratio 5:4, or 1.25 to 1, in 60 of 75",
+    "Tracking 7700 1234 5566 is on its way.",
+    "Room 12-204, seat 45, row 9",
+    "see @here and @there at 7 pm",
+    "price 1 299 or 1 499 with 19 % on top",
+)
+
+
+def test_added_spans_of_lines_never_learned(spark, documents):
+    """Recall and precision of what the field adds, on marked lines that are not in its table."""
+    assert not {re.sub(r"\[\w+:|\]", "", x) for x in MARKED} & {re.sub(r"\[\w+:|\]", "", x) for x in WRITTEN_LINES}
+    field = learned(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rows, want = [], set()
+    for i, line in enumerate(MARKED):
+        text, last = "", 0
+        for m in re.finditer(r"\[(email|ip|card|phone):([^\]]*)\]", line):
+            text += line[last : m.start()]
+            want.add((i, f"{m[1]}:{len(text)}:{len(text) + len(m[2])}"))
+            text += m[2]
+            last = m.end()
+        rows.append((i, text + line[last:]))
+        assert not any(base_spans(rows[-1][1]))
+    got = {(r.doc_id, s) for r in found(documents(rows), field).collect() for s in r.spans.split(",") if s}
+    print("right", len(got & want), "of", len(want), "found", len(got), sorted(want - got), sorted(got - want))
+    assert len(got & want) >= 0.75 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_shapes_are_of_whole_words():
+    assert shape("Ab12-é.éé") == "Aa9-u.u" and shape("") == "" and shape("a" * 5000 + "1" * 5000 + "." * 9 + "Z") == "a9.A"
+    assert shape("\n\n\x7f") == "\nu"
