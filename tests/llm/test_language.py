@@ -1,10 +1,11 @@
 """Held-out accuracy, mixtures of known proportions, and EM against a grid."""
 
+import itertools
 import zlib
 
 import numpy as np
 
-from scanloom.llm.language import accepted, identify, learned, letters_of, mixture, ngram_bins, op6_language_id, with_language
+from scanloom.llm.language import PENALTY, accepted, identify, learned, letters_of, mixture, ngram_bins, op6_language_id, proportions, with_language
 
 
 def test_held_out_accuracy(spark):
@@ -77,3 +78,32 @@ def test_unlearned_and_scrambled_texts_go(spark, documents):
     scrambled = ["".join(rnd.permutation(list(t))) for t in clean[:10]]
     kept = accepted(documents(list(enumerate(clean + foreign + scrambled))), model).collect()
     assert sorted(r.doc_id for r in kept) == list(range(len(clean)))
+
+
+def test_chosen_set_is_the_best_of_all(spark):
+    """The penalised likelihood of the languages found, against every set of languages."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 1500 and 5000")
+    model = learned(docs)
+    texts = {}
+    for r in docs.orderBy("doc_id").collect():
+        texts.setdefault(r.lang, []).append(r.text)
+    langs = sorted(texts)
+    mixed = [texts[a][i][:700] + " " + texts[b][i][: 700 * (i + 1) // 3] for i in range(3) for a, b in itertools.combinations(langs, 2)]
+    mixed += [" ".join(texts[a][5][:500] for a in langs[:3]), *(texts[a][6] for a in langs)]
+    for text in mixed:
+        seen = np.bincount(ngram_bins(*letters_of([text]))[0], minlength=len(model.chances))
+        own = np.flatnonzero(seen)
+        chances, counts = model.chances[own], seen[own].astype(float)
+        price = PENALTY * np.log(counts.sum() + 1)
+
+        def worth(chosen):
+            start = np.full(len(chosen), 1 / len(chosen))
+            return proportions(chances[:, list(chosen)], counts, start)[1] - price * (len(chosen) - 1)
+
+        every = [c for n in range(1, len(langs) + 1) for c in itertools.combinations(range(len(langs)), n)]
+        assert tuple(sorted(mixture(chances, counts))) == max(every, key=worth)
+
+
+def test_equal_languages_give_the_first():
+    chances = np.repeat(np.array([[0.2], [0.8]]), 3, axis=1)
+    assert mixture(chances, np.array([3.0, 5.0])) == {0: 1.0}

@@ -9,7 +9,7 @@ from test_decontamination import by_hand as leaks_by_hand
 from test_jaccard_join import by_hand as groups_by_hand
 
 import corpus_pipeline
-from scanloom.llm.language import ACCEPTED_SHARE, identify, learned
+from scanloom.llm.language import ACCEPTED_SHARE, LEAST_GAIN, fitted, learned
 from scanloom.llm.mixing import ORACLE
 
 SF = "/root/testdata/sf0.001"
@@ -18,8 +18,8 @@ SF = "/root/testdata/sf0.001"
 def test_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     model = learned(spark.read.parquet(f"{SF}/documents.parquet"))
-    langs, scores, _ = identify([r[1] for r in rows], model)
-    rows = [r for r, lang, score in zip(rows, langs, scores) if lang != "und" and score >= ACCEPTED_SHARE]
+    langs, scores, _, fits = fitted([r[1] for r in rows], model)
+    rows = [r for r, lang, score, fit in zip(rows, langs, scores, fits) if lang != "und" and score >= ACCEPTED_SHARE and fit >= LEAST_GAIN]
     kept = {d for d, _, c in groups_by_hand([r[:2] for r in rows]) if d == c}
     rows = [r for r in rows if r[0] in kept]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
