@@ -212,6 +212,11 @@ def _before_and_after(source_files: DataFrame, validated: DataFrame) -> DataFram
     )
 
 
+def candidate_status(source_files: DataFrame, validated: DataFrame) -> DataFrame:
+    """What became of each file's candidate: patched, unchanged or error. Nothing is scanned for it."""
+    return _before_and_after(source_files, validated).select(*FILE, "rule_id", "line", "tool", "status", "reason")
+
+
 def text_pairs(source_files: DataFrame, validated: DataFrame) -> DataFrame:
     """Old and new text of files that a candidate changes, from one join."""
     pairs = _before_and_after(source_files, validated).where(F.col("status") == "patched")
@@ -384,6 +389,27 @@ def apply_patches(source_files: DataFrame, validated: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.coalesce("new_text", "text")).select(*source_files.columns)
 
 
+def scan_versions(source_files: DataFrame, validated: DataFrame) -> DataFrame:
+    """The new version of the files, scanned, with the findings of the old one as ``old_findings``.
+
+    As ``scan_files`` of ``apply_patches``, but of files without an accepted
+    candidate the text is scanned once, not once a version. One row a file and
+    one pass; write it to a table where several results come from it.
+    """
+    old = scan_files(source_files.join(latest_accepted(validated), FILE, "left"))
+    old = old.withColumnsRenamed({"findings": "old_findings", "syntax_issues": "old_issues", "text": "old_text"})
+    # A null text has no findings and is not parsed.
+    new = scan_files(old.withColumn("text", F.col("new_text")))
+    kept = F.col("new_text").isNull()
+    return new.withColumns(
+        {
+            "text": F.coalesce("new_text", "old_text"),
+            "findings": F.when(kept, F.col("old_findings")).otherwise(F.col("findings")),
+            "syntax_issues": F.when(kept, F.col("old_issues")).otherwise(F.col("syntax_issues")),
+        }
+    ).select(*source_files.columns, "old_findings", "findings", "syntax_issues")
+
+
 def final_gate(file_gate: DataFrame, verified: DataFrame, grain: str = "corpus") -> DataFrame:
     """The gate after patching: untouched files as scanned before, others as verified.
 

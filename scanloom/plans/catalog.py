@@ -17,7 +17,7 @@ from scanloom.functions.text import extract_code, lines_of, redact
 from scanloom.operators import content, delta, evaluate, gate, owners, patch, ranking, report, rule_index, rules, scan, suppressions
 from scanloom.plans import corpus as made
 from scanloom.plans.labels import attempts, manifest, safe_candidates
-from scanloom.sources.tables import from_table, shared_folder
+from scanloom.sources.tables import from_table, shared_folder, stored
 from scanloom.sources.tree import read_tree, stream_tree, write_tree
 from scanloom.streaming import state, stream
 
@@ -209,7 +209,7 @@ def provider_keys(spark, folder):
         F.concat(F.lit("x = '"), token, F.lit("'\n")),
         repo="p_brand",
     )
-    return scan.findings(scan.scan_files(files)).select("path", "rule_id", "line")
+    return scan.findings(secrets_alone(files)).select("path", "rule_id", "line")
 
 
 @query
@@ -242,7 +242,7 @@ def documents_as_python(spark, folder):
 @query
 def documents_as_scripts(spark, folder):
     files = documents_inside(spark, folder, made.JS_BEFORE, made.JS_AFTER, ".js")
-    return scan.findings(scan.scan_files(files)).select("path", "rule_id", "line", "snippet")
+    return scan.findings(scan.scan_files(files, languages=("javascript",), issues=False)).select("path", "rule_id", "line", "snippet")
 
 
 @query
@@ -549,11 +549,11 @@ def spent_files(spark, folder):
 
 @query
 def second_round(spark, folder):
-    """What is asked for after a first round: requests recorded, patches applied, files scanned again."""
-    files = part_files(spark, folder)
-    tried = patch.record_attempts(patch.patch_requests(scan.scan_files(files)))
-    after = scan.scan_files(patch.apply_patches(files, _validated(spark, folder)))
-    return patch.patch_requests(after, tried).select("path", "rule_id", "line", "snippet")
+    """What is asked for after a first round: requests recorded, patches applied, changed files scanned again."""
+    both = stored(patch.scan_versions(part_files(spark, folder), _validated(spark, folder)), "versions")
+    before = both.drop("findings").withColumnRenamed("old_findings", "findings")
+    tried = patch.record_attempts(patch.patch_requests(before))
+    return patch.patch_requests(both.drop("old_findings"), tried).select("path", "rule_id", "line", "snippet")
 
 
 @query
@@ -678,18 +678,16 @@ def delta_text(spark, folder):
 
 @query
 def patch_report(spark, folder):
-    """The report of a round; findings and issues of the new version of the corpus remain."""
+    """The report of a round; findings and issues of the new version of the corpus remain. The corpus is scanned once."""
     files, checked = part_files(spark, folder), _validated(spark, folder)
-    scanned = scan.scan_files(files)
-    after = scan.scan_files(patch.apply_patches(files, checked))
-    verified = patch.verify_patches(files, checked)
-    issues = scan.syntax_issues(after).withColumn("message", F.lit("cannot be parsed"))
+    both = stored(patch.scan_versions(files, checked).drop("text"), "versions")
+    before = both.drop("findings").withColumnRenamed("old_findings", "findings")
     lines = report.patch_report(
-        verified,
-        patch.patch_explanations(scan.findings(scanned)),
-        remaining=scan.findings(after),
-        issues=issues,
-        verdict=patch.final_gate(gate.gate(scanned, "file"), verified),
+        patch.candidate_status(files, checked),
+        patch.patch_explanations(scan.findings(before)),
+        remaining=scan.findings(both),
+        issues=scan.syntax_issues(both).withColumn("message", F.lit("cannot be parsed")),
+        verdict=gate.gate(both),
     )
     return lines.select("path", "section", "line", "part", "text")
 

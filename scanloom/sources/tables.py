@@ -61,6 +61,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written to a new shared folder and read again: for what several results come from."""
+    folder = shared_folder(frame.sparkSession, name)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def save_bucketed(files: DataFrame, name: str, buckets: int) -> None:
     """Save files, candidates or verdicts as a table bucketed by file.
 

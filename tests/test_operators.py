@@ -391,6 +391,21 @@ def test_bucketed_tables_are_joined_without_shuffle(spark, files):
         spark.sql("DROP TABLE t_new")
 
 
+def test_both_versions_from_one_pass(spark, files):
+    texts = {"a.py": "os.system('a')\n" + SECRET, "b.py": SECRET, "c.py": "if x ==:\n", "d.ts": "eval(x)\n", "e.py": "x = 1\n", "f.py": SECRET}
+    before = files(texts).withColumn("error", F.when(F.col("path") == "f.py", "unreadable")).withColumn("text", F.when(F.col("path") != "f.py", F.col("text")))
+    checked = patch.validate_candidates(patch.candidates(answers(spark, {"a.py": "x = 1\n" + SECRET, "b.py": "if ==:\n", "c.py": "y = 2\n", "e.py": SECRET})))
+    both = patch.scan_versions(before, checked).cache()
+    after = scan.scan_files(patch.apply_patches(before, checked))
+    assert both.drop("old_findings").columns == after.columns
+    assert sorted(both.drop("old_findings").collect(), key=str) == sorted(after.collect(), key=str)
+    told = ["repo", "path", "rule_id", "line", "tool", "status", "reason"]
+    verified = patch.verify_patches(before, checked).select(told).collect()
+    assert sorted(patch.candidate_status(before, checked).select(told).collect(), key=str) == sorted(verified, key=str)
+    old = both.select("path", F.col("old_findings").alias("findings")).collect()
+    assert sorted(old, key=str) == sorted(scan.scan_files(before).select("path", "findings").collect(), key=str)
+
+
 def test_whole_patch_report(spark, files):
     before = files({"a.py": "os.system('a')\n" + SECRET})
     checked = patch.validate_candidates(patch.candidates(answers(spark, {"a.py": "x = 1\n" + SECRET})))
