@@ -30,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of its own only where the session names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -238,6 +240,29 @@ def running(rows: DataFrame, group: str, order: str, ties: list[str], size: str,
     return out.drop(*keys, "__size", "__rows")
 
 
+#: Rows of a range, about, where a table has more than the session's shuffle partitions hold at that size.
+ROWS_OF_RANGE = 500_000
+
+
+def range_sums(rows: DataFrame, group: str, order: list[str], size: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``before`` (sum of ``size`` of earlier rows of the group), and (__group, __part, __size) by range.
+
+    ``order`` ends in a column that no two rows share, and ``rows`` come from a table: ranges of (group, order) are then
+    even, whatever ties there are, and windows run inside a range. Sums have a row a range and group that meet.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(rows.count(), ROWS_OF_RANGE))
+    line = rows.repartitionByRange(parts, group, *order).withColumn("__part", F.spark_partition_id())
+    line = written(line, "ranges")
+    sums = written(line.groupBy(F.col(group).alias("__group"), "__part").agg(F.sum(size).alias("__size")), "sums")
+    earlier = Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__group", F.col("__part").alias("__of"), F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    line = line.withColumn("__inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    out = line.join(starts, (F.col("__part") == F.col("__of")) & F.col(group).eqNullSafe(F.col("__group")))
+    return out.select(*rows.columns, (F.col("__start") + F.col("__inside")).alias("before")), sums
+
+
 # --- Connected components ------------------------------------------------------------------------------------------
 
 

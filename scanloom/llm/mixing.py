@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import WORD, order_hash, part_sums, running, table, written
+from scanloom.llm.common import WORD, order_hash, range_sums, table, written
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -73,22 +73,25 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     taken if its middle lies before the target, so a source ends within half a document of its target. Sizes of null
     or empty texts are 0: such documents are taken with their neighbours and add no words. Rows that agree in id,
     size and tie are alike, so whichever is taken gives the same result. A null source is a source of its own. Columns of
-    ``docs`` with the names of new ones give way.
+    ``docs`` with the names of new ones give way. Sums run inside even ranges of (source, order, row), so that rows
+    without an id, or with the same one, are no one task's work.
     """
     new = ["source_size", "place", "target", "before", "copies", "position"]
     old = [c for c in docs.columns if c not in new]
-    rows = docs.select(F.struct(*old).alias("__row"), "doc_id", "source", "size", "tie", order_hash("doc_id").alias("__order"))
-    sums = part_sums(rows, "source", "__order", "size")
+    rows = docs.select(F.struct(*old).alias("__whole"), "doc_id", "source", "size", "tie", order_hash("doc_id").alias("__order"))
+    # A written number names the row from here on: other columns wait until positions are known.
+    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    line, sums = range_sums(rows.drop("__whole"), "source", ["__order", "doc_id", "size", "tie", "__row"], "size")
     targets = source_targets(sums, weights, most)
-    on = sums["__group"].eqNullSafe(targets["source"])
-    sums = sums.join(targets, on).drop("source")
-    out = running(rows, "source", "__order", ["doc_id", "size", "tie"], "size", sums)
+    line = line.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
+    line = line.select("__row", F.col("size").alias("__size"), "source_size", "place", "target", "before")
+    out = rows.select("__row", "__whole").join(line, "__row").withColumn("size", F.col("__size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - whole * F.col("source_size")
     middle = F.col("before") + F.col("size") / F.lit(2.0)
     out = out.withColumn("copies", (whole + (middle < rest).cast("int")).cast("int"))
     out = out.withColumn("position", F.when(F.col("copies") > 0, position(F.lit(0), len(weights), schedules)))
-    return out.select(*[F.col("__row")[c].alias(c) for c in old], *new)
+    return out.select(*[F.col("__whole")[c].alias(c) for c in old], *new)
 
 
 def position(copy: Column, classes: int, schedules) -> Column:
@@ -113,7 +116,7 @@ def training_order(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_in(F.col("text")).alias("size"), F.lit(0).alias("tie"))
-    mixed = mixed_documents(written(docs, "sizes"))
+    mixed = mixed_documents(docs)
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return mixed.orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", taken, "copies", "position")
 

@@ -6,6 +6,7 @@ from check import database, differences
 
 from pyspark.sql import functions as F
 
+from scanloom.llm.common import range_sums
 from scanloom.llm.mixing import ORACLE, SCHEDULES, mixed_documents, op1_mixing, time_at, training_order, words_in
 
 
@@ -76,3 +77,17 @@ def test_inverse_of_the_integral(spark, knots):
     for r in times:
         at = min(steps, max(0, round(r.t * steps)))
         assert abs((sums[at - 1] / total if at else 0) - r.s) < 1e-3
+
+
+def test_rows_without_an_id_are_split(spark, tmp_path):
+    rows = [(None, "w " * (i % 9), None, "x", 0) for i in range(1500)] + [(None, "same text", None, "x", 0)] * 1500
+    rows += [(i, "a b", None, None, 0) for i in range(300)]
+    assert len(rows_of(spark, tmp_path, rows)) == len(rows)
+
+
+def test_ranges_stay_even(spark):
+    rows = spark.range(4000).selectExpr("id as row", "cast(null as string) as g", "1L as size", "0 as tie")
+    line, sums = range_sums(rows, "g", ["tie", "row"], "size")
+    assert sorted(r.before for r in line.collect()) == list(range(4000))
+    sizes = [r["__size"] for r in sums.collect()]
+    assert sum(sizes) == 4000 and len(sizes) == 8 and max(sizes) < 1000
