@@ -73,6 +73,12 @@ def latest_each_batch(folder: str):
     return write
 
 
+def _batches(spark, folder: str, schema: T.StructType) -> DataFrame:
+    """What ``gate_each_batch`` or ``latest_each_batch`` wrote; no rows where nothing has arrived, so that no batch ran."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(os.path.join(folder, "batch_id=-1"))
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(folder)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process all that has arrived, write it as parquet and return it as a table."""
     spark = stream.sparkSession
@@ -97,8 +103,7 @@ def run_windows(windows: DataFrame, name: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    schema = T.StructType([*windows.schema.fields, T.StructField("batch_id", T.LongType())])
-    written = spark.read.schema(schema).parquet(f"{folder}/data")
+    written = _batches(spark, f"{folder}/data", windows.schema)
     keys = [c for c in windows.columns if c != "n_findings"]
     return written.groupBy(*keys).agg(F.max_by("n_findings", "batch_id").alias("n_findings"))
 
@@ -114,7 +119,7 @@ def run_gate(stream: DataFrame, name: str, grain: str = "corpus") -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/data")
+    return _batches(spark, f"{folder}/data", gate(spark.createDataFrame([], stream.schema), grain).schema)
 
 
 __all__ = [

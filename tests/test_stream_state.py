@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.text import detect_language
 from scanloom.operators.gate import gate, gate_from_changes
+from scanloom.streaming import stream
 from scanloom.streaming.state import gate_changes, run_gate_changes, with_rocksdb
 
 SCHEMA = "repo string, path string, text string, mtime timestamp, error string"
@@ -105,3 +106,15 @@ def test_streams_read_a_folder_of_parts_as_a_single_file(spark, tmp_path):
     for name in ("stream_dedup", "stream_findings"):
         want = sorted(map(tuple, QUERIES[name](spark, sf).collect()))
         assert want and sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == want
+
+
+def test_nothing_has_arrived(spark, tmp_path):
+    folder = tmp_path / "empty"
+    folder.mkdir()
+    files = with_language(spark.readStream.schema(SCHEMA).parquet(str(folder)))
+    scanned = stream.scan_stream(files)
+    assert stream.run_to_table(scanned, "none").collect() == []
+    assert stream.run_windows(stream.windowed_findings(files), "none").collect() == []
+    by_batch = stream.run_gate(scanned, "none", "repo")
+    assert by_batch.collect() == [] and by_batch.columns == [*gate(spark.createDataFrame([], scanned.schema), "repo").columns, "batch_id"]
+    assert [(r.n_files, r.deployable) for r in run_gate_changes(gate_changes(files), "none").collect()] == [(0, True)]
