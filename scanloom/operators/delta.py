@@ -3,108 +3,128 @@
 ``patch.line_delta`` tells which lines are gone and new as a bag; here lines keep their order, so a moved line is seen. Lines
 that occur once on both sides of a file are anchors if they lie on the longest run that rises on both sides; between
 anchors the same is done again, and what stands equal at the ends of a gap is paired too. All else was removed or added.
-Every step groups by what one file bounds.
+A file's two texts lie in one row and are compared there, so nothing is joined or shuffled for a script; what follows groups
+by what one file bounds.
 """
 
 from __future__ import annotations
 
+import sys
+from bisect import bisect_left
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions.text import lines_of
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FILE = ["repo", "path"]
 CONTEXT = 3
 #: How often anchors are looked for: in the file, then between the anchors found.
 ROUNDS = 2
+_PAIR = pa.struct([("old_no", pa.int32()), ("new_no", pa.int32())])
+_ROW = pa.struct([("at", pa.int32()), ("mark", pa.string()), ("old_no", pa.int32()), ("new_no", pa.int32()), ("line", pa.string())])
+
+
+def _rising(news: list[int]) -> list[int]:
+    """Places of the longest rising run of distinct numbers."""
+    # ``ends``: the least number that ends a rising run of each length; ``heads``: where it is.
+    ends, heads, before = [], [], []
+    for place, new in enumerate(news):
+        length = bisect_left(ends, new)
+        ends[length : length + 1] = [new]
+        heads[length : length + 1] = [place]
+        before.append(heads[length - 1] if length else -1)
+    run, place = [], heads[-1] if heads else -1
+    while place >= 0:
+        run.append(place)
+        place = before[place]
+    return run[::-1]
 
 
 def rising(pairs: Column) -> Column:
     """The longest subsequence of (old_no, new_no), sorted by old_no, in which new_no rises too."""
-    state = "struct<ends:array<int>,heads:array<int>,before:array<int>>"
-    none = F.array().cast("array<int>")
-
-    def step(held, pair):
-        # ``ends``: the least new_no that ends a rising run of each length; ``heads``: which pair that is.
-        length = F.size(F.filter(held["ends"], lambda end: end < pair["new_no"]))
-        put = lambda array, value: F.concat(F.slice(array, 1, length), F.array(value), F.slice(array, length + 2, F.size(array)))
-        return F.struct(
-            put(held["ends"], pair["new_no"]).alias("ends"),
-            put(held["heads"], F.size(held["before"])).alias("heads"),
-            F.concat(held["before"], F.array(F.when(length > 0, F.get(held["heads"], length - 1)).otherwise(F.lit(-1)))).alias("before"),
-        ).cast(state)
-
-    start = F.struct(none.alias("ends"), none.alias("heads"), none.alias("before")).cast(state)
-
-    def back(held):
-        """Numbers of the pairs of the longest run, from its last one back."""
-        first = F.struct(F.get(held["heads"], F.size(held["heads"]) - 1).alias("at"), none.alias("run"))
-        one = lambda s, _: F.struct(F.get(held["before"], s["at"]).alias("at"), F.concat(s["run"], F.array(s["at"])).alias("run"))
-        return F.aggregate(held["heads"], first.cast("struct<at:int,run:array<int>>"), lambda s, x: one(s, x).cast("struct<at:int,run:array<int>>"))["run"]
-
-    chosen = F.transform(F.array(F.aggregate(pairs, start, step)), back)
-    longest = F.transform(F.sort_array(F.flatten(chosen)), lambda i: F.get(pairs, i))
-    # Nothing has moved in most files: then all pairs rise.
-    news = F.transform(pairs, lambda p: p["new_no"])
-    return F.when(news == F.sort_array(news), pairs).otherwise(longest)
-
-
-def _sided(changed: DataFrame) -> DataFrame:
-    """(repo, path, side, no, line) of the old and new texts."""
-
-    def lines(text: str, side: str) -> Column:
-        held = F.when(F.length(text) > 0, lines_of(F.col(text))).otherwise(F.array().cast("array<string>"))
-        return F.transform(held, lambda line, i: F.struct(F.lit(side).alias("side"), (i + 1).alias("no"), line.alias("line")))
-
-    return changed.select(*FILE, F.inline(F.concat(lines("old_text", "-"), lines("new_text", "+"))))
-
-
-def _with_pairs(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Lines with ``other``, the number of the line they are paired with, and ``gap``, the pairs up to each."""
-    both = pairs.select(
-        *FILE,
-        F.inline(
-            F.array(
-                F.struct(F.lit("-").alias("side"), F.col("old_no").alias("no"), F.col("new_no").alias("other")),
-                F.struct(F.lit("+").alias("side"), F.col("new_no").alias("no"), F.col("old_no").alias("other")),
-            )
-        ),
-    )
-    so_far = Window.partitionBy(*FILE, "side").orderBy("no")
-    held = lines.select(*FILE, "side", "no", "line").join(both, [*FILE, "side", "no"], "left")
-    return held.withColumn("gap", F.count("other").over(so_far))
 
+    @F.arrow_udf("array<struct<old_no:int,new_no:int>>")
+    def longest(held: pa.Array) -> pa.Array:
+        rows = [row and [row[i] for i in _rising([p["new_no"] for p in row])] for row in held.to_pylist()]
+        return pa.array(rows, pa.list_(_PAIR))
+
+    return longest(pairs)
 
-def _anchors(lines: DataFrame) -> DataFrame:
-    """Pairs of lines that occur once on both sides of a gap, those of the longest rising run."""
-    side = lambda s: F.col("side") == s
-    single = lines.where("other IS NULL").groupBy(*FILE, "gap", "line").agg(
-        F.count_if(side("-")).alias("n_old"), F.count_if(side("+")).alias("n_new"),
-        F.max(F.when(side("-"), F.col("no"))).alias("old_no"), F.max(F.when(side("+"), F.col("no"))).alias("new_no"),
-    )
-    pairs = F.sort_array(F.collect_list(F.struct("old_no", "new_no")))
-    held = single.where("n_old = 1 AND n_new = 1").groupBy(*FILE, "gap").agg(pairs.alias("pairs"))
-    return held.select(*FILE, F.inline(rising(F.col("pairs"))))
 
+def _gaps(pairs: list[tuple[int, int]], n_old: int, n_new: int):
+    """Ranges of lines on both sides that lie between pairs, none of them empty."""
+    at_old = at_new = 0
+    for old, new in [*pairs, (n_old, n_new)]:
+        if old > at_old and new > at_new:
+            yield at_old, old, at_new, new
+        at_old, at_new = old + 1, new + 1
 
-def _ends_of_gaps(lines: DataFrame) -> DataFrame:
-    """Pairs of equal lines at the beginning and at the end of each gap."""
-    of = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("no", "line"))))
-    gaps = lines.where("other IS NULL").groupBy(*FILE, "gap").agg(of("-").alias("old"), of("+").alias("new"))
-    gaps = gaps.where((F.size("old") > 0) & (F.size("new") > 0))
 
-    def equal(a: str, b: str) -> Column:
-        same = F.zip_with(a, b, lambda x, y: x["line"].eqNullSafe(y["line"]))
-        differs = F.array_position(same, False).cast("int")
-        return F.when(differs > 0, differs - 1).otherwise(F.size(same))
+def _single(lines: list[int], low: int, high: int) -> dict[int, int]:
+    """Where the lines are that occur once in a range."""
+    places = {}
+    for i in range(low, high):
+        places[lines[i]] = -1 if lines[i] in places else i
+    return {line: i for line, i in places.items() if i >= 0}
 
-    def paired(a: str, b: str, n: str) -> Column:
-        return F.zip_with(F.slice(a, 1, F.col(n)), F.slice(b, 1, F.col(n)), lambda x, y: F.struct(x["no"].alias("old_no"), y["no"].alias("new_no")))
 
-    rest = lambda side: F.reverse(F.slice(side, F.col("head") + 1, F.size(side)))
-    gaps = gaps.withColumn("head", equal("old", "new")).withColumns({"old_rest": rest("old"), "new_rest": rest("new")})
-    gaps = gaps.withColumn("tail", F.when((F.size("old_rest") > 0) & (F.size("new_rest") > 0), equal("old_rest", "new_rest")).otherwise(F.lit(0)))
-    return gaps.select(*FILE, F.inline(F.concat(paired("old", "new", "head"), paired("old_rest", "new_rest", "tail"))))
+def _pairs(old: list[int], new: list[int], rounds: int) -> list[tuple[int, int]]:
+    """Places on both sides of the lines that stay, both rising. Lines are numbers, equal where they are."""
+    pairs = []
+    for _ in range(rounds):
+        found = []
+        for low, high, new_low, new_high in _gaps(pairs, len(old), len(new)):
+            there = _single(new, new_low, new_high)
+            both = [(i, there[line]) for line, i in _single(old, low, high).items() if line in there]
+            found += [both[i] for i in _rising([j for _, j in both])]
+        pairs = sorted(pairs + found)
+    found = []
+    for low, high, new_low, new_high in _gaps(pairs, len(old), len(new)):
+        while low < high and new_low < new_high and old[low] == new[new_low]:
+            found.append((low, new_low))
+            low, new_low = low + 1, new_low + 1
+        while low < high and new_low < new_high and old[high - 1] == new[new_high - 1]:
+            high, new_high = high - 1, new_high - 1
+            found.append((high, new_high))
+    return sorted(pairs + found)
+
+
+def _script_udf(rounds: int):
+    @F.arrow_udf("array<struct<at:int,mark:string,old_no:int,new_no:int,line:string>>")
+    def script(olds: pa.Array, news: pa.Array) -> pa.Array:
+        held = pa.concat_arrays([olds.flatten(), news.flatten()])
+        codes = pc.dictionary_encode(held).indices.to_numpy()
+        offsets, ats, marks, old_nos, new_nos, taken = [0], [], [], [], [], []
+        first, new_first = 0, len(olds.flatten())
+        for n_old, n_new in zip(pc.list_value_length(olds).to_pylist(), pc.list_value_length(news).to_pylist(), strict=True):
+            pairs = _pairs(codes[first : first + n_old].tolist(), codes[new_first : new_first + n_new].tolist(), rounds)
+            low = new_low = 0
+            for old, new in [*pairs, (n_old, n_new)]:
+                removed, added = range(low, old), range(new_low, new)
+                marks += ["-"] * len(removed) + ["+"] * len(added)
+                old_nos += [*(i + 1 for i in removed), *(None for _ in added)]
+                new_nos += [*(None for _ in removed), *(i + 1 for i in added)]
+                taken += [*(first + i for i in removed), *(new_first + i for i in added)]
+                if old < n_old:
+                    marks.append(" ")
+                    old_nos.append(old + 1)
+                    new_nos.append(new + 1)
+                    taken.append(first + old)
+                low, new_low = old + 1, new + 1
+            ats += range(1, len(marks) - offsets[-1] + 1)
+            offsets.append(len(marks))
+            first, new_first = first + n_old, new_first + n_new
+        lines = held.take(pa.array(taken, pa.int64()))
+        columns = [pa.array(ats, pa.int32()), pa.array(marks, pa.string()), pa.array(old_nos, pa.int32()), pa.array(new_nos, pa.int32()), lines]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_ROW)))
+
+    return script
 
 
 def line_script(changed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -114,24 +134,13 @@ def line_script(changed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     lines with ``-`` or a blank are the old text in order, those with ``+`` or a blank the new one. Of a changed
     place removed lines come first. Files without any line on both sides have no row.
     """
-    lines = _sided(changed)
-    none = lines.select(*FILE, F.col("no").alias("old_no"), F.col("no").alias("new_no")).where("false")
-    pairs, held = none, _with_pairs(lines, none)
-    for _ in range(rounds):
-        pairs = pairs.unionByName(_anchors(held))
-        held = _with_pairs(lines, pairs)
-    held = _with_pairs(lines, pairs.unionByName(_ends_of_gaps(held)))
-    removed, paired = F.col("side") == "-", F.col("other").isNotNull()
-    rows = held.where(~(paired & ~removed)).select(
-        *FILE,
-        F.when(paired, " ").otherwise(F.col("side")).alias("mark"),
-        F.when(removed, F.col("no")).alias("old_no"),
-        F.when(removed, F.col("other")).otherwise(F.col("no")).alias("new_no"),
-        "line",
-        F.when(paired, F.struct((F.col("gap") - 1).alias("gap"), F.lit(2).alias("kind"), "no"))
-        .otherwise(F.struct("gap", F.when(removed, 0).otherwise(1).alias("kind"), "no")).alias("order"),
-    )
-    return rows.withColumn("at", F.row_number().over(Window.partitionBy(*FILE).orderBy("order"))).drop("order")
+
+    def lines(text: str) -> Column:
+        return F.when(F.length(text) > 0, lines_of(F.col(text))).otherwise(F.array().cast("array<string>"))
+
+    script = changed.select(*FILE, _script_udf(rounds)(lines("old_text"), lines("new_text")).alias("script"))
+    # Not ``inline``: Spark would compare twice, first to leave out files without a row.
+    return script.select(*FILE, F.inline_outer("script")).where("at IS NOT NULL")
 
 
 def hunks(script: DataFrame, context: int = CONTEXT) -> DataFrame:

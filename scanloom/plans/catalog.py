@@ -880,7 +880,7 @@ def _edited_parts(spark: SparkSession, folder: str) -> DataFrame:
         .when(key % 4 == 2, F.concat(some(1, 4), some(4, 12)))
         .otherwise(F.concat(other, some(2, 11), other))
     )
-    parts = table(spark, folder, "part").withColumn("old", old)
+    parts = made.spread(table(spark, folder, "part"), "p_partkey", "p_brand").withColumn("old", old)
     return parts.select(
         F.col("p_brand").alias("repo"), key.cast("string").alias("path"), F.array_join("old", "\n").alias("old_text"), F.array_join(new, "\n").alias("new_text")
     )

@@ -105,3 +105,8 @@ def test_nothing_changed(spark, texts):
 def test_nothing_is_joined_all_with_all(spark):
     plan = line_script(pairs(spark, [(NUMBERS, MOVED)]))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_script_needs_no_shuffle_and_no_join(spark):
+    plan = line_script(pairs(spark, [(NUMBERS, MOVED)]))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 1
