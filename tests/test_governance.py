@@ -152,3 +152,14 @@ def test_facts_as_a_table_function(spark, files):
     without = spark.sql("SELECT * FROM py_fact_rows(TABLE(SELECT path, text FROM {files}) PARTITION BY path)", files=python)
     assert {r.repo for r in without.collect()} == {None}
     assert findings(scan_files(some)).count() > 0
+
+
+def test_findings_are_neither_broadcast_nor_read_twice(spark):
+    found = [("r", f"src/{i}.py", "NO_EXEC", 0, 0, day(5)) for i in range(4)] + [(None, None, "NO_EXEC", 0, 0, None), ("r", "src/0.py", "NO_EXEC", 0, 0, day(5))]
+    entries = [(f"e{i}", "NO_EXEC", f"src/0.p{'y' if i else '*'}", None, day(i + 1), "why") for i in range(3)]
+    frame = spark.createDataFrame(found, FINDING).repartition(2, "path")
+    rows = judged(frame, spark.createDataFrame(entries, ENTRY))
+    got = sorted((str(r.path), r.status, r.entry_id) for r in rows.collect())
+    assert got == [("None", "kept", None)] + [("src/0.py", "expired", "e2")] * 2 + [(f"src/{i}.py", "kept", None) for i in (1, 2, 3)]
+    plan = judged(frame, spark.createDataFrame(entries, ENTRY))._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("REPARTITION_BY_NUM") == 1
