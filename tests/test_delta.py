@@ -110,3 +110,9 @@ def test_nothing_is_joined_all_with_all(spark):
 def test_a_script_needs_no_shuffle_and_no_join(spark):
     plan = line_script(pairs(spark, [(NUMBERS, MOVED)]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_whole_texts_from_a_script_take_one_shuffle(spark):
+    script = line_script(pairs(spark, [(NUMBERS, MOVED)]))
+    texts = script.groupBy("path").agg(F.collect_list("line"))
+    assert texts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
