@@ -42,7 +42,7 @@ from scanloom.operators.patch import (
 )
 from scanloom.operators.ranking import chosen_rules, estimated_frequency, frequency_sketches, importance, merged_sketches, rule_frequency, rule_priority
 from scanloom.operators.report import patch_json, patch_report, progress_lines, report, report_lines, scan_json, verdict_lines
-from scanloom.operators.rule_index import gram_counts, indexed_rule_findings
+from scanloom.operators.rule_index import gram_counts, indexed_rule_findings, indexed_rule_totals
 from scanloom.operators.rules import clean_rules, default_rules, failed_rules, rules_with_own, with_guidance, with_rules
 from scanloom.operators.scan import (
     findings,

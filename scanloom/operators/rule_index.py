@@ -2,8 +2,8 @@
 
 ``scan_files`` makes every own pattern a literal of the plan, which suits dozens of rules. Here rules are a table. Of each
 pattern a literal is taken that every match must hold, and cut to q-grams; the one that is rarest in the corpus is
-the rule's key. Lines meet rules where they hold the key, by an equi-join, and the pattern decides. Rules from which no
-literal can be taken keep the way of ``scan_files``.
+the pattern's key. Lines meet patterns where they hold the key, by an equi-join, and the pattern decides. Patterns from which
+no literal can be taken keep the way of ``scan_files``. A pattern that many rules share is searched once for all of them.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions.text import raw_lines, strip_right
-from scanloom.operators.scan import CUSTOM_PASS, findings, scan_files
+from scanloom.operators.scan import CUSTOM_PASS, scan_files
+from scanloom.sources.tables import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -126,10 +127,19 @@ def _literals(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "literal"])
 
 
+def _named(rules: DataFrame) -> DataFrame:
+    return rules.select("rule_id", "language", "pattern").where("pattern IS NOT NULL AND language IS NOT NULL").distinct()
+
+
+def _patterns(rules: DataFrame) -> DataFrame:
+    """Distinct (language, pattern, literal), the literal null where none can be taken."""
+    rows = rules.select("language", "pattern").where("pattern IS NOT NULL AND language IS NOT NULL").distinct()
+    return rows.mapInArrow(_literals, "language string, pattern string, literal string")
+
+
 def rules_with_literals(rules: DataFrame) -> DataFrame:
     """Distinct (rule_id, language, pattern) with the literal each needs, null where none can be taken."""
-    rows = rules.select("rule_id", "language", "pattern").where("pattern IS NOT NULL AND language IS NOT NULL").distinct()
-    return rows.mapInArrow(_literals, "rule_id string, language string, pattern string, literal string")
+    return _named(rules).join(_patterns(rules), ["language", "pattern"]).select("rule_id", "language", "pattern", "literal")
 
 
 def q_grams(text: Column) -> Column:
@@ -161,43 +171,79 @@ def _line_grams(lines: DataFrame, among) -> DataFrame:
     return lines.select("*", F.explode(F.filter(q_grams(F.col("line")), among)).alias("gram"))
 
 
+def _gram_counts(source_files: DataFrame, patterns: DataFrame) -> DataFrame:
+    grams = patterns.select("language", F.explode(q_grams(F.col("literal"))).alias("gram")).distinct()
+    held = _line_grams(_lines(source_files).select("language", "line"), _among(grams)).select("language", "gram")
+    counted = held.groupBy("language", "gram").agg(F.count("*").alias("n_lines"))
+    return counted.join(grams, ["language", "gram"], "left_semi")
+
+
 def gram_counts(source_files: DataFrame, rules: DataFrame) -> DataFrame:
     """(language, gram, n_lines) of the q-grams of the rules' literals: how many lines of the corpus hold each.
 
     Keep it as a table to scan again with the same rules; counts need not be exact, any choice of keys gives the same findings.
     """
-    grams = rules_with_literals(rules).select("language", F.explode(q_grams(F.col("literal"))).alias("gram")).distinct()
-    held = _line_grams(_lines(source_files).select("language", "line"), _among(grams)).select("language", "gram")
-    counted = held.groupBy("language", "gram").agg(F.count("*").alias("n_lines"))
-    return counted.join(grams, ["language", "gram"], "left_semi")
+    return _gram_counts(source_files, _patterns(rules))
+
+
+def _pattern_keys(patterns: DataFrame, counts: DataFrame) -> DataFrame:
+    grams = patterns.select("language", "pattern", F.explode(q_grams(F.col("literal"))).alias("gram"))
+    seen = grams.join(counts, ["language", "gram"], "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
+    rarest = seen.groupBy("language", "pattern").agg(F.min(F.struct("n_lines", "gram")).alias("key"))
+    return rarest.where("key.n_lines > 0").select("language", "pattern", "key.gram")
 
 
 def rule_keys(rules: DataFrame, counts: DataFrame) -> DataFrame:
     """(rule_id, language, pattern, gram): the rarest q-gram of each rule's literal. Rules with one that no line holds have no row."""
-    named = rules_with_literals(rules).where("literal IS NOT NULL")
-    grams = named.select("rule_id", "language", "pattern", F.explode(q_grams(F.col("literal"))).alias("gram"))
-    seen = grams.join(counts, ["language", "gram"], "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
-    rarest = seen.groupBy("rule_id", "language", "pattern").agg(F.min(F.struct("n_lines", "gram")).alias("key"))
-    return rarest.where("key.n_lines > 0").select("rule_id", "language", "pattern", "key.gram")
+    keys = _pattern_keys(_patterns(rules), counts)
+    return _named(rules).join(keys, ["language", "pattern"]).select("rule_id", "language", "pattern", "gram")
 
 
-def indexed_rule_findings(source_files: DataFrame, rules: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Findings of a table of own rules (rule_id, language, pattern), the same that ``scan_files`` gives for them.
+def pattern_hits(source_files: DataFrame, rules: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(repo, path, language, line, line_text, pattern): each line and pattern that meet, once, whatever number of rules share it.
 
-    ``counts`` comes from ``gram_counts``, from these files or from any like them that hold every file of these; without it the
-    corpus is read once more. A rule given twice finds once. Patterns are searched in lines, in the Java dialect.
+    Patterns and their keys are written to the shared folder, so that the corpus is not read again for them and their
+    size is known before lines are joined.
     """
-    keys = rule_keys(rules, gram_counts(source_files, rules) if counts is None else counts)
+    patterns = stored(_patterns(rules), "patterns")
+    keys = stored(_pattern_keys(patterns, _gram_counts(source_files, patterns) if counts is None else counts), "rule-keys")
     lines = _line_grams(_lines(source_files), _among(keys))
     hits = lines.join(keys, ["language", "gram"]).where(F.expr("line RLIKE pattern"))
-    shown = [F.lit(0).alias("col"), strip_right(F.col("line")).alias("snippet"), F.lit(CUSTOM_PASS).alias("pass")]
-    found = hits.select("repo", "path", "rule_id", F.col("line_no").alias("line"), *shown)
+    found = hits.select("repo", "path", "language", F.col("line_no").alias("line"), F.col("line").alias("line_text"), "pattern")
     # Patterns that say nothing of what a line must hold: they have to be tried on every line.
-    others = rules_with_literals(rules).where("literal IS NULL").collect()
+    others = patterns.where("literal IS NULL").collect()
     if others:
-        plain = scan_files(source_files, [(r.rule_id, r.language, r.pattern) for r in others], (), (), issues=False)
-        found = found.unionByName(findings(plain).select(*found.columns))
+        plain = scan_files(source_files, [(r.pattern, r.language, r.pattern) for r in others], (), (), issues=False)
+        plain = plain.select("repo", "path", "language", F.inline("findings"))
+        found = found.unionByName(plain.select("repo", "path", "language", "line", F.col("snippet").alias("line_text"), F.col("rule_id").alias("pattern")))
     return found
 
 
-__all__ = ["gram_counts", "indexed_rule_findings", "required_literal", "rule_keys", "rules_with_literals"]
+def indexed_rule_findings(source_files: DataFrame, rules: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Findings of a table of own rules (rule_id, language, pattern), the same that ``scan_files`` gives for them.
+
+    ``counts`` comes from ``gram_counts``, from these files or from any like them that hold every file of these; without it the
+    corpus is read once more. A rule given twice finds once. Patterns are searched in lines, in the Java dialect. Where very
+    many rules share patterns there are as many rows as rules times lines: ``indexed_rule_totals`` counts without them.
+    """
+    hits = pattern_hits(source_files, rules, counts).join(_named(rules), ["language", "pattern"])
+    shown = [F.lit(0).alias("col"), strip_right(F.col("line_text")).alias("snippet"), F.lit(CUSTOM_PASS).alias("pass")]
+    return hits.select("repo", "path", "rule_id", "line", *shown)
+
+
+def indexed_rule_totals(source_files: DataFrame, rules: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(rule_id, n_findings, n_files) of the rules that find something: ``indexed_rule_findings``, counted.
+
+    Rules with the same patterns form a kind, and hits are counted by kind: the work grows with lines and
+    patterns, and rules are only joined to the counts. Files are told apart by (repo, path), a null repo being one too.
+    """
+    sets = _named(rules).groupBy("rule_id").agg(F.array_sort(F.collect_set(F.struct("language", "pattern"))).alias("patterns"))
+    kinds = stored(sets.select("rule_id", F.sha2(F.to_json("patterns"), 256).alias("kind"), "patterns"), "rule-kinds")
+    members = stored(kinds.groupBy("kind").agg(F.any_value("patterns").alias("patterns")).select("kind", F.inline("patterns")), "kind-patterns")
+    hits = pattern_hits(source_files, rules, counts).select("repo", "path", "language", "pattern").join(members, ["language", "pattern"])
+    by_file = hits.groupBy("kind", "repo", "path").agg(F.count("*").alias("n"))
+    by_kind = by_file.groupBy("kind").agg(F.sum("n").alias("n_findings"), F.count("path").alias("n_files"))
+    return kinds.select("rule_id", "kind").join(by_kind, "kind").select("rule_id", "n_findings", "n_files")
+
+
+__all__ = ["gram_counts", "indexed_rule_findings", "indexed_rule_totals", "pattern_hits", "required_literal", "rule_keys", "rules_with_literals"]

@@ -824,8 +824,7 @@ def part_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def many_own_rules(spark, folder):
     """As many own rules as there are parts, on the lines of documents."""
-    found = rule_index.indexed_rule_findings(document_files(spark, folder), part_rules(spark, folder))
-    return found.groupBy("rule_id").agg(F.count("*").alias("n_findings"), F.countDistinct("repo", "path").alias("n_files"))
+    return rule_index.indexed_rule_totals(document_files(spark, folder), part_rules(spark, folder))
 
 
 # Syntax facts as a table function

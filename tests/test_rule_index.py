@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scanloom.operators.rule_index import gram_counts, indexed_rule_findings, required_literal, rule_keys
+from scanloom.operators.rule_index import gram_counts, indexed_rule_findings, indexed_rule_totals, pattern_hits, required_literal, rule_keys
 from scanloom.operators.scan import findings, scan_files
 
 PATTERNS = {
@@ -105,3 +105,20 @@ def test_rules_meet_lines_by_an_equi_join(spark, files):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert sorted(r.rule_id for r in found.collect()) == ["R1", "R17", "R2", "R29", "R299", "R2999"]
+
+
+def test_rules_that_share_patterns_are_searched_once(spark, files):
+    patterns = [r"red.*[0-9]$", r"(?i)RING", r"bolt[a-z]* ", "nowhere", "[0-9]{3}"]
+    rules = rules_table(spark, [(f"R{i}", ["python", "javascript"][i % 7 == 0], patterns[i % 5]) for i in range(2000)])
+    rules = rules.unionByName(rules_table(spark, [("BOTH", "python", "ring"), ("BOTH", "python", "red"), ("BOTH", "python", "red")]))
+    some = files({f"a/{i}.py": "red ring 7\nbolts \nred 123\n" for i in range(30)} | {"a/x.js": "ring", "a/null.py": None})
+    some = some.unionByName(files({"a/1.py": "red"}, repo=None))
+    found = indexed_rule_findings(some, rules)
+    want = {}
+    for r in found.select("rule_id", "repo", "path").collect():
+        want.setdefault(r.rule_id, []).append((r.repo, r.path))
+    got = {r.rule_id: (r.n_findings, r.n_files) for r in indexed_rule_totals(some, rules).collect()}
+    assert got == {rule: (len(at), len(set(at))) for rule, at in want.items()}
+    assert got["BOTH"] == (30 * 3 + 1, 31) and got["R1"] == (30, 30)
+    # Lines times distinct patterns, not times rules.
+    assert pattern_hits(some, rules).count() == 30 * (1 + 1 + 1 + 1 + 1 + 1 + 2) + 1 + 1
