@@ -44,7 +44,8 @@ def stored(spark: SparkSession, store: str) -> DataFrame:
 
 def contents(source_files: DataFrame) -> DataFrame:
     """(digest, language, n_files, file) of the distinct contents, with one file that holds each."""
-    return _digest(source_files).where("digest IS NOT NULL").groupBy(*CONTENT).agg(
+    # The text is asked, not the digest: a filter on what is computed would compute it a second time.
+    return _digest(source_files.where("text IS NOT NULL")).groupBy(*CONTENT).agg(
         F.count("*").alias("n_files"), F.min(F.struct("repo", "path")).alias("file")
     )
 
@@ -83,11 +84,11 @@ def with_results(source_files: DataFrame, results: DataFrame, every: DataFrame)
     last = F.when(F.col("hot"), F.lit(SALTS - 1)).otherwise(F.lit(0))
     held = results.select(*CONTENT, "findings", "syntax_issues").dropDuplicates(CONTENT)
     held = held.join(hot, CONTENT, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("hot")
-    files = _digest(source_files)
+    files = _digest(source_files.where("text IS NOT NULL"))
     dealt = F.when(F.col("hot"), F.pmod(F.xxhash64("repo", "path"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    texts = files.where("digest IS NOT NULL").join(hot, CONTENT, "left").withColumn("salt", dealt)
+    texts = files.join(hot, CONTENT, "left").withColumn("salt", dealt)
     scanned = texts.join(held, [*CONTENT, "salt"]).select(*source_files.columns, "findings", "syntax_issues")
-    without = scan_files(files.where("digest IS NULL").select(*source_files.columns), languages=())
+    without = scan_files(source_files.where("text IS NULL"), languages=())
     return scanned.unionByName(without)
 
 

@@ -54,7 +54,7 @@ OWN_RULES = (
     ("NO_GOTO", "python", r"\bgoto\s", "critical", "jumps"),
 )
 ALL_RULE_IDS = (*RULE_IDS, *(rule[0] for rule in OWN_RULES))
-NOT_PLAIN = r"[^\x20\x21\x23-\x29\x2B-\x5B\x5D-\x7E\n]"
+NOT_PLAIN = r"[\x00-\x09\x0B-\x1F\x22\x2A\x5C\x7F-\x{10FFFF}]"
 
 SECRETS = ("NO_HARDCODED_SECRETS",)
 

@@ -163,3 +163,21 @@ def test_findings_are_neither_broadcast_nor_read_twice(spark):
     assert got == [("None", "kept", None)] + [("src/0.py", "expired", "e2")] * 2 + [(f"src/{i}.py", "kept", None) for i in (1, 2, 3)]
     plan = judged(frame, spark.createDataFrame(entries, ENTRY))._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in plan and plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_a_computed_text_is_computed_once_for_its_digest(spark, files):
+    computed = files({"a.py": "x", "b.py": None}).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "[a-c]", "_"))
+    plan = content.contents(computed)._jdf.queryExecution().executedPlan().toString()
+    assert sum(line.count("regexp_replace(") for line in plan.splitlines() if "FileScan" not in line) == 1
+    assert content.contents(computed).count() == 2
+
+
+def test_documents_keep_the_same_characters(spark):
+    from scanloom.plans.catalog import NOT_PLAIN
+
+    codes = [c for c in [*range(0x3100), *range(0xD7F0, 0xD800), *range(0xE000, 0xE010), 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]]
+    text = "".join(map(chr, codes))
+    row = spark.createDataFrame([(text,)], "text string").select(F.regexp_replace("text", NOT_PLAIN, "_").alias("text")).first()
+    assert row.text == re.sub(r"[^\x20\x21\x23-\x29\x2B-\x5B\x5D-\x7E\n]", "_", text)
+    # The listed characters themselves: a negated union is tested twenty times slower.
+    assert not NOT_PLAIN.startswith("[^")
