@@ -64,7 +64,7 @@ from scanloom.sources.tables import (
     write_json,
 )
 from scanloom.sources.tree import list_tree, read_tree, stream_tree, write_tree
-from scanloom.streaming.state import gate_changes, run_gate_changes
+from scanloom.streaming.state import gate_changes, latest_counts, run_gate_changes, run_latest_counts
 from scanloom.streaming.stream import gate_each_batch, new_arrivals, run_windows, scan_stream, windowed_findings
 
 __all__ = [name for name in dir() if not name.startswith("_") and name not in ("functions", "operators", "sources", "streaming", "plans", "session")]

@@ -769,7 +769,7 @@ def stream_gate_latest(spark, folder):
     again = made.corpus(orders, "o_orderkey", F.col("o_orderpriority"), F.col("arrived") + F.expr("INTERVAL 1 DAY"))
     text = F.when(F.col("key") % 4 == 1, "").when(F.col("key") % 4 == 2, "x = (\n").otherwise(F.col("text"))
     arrived = first.unionByName(again.where(F.col("key") % 4 > 0).withColumn("text", text))
-    return state.run_gate_changes(state.gate_changes(arrived), "stream-gate-latest", "repo")
+    return state.run_latest_counts(state.latest_counts(arrived), "stream-gate-latest", "repo")
 
 
 # Trees

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scanloom.functions.text import detect_language
 from scanloom.operators.gate import gate, gate_from_changes
 from scanloom.streaming import stream
-from scanloom.streaming.state import gate_changes, run_gate_changes, with_rocksdb
+from scanloom.streaming.state import gate_changes, latest_counts, run_gate_changes, run_latest_counts, with_rocksdb
 
 SCHEMA = "repo string, path string, text string, mtime timestamp, error string"
 DAY = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -118,3 +118,16 @@ def test_nothing_has_arrived(spark, tmp_path):
     by_batch = stream.run_gate(scanned, "none", "repo")
     assert by_batch.collect() == [] and by_batch.columns == [*gate(spark.createDataFrame([], scanned.schema), "repo").columns, "batch_id"]
     assert [(r.n_files, r.deployable) for r in run_gate_changes(gate_changes(files), "none").collect()] == [(0, True)]
+
+
+@pytest.mark.parametrize("grain", ["repo", "corpus"])
+def test_latest_counts_agree_with_changes_without_a_processor(spark, arrivals, grain):
+    arrive, stream = arrivals
+    arrive(row("a.py", "DEBUG = True", 1), row("b.py", "x = (", 1), row("c.py", None, None), row("a.py", "eval(1)", 1))
+    arrive(row("a.py", "x = 1", 3), row("b.py", "x = (", 1), row("a.py", "DEBUG = True", 2), row("d.py", "DEBUG = True", None, None))
+    arrive(row("a.py", "DEBUG = True", 2), row("c.py", "DEBUG = True", 0), row("b.py", "x = 1", 0), row("e.py", "DEBUG = True", 0, "s"))
+    latest = latest_counts(stream())
+    assert "TransformWithState" not in latest._jdf.queryExecution().analyzed().toString()
+    got = run_latest_counts(latest, "latest-test", grain).collect()
+    want = run_gate_changes(gate_changes(stream()), "changes-test", grain).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == (3 if grain == "repo" else 1)
