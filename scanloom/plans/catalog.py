@@ -829,12 +829,18 @@ def many_own_rules(spark, folder):
 
 # Syntax facts as a table function
 
+#: Groups of files that the table function is called for; each comes to it in batches.
+FACT_GROUPS = 4096
+
 
 @query
 def py_fact_rows(spark, folder):
     register_py_fact_rows(spark)
     files = part_files(spark, folder).where(F.col("language") == "python")
-    facts = spark.sql("SELECT * FROM py_fact_rows(TABLE(SELECT repo, path, text FROM {files}) PARTITION BY path)", files=files)
+    # Files by hash: a group for each file would be a call and a batch for each, and Spark would join the small tasks.
+    dealt = files.withColumn("deal", F.pmod(F.xxhash64("path"), F.lit(FACT_GROUPS)))
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "deal")
+    facts = spark.sql("SELECT * FROM py_fact_rows(TABLE(SELECT repo, path, text, deal FROM {files}) PARTITION BY deal)", files=dealt)
     return facts.where("kind IN ('handler', 'assign')").select("path", "kind", F.col("lineno").alias("line"))
 
 

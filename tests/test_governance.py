@@ -181,3 +181,12 @@ def test_documents_keep_the_same_characters(spark):
     assert row.text == re.sub(r"[^\x20\x21\x23-\x29\x2B-\x5B\x5D-\x7E\n]", "_", text)
     # The listed characters themselves: a negated union is tested twenty times slower.
     assert not NOT_PLAIN.startswith("[^")
+
+
+def test_facts_as_rows_come_by_groups_of_files_in_as_many_tasks_as_asked(spark):
+    from scanloom.plans.catalog import QUERIES
+
+    plan = QUERIES["py_fact_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # An exchange of Spark's own may be joined to a few tasks, as paths and short texts are small beside the work on them.
+    assert any("hashpartitioning(deal" in line for line in exchanges) and all("REPARTITION_BY_NUM" in line for line in exchanges)
