@@ -160,7 +160,8 @@ def counterparts(file_gate: DataFrame, expected: DataFrame) -> DataFrame:
     """Vulnerable files next to their fixed counterparts, with both verdicts."""
     repo = _keys(expected)[:-1]
     pairs = expected.where(F.col("fixed_file").isNotNull()).select(*repo, "file", "fixed_file").distinct()
-    verdict = file_gate.select(*repo, "path", "deployable")
+    # All files' verdicts are no table to broadcast, however small the table they are made from.
+    verdict = file_gate.select(*repo, "path", "deployable").hint("merge")
     return (
         pairs.join(verdict.select(*repo, F.col("path").alias("file"), "deployable"), [*repo, "file"], "left")
         .join(verdict.select(*repo, F.col("path").alias("fixed_file"), F.col("deployable").alias("fixed_deployable")), [*repo, "fixed_file"], "left")
