@@ -38,10 +38,11 @@ def owned(files: DataFrame, roots: DataFrame, salts: int = SALTS) -> DataFrame:
     named = named.where("ancestor IS NOT NULL").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     paths = files.select("repo", "path").distinct()
     above = paths.select("repo", "path", F.pmod(F.xxhash64("repo", "path"), F.lit(salts)).cast("int").alias("salt"), F.inline(ancestors(F.col("path"))))
-    held = above.join(named, ["ancestor", "salt"]).where(F.col("of_repo").isNull() | (F.col("of_repo") == F.col("repo")))
+    # Generators multiply rows unseen by Spark's estimate, which would have it broadcast all paths with all their ancestors.
+    held = above.join(named.hint("merge"), ["ancestor", "salt"]).where(F.col("of_repo").isNull() | (F.col("of_repo") == F.col("repo")))
     # Deepest first, then the repository's own, then by name.
     order = F.struct(-F.col("depth"), F.col("of_repo").isNull(), "owner", "root")
     best = held.groupBy(F.col("repo").alias("__repo"), F.col("path").alias("__path")).agg(F.min(order).alias("__best"))
     same = F.col("repo").eqNullSafe(F.col("__repo")) & (F.col("path") == F.col("__path"))
     rest = [c for c in files.columns if c not in ("root", "owner")]
-    return files.select(*rest).join(best, same, "left").select(*rest, "__best.root", "__best.owner")
+    return files.select(*rest).join(best.hint("merge"), same, "left").select(*rest, "__best.root", "__best.owner")

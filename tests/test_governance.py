@@ -190,3 +190,11 @@ def test_facts_as_rows_come_by_groups_of_files_in_as_many_tasks_as_asked(spark):
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     # An exchange of Spark's own may be joined to a few tasks, as paths and short texts are small beside the work on them.
     assert any("hashpartitioning(deal" in line for line in exchanges) and all("REPARTITION_BY_NUM" in line for line in exchanges)
+
+
+@pytest.mark.parametrize("name", ["file_owners", "counterparts"])
+def test_tables_of_all_files_are_not_broadcast(spark, name):
+    from scanloom.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") >= 2
