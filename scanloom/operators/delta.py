@@ -127,6 +127,20 @@ def _script_udf(rounds: int):
     return script
 
 
+def line_scripts(changed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(repo, path, script): ``line_script`` as one array a file, in the order of ``at``; empty without any line on both sides."""
+
+    def lines(text: str) -> Column:
+        return F.when(F.length(text) > 0, lines_of(F.col(text))).otherwise(F.array().cast("array<string>"))
+
+    return changed.select(*FILE, _script_udf(rounds)(lines("old_text"), lines("new_text")).alias("script"))
+
+
+def script_text(script: Column, mark: str) -> Column:
+    """The old text (``-``) or the new one (``+``) from the script of ``line_scripts``, in the row."""
+    return F.array_join(F.transform(F.filter(script, lambda r: r["mark"].isin(" ", mark)), lambda r: r["line"]), "\n")
+
+
 def line_script(changed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(repo, path, at, mark, old_no, new_no, line): how the old text of each file becomes the new one.
 
@@ -134,13 +148,8 @@ def line_script(changed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     lines with ``-`` or a blank are the old text in order, those with ``+`` or a blank the new one. Of a changed
     place removed lines come first. Files without any line on both sides have no row.
     """
-
-    def lines(text: str) -> Column:
-        return F.when(F.length(text) > 0, lines_of(F.col(text))).otherwise(F.array().cast("array<string>"))
-
-    script = changed.select(*FILE, _script_udf(rounds)(lines("old_text"), lines("new_text")).alias("script"))
     # Not ``inline``: Spark would compare twice, first to leave out files without a row.
-    return script.select(*FILE, F.inline_outer("script")).where("at IS NOT NULL")
+    return line_scripts(changed, rounds).select(*FILE, F.inline_outer("script")).where("at IS NOT NULL")
 
 
 def hunks(script: DataFrame, context: int = CONTEXT) -> DataFrame:

@@ -912,13 +912,8 @@ def line_script_texts(spark, folder):
     new = F.concat(F.array(F.lit("first")), F.slice("lines", 1, n - 1), F.slice("lines", n + 1, F.size("lines")), F.slice("lines", n, 1))
     end = lambda lines: F.concat(F.array_join(lines, "\n"), F.lit("\nend"))
     changed = docs.select("repo", "path", F.replace(end(F.col("lines")), F.lit("\r"), F.lit("")).alias("old_text"), F.replace(end(new), F.lit("\r"), F.lit("")).alias("new_text"))
-    script = delta.line_script(changed)
-
-    def text(mark: str):
-        held = F.sort_array(F.collect_list(F.when(F.col("mark").isin(" ", mark), F.struct("at", "line"))))
-        return F.sha2(F.array_join(F.transform(held, lambda r: r["line"]), "\n"), 256)
-
-    return script.groupBy(F.col("path").cast("long").alias("doc_id")).agg(text("-").alias("old_sha256"), text("+").alias("new_sha256"))
+    text = lambda mark: F.sha2(delta.script_text(F.col("script"), mark), 256)
+    return delta.line_scripts(changed).select(F.col("path").cast("long").alias("doc_id"), text("-").alias("old_sha256"), text("+").alias("new_sha256"))
 
 
 # Mergeable frequencies

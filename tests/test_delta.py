@@ -116,3 +116,13 @@ def test_whole_texts_from_a_script_take_one_shuffle(spark):
     script = line_script(pairs(spark, [(NUMBERS, MOVED)]))
     texts = script.groupBy("path").agg(F.collect_list("line"))
     assert texts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_texts_come_from_the_script_in_the_row(spark):
+    from scanloom.operators.delta import line_scripts, script_text
+
+    texts = [(NUMBERS, MOVED), ([], ["a", "b"]), (["a", "", "b"], []), ([], []), (["x", "x", "y"], ["y", "x", "x", "", "z"])]
+    got = line_scripts(pairs(spark, texts)).select(F.col("path").cast("int").alias("i"), script_text(F.col("script"), "-").alias("old"), script_text(F.col("script"), "+").alias("new"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    assert {r.i: (r.old, r.new) for r in got.collect()} == {i: ("\n".join(old), "\n".join(new)) for i, (old, new) in enumerate(texts)}
