@@ -24,3 +24,10 @@ def build_session(name: str = "scanloom", master: str | None = None, **settings:
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to the rows of ``SETTINGS`` where they are larger: a batch of texts lies in a Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= int(SETTINGS[name]):
+        spark.conf.set(name, SETTINGS[name])

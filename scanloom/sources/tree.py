@@ -35,6 +35,7 @@ from pyspark.sql.datasource import (
 
 from scanloom.functions import fixed
 from scanloom.functions.text import detect_language
+from scanloom.session import small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -369,12 +370,14 @@ def write_tree(source_files: DataFrame, root: str, old_root: str = "") -> None:
     Only source files are rows, so other files of the old tree are not in the new one.
     """
     source_files.sparkSession.dataSource.register(SourceTree)
+    small_batches(source_files.sparkSession)
     old = os.path.realpath(old_root).rstrip("/") + "/" if old_root else ""
     below = F.when(F.startswith("path", F.lit(old)), F.substring(F.col("path"), len(old) + 1, 1 << 30)).otherwise(F.col("path"))
     source_files.select(below.alias("path"), "text").write.format("source_tree").mode("append").save(str(root))
 
 
 def _source_files(listed: DataFrame, real: str, repo_depth: int, tasks: int) -> DataFrame:
+    small_batches(listed.sparkSession)
     # Every path is the root itself or lies below it.
     inside = listed.where((F.col("path") == real) | F.startswith("path", F.lit(real.rstrip("/") + "/")))
     spread = inside.repartition(tasks, "path")

@@ -131,3 +131,17 @@ def test_a_tree_is_never_overwritten(spark, tmp_path):
         write_tree(rows, tmp_path / "new")
     write_tree(rows, tmp_path / "other")
     assert [p.name for p in (tmp_path / "other").iterdir()] == ["b.py"]
+
+
+def test_texts_of_a_tree_come_to_python_in_small_batches(spark, files, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, left in [("10000", "1000"), ("0", "1000"), ("10", "10")]:
+            spark.conf.set(name, given)
+            write_tree(files({"a.py": "x = 1"}), str(tmp_path / given))
+            assert spark.conf.get(name) == left
+            spark.conf.set(name, given)
+            assert read_tree(spark, str(tmp_path / given)).count() == 1 and spark.conf.get(name) == left
+    finally:
+        spark.conf.set(name, before)
