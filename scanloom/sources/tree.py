@@ -14,6 +14,7 @@ import os
 import shutil
 import sys
 import uuid
+import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,34 +46,90 @@ _LISTING = "path string, size long, mtime timestamp"
 
 
 def _wanted(entry: os.DirEntry | Path) -> bool:
-    return Path(entry.name).suffix.lower() in _ENDINGS
+    dot = entry.name.rfind(".")
+    return dot > 0 and entry.name[dot:].lower() in _ENDINGS
 
 
 def _row(path: str, info: os.stat_result) -> tuple:
     return path, info.st_size, datetime.fromtimestamp(info.st_mtime, timezone.utc)
 
 
-def _children(directory: str) -> tuple[list[str], list[tuple]]:
-    """Directories to enter and wanted files, links left out."""
-    directories, files = [], []
+#: A directory of very many entries is listed by a task for each so many of them, but by no more than so many tasks: every one
+#: of them goes over all names, and looks at its own files only.
+_SLICE_ENTRIES, _SLICES = 50_000, 16
+
+
+def _below(directory: str, number: int = 0, slices: int = 1) -> Iterator[tuple[str, os.stat_result | None]]:
+    """What lies in a directory, links left out: (path, None) for directories to enter, (path, state) for wanted files.
+
+    Of several slices each gives the files whose names hash to its number, and every directory.
+    """
     try:
         with os.scandir(directory) as entries:
             for entry in entries:
                 if entry.is_dir(follow_symlinks=False):
                     if entry.name not in _IGNORED:
-                        directories.append(entry.path)
+                        yield entry.path, None
                 elif entry.is_file(follow_symlinks=False) and _wanted(entry):
-                    files.append(_row(entry.path, entry.stat(follow_symlinks=False)))
+                    if slices == 1 or zlib.crc32(os.fsencode(entry.name)) % slices == number:
+                        try:
+                            info = entry.stat(follow_symlinks=False)
+                        except FileNotFoundError:
+                            continue  # removed meanwhile; the rest of the directory is still there
+                        yield entry.path, info
     except OSError:
-        pass  # an unreadable directory holds nothing to scan
-    return directories, files
+        pass  # gone or unreadable: it holds nothing to scan
+
+
+def _directories(directory: str) -> tuple[list[str], int]:
+    """Directories to enter, and how many entries there are; no file is looked at."""
+    found, entries = [], 0
+    try:
+        with os.scandir(directory) as listed:
+            for entry in listed:
+                entries += 1
+                if entry.is_dir(follow_symlinks=False) and entry.name not in _IGNORED:
+                    found.append(entry.path)
+    except OSError:
+        pass  # gone or unreadable: it holds nothing to scan
+    return found, entries
 
 
 class _Part(InputPartition):
-    """Directories that one task lists; with ``deep``, all that lies below them too."""
+    """Directories that one task lists, each as (path, slice, number of slices); with ``deep``, all that lies below them too.
+
+    Of a stream, only files after ``low`` and up to ``high`` count.
+    """
+
+    def __init__(self, directories: list[tuple[str, int, int]], deep: bool, low=None, high=None):
+        self.directories, self.deep, self.low, self.high = directories, deep, low, high
+
+    def files(self) -> Iterator[tuple[str, os.stat_result]]:
+        waiting = list(self.directories)
+        while waiting:
+            for path, info in _below(*waiting.pop()):
+                if info is not None:
+                    yield path, info
+                elif self.deep:
+                    waiting.append((path, 0, 1))
 
-    def __init__(self, directories: list[str], deep: bool):
-        self.directories, self.deep = directories, deep
+
+def _parts(root: str, splits: int, low=None, high=None) -> list[_Part]:
+    """Enter the tree breadth first until there is a directory for every task; tasks walk the rest.
+
+    Directories are dealt to ``splits`` tasks at most, however many lie side by side. Files are listed by tasks alone.
+    """
+    waiting, entered = deque([root]), []
+    while waiting and len(waiting) + len(entered) < splits and os.path.isdir(waiting[0]):
+        directory = waiting.popleft()
+        found, entries = _directories(directory)
+        slices = min(_SLICES, splits, 1 + entries // _SLICE_ENTRIES)
+        entered += [(directory, i, slices) for i in range(slices)]
+        waiting.extend(found)
+    below = [(directory, 0, 1) for directory in waiting]
+    dealt = [(entered[i::splits], False) for i in range(min(splits, len(entered)))]
+    dealt += [(below[i::splits], True) for i in range(min(splits, len(below)))]
+    return [_Part(directories, deep, low, high) for directories, deep in dealt]
 
 
 class SourceTreeReader(DataSourceReader):
@@ -81,71 +138,41 @@ class SourceTreeReader(DataSourceReader):
         self.splits = int(options.get("splits", "256"))
 
     def partitions(self):
-        """Enter the tree breadth first until there is a directory for every task; tasks walk the rest.
-
-        Directories are dealt to ``splits`` tasks at most, however many lie side by side.
-        """
-        waiting, entered = deque([self.root]), []
-        while waiting and len(waiting) + len(entered) < self.splits and os.path.isdir(waiting[0]):
-            directory = waiting.popleft()
-            entered.append(directory)
-            waiting.extend(_children(directory)[0])
-        parts = [_Part(entered[i :: self.splits], False) for i in range(min(self.splits, len(entered)))]
-        below = list(waiting)
-        return parts + [_Part(below[i :: self.splits], True) for i in range(min(self.splits, len(below)))]
+        return _parts(self.root, self.splits)
 
     def read(self, partition):
-        waiting = list(partition.directories)
-        if os.path.isfile(waiting[0]):
-            file = Path(waiting[0])
+        first = partition.directories[0][0]
+        if os.path.isfile(first):
+            file = Path(first)
             if _wanted(file):
                 yield _row(str(file), file.stat())
             return
-        while waiting:
-            directories, files = _children(waiting.pop())
-            yield from files
-            if partition.deep:
-                waiting.extend(directories)
+        for path, info in partition.files():
+            yield _row(path, info)
 
 
 # The tree as a stream
 
 
-def _walk(root: str) -> Iterator[tuple[int, str, os.stat_result]]:
-    """(time, path, state) of every source file below a root; the time is when its entry last changed."""
-    waiting = [root]
-    while waiting:
-        try:
-            with os.scandir(waiting.pop()) as entries:
-                for entry in entries:
-                    if entry.is_dir(follow_symlinks=False):
-                        if entry.name not in _IGNORED:
-                            waiting.append(entry.path)
-                    elif entry.is_file(follow_symlinks=False) and _wanted(entry):
-                        info = entry.stat(follow_symlinks=False)
-                        yield info.st_ctime_ns, entry.path, info
-        except OSError:
-            pass  # gone or unreadable: it holds nothing to scan
+def _walk(root: str) -> Iterator[tuple[int, str]]:
+    """(time, path) of every source file below a root; the time is when its entry last changed."""
+    for path, info in _Part([(root, 0, 1)], True).files():
+        yield info.st_ctime_ns, path
 
 
 def _position(offset: dict) -> tuple[int, str]:
     return int(offset["time"]), offset["path"]
 
 
-class _Listed(InputPartition):
-    """Files that one task tells of."""
-
-    def __init__(self, rows: list[tuple]):
-        self.rows = rows
-
-
 class SourceTreeStreamReader(DataSourceStreamReader):
     """New and changed files in the order of (time, path), which is the offset.
 
     The time is that of the entry's last change, which the system sets: a file moved in or written with an old time of its
     own is later than all before it. ``maxFilesPerTrigger`` bounds a batch. After a restart Spark does not tell a reader
     where it stands, so the first batch then takes all that is new. A file younger than ``settle`` seconds waits, so that
-    none is passed by another of the same moment.
+    none is passed by another of the same moment; where a mount keeps attributes for a while, ``settle`` must be longer.
+    The driver looks for the last position only. The files of a batch are listed by its tasks, each in directories, or
+    slices of one, of its own; a file that changes meanwhile comes with a later batch.
     """
 
     def __init__(self, options):
@@ -174,18 +201,13 @@ class SourceTreeStreamReader(DataSourceStreamReader):
                 json.dump({"time": str(self.reached[0]), "path": self.reached[1]}, file)
             os.replace(f"{self.progress}.new", self.progress)
 
-    def _files(self, after: tuple[int, str], until: tuple[int, str] | None = None):
-        for time, path, info in _walk(self.root):
-            if after < (time, path) and (until is None or (time, path) <= until):
-                yield time, path, info
-
     def initialOffset(self) -> dict:
         return {"time": "0", "path": ""}
 
     def latestOffset(self) -> dict:
         now = datetime.now(timezone.utc).timestamp() * 1e9 - self.settle_ns
         start = self.reached or (0, "")
-        new = ((time, path) for time, path, _ in self._files(start) if time <= now)
+        new = (position for position in _walk(self.root) if start < position and position[0] <= now)
         if self.most and self.reached is not None:
             admitted = heapq.nsmallest(self.most, new)
             end = admitted[-1] if admitted else start
@@ -196,11 +218,12 @@ class SourceTreeStreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict):
         low, high = _position(start), _position(end)
         self._note(end)
-        rows = [_row(path, info) for _, path, info in sorted(self._files(low, high), key=lambda f: f[:2])]
-        return [_Listed(rows[i :: self.splits]) for i in range(min(self.splits, len(rows)))]
+        return _parts(self.root, self.splits, low, high) if low < high else []
 
     def read(self, partition):
-        yield from partition.rows
+        for path, info in partition.files():
+            if partition.low < (info.st_ctime_ns, path) <= partition.high:
+                yield _row(path, info)
 
     def commit(self, end: dict) -> None:
         self._note(end)
@@ -234,17 +257,24 @@ class SourceTreeWriter(DataSourceArrowWriter):
     def write(self, iterator):
         folder = f"{self.staging}/{uuid.uuid4().hex}"
         os.makedirs(folder)
-        files = 0
+        files, made = 0, {folder}
         for batch in iterator:
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            # Strings of Spark are UTF-8 already: they are written as they are.
+            texts = batch.column("text")
+            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+            for path, text in zip(batch.column("path").to_pylist(), texts.to_pylist(), strict=True):
                 target = os.path.normpath(f"{folder}/{path}")
                 if text is None:
                     continue  # a file that could not be read has nothing to write
                 if not path or path.endswith("/") or not target.startswith(folder + "/"):
                     raise ValueError(f"not a path inside the tree: {path!r}")
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "x", encoding="utf-8", newline="", errors="surrogatepass") as file:
-                    file.write(text)
+                if (parent := os.path.dirname(target)) not in made:
+                    os.makedirs(parent, exist_ok=True)
+                    made.add(parent)
+                with open(target, "xb", buffering=0) as file:
+                    rest = memoryview(text)
+                    while rest:
+                        rest = rest[file.write(rest) :]
                 files += 1
         return _Written(folder, files)
 
@@ -301,26 +331,34 @@ class SourceTree(DataSource):
 _BATCH_BYTES = 8 << 20
 
 
+def _read(path: str) -> tuple[str | None, str | None]:
+    """Text of a file, or what kept it from being read. Bytes that are no UTF-8 become replacement characters."""
+    try:
+        with open(path, "rb", buffering=0) as file:
+            text = file.read().decode("utf-8", "replace")
+    except OSError as problem:
+        return None, str(problem)
+    return (text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text), None
+
+
 def _read_batches(batches):
     """Texts of listed files, in batches of a few megabytes."""
-    rows, held = [], 0
     kinds = pa.schema(
         [("path", pa.string()), ("text", pa.string()), ("mtime", pa.timestamp("us", tz="UTC")), ("error", pa.string())]
     )
     for batch in batches:
-        for path, mtime in zip(batch.column("path").to_pylist(), batch.column("mtime")):
-            try:
-                with open(path, encoding="utf-8", errors="replace") as file:
-                    text, error = file.read(), None
-            except OSError as problem:
-                text, error = None, str(problem)
-            rows.append({"path": path, "text": text, "mtime": mtime.as_py(), "error": error})
+        paths, mtimes = batch.column("path"), batch.column("mtime").cast(kinds.field("mtime").type)
+        start, texts, errors, held = 0, [], [], 0
+        for number, path in enumerate(paths.to_pylist(), 1):
+            text, error = _read(path)
+            texts.append(text)
+            errors.append(error)
             held += len(text or "")
-            if held > _BATCH_BYTES:
-                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
-                rows, held = [], 0
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+            if held > _BATCH_BYTES or number == len(paths):
+                size = number - start
+                columns = [paths.slice(start, size).cast(pa.string()), pa.array(texts, pa.string()), mtimes.slice(start, size), pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, schema=kinds)
+                start, texts, errors, held = number, [], [], 0
 
 
 def list_tree(spark: SparkSession, root: str, splits: int = 256) -> DataFrame:
@@ -350,7 +388,7 @@ def stream_tree(
     """``source_files`` of a directory as a stream: every file once, and again whenever it has changed.
 
     ``max_files`` bounds a batch, and needs ``progress``, a file of this query alone beside its checkpoint; a trigger
-    ``availableNow`` makes one batch of at most so many files. Paths are listed by the driver, texts read by tasks. Removed files give no row. The rest is as in ``read_tree``.
+    ``availableNow`` makes one batch of at most so many files. Paths are listed and texts read by tasks. Removed files give no row. The rest is as in ``read_tree``.
     """
     spark.dataSource.register(SourceTree)
     real = os.path.realpath(str(root))

@@ -3,9 +3,10 @@ import random
 import re
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from scanloom.functions import fixed, line_rules
+from scanloom.functions import fixed, line_rules, syntax
 from scanloom.functions.syntax import FACT, extract_facts, register_py_facts
 from scanloom.operators import scan
 from scanloom.plans.corpus import templates
@@ -212,3 +213,12 @@ def test_minified_lines_are_scanned_in_reasonable_time(found):
     text = f"var q={long}; select select {'select ' * 2000} x; token{'eyJ' * 3000}; exec\n"
     got = found({"m.js": text, "m.py": "# " + text})
     assert got == {"m.js": [], "m.py": []}
+
+
+def test_texts_without_a_name_that_rules_look_for_are_not_parsed(monkeypatch):
+    monkeypatch.setattr(syntax, "_parse", lambda text: pytest.fail(f"parsed: {text}"))
+    assert syntax.extract_facts("x = (\n", focus=True, problems=False) == []
+    monkeypatch.undo()
+    assert [f["kind"] for f in syntax.extract_facts("x = (\n", focus=True)] == ["syntax_error"]
+    assert syntax.extract_facts("DEBUG = (\n", focus=True, problems=False) == []
+    assert [f["kind"] for f in syntax.extract_facts("DEBUG = True\n", focus=True, problems=False)] == ["assign"]
