@@ -194,7 +194,7 @@ def scan_files(source_files: DataFrame, custom_rules=(), languages=ALL_LANGUAGES
     Python, no Python worker is started. ``rule_ids`` other than all seven
     means that only those rules are computed; ``issues`` false leaves out what
     cannot be parsed, and with it the parser where no syntax rule needs it or
-    a text holds no name that any of them looks for.
+    can apply to a text.
     """
     application = source_files.sparkSession.conf.get("spark.app.id")
     rules = tuple(tuple(rule) for rule in custom_rules)

@@ -732,7 +732,7 @@ def _orders_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_findings(spark, folder):
-    found = scan.findings(stream.scan_stream(_order_stream(spark, folder)))
+    found = scan.findings(stream.scan_stream(_order_stream(spark, folder), issues=False))
     return stream.run_to_table(found, "stream-findings").select("path", "rule_id", "line")
 
 

@@ -16,9 +16,9 @@ from scanloom.operators.scan import findings, scan_files
 from scanloom.sources.tables import shared_folder
 
 
-def scan_stream(source_files: DataFrame, custom_rules=()) -> DataFrame:
+def scan_stream(source_files: DataFrame, custom_rules=(), issues: bool = True) -> DataFrame:
     """Scanned files of a stream: stateless, nothing is shuffled."""
-    return scan_files(source_files, custom_rules)
+    return scan_files(source_files, custom_rules, issues=issues)
 
 
 def new_arrivals(source_files: DataFrame, delay: str = "1 day", salts: int = 16) -> DataFrame:
@@ -42,7 +42,7 @@ def windowed_findings(source_files: DataFrame, width: str = "1 day", delay: str
 
     In append mode a window comes out once it is closed; ``run_windows`` gives open ones as well.
     """
-    scanned = scan_files(source_files.withWatermark("mtime", delay))
+    scanned = scan_files(source_files.withWatermark("mtime", delay), issues=False)
     found = scanned.select("mtime", F.inline("findings"))
     return (
         found.groupBy(F.window("mtime", width), "rule_id")

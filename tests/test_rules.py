@@ -1,9 +1,12 @@
 import json
 import random
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from scanloom.functions import fixed, line_rules, syntax
@@ -222,3 +225,33 @@ def test_texts_without_a_name_that_rules_look_for_are_not_parsed(monkeypatch):
     assert [f["kind"] for f in syntax.extract_facts("x = (\n", focus=True)] == ["syntax_error"]
     assert syntax.extract_facts("DEBUG = (\n", focus=True, problems=False) == []
     assert [f["kind"] for f in syntax.extract_facts("DEBUG = True\n", focus=True, problems=False)] == ["assign"]
+
+
+APPLIES = (
+    "try:\n    f()\nexcept \\\n :\n    pass\n", "try:\n    f()\nexcept\t:\n    pass\n", "try:\n    f()\nexcept\\\r\n:\n    pass\r\n",
+    "try:\n    f()\nexcept Exception:\n    pass\n", "c.execute(rf'SELECT {x}')\n", "c.execute(Rf'SELECT {x}')\n", "c.execute('a' FR\"{x}\")\n",
+    "c.executemany('SELECT %s' % x)\n", "c.execute('DROP ' + x)\n", "c.execute('DELETE {}'.format(x))\n", "os . system(x)\n", "os.\\\nexecvp(x)\n",
+    "subprocess.call(x, shell = True)\n", "DEBUG = y = True\n", "f(debug=True)\n", "ＤＥＢＵＧ = True\n", "SeSSion = random.choice(x)\n",
+    "def Otp():\n    random . randint(1, 2)\n", "httpx.get(a[0])\n", "urllib.request.urlopen(x + y)\n", "boto3.client(f'{x}')\n", "socket.socket.connect(form.x)\n",
+)
+NEAR = (
+    "subprocess.run(['ls'], shell=False)\n", "c.execute('SELECT 1', (x,))\n", "random.randint(1, 6)\n", "try:\n    f()\nexcept ValueError:\n    pass\n",
+    "DEBUG = 1\n", "os.path.join(x)\n", "x = True\n",
+)
+
+
+def test_texts_are_parsed_where_a_rule_may_apply_and_only_there(spark, files, monkeypatch):
+    texts = {f"t{t.number}.py": t.text.replace("<k>", "7") for t in templates() if t.ending == ".py"}
+    made = files(texts | {f"a{i}.py": text for i, text in enumerate(APPLIES)} | {f"n{i}.py": text for i, text in enumerate(NEAR)})
+    found = lambda *args: made.select("path", scan.python_syntax_findings(syntax.facts_column(F.col("text"), *args)).alias("f"))
+    full, focused = ({r.path: r.f for r in found(*args).collect()} for args in [(False,), (True, False)])
+    assert full == focused and all(full[f"a{i}.py"] for i in range(len(APPLIES)))
+    monkeypatch.setattr(syntax, "_parse", lambda text: pytest.fail(f"parsed: {text}"))
+    assert [syntax.extract_facts(text, focus=True, problems=False) for text in NEAR] == [[]] * len(NEAR)
+
+
+def test_workers_need_no_copy_of_this_package(tmp_path):
+    (tmp_path / "facts").write_bytes(cloudpickle.dumps(syntax.extract_facts))
+    code = "import pickle, sys; f = pickle.load(open('facts', 'rb')); print([len(f(t, True, False)) for t in eval(sys.argv[1])])"
+    out = subprocess.run([sys.executable, "-c", code, repr(APPLIES + NEAR)], cwd=tmp_path, env={}, capture_output=True, text=True)
+    assert out.stdout.strip() == repr([1] * len(APPLIES) + [0] * len(NEAR)), out.stderr

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom.functions.text import detect_language
+from scanloom.operators import scan
 from scanloom.operators.gate import gate, gate_from_changes
 from scanloom.streaming import stream
 from scanloom.streaming.state import gate_changes, latest_counts, run_gate_changes, run_latest_counts, with_rocksdb
@@ -131,3 +132,16 @@ def test_latest_counts_agree_with_changes_without_a_processor(spark, arrivals, g
     got = run_latest_counts(latest, "latest-test", grain).collect()
     want = run_gate_changes(gate_changes(stream()), "changes-test", grain).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == (3 if grain == "repo" else 1)
+
+
+def test_windows_count_findings_of_files_that_are_parsed_only_where_a_rule_may_apply(spark, arrivals):
+    arrive, files = arrivals
+    arrive(row("a.py", "DEBUG = True", 1))
+    asked = []
+    facts = scan.syntax.facts_column
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(scan.syntax, "facts_column", lambda text, focus=True, problems=True: asked.append(problems) or facts(text, focus, problems))
+        scan._scan_column.cache_clear()
+        stream.windowed_findings(files())
+    scan._scan_column.cache_clear()
+    assert asked == [False]
