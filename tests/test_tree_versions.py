@@ -3,6 +3,7 @@
 import os
 import pickle
 import time
+from contextlib import contextmanager
 
 import pytest
 
@@ -177,3 +178,29 @@ def test_a_batch_reader_deals_a_large_directory(tmp_path, monkeypatch):
     reader = tree.SourceTreeReader({"path": str(tmp_path)})
     rows = [[row[0] for row in reader.read(part)] for part in reader.partitions()]
     assert len(rows) == 5 and max(map(len, rows)) < 200 and len({p for r in rows for p in r}) == sum(map(len, rows)) == 400
+
+
+def test_a_file_removed_while_its_directory_is_listed_hides_no_other(tmp_path, monkeypatch):
+    for i in range(5):
+        put(tmp_path, f"f{i}.py", "x")
+    listed = os.scandir
+
+    class Entry:
+        def __init__(self, entry):
+            self.name, self.path, self.is_dir, self.is_file, self.entry = entry.name, entry.path, entry.is_dir, entry.is_file, entry
+
+        def stat(self, **kind):
+            if self.name == "f2.py":
+                raise FileNotFoundError(self.path)
+            return self.entry.stat(**kind)
+
+    @contextmanager
+    def scandir(folder):
+        with listed(folder) as entries:
+            yield sorted(map(Entry, entries), key=lambda e: e.name)
+
+    monkeypatch.setattr(os, "scandir", scandir)
+    stream, batch = tree.SourceTreeStreamReader({"path": str(tmp_path), "settle": "0"}), tree.SourceTreeReader({"path": str(tmp_path)})
+    for reader, parts in [(stream, stream.partitions(stream.initialOffset(), stream.latestOffset())), (batch, batch.partitions())]:
+        names = sorted(os.path.basename(row[0]) for part in parts for row in reader.read(part))
+        assert names == ["f0.py", "f1.py", "f3.py", "f4.py"]
